@@ -8,6 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .near_dedup import near_duplicates
+from .packing import best_fit_pack, tokenized_pieces
+from .repair_store import read_token_files, write_token_files
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary lies; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = tokenized_pieces(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return best_fit_pack(pieces)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +35,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op6_token_files": op6_token_files,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
