@@ -60,9 +60,43 @@ def sum_arrays(df: DataFrame, vectors, length: int, chunk: int = 1024, fold: str
     return total[:length]
 
 
-def large_arrays_to_bytes(values) -> pa.Array:
-    return pa.array(values, pa.binary())
+MARKS = 1 << 22
 
 
-def text_or_empty(col: str = "text"):
-    return F.coalesce(F.col(col), F.lit(""))
+def slots_of(ids: np.ndarray, slots: int = MARKS) -> np.ndarray:
+    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h ^ (h >> np.uint64(29))) >> np.uint64(64 - (slots - 1).bit_length())).astype(np.int64)
+
+
+def marked(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which the slot of each id is set; ids has one long column without nulls."""
+
+    def mark(batches):
+        seen = np.zeros(MARKS, bool)
+        for b in batches:
+            seen[slots_of(b.column(0).to_numpy(zero_copy_only=False))] = True
+        return np.packbits(seen, bitorder="little").view(np.uint64)
+
+    return sum_arrays(ids, mark, MARKS // 64, fold="or")
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs whose id is not in dropped (one long column). Rows whose slot is free in a bitmap of the dropped ids
+    stay where they are; only the others are shuffled and joined. Null ids stay."""
+    bits = docs.sparkSession.sparkContext.broadcast(marked(dropped))
+    name = dropped.columns[0]
+
+    def part(wanted: bool):
+        def run(batches):
+            seen = np.unpackbits(bits.value.view(np.uint8), bitorder="little").astype(bool)
+            for b in batches:
+                ids = b.column(b.schema.get_field_index(id_col))
+                hit = seen[slots_of(ids.fill_null(0).to_numpy(zero_copy_only=False))] & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(hit == wanted))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    gone = dropped.select(F.col(name).alias("_dropped")).distinct()
+    again = part(True)
+    return part(False).unionByName(again.join(gone, again[id_col] == gone["_dropped"], "left_anti"))

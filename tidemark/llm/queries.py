@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .near_dedup import near_duplicates
 from .packing import best_fit_pack, tokenized_pieces
+from .quality import score, train
 from .repair_store import read_token_files, write_token_files
+from .secret_scan import scan
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,6 +31,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -37,6 +48,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
         "op6_token_files": op6_token_files,
+        "op7_quality_fm": op7_quality_fm,
+        "op8_secret_scan": op8_secret_scan,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
