@@ -214,11 +214,11 @@ def _block_links(table: pa.Table) -> pa.Table:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (doc, pivot); a pivot's pairs are spread over salts, its set is sent once to each salt in use."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(64)))
-    left = salted.join(sets.select("doc", F.col("sig").alias("sa"), F.col("shingles").alias("ta")), "doc")
-    right = salted.select("pivot", "salt").distinct().join(sets.select(F.col("doc").alias("pivot"), F.col("sig").alias("sb"), F.col("shingles").alias("tb")), "pivot")
-    return left.join(right, ["pivot", "salt"]).select("doc", "pivot", "sa", "sb", "ta", "tb").mapInArrow(_confirm, "a long, b long")
+    """pairs (doc, pivot). Each pair takes its pivot's set to the document's own; both joins share one exchange of the sets,
+    and what a common pivot's pairs weigh is split by the adaptive skew join."""
+    theirs = pairs.join(sets, pairs["pivot"] == sets["doc"]).select(pairs["doc"].alias("of"), "pivot", F.col("sig").alias("sb"), F.col("shingles").alias("tb"))
+    both = theirs.join(sets, theirs["of"] == sets["doc"]).select("of", "pivot", F.col("sig").alias("sa"), "sb", F.col("shingles").alias("ta"), "tb")
+    return both.mapInArrow(_confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
