@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import ann, ogg
 from .common import documents
 from .near_dedup import near_duplicates
 from .packing import best_fit_pack, tokenized_pieces
@@ -26,6 +27,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(pieces)
 
 
+def op5_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -40,6 +45,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
+def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return ogg.read(ogg.store(documents(spark, sf_dir))).select(columns)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -47,9 +57,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op5_adaptive_scan_ann": op5_adaptive_scan_ann,
         "op6_token_files": op6_token_files,
         "op7_quality_fm": op7_quality_fm,
         "op8_secret_scan": op8_secret_scan,
+        "op9_ogg_media": op9_ogg_media,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
