@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, ogg
-from .common import documents
+from .common import ARROW_ROWS, documents
+from .html_text import extract
 from .near_dedup import near_duplicates
 from .packing import best_fit_pack, tokenized_pieces
 from .quality import score, train
 from .repair_store import read_token_files, write_token_files
 from .secret_scan import scan
+from .wordpiece import count_tokens
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,6 +24,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op2_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = tokenized_pieces(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1)
     return best_fit_pack(pieces)
@@ -56,6 +67,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
+        "op2_wordpiece_counts": op2_wordpiece_counts,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op5_adaptive_scan_ann": op5_adaptive_scan_ann,
         "op6_token_files": op6_token_files,
