@@ -11,6 +11,7 @@ from .common import ARROW_ROWS, documents
 from .html_text import extract
 from .near_dedup import near_duplicates
 from .packing import best_fit_pack, tokenized_pieces
+from .piece_lattice import encode
 from .quality import score, train
 from .repair_store import read_token_files, write_token_files
 from .secret_scan import scan
@@ -38,6 +39,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(pieces)
 
 
+def op4_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_pieces", "ids_crc32", "round_trip")
+
+
 def op5_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 20 == 0)
 
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_text": op1_html_text,
         "op2_wordpiece_counts": op2_wordpiece_counts,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_piece_lattice": op4_piece_lattice,
         "op5_adaptive_scan_ann": op5_adaptive_scan_ann,
         "op6_token_files": op6_token_files,
         "op7_quality_fm": op7_quality_fm,
