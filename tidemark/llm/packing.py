@@ -115,6 +115,8 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str,
     spark = pieces.sparkSession
     checked = pieces.withColumn("length", F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(F.raise_error(F.lit("lengths must be between 1 and the capacity"))))
     order = [F.col("length").desc(), *[F.col(k).asc() for k in keys]]
+    # written first: the range partitioner samples its input, which would run the tokenizer twice
+    checked = materialize(checked, "pieces")
     ranged = checked.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     ranged = materialize(ranged, "ranged")
     parts = sorted((r[0], r[1]) for r in ranged.groupBy(F.shiftright("_at", 33).alias("p")).count().collect())
