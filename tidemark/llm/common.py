@@ -2,35 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import materialize, scratch_dir
+
+__all__ = ["materialize", "scratch_dir", "documents", "sliced", "sum_arrays", "without", "marked", "ARROW_ROWS"]
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table, in a session whose Arrow batches are short enough for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = f"file://{tempfile.gettempdir()}/tidemark-scratch"
-    return shared.rstrip("/")
+#: Rows that JVM and Python exchange at once, and rows that Python takes up at once; texts may be long.
+ARROW_ROWS = 2000
+SLICE_ROWS = 500
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def sliced(batches, rows: int = SLICE_ROWS):
+    """Record batches of at most `rows` rows."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 def sum_arrays(df: DataFrame, vectors, length: int, chunk: int = 1024, fold: str = "add") -> np.ndarray:

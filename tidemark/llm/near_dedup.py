@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sum_arrays
+from .common import materialize, sliced, sum_arrays
 from .components import connected_components
 
 WORDS = 5
@@ -35,7 +35,7 @@ SLOTS = 1 << 20
 BITS = 1 << 22
 Q_BLOCK = 256
 D_BLOCK = 1024
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 
 _MULTIPLIERS = np.random.default_rng(20240607).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -92,7 +92,7 @@ def _unpacked(packed: bytes) -> np.ndarray:
 
 
 def _signed(batches):
-    for b in batches:
+    for b in sliced(batches):
         sets = [shingle_set(t) for t in b.column(1).to_pylist()]
         full = [len(s) > 0 for s in sets]
         yield pa.RecordBatch.from_arrays(
@@ -162,8 +162,7 @@ def _sets(bitmap):
         seen = np.unpackbits(bitmap.value.view(np.uint8), bitorder="little").astype(bool)
         for b in batches:
             b = b.filter(pa.array(seen[_doc_bit(b.column(0).to_numpy(zero_copy_only=False))]))
-            for k in range(0, b.num_rows, 2000):
-                c = b.slice(k, 2000)
+            for c in sliced([b]):
                 sets = [shingle_set(t) for t in c.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([_packed(s) for s in sets], pa.binary())], ["doc", "sig", "shingles"])
 

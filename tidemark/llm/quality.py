@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 BUCKETS = 1 << 16
 RANK = 8
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 9000
 EPOCHS = 12
-WORD_CACHE = 500_000
+WORD_CACHE = 300_000
 
 # byte classes: other, lower, upper, digit, space, line end, sentence mark, other ASCII mark, non-ASCII
 _CLASS = np.zeros(256, np.uint8)
@@ -155,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", metada
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = [text_features(t) for t in b.column(1).to_pylist()]
             more = _metadata(b, list(metadata))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary()), pa.array([np.concatenate((f[2], m)).astype(np.float32).tobytes() for f, m in zip(found, more)], pa.binary())], ["label", "ids", "vals", "stats"])
@@ -174,7 +176,7 @@ def score(docs: DataFrame, model: Model, metadata: tuple[str, ...] = ()) -> Data
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in sliced(batches):
             more = _metadata(b, list(metadata))
             scores = [m.score(i, v, np.concatenate((s, x))) for (i, v, s), x in zip(map(text_features, b.column(1).to_pylist()), more)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
@@ -192,7 +194,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in sliced(batches):
             good = [m.score(*text_features(t)) >= 0.5 for t in b.column(names.index("text")).to_pylist()]
             yield b.filter(pa.array(good, pa.bool_()))
 
