@@ -20,13 +20,13 @@ def collapse_space(text: Column) -> Column:
 
 def normalize(text: Column, terminators: str = TERMINATORS) -> Column:
     """collapse_space, with a line end after each sentence end."""
-    return F.trim(F.regexp_replace(collapse_space(text), f"({_class(terminators)}) *", "$1\n"))
+    return F.btrim(F.regexp_replace(collapse_space(text), f"({_class(terminators)}) *", "$1\n"), F.lit(" \n"))
 
 
 def sentences(text: Column, terminators: str = TERMINATORS, least: int = 4) -> Column:
     """Array of the sentences of at least `least` characters, each with its terminator."""
     parts = F.split(collapse_space(text), rf"(?<={_class(terminators)}) *")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
 
 def words(text: Column, least: int = 2, stop: list[str] | None = None) -> Column:
@@ -44,7 +44,7 @@ def readability(text: Column, terminators: str = TERMINATORS) -> Column:
 
 def bare(text: Column) -> Column:
     """Without white space and punctuation, for comparing sentences."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\p{Punct}]+", "")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\p{Punct}\p{IsPunctuation}\p{Z}]+", "")
 
 
 def char_grams(text: Column, n: int = 3, distinct: bool = True) -> Column:

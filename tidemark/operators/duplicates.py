@@ -34,7 +34,7 @@ def near_pairs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     one = grams.select("id", F.size("gs").alias("n"), F.explode("gs").alias("g"))
     freq = one.groupBy("g").agg(F.count("*").alias("f"))
     ranked = one.join(freq, "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("o"))
-    lead = F.col("n") - F.ceil(F.col("n") * (JACCARD_PERCENT / 100.0)) + 1
+    lead = F.col("n") - F.floor((F.col("n") * JACCARD_PERCENT + 99) / 100) + 1
     prefix = materialize(ranked.select("id", "n", F.explode(F.slice("o", F.lit(1), lead.cast("int"))).alias("x")).select("id", "n", F.col("x.g").alias("g")), "prefix")
     other = prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "g")
     cand = prefix.join(other, "g").where("id < id2").where(f"100 * least(n, n2) >= {JACCARD_PERCENT} * greatest(n, n2)").select("id", "id2").distinct()

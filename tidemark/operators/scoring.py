@@ -30,24 +30,42 @@ def hit_weight(prefix: Column, lex: Lexicon) -> Column:
     return w * F.when(T.contains_any(prefix, list(lex.negations)), -1.0).otherwise(1.0) * F.when(T.contains_any(prefix, list(lex.turning)), 1.15).otherwise(1.0)
 
 
+def _let(value: Column, body) -> Column:
+    """body of value, with value computed once."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def _before(parts: Column, word: str, reach: int, lex: Lexicon):
+    return lambda j: hit_weight(F.right(F.array_join(F.slice(parts, 1, j), word), F.lit(reach)), lex)
+
+
 def phrase_score(sentence: Column, words: tuple[str, ...], lex: Lexicon, reach: int = 8) -> Column:
     """Sum over all occurrences of all words of the weight that the `reach` characters before give. Overlapping list words all count."""
     total = F.lit(0.0)
     for word in words:
-        parts = F.split(sentence, "\\Q" + word + "\\E", -1)
-        places = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
-        prefix = lambda j, parts=parts, word=word: F.right(F.array_join(F.slice(parts, 1, j), word), F.lit(reach))
-        total = total + F.aggregate(F.transform(places, lambda j, p=prefix: hit_weight(p(j), lex)), F.lit(0.0), lambda a, x: a + x)
+        total = total + _let(F.split(sentence, "\\Q" + word + "\\E", -1), _summed(word, reach, lex))
     return total
 
 
+def _summed(word: str, reach: int, lex: Lexicon):
+    def body(parts: Column) -> Column:
+        places = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(F.transform(places, _before(parts, word, reach, lex)), F.lit(0.0), lambda a, x: a + x)
+
+    return body
+
+
 def token_score(tokens: Column, words: tuple[str, ...], lex: Lexicon, reach: int = 3) -> Column:
     """Sum over tokens in `words` of the weight that up to `reach` tokens before, joined, give."""
     if not words:
         return F.lit(0.0)
-    places = F.filter(F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens))).otherwise(F.array().cast("array<int>")), lambda i: F.get(tokens, i - 1).isin(list(words)))
-    prefix = lambda i: F.array_join(F.slice(tokens, F.greatest(i - reach, F.lit(1)), F.least(i - 1, F.lit(reach))), "")
-    return F.aggregate(F.transform(places, lambda i: hit_weight(prefix(i), lex)), F.lit(0.0), lambda a, x: a + x)
+
+    def body(t: Column) -> Column:
+        places = F.filter(F.when(F.size(t) > 0, F.sequence(F.lit(1), F.size(t))).otherwise(F.array().cast("array<int>")), lambda i: F.get(t, i - 1).isin(list(words)))
+        before = lambda i: F.array_join(F.slice(t, F.greatest(i - reach, F.lit(1)), F.least(i - 1, F.lit(reach))), "")
+        return F.aggregate(F.transform(places, lambda i: hit_weight(before(i), lex)), F.lit(0.0), lambda a, x: a + x)
+
+    return _let(tokens, body)
 
 
 def sentence_scores(df: DataFrame, sentence: str, lex: Lexicon) -> DataFrame:

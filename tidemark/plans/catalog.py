@@ -16,9 +16,15 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
         SQL[name] = sql
 
 
+def _load() -> None:
+    from . import event_queries, model_queries, table_queries, text_queries  # noqa: F401  (they register themselves)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return SQL
