@@ -30,14 +30,14 @@ def sliced(batches, rows: int = SLICE_ROWS):
             yield b.slice(k, rows)
 
 
-def sum_arrays(df: DataFrame, vectors, length: int, chunk: int = 1024, fold: str = "add") -> np.ndarray:
+def sum_arrays(df: DataFrame, vectors, length: int, chunk: int = 1024, fold: str = "add", kind=np.uint64) -> np.ndarray:
     """Adds (or ORs) one array of `length` uint64 per partition; what reaches the driver has that length whatever the input.
 
     vectors: turns an iterator of record batches into one numpy array. Each partition sends its
     array in chunks, each chunk is folded in its own group, so no task holds more than a chunk per partition."""
 
     def partial(batches):
-        v = vectors(batches).astype(np.uint64)
+        v = vectors(batches).astype(kind)
         parts = [(k, v[k * chunk : (k + 1) * chunk]) for k in range(-(-length // chunk))]
         parts = [(k, x.tobytes()) for k, x in parts if x.any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["part", "v"])
@@ -45,7 +45,7 @@ def sum_arrays(df: DataFrame, vectors, length: int, chunk: int = 1024, fold: str
     def merge(key, table):
         out = None
         for x in table.column("v").to_pylist():
-            a = np.frombuffer(x, np.uint64)
+            a = np.frombuffer(x, kind).astype(np.uint64)
             out = a.copy() if out is None else (np.bitwise_or(out, a, out=out) if fold == "or" else np.add(out, a, out=out))
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([out.tobytes()], pa.binary())})
 

@@ -8,10 +8,12 @@
 3. Representatives are posted under those coordinate-value pairs. In each posting list the most
    central document is the pivot, and every other one is paired with it: pairs grow with the
    number of postings, never with the square of a list.
-4. A pair is kept when it has MATCHES collisions over the whole signatures, and confirmed on the full sets.
+4. A pair is kept when it has MATCHES collisions over the whole signatures, and confirmed on the full sets;
+   only the kept pairs' texts are turned into sets again.
 5. Lists that still hold more than one component are taken up again: their documents outside the
-   pivot's component are compared with all documents of those lists, in blocks, by counting through
-   the inverted lists of the full sets. So no link between different texts that share a posting is lost.
+   pivot's component are compared with all documents of those lists, in blocks, first by collisions and
+   then by counting along the inverted lists of the full sets. So no link between different texts that
+   share a posting is lost.
 
 A pair of exactly the limit's similarity fails step 2 with a probability of 3e-8.
 """
@@ -31,7 +33,7 @@ WORDS = 5
 PERCENT = 75
 COORDINATES = 64
 MATCHES = 28
-SLOTS = 1 << 20
+SLOTS = 1 << 21
 BITS = 1 << 22
 Q_BLOCK = 256
 D_BLOCK = 1024
@@ -164,7 +166,7 @@ def _sets(bitmap):
             b = b.filter(pa.array(seen[_doc_bit(b.column(0).to_numpy(zero_copy_only=False))]))
             for c in sliced([b]):
                 sets = [shingle_set(t) for t in c.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([_packed(s) for s in sets], pa.binary())], ["doc", "sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([_packed(s) for s in sets], pa.binary())], ["doc", "shingles"])
 
     return run
 
@@ -173,19 +175,39 @@ def similar(common: int, n_a: int, n_b: int, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (n_a + n_b - common)
 
 
+def _colliding(batches):
+    """Keeps pairs with MATCHES collisions over the whole signatures."""
+    for b in batches:
+        if b.num_rows:
+            yield b.filter(pa.array((_matrix(b.column(2)) == _matrix(b.column(3))).sum(axis=1) >= MATCHES)).select([0, 1])
+
+
 def _confirm(batches):
-    """Keeps pairs with MATCHES signature collisions whose full sets are similar."""
+    """Keeps pairs whose full sets are similar."""
     for b in batches:
-        docs, pivots, sa, sb, ta, tb = (b.column(k).to_pylist() for k in range(6))
+        docs, pivots, ta, tb = (b.column(k).to_pylist() for k in range(4))
         keep: list[int] = []
         for i in range(b.num_rows):
-            if int((np.frombuffer(sa[i], np.uint32) == np.frombuffer(sb[i], np.uint32)).sum()) >= MATCHES:
-                x, y = _unpacked(ta[i]), _unpacked(tb[i])
-                if similar(len(x) + len(y) - len(np.unique(np.concatenate((x, y)))), len(x), len(y)):
-                    keep.append(i)
+            x, y = _unpacked(ta[i]), _unpacked(tb[i])
+            if similar(len(x) + len(y) - len(np.unique(np.concatenate((x, y)))), len(x), len(y)):
+                keep.append(i)
         yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in keep], pa.int64()), pa.array([pivots[i] for i in keep], pa.int64())], ["a", "b"])
 
 
+def _block_colliding(key, table):
+    """One block: the documents of different components that have MATCHES collisions with each other."""
+    query = table.column("query").to_numpy()
+    doc, comp = table.column("doc").to_numpy(), table.column("comp").to_numpy()
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+    ds, hit = np.flatnonzero(~query), np.zeros(len(doc), bool)
+    for i in np.flatnonzero(query) if len(ds) else ():
+        near = ds[((sig[ds] == sig[i]).sum(axis=1) >= MATCHES) & (comp[ds] != comp[i])]
+        hit[near] = True
+        hit[i] |= len(near) > 0
+    out = np.unique(doc[hit])
+    return pa.table({"cluster": pa.array(np.full(len(out), key[0].as_py()), pa.int64()), "doc": pa.array(out, pa.int64())})
+
+
 def _block_links(table: pa.Table) -> pa.Table:
     """One block: queries against documents, by counting along the inverted lists of the full sets."""
     doc, comp, query, sets = (table.column(c).to_pylist() for c in ("doc", "comp", "query", "shingles"))
@@ -212,12 +234,29 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (doc, pivot). Each pair takes its pivot's set to the document's own; both joins share one exchange of the sets,
-    and what a common pivot's pairs weigh is split by the adaptive skew join."""
-    theirs = pairs.join(sets, pairs["pivot"] == sets["doc"]).select(pairs["doc"].alias("of"), "pivot", F.col("sig").alias("sb"), F.col("shingles").alias("tb"))
-    both = theirs.join(sets, theirs["of"] == sets["doc"]).select("of", "pivot", F.col("sig").alias("sa"), "sb", F.col("shingles").alias("ta"), "tb")
-    return both.mapInArrow(_confirm, "a long, b long")
+def _with_both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """pairs (doc, pivot) as (of, pivot, own, theirs). A pair takes its pivot's value to the document's own; both joins share one
+    exchange of the values, and what a common pivot's pairs weigh is split by the adaptive skew join."""
+    theirs = pairs.join(values, pairs["pivot"] == values["doc"]).select(pairs["doc"].alias("of"), "pivot", F.col(name).alias("theirs"))
+    return theirs.join(values, theirs["of"] == values["doc"]).select("of", "pivot", F.col(name).alias("own"), "theirs")
+
+
+def _sets_of(texts: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """(doc, shingles) of the documents in docs, and of the few others whose bit is set too."""
+    bitmap = texts.sparkSession.sparkContext.broadcast(sum_arrays(docs, _mark_docs, BITS // 64, fold="or"))
+    return materialize(texts.mapInArrow(_sets(bitmap), "doc long, shingles binary"), name)
+
+
+def _blocks(rows: DataFrame, value: str) -> DataFrame:
+    """rows (cluster, doc, comp, value) dealt to blocks: those outside the cluster's component ask, against all of the cluster."""
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("nd"), F.count_if(F.col("comp") != F.col("cluster")).alias("nq"))
+    sizes = materialize(sizes.select("cluster", F.ceil(F.col("nd") / D_BLOCK).cast("int").alias("nd"), F.greatest(F.lit(1), F.ceil(F.col("nq") / Q_BLOCK)).cast("int").alias("nq")), "sizes")
+    full = rows.join(sizes, "cluster")
+    at = F.xxhash64("doc", F.lit(7))
+    asked = full.where("comp <> cluster").withColumns({"query": F.lit(True), "qb": F.pmod(at, F.col("nq")).cast("int"), "db": F.explode(F.sequence(F.lit(0), F.col("nd") - 1))})
+    searched = full.withColumns({"query": F.lit(False), "db": F.pmod(at, F.col("nd")).cast("int"), "qb": F.explode(F.sequence(F.lit(0), F.col("nq") - 1))})
+    cols = ["cluster", "qb", "db", "doc", "comp", "query", value]
+    return asked.select(cols).unionByName(searched.select(cols))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,18 +270,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = materialize(texts.mapInArrow(_signed, "doc_id long, n_shingles long, set_key binary, sig binary"), "signatures")
     classes = base.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
-    counts = sum_arrays(classes.select("sig"), _count_slots, SLOTS)
+    counts = sum_arrays(classes.select("sig"), _count_slots, SLOTS, kind=np.uint32)
     common = spark.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
     posted = classes.select("doc", "sig").mapInArrow(_poster(common), "doc long, score long, keys array<bigint>").select("doc", "score", F.explode("keys").alias("key"))
     lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("score", (-F.col("doc")).alias("less"))).alias("top")).where("n > 1")
     lists = materialize(lists.select("key", "n", (-F.col("top.less")).alias("pivot")), "lists")
     members = materialize(posted.select("key", "doc").join(lists, "key"), "members")
 
-    bitmap = spark.sparkContext.broadcast(sum_arrays(members.select("doc"), _mark_docs, BITS // 64, fold="or"))
-    sets = texts.where("doc_id is not null").mapInArrow(_sets(bitmap), "doc long, sig binary, shingles binary")
-    sets = materialize(sets, "sets")
-    pairs = members.where("doc <> pivot").select("doc", "pivot").distinct()
-    stars = materialize(_confirmed(pairs, sets), "stars")
+    texts = texts.where("doc_id is not null")
+    signs = classes.select("doc", "sig")
+    pairs = _with_both(members.where("doc <> pivot").select("doc", "pivot").distinct(), signs, "sig")
+    pairs = materialize(pairs.mapInArrow(_colliding, "doc long, pivot long"), "pairs")
+    sets = _sets_of(texts, pairs.select("doc").union(pairs.select("pivot")), "sets")
+    stars = materialize(_with_both(pairs, sets, "shingles").mapInArrow(_confirm, "a long, b long"), "stars")
     first = connected_components(stars)
 
     # lists of more than a pair that still hold several components
@@ -251,14 +291,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("doc") == F.col("pivot"), F.col("comp"))).alias("cluster")).where("lo <> hi")
     mixed = materialize(mixed.select("key", "cluster"), "mixed")
     rows = materialize(held.join(mixed, "key").select("cluster", "doc", "comp").distinct(), "rows")
-    sizes = rows.groupBy("cluster").agg(F.count("*").alias("nd"), F.count_if(F.col("comp") != F.col("cluster")).alias("nq"))
-    sizes = materialize(sizes.select("cluster", F.ceil(F.col("nd") / D_BLOCK).cast("int").alias("nd"), F.greatest(F.lit(1), F.ceil(F.col("nq") / Q_BLOCK)).cast("int").alias("nq")), "sizes")
-    full = rows.join(sizes, "cluster").join(sets.select("doc", "shingles"), "doc")
-    at = F.xxhash64("doc", F.lit(7))
-    asked = full.where("comp <> cluster").withColumns({"query": F.lit(True), "qb": F.pmod(at, F.col("nq")).cast("int"), "db": F.explode(F.sequence(F.lit(0), F.col("nd") - 1))})
-    searched = full.withColumns({"query": F.lit(False), "db": F.pmod(at, F.col("nd")).cast("int"), "qb": F.explode(F.sequence(F.lit(0), F.col("nq") - 1))})
-    cols = ["cluster", "qb", "db", "doc", "comp", "query", "shingles"]
-    found = asked.select(cols).unionByName(searched.select(cols)).groupBy("cluster", "qb", "db").applyInArrow(_block_links, "a long, b long")
+    near = _blocks(rows.join(signs, "doc"), "sig").groupBy("cluster", "qb", "db").applyInArrow(_block_colliding, "cluster long, doc long")
+    near = materialize(rows.join(near.distinct(), ["cluster", "doc"]), "near")
+    more = _sets_of(texts, near.select("doc"), "more_sets")
+    found = _blocks(near.join(more, "doc"), "shingles").groupBy("cluster", "qb", "db").applyInArrow(_block_links, "a long, b long")
     links = materialize(stars.unionByName(found), "links")
     last = connected_components(links)
 
