@@ -88,7 +88,7 @@ def group_label(value: Column, length: int = 12) -> Column:
 
 
 def formatted(value: Column, digits: int = 4, missing: str = "—") -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit(missing))
+    return F.when(value.isNull(), missing).otherwise(F.format_string(f"%.{digits}f", value))
 
 
 def looks_numeric(value: Column) -> Column:

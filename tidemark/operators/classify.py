@@ -8,6 +8,7 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tidemark.functions import text as T
 
@@ -42,7 +43,7 @@ def group_folds(df: DataFrame, group: str, label: str, k: int = 5) -> DataFrame:
         for lab, n in labels.items():
             loads[best][lab] = loads[best].get(lab, 0) + n
         out.append((g, best))
-    return df.sparkSession.createDataFrame(out, df.select(group).schema.add("fold", "int"))
+    return df.sparkSession.createDataFrame(out, df.select(group).schema.add("fold", IntegerType()))
 
 
 class OneVsRest:

@@ -63,7 +63,7 @@ def ols_hc3(df: DataFrame, y: str, xs: list[str], by: str | None = None) -> Data
                 meat[i, j] = meat[j, i] = r[f"m{i}_{j}"] if r[f"m{i}_{j}"] is not None else np.nan
             se = np.sqrt(np.diag(inv @ meat @ inv))
             total = yy - sy * sy / n
-            r2 = 1 - r["ee"] / total if total > 0 else None
+            r2 = float(1 - r["ee"] / total) if total > 0 else None
             for i, t in enumerate(["const", *xs]):
                 z = beta[i] / se[i] if se[i] > 0 else float("nan")
                 out.append((r["model"], t, float(beta[i]), float(se[i]), float(z), _p(z), float(beta[i] - 1.959963984540054 * se[i]), float(beta[i] + 1.959963984540054 * se[i]), n, r2, cond))

@@ -1 +1,67 @@
-"""Queries."""
+"""Queries of statistical models: regressions, resampling, volatility, classifiers."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tidemark.operators import classify as C
+from tidemark.operators import regression as R
+from tidemark.operators import volatility as V
+from tidemark.operators.events import holm
+from tidemark.sources.tables import table
+
+from .catalog import register
+from .event_queries import _daily_model, panel
+
+X = ["l_quantity", "l_discount", "l_tax"]
+register("simple_ols", lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 4).alias("intercept"), F.round(F.corr("l_extendedprice", "l_quantity"), 6).alias("corr")), "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(corr(l_extendedprice, l_quantity), 6) AS corr FROM lineitem GROUP BY 1")
+register("ols_two_groups", lambda s, d: R.ols_hc3(table(s, d, "lineitem"), "l_extendedprice", ["l_quantity"], "l_returnflag").select("model", "term", F.round("beta", 3).alias("beta"), F.round("se", 3).alias("se"), F.round("r2", 6).alias("r2"), "n"),
+    """WITH b AS (SELECT l_returnflag AS model, regr_slope(l_extendedprice, l_quantity) AS b1, regr_intercept(l_extendedprice, l_quantity) AS b0, avg(l_quantity) AS mx, regr_sxx(l_extendedprice, l_quantity) AS sxx, count(*) AS n, regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem GROUP BY 1),
+w AS (SELECT model, b.*, l_quantity AS x, power((l_extendedprice - b0 - b1 * l_quantity) / (1 - (1.0 / n + power(l_quantity - mx, 2) / sxx)), 2) AS w FROM lineitem JOIN b ON l_returnflag = model),
+v AS (SELECT model, any_value(b0) AS b0, any_value(b1) AS b1, any_value(n) AS n, any_value(r2) AS r2, sum(w * power((x - mx) / sxx, 2)) AS v1, sum(w * power(1.0 / n - mx * (x - mx) / sxx, 2)) AS v0 FROM w GROUP BY 1)
+SELECT model, 'const' AS term, round(b0, 3) AS beta, round(sqrt(v0), 3) AS se, round(r2, 6) AS r2, n FROM v UNION ALL SELECT model, 'l_quantity', round(b1, 3), round(sqrt(v1), 3), round(r2, 6), n FROM v""")
+register("ols_hc3", lambda s, d: R.ols_hc3(table(s, d, "lineitem"), "l_extendedprice", X))
+register("vif", lambda s, d: R.vif(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice"]).select("term", F.round("vif", 6).alias("vif")), "SELECT unnest(['l_quantity', 'l_extendedprice']) AS term, round(1 / (1 - power(corr(l_quantity, l_extendedprice), 2)), 6) AS vif FROM lineitem")
+FULL = ["novelty_z", "pre_vol", "action_nearby", "late", "novelty_late"]
+SUB = ["novelty_z", "pre_vol", "trend"]
+
+
+def _volatility_models(spark, d):
+    """The full sample with the regime interaction, and both regimes with a trend."""
+    p = panel(spark, d)
+    return R.ols_hc3(p, "y", FULL).withColumn("model", F.lit("full")).unionByName(R.ols_hc3(p, "y", SUB, "sample")).withColumn("percent", (F.exp("beta") - 1) * 100)
+
+
+register("volatility_models", _volatility_models)
+register("novelty_robustness", lambda s, d: holm(R.ols_hc3(panel(s, d), "y", ["novelty_z", "pre_vol", "late"]).where("term <> 'const'").withColumn("model", F.col("term"))))
+register("bootstrap_ci", lambda s, d: R.bootstrap_ci(panel(s, d), "y", ["novelty_z", "pre_vol"], "novelty_z", "event_id"))
+register("bootstrap_total_ci", lambda s, d: R.bootstrap_ci(panel(s, d), "y", ["novelty_z", "late", "novelty_late"], "novelty_z", "event_id", plus="novelty_late"))
+register("permutation_p", lambda s, d: R.permutation_p(panel(s, d), "y", ["novelty_z", "pre_vol"], "novelty_z", "event_id"))
+register("permutation_interaction_p", lambda s, d: R.permutation_p(panel(s, d), "y", ["novelty_z", "late", "novelty_late"], "novelty_late", "event_id"))
+register("power_curve", lambda s, d: R.power_curve(panel(s, d), "y", ["novelty_z", "pre_vol"], "novelty_z", "event_id", (20, 40, 60, 400), 400))
+EXTRA = ["event_day", "z", "action_day"]
+register("egarch_fit", lambda s, d: V.fit_egarch(_daily_model(s, d), "d", "ret", EXTRA, rounds=15))
+
+
+def _conditional(spark, d):
+    """D0, D1 and both, with the other parameters frozen at typical values; D1 is the event value a day later."""
+    rows = _daily_model(spark, d)
+    r, x = V.series(rows, "d", "ret", EXTRA)
+    x = np.column_stack((x, np.concatenate(([0.0], x[:-1, 1]))))
+    theta = np.array([float(r.mean()), 0.0, 0.1, 0.08, -0.02, 0.95, 8.0, 0, 0, 0, 0])
+    out = [(name, *(f := V.conditional_fit(r, x, theta, free))["values"], *[None] * (2 - len(free)), f["loglik"], f["lr"], f["p"]) for name, free in (("D0", [1]), ("D1", [3]), ("D0_D1", [1, 3]))]
+    return spark.createDataFrame(out, "model string, first double, second double, loglik double, lr double, p double")
+
+
+register("egarch_conditional", _conditional)
+register("egarch_permutation", lambda s, d: V.permuted_conditional(_daily_model(s, d), "d", "ret", EXTRA, np.array([0.0, 0.0, 0.1, 0.08, -0.02, 0.95, 8.0, 0, 0, 0]), "event_day", "z", n=6))
+register("collinearity", lambda s, d: V.d0_d1_diagnostics(table(s, d, "lineitem"), "l_discount", "l_tax").select(F.round("correlation", 6).alias("correlation"), F.round("condition", 6).alias("condition"), "warning"), "WITH c AS (SELECT corr(l_discount, l_tax) AS c FROM lineitem) SELECT round(c, 6) AS correlation, round(sqrt((1 + abs(c)) / (1 - abs(c))), 6) AS condition, sqrt((1 + abs(c)) / (1 - abs(c))) > 30 OR abs(c) > 0.9 AS warning FROM c")
+
+
+def _labelled(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id"), "text", F.pmod("item_id", F.lit(8)).alias("report"), F.when(F.length("text") % 2 == 0, "even").otherwise("odd").alias("label"))
+
+
+register("grouped_cv", lambda s, d: C.cross_validate(_labelled(s, d), "text", "label", "report", k=2).groupBy("fold", "label", "pred").agg(F.count("*").alias("n")))
+register("learning_curve", lambda s, d: C.learning_curve(_labelled(s, d), "text", "label", "report", (0.5, 1.0), k=2))
