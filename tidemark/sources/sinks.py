@@ -37,7 +37,7 @@ def combined_lexicon(parts: dict[str, DataFrame]) -> DataFrame:
 
 def manifest(spark: SparkSession, folder: str, forbidden: str = r"(^|/)(\.git|__pycache__)(/|$)", own: str = "manifest.csv") -> DataFrame:
     """(path, bytes, sha256) of the files in a folder, without its own file; a forbidden name raises an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     path = F.regexp_replace(F.col("path"), "^.*?" + folder.rstrip("/").replace(".", "\\.") + "/", "")
     named = files.select(path.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(F.col("path") != own)
     return named.withColumn("path", F.when(F.col("path").rlike(forbidden), F.raise_error(F.concat(F.lit("forbidden name: "), F.col("path")))).otherwise(F.col("path")))

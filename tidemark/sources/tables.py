@@ -32,7 +32,7 @@ def csv(spark: SparkSession, path: str, kind: str, order: list[str] | None = Non
 
 def side_texts(spark: SparkSession, index: DataFrame, path_col: str, folder: str, out: str = "text") -> DataFrame:
     """index with the whole text of the file that path_col names under folder (\\ counts as /); a missing file gives ''."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.col("value").alias(out), F.element_at(F.split(F.input_file_name(), F.lit(folder.rstrip("/").split("/")[-1] + "/"), 2), -1).alias("_path"))
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias(out), F.element_at(F.split(F.input_file_name(), F.lit(folder.rstrip("/").split("/")[-1] + "/"), 2), -1).alias("_path"))
     keyed = index.withColumn("_path", F.regexp_replace(F.translate(path_col, "\\", "/"), "^\\./", ""))
     return keyed.join(files, "_path", "left").withColumn(out, F.coalesce(out, F.lit(""))).drop("_path")
 
@@ -43,7 +43,7 @@ def json_results(spark: SparkSession, path: str) -> DataFrame:
 
 def scraped_numbers(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
     """(item, value): the first match of each pattern's group in a text file."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     one = F.array(*[F.struct(F.lit(k).alias("item"), F.try_to_number(F.nullif(F.regexp_extract("value", p, 1), F.lit("")), F.lit("S999999999.999999999")).cast("double").alias("value")) for k, p in patterns.items()])
     return lines.select(F.explode(one).alias("x")).select("x.*")
 
