@@ -42,7 +42,8 @@ IMPLIED = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
+_BEGUN = re.compile(r"<[/!?A-Za-z]")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _HIDES = re.compile(r"(?:^|;|\s)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -60,7 +61,7 @@ class Node:
 def parse(html: str) -> Node:
     """The tree of a page; text nodes are strings with entities resolved."""
     root = Node("html", {})
-    stack, at, n = [root], 0, len(html)
+    stack, at, n, last = [root], 0, len(html), html.rfind(">")
 
     def text(part: str) -> None:
         if part:
@@ -90,9 +91,11 @@ def parse(html: str) -> Node:
         return node
 
     while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            text(html[at:])
+        m = _TOKEN.search(html, at) if at <= last or html.find("<!--", at) >= 0 else None
+        if m is None:  # a tag that the page's end cuts short is no text
+            rest = html[at:]
+            cut = _BEGUN.search(rest)
+            text(rest[: cut.start()] if cut else rest)
             break
         text(html[at : m.start()])
         at = m.end()
