@@ -161,12 +161,11 @@ register("daily_model_input", lambda s, d: r6(_daily_model(s, d), "ret", "raw",
 a AS (SELECT DISTINCT (SELECT min(d) FROM ser WHERE d >= op_date) AS d FROM ops) SELECT ser.d, round(ret, 6) AS ret, (bz.pos IS NOT NULL)::BIGINT AS event_day, round(coalesce(raw, 0), 6) AS raw, round(coalesce(z, 0), 6) AS z, (a.d IS NOT NULL)::BIGINT AS action_day FROM ser LEFT JOIN bz USING (pos) LEFT JOIN a ON a.d = ser.d WHERE ret IS NOT NULL""")
 register("contract_check", lambda s, d: prices(s, d).withColumn("step", F.datediff("d", F.lag("d").over(Window.orderBy("pos")))).agg(F.count("*").alias("n"), F.countDistinct("d").alias("n_days"), F.min("step").cast("long").alias("min_step"), F.count_if(F.col("close").isNull()).alias("missing")),
     f"WITH {SER}, t AS (SELECT d, close, d - lag(d) OVER (ORDER BY pos) AS step FROM ser) SELECT count(*) AS n, count(DISTINCT d) AS n_days, min(step)::BIGINT AS min_step, count_if(close IS NULL)::BIGINT AS missing FROM t")
-PERIOD = F.concat(F.year("o_orderdate"), F.lit("Q"), F.quarter("o_orderdate"))
 
 
 def _period(spark, d):
     y, q = F.regexp_extract("period", r"^(\d{4})Q([1-4])$", 1), F.regexp_extract("period", r"^(\d{4})Q([1-4])$", 2)
-    rows = S.table(spark, d, "orders").select("o_orderkey", PERIOD.alias("period")).withColumn("key", F.when(y == "", F.raise_error(F.lit("not a period"))).otherwise(y.cast("int") * 4 + q.cast("int")))
+    rows = S.table(spark, d, "orders").select("o_orderkey", F.concat(F.year("o_orderdate"), F.lit("Q"), F.quarter("o_orderdate")).alias("period")).withColumn("key", F.when(y == "", F.raise_error(F.lit("not a period"))).otherwise(y.cast("int") * 4 + q.cast("int")))
     inside = rows.where(F.col("key").between(1996 * 4 + 2, 1999 * 4 + 1))
     return inside.groupBy("period", F.when(F.col("key") >= 1998 * 4 + 1, 1).otherwise(0).cast("long").alias("late")).agg(F.count("*").alias("n"))
 

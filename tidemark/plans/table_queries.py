@@ -78,12 +78,11 @@ register("describe_panel", lambda s, d: M.describe(table(s, d, "lineitem"), ["l_
     " UNION ALL ".join(f"SELECT '{c}' AS variable, count({c}) AS count, round(avg({c}), 5) AS mean, round(stddev_samp({c}), 5) AS std, round(min({c}), 5) AS min, round(quantile_cont({c}, 0.25), 5) AS p25, round(quantile_cont({c}, 0.5), 5) AS p50, round(quantile_cont({c}, 0.75), 5) AS p75, round(max({c}), 5) AS max FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")))
 both("row_mean", "SELECT l_orderkey, l_linenumber, round((l_quantity + l_discount + l_tax) / 3, 6) AS mean FROM {lineitem}", tables="lineitem")
 
-RULE = F.when(F.regexp_count("text", F.lit("!!|###|[|]")) > 3, 0).otherwise(1)
 RULE_SQL = "CASE WHEN len(regexp_extract_all(text, '!!|###|[|]')) > 3 THEN 0 ELSE 1 END"
 
 
 def _judged(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "source", F.col("quality").cast("string").alias("true"), RULE.cast("string").alias("pred"))
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "source", F.col("quality").cast("string").alias("true"), F.when(F.regexp_count("text", F.lit("!!|###|[|]")) > 3, "0").otherwise("1").alias("pred"))
 
 
 J = f"j AS (SELECT doc_id, source, quality::VARCHAR AS t, ({RULE_SQL})::VARCHAR AS p FROM documents JOIN labels USING (doc_id)), l AS (SELECT unnest(['0', '1']) AS label)"
