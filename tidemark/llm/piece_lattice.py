@@ -3,9 +3,10 @@
 Pieces of the model never span the border between text and the spaces after it, so a text is cut into
 words there and each distinct word is encoded once:
 
-1. Documents are dealt to chunks of bounded size; a chunk's row has its distinct words and, for each
-   document, the words' places in that list. (mapInArrow)
-2. All chunks' distinct words are made distinct. Each word's substrings of up to the longest piece's length
+1. Documents are dealt to chunks of bounded size; a chunk's row has its distinct words, cut once more between
+   neighbouring characters that no piece holds (every path has a border there), and, for each document, the
+   words' places in that list. (mapInArrow)
+2. All chunks' parts of words ("words" from here on) are made distinct. Each word's substrings of up to the longest piece's length
    are exploded and equi-joined to the piece table; a single character without a piece keeps an edge of
    its own, as bytes. Edges are grouped by word and folded in order of their ends: best[end] is the best
    of best[start] + score. The fold is Spark's aggregate(), as is the way back along the chosen edges.
@@ -24,14 +25,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, sliced
 
-CHUNK_CHARACTERS = 24_000_000
-CHUNK_DOCUMENTS = 10_000
+CHUNK_CHARACTERS = 16_000_000
+CHUNK_DOCUMENTS = 8_000
 #: A character without a piece costs this much more than the worst piece.
 UNKNOWN = 10.0
 LONG = 400
@@ -65,30 +67,73 @@ def decode(ids: list[int], path: str) -> str:
     return _processor(path).decode(ids)
 
 
-def _chunks(batches):
-    part, n = TaskContext.get().partitionId(), 0
-    docs, codes, sums, words, size = [], [], [], {}, 0
-
-    def row():
-        nonlocal docs, codes, sums, words, size, n
-        out = pa.RecordBatch.from_arrays(
-            [pa.array([part << 32 | n], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())), pa.array([sums], pa.list_(pa.int64())), pa.array([list(words)], pa.list_(pa.string()))],
-            ["chunk", "docs", "codes", "sums", "words"],
-        )
-        docs, codes, sums, words, size, n = [], [], [], {}, 0, n + 1
-        return out
-
-    for b in sliced(batches):
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            own = _WORDS.findall(normalized(text))
-            codes.append(np.fromiter((words.setdefault(w, len(words)) for w in own), np.uint32, len(own)).tobytes())
-            docs.append(doc)
-            sums.append(zlib.crc32((text or "").encode("utf-8", "surrogatepass")))
-            size += len(text or "")
-            if size >= CHUNK_CHARACTERS or len(docs) >= CHUNK_DOCUMENTS:
-                yield row()
-    if docs:
-        yield row()
+@lru_cache(maxsize=2)
+def joined_pairs(path: str) -> frozenset[str]:
+    """Pairs of neighbouring characters that some piece holds. Between any other pair every path has a border."""
+    return frozenset(p[i : i + 2] for p, _, _ in piece_table(path)[0] for i in range(len(p) - 1))
+
+
+class _Words(dict):
+    """word -> place among a chunk's words; units: the parts of each new word, cut where no piece spans, as places among the chunk's parts."""
+
+    def __init__(self, pairs: frozenset[str]):
+        super().__init__()
+        self.pairs, self.parts, self.units, self.sizes = pairs, {}, [], []
+
+    def __missing__(self, word: str) -> int:
+        pairs, parts, start, n = self.pairs, self.parts, 0, 1
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in pairs:
+                self.units.append(parts.setdefault(word[start:i], len(parts)))
+                start, n = i, n + 1
+        self.units.append(parts.setdefault(word[start:], len(parts)))
+        self.sizes.append(n)
+        self[word] = place = len(self)
+        return place
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """uint32 numbers by byte planes, zstd."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def _expanded(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
+
+
+CHUNK = "chunk long, docs array<bigint>, lengths binary, codes binary, sums array<bigint>, units binary, sizes binary, parts array<string>"
+
+
+def _chunker(path: str):
+    def run(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        docs, codes, sums, words, size = [], [], [], _Words(joined_pairs(path)), 0
+
+        def row():
+            nonlocal docs, codes, sums, words, size, n
+            squeeze = lambda x: pa.array([_squeezed(np.asarray(x, np.uint32))], pa.binary())
+            flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([part << 32 | n], pa.int64()), pa.array([docs], pa.list_(pa.int64())), squeeze([len(c) for c in codes]), squeeze(flat), pa.array([sums], pa.list_(pa.int64())), squeeze(words.units), squeeze(words.sizes), pa.array([list(words.parts)], pa.list_(pa.string()))],
+                [c.split()[0] for c in CHUNK.split(", ")],
+            )
+            docs, codes, sums, words, size, n = [], [], [], _Words(words.pairs), 0, n + 1
+            return out
+
+        for b in sliced(batches):
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = _WORDS.findall(normalized(text))
+                codes.append(np.fromiter(map(words.__getitem__, own), np.uint32, len(own)))
+                docs.append(doc)
+                sums.append(zlib.crc32((text or "").encode("utf-8", "surrogatepass")))
+                size += len(text or "")
+                if size >= CHUNK_CHARACTERS or len(docs) >= CHUNK_DOCUMENTS:
+                    yield row()
+        if docs:
+            yield row()
+
+    return run
 
 
 def viterbi(word: str, table: dict[str, tuple[int, float]], longest: int, byte0: int, unknown: float) -> list[int]:
@@ -147,26 +192,34 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     round_trip: decoding the ids gives the text back. Null and empty texts have no ids. Null ids of rows and
     repeated rows stay; other columns are ignored; an empty table gives no rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = materialize(rows.mapInArrow(_chunks, "chunk long, docs array<bigint>, codes array<binary>, sums array<bigint>, words array<string>"), "chunks")
-    words = chunks.select(F.explode("words").alias("word")).distinct()
+    chunks = materialize(rows.mapInArrow(_chunker(path), CHUNK), "chunks")
+    words = chunks.select(F.explode("parts").alias("word")).distinct()
     known = materialize(encode_words(words, path), "words")
-    own = chunks.select("chunk", F.posexplode("words").alias("place", "word")).join(known, "word").select(F.col("chunk").alias("of"), "place", "ids")
+    own = chunks.select("chunk", F.posexplode("parts").alias("place", "word")).join(known, "word").select(F.col("chunk").alias("of"), "place", "ids")
+
+    def runs(first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """flat[first:first + size] of each, in a row."""
+        return flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
     def assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        place = right.column("place").to_numpy()
-        order = np.argsort(place)
+        order = np.argsort(right.column("place").to_numpy())
         lists = right.column("ids").combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())[order].astype(np.int64)
-        flat, first = lists.values.to_numpy(zero_copy_only=False).astype(np.uint32), lists.offsets.to_numpy()[:-1][order].astype(np.int64)
-        out = []
-        for docs_, codes, sums in zip(*(left.column(c).to_pylist() for c in ("docs", "codes", "sums"))):
-            for doc, code, total in zip(docs_, codes, sums):
-                w = np.frombuffer(code, np.uint32)
-                n = sizes[w]
-                ids = flat[np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes() if len(w) else b""
-                out.append((doc, ids, len(ids) // 4, zlib.crc32(ids), zlib.crc32(decode(np.frombuffer(ids, np.uint32).tolist(), path).encode("utf-8", "surrogatepass")) == total))
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        size, first = np.diff(ends)[order], ends[:-1][order]
+        flat = lists.values.to_numpy(zero_copy_only=False).astype(np.uint32)
+        out: list[tuple] = []
+        for docs_, lengths, codes, sums, units, sizes in zip(*(left.column(c).to_pylist() for c in ("docs", "lengths", "codes", "sums", "units", "sizes"))):
+            lengths, codes, units, sizes = map(_expanded, (lengths, codes, units, sizes))
+            unit_first, at = np.cumsum(sizes) - sizes, 0
+            for doc, n, total in zip(docs_, lengths.tolist(), sums):
+                w = codes[at : at + n]
+                at += n
+                u = runs(unit_first[w], sizes[w], units) if n else w
+                ids = runs(first[u], size[u], flat) if n else np.empty(0, np.uint32)
+                raw = ids.tobytes()
+                out.append((doc, raw, len(ids), zlib.crc32(raw), zlib.crc32(decode(ids.tolist(), path).encode("utf-8", "surrogatepass")) == total))
         cols = list(zip(*out)) or [()] * 5
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()))], ["doc_id", "ids", "n_pieces", "ids_crc32", "round_trip"])
 
-    left = chunks.select("chunk", "docs", "codes", "sums").groupBy("chunk")
+    left = chunks.drop("parts").groupBy("chunk")
     return left.cogroup(own.groupBy("of")).applyInArrow(assemble, "doc_id long, ids binary, n_pieces long, ids_crc32 long, round_trip boolean")
