@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import classify as C
+from tidemark.operators import events as E
 from tidemark.operators import regression as R
 from tidemark.operators import volatility as V
 from tidemark.operators.events import holm
-from tidemark.sources.tables import table
+from tidemark.sources.tables import daily_prices, quarter_events, table
 
 from .catalog import register
-from .event_queries import _daily_model, panel
+from .event_queries import _daily_model, curve, panel
 
 X = ["l_quantity", "l_discount", "l_tax"]
 register("simple_ols", lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 4).alias("intercept"), F.round(F.corr("l_extendedprice", "l_quantity"), 6).alias("corr")), "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(corr(l_extendedprice, l_quantity), 6) AS corr FROM lineitem GROUP BY 1")
@@ -65,3 +66,44 @@ def _labelled(spark, d):
 
 register("grouped_cv", lambda s, d: C.cross_validate(_labelled(s, d), "text", "label", "report", k=2).groupBy("fold", "label", "pred").agg(F.count("*").alias("n")))
 register("learning_curve", lambda s, d: C.learning_curve(_labelled(s, d), "text", "label", "report", (0.5, 1.0), k=2))
+
+
+def _return_models(spark, d):
+    """Four event windows by two measures: one grouped fit a measure."""
+    cal = E.simple_returns(E.calendar(daily_prices(spark, d)))
+    p = panel(spark, d)
+    windows = [(0, 1), (0, 3), (-1, 1), (-1, 3)]
+    for a, b in windows:
+        p = E.window_return(p, cal, "close", a, b, f"w_{'m' if a < 0 else ''}{abs(a)}_{b}")
+    names = [c for c in p.columns if c.startswith("w_")]
+    long = p.select("novelty_z", "pre_vol", "action_nearby", F.explode(F.array(*[F.struct(F.lit(n).alias("spec"), F.col(n).alias("r")) for n in names])).alias("x")).select("novelty_z", "pre_vol", "action_nearby", "x.*")
+    fits = [R.ols_hc3(long, "r", [x, "action_nearby"], "spec").withColumn("model", F.concat("model", F.lit(f" ~ {x}"))) for x in ("novelty_z", "pre_vol")]
+    return fits[0].unionByName(fits[1])
+
+
+register("return_models", _return_models)
+
+
+def _yield_models(spark, d):
+    """Changes of level, slope and curvature after an event on the unexpected part of the level, the late regime and their product."""
+    cal = curve(spark, d)
+    ev = quarter_events(cal)
+    for f in ("slope", "level", "curvature"):
+        ev = E.yield_change_bp(ev, cal, f, 0, 3, f)
+    ev = E.expanding_forecast(ev.join(cal.select("pos", F.col("level").alias("tone")), "pos"), "tone", "event_id", 4)
+    late = F.when(F.year("d") >= 1998, 1.0).otherwise(0.0)
+    ev = ev.withColumns({"late": late, "product": F.col("unexpected") * late})
+    long = ev.select("unexpected", "late", "product", F.explode(F.array(*[F.struct(F.lit(f).alias("spec"), F.col(f).alias("y")) for f in ("slope", "level", "curvature")])).alias("x")).select("unexpected", "late", "product", "x.*")
+    return R.ols_hc3(long, "y", ["unexpected", "late", "product"], "spec")
+
+
+register("yield_models", _yield_models)
+
+
+def _effects(spark, d):
+    """Percent effects of one unit in the variance equation on variance and volatility, from a short fit."""
+    fit = V.fit_egarch(_daily_model(spark, d), "d", "ret", EXTRA, rounds=5).where(F.col("name").startswith("lambda_"))
+    return fit.select("name", "value", ((F.exp("value") - 1) * 100).alias("variance_percent"), ((F.exp(F.col("value") / 2) - 1) * 100).alias("volatility_percent"))
+
+
+register("egarch_effects", _effects)

@@ -53,3 +53,22 @@ def value_map(df: DataFrame, key: str, columns: list[str], missing: str = "—")
 def hash_table_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """(path, a_hash, b_hash, match) of two (path, hash) tables, full outer."""
     return a.select("path", F.col("hash").alias("a_hash")).join(b.select("path", F.col("hash").alias("b_hash")), "path", "full").withColumn("match", F.coalesce(F.col("a_hash") == F.col("b_hash"), F.lit(False)))
+
+
+def lexicon_snapshot(words: DataFrame, version: int, note: str) -> DataFrame:
+    """(category, word, version, revision_note) of a lexicon version, without repeated words."""
+    return words.select("category", F.trim("word").alias("word")).where("word <> ''").distinct().withColumns({"version": F.lit(version), "revision_note": F.lit(note)})
+
+
+def lexicon_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(category, word, change): added and removed words between two snapshots."""
+    a, b = (x.select("category", "word").distinct() for x in (old, new))
+    return b.exceptAll(a).withColumn("change", F.lit("added")).unionByName(a.exceptAll(b).withColumn("change", F.lit("removed")))
+
+
+def inventory(spark: SparkSession, folder: str, rules: dict[str, str], other: str = "unlisted") -> DataFrame:
+    """(path, bytes, sha256, reason) of a folder's files, sorted; reason is the first rule (pattern -> reason) that matches the path."""
+    reason = F.lit(None).cast("string")
+    for pattern, why in reversed(rules.items()):
+        reason = F.when(F.col("path").rlike(pattern), why).otherwise(reason)
+    return manifest(spark, folder).withColumn("reason", F.coalesce(reason, F.lit(other))).orderBy("path")
