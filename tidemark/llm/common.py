@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import materialize, scratch_dir
 
-__all__ = ["materialize", "scratch_dir", "documents", "sliced", "sum_arrays", "without", "marked", "ARROW_ROWS"]
+__all__ = ["materialize", "scratch_dir", "documents", "sliced", "sum_arrays", "without", "marked", "claim", "ARROW_ROWS"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_caches: dict[str, object] = {}
+_owner = ""
+
+
+def claim(name: str, clear) -> None:
+    """Called where a task begins to use a worker's word cache: caches of other operators, which ran in it before, are emptied."""
+    global _owner
+    _caches[name] = clear
+    if _owner != name:
+        for other, empty in _caches.items():
+            if other != name:
+                empty()
+        _owner = name
+
+
 #: Rows that JVM and Python exchange at once, and rows that Python takes up at once; texts may be long.
 ARROW_ROWS = 2000
 SLICE_ROWS = 500

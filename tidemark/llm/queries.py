@@ -49,7 +49,7 @@ def op5_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=0)
-    return read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_token_files(files, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

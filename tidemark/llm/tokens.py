@@ -1,4 +1,4 @@
-"""Ids from the tokenizers library, looked up by chunk: a text is cut where no token can span, each distinct chunk is encoded once per worker."""
+"""Ids from the tokenizers library, looked up by piece: a text is cut where no token can span, each distinct piece is encoded once per worker."""
 
 from __future__ import annotations
 
@@ -7,68 +7,121 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Chunks that a worker remembers in each of two generations.
-CHUNKS = 600_000
+#: Pieces that a worker remembers in each of two generations.
+PIECES = 600_000
 
-_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 ᠎           ​    　﻿"
-_UNSAFE = re.compile(rf"[\s{_OTHER_SPACE}] (?:[\s{_OTHER_SPACE}]|$)")
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SAFE = re.compile(r" ?\S*[^\W_İ]")
+_MARKS = re.compile(r" ?\S+")
+#: A mark or white space before a comma or full stop, two spaces in a row, space at the end: cuts there may split a token.
+_RISK = re.compile(r"[^\w\s][.,]|[_\sİ][.,]|\s\s|\s$")
+_OWN = frozenset([",", ".", "\n"])
 
-#: Letters, then ASCII marks: every vocabulary here ends a token between the two.
-_WORD_AND_MARKS = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)")
 
+def byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
 
-class Encoder(dict):
+
+_CHARACTERS = byte_characters()
+
+
+class _Unsafe(Exception):
+    """A piece after which a cut may not be where a token ends."""
+
+
+class _Pieces(dict):
+    """piece -> ids; what a full generation held stays in reach for one more."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of, self.old = ids_of, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.ids_of(piece)
+        if len(self) >= PIECES:
+            self.old = dict(self)
+            self.clear()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
+class Encoder:
     """encode(text) -> little-endian unsigned 32-bit ids as bytes, equal to the library's for the whole text.
 
-    spaced: whether a token may begin with the space before it (byte-level vocabularies). Without
-    it, white space only separates, and cuts at every space or line end are exact. With it, a cut
-    goes before a space that stands next to at most one other white-space character's run end;
-    texts in which a space lies between two white-space characters, or that hold a special token's
-    string, are encoded whole."""
+    A text is cut before each space, comma and full stop and around each line end, and the pieces' ids are
+    joined. That is exact where no token spans a cut: both splitting rules here end a token between a letter
+    or digit and a mark, and before a single space. A piece that does not end in a letter or digit (and is no
+    comma, full stop or line end itself) could break that for the cut after it, so a text with such a piece is
+    searched for marks before a comma or full stop and for white space in a row; if it has any, it is encoded
+    whole by the library.
+
+    spaced: whether a token may begin with the space before it. Where it may not, white space only separates,
+    case does not matter, and texts of Latin-1 characters are lower-cased before they are cut."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = self.tokenizer.normalizer is None
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.old: dict[str, bytes] = {}
+        self.pieces = _Pieces(self._ids)
+        self.marked = _Pieces(self._ids_of_marked)
+
+    def clear(self) -> None:
+        for pieces in (self.pieces, self.marked):
+            pieces.clear()
+            pieces.old = {}
 
     def direct(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            parts = _WORD_AND_MARKS.fullmatch(chunk)
-            if parts:
-                ids = self[parts[1]] + self[parts[2]]
-            elif not self.spaced and chunk.isascii() and chunk != chunk.lower() and "<|" not in chunk:
-                ids = self[chunk.lower()]
-            else:
-                ids = self.direct(chunk) if chunk else b""
-        if len(self) >= CHUNKS:
-            self.old = dict(self)
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+    def _ids(self, piece: str) -> bytes:
+        if _LETTERS.fullmatch(piece):
+            # one token-splitting unit of letters: only the model's merges are left to do
+            units = (piece if self.spaced else piece.lower()).encode().decode("latin-1").translate(_CHARACTERS)
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(units)]).tobytes()
+        if not piece:
+            return b""
+        if piece not in _OWN and not _SAFE.fullmatch(piece):
+            raise _Unsafe
+        return self.direct(piece)
+
+    def _ids_of_marked(self, piece: str) -> bytes:
+        try:
+            return self.pieces[piece]
+        except _Unsafe:
+            if not _MARKS.fullmatch(piece):
+                raise
+            return self.direct(piece)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.spaced:
-            return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-        if any(s in text for s in self.special):
+        if "\x01" in text or "\n\n" in text or ",." in text or ".," in text or ".." in text or ",," in text:
             return self.direct(text)
-        if ("  " in text or "\n " in text or text[-1] == " " or any(c in text for c in _OTHER_SPACE)) and _UNSAFE.search(text):
+        if self.spaced:
+            cut = text.replace(" ", "\x01 ").replace(",", "\x01,").replace(".", "\x01.").replace("\n", "\x01\n\x01").split("\x01")
+        else:
+            if "<|" not in text:
+                try:
+                    text.encode("latin-1")
+                    text = text.lower()
+                except UnicodeEncodeError:
+                    pass
+            cut = text.replace("\n", " ").replace(",", " ,").replace(".", " .").split(" ")
+        try:
+            return b"".join(map(self.pieces.__getitem__, cut))
+        except _Unsafe:
+            pass
+        try:
+            return self.direct(text) if _RISK.search(text) else b"".join(map(self.marked.__getitem__, cut))
+        except _Unsafe:
             return self.direct(text)
-        head, _, rest = text.partition(" ")
-        if not _:
-            return self[head]
-        return self[head] + b"".join(map(self.__getitem__, (" " + rest.replace(" ", "\0 ")).split("\0"))) if "\0" not in text else self.direct(text)
 
 
 @lru_cache(maxsize=4)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import claim, sliced
 from .tokens import byte_characters
 
 END = 256
@@ -120,6 +120,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     def run(batches):
         counts = _counter(vocabulary_path)
+        claim(f"pieces {vocabulary_path}", counts.clear)
         for b in sliced(batches):
             sums = []
             for text in b.column(1).to_pylist():
