@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, sum_arrays
+from .common import claim, materialize, sliced, sum_arrays
 from .components import connected_components
 
 WORDS = 5
@@ -94,6 +94,7 @@ def _unpacked(packed: bytes) -> np.ndarray:
 
 
 def _signed(batches):
+    claim("shingles", _words.clear)
     for b in sliced(batches):
         sets = [shingle_set(t) for t in b.column(1).to_pylist()]
         full = [len(s) > 0 for s in sets]
@@ -161,6 +162,7 @@ def _poster(counts):
 
 def _sets(bitmap):
     def run(batches):
+        claim("shingles", _words.clear)
         seen = np.unpackbits(bitmap.value.view(np.uint8), bitorder="little").astype(bool)
         for b in batches:
             b = b.filter(pa.array(seen[_doc_bit(b.column(0).to_numpy(zero_copy_only=False))]))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import claim, materialize
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -34,7 +34,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity
     Other columns of docs are ignored."""
 
     def run(batches):
-        encode, end, step = encoder(tokenizer_path).encode, int(end_id).to_bytes(4, "little"), 4 * capacity
+        enc = encoder(tokenizer_path)
+        claim(f"tokens {tokenizer_path}", enc.clear)
+        encode, end, step = enc.encode, int(end_id).to_bytes(4, "little"), 4 * capacity
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 c = b.slice(k, 1000)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import claim, sliced
 
 BUCKETS = 1 << 16
 RANK = 8
@@ -157,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", metada
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
 
     def run(batches):
+        claim("quality", _buckets.clear)
         for b in sliced(batches):
             found = [text_features(t) for t in b.column(1).to_pylist()]
             more = _metadata(b, list(metadata))
@@ -175,6 +176,7 @@ def score(docs: DataFrame, model: Model, metadata: tuple[str, ...] = ()) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        claim("quality", _buckets.clear)
         m = shared.value
         for b in sliced(batches):
             more = _metadata(b, list(metadata))
@@ -193,6 +195,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches):
+        claim("quality", _buckets.clear)
         m = shared.value
         for b in sliced(batches):
             good = [m.score(*text_features(t)) >= 0.5 for t in b.column(names.index("text")).to_pylist()]
