@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import materialize, scratch_dir
 
-__all__ = ["materialize", "scratch_dir", "documents", "sliced", "sum_arrays", "without", "marked", "claim", "ARROW_ROWS"]
+__all__ = ["materialize", "scratch_dir", "documents", "sliced", "sum_arrays", "without", "marked", "claim", "short_batches", "ARROW_ROWS"]
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table, in a session whose Arrow batches are short enough for long texts."""
+def short_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches are short enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

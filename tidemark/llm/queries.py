@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, ogg
-from .common import ARROW_ROWS, documents
+from .common import documents, short_batches
 from .html_text import extract
 from .near_dedup import near_duplicates
 from .packing import best_fit_pack, tokenized_pieces
@@ -26,7 +26,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    short_batches(spark)
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
