@@ -28,8 +28,8 @@ def curve(spark, d):
     return cal.withColumns(E.curve_factors(F.col("y1"), F.col("y5"), F.col("y10")))
 
 
-def r6(df, *cols):
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+def r6(df, *cols, digits=6):
+    return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
 register("daily_returns_vol20", lambda s, d: r6(E.rolling_volatility(prices(s, d)), "close", "ret", "vol20").select("d", F.col("pos").cast("long").alias("pos"), "close", "ret", "vol20"),
@@ -69,13 +69,13 @@ def _curve_panel(spark, d):
     for f in FACTORS:
         for e in (1, 3, 5):
             out = E.yield_change_bp(out, cal, f, 0, e, f"delta_{f}_bp_0_{e}")
-    return r6(out, *[c for c in out.columns if c.startswith("delta")]).drop("pos")
+    return r6(out, *[c for c in out.columns if c.startswith("delta")], digits=8).drop("pos")
 
 
-register("curve_factors", lambda s, d: r6(curve(s, d), "level", "slope", "curvature").select("d", "level", "slope", "curvature"), f"WITH {CUR} SELECT d, round(level, 6) AS level, round(slope, 6) AS slope, round(curvature, 6) AS curvature FROM cv")
-register("curve_event_panel", _curve_panel, f"WITH {CUR} SELECT event_id, ce.d, " + ", ".join(f"round((e{e}.{f} - cv.{f}) * 100, 6) AS delta_{f}_bp_0_{e}" for f in FACTORS for e in (1, 3, 5)) + " FROM ce JOIN cv ON cv.pos = ce.pos " + " ".join(f"LEFT JOIN cv e{e} ON e{e}.pos = ce.pos + {e}" for e in (1, 3, 5)))
-register("yield_change", lambda s, d: r6(E.yield_change_bp(S.quarter_events(curve(s, d)), curve(s, d), "y1", -1, 3, "delta"), "delta").select("event_id", "delta"),
-    f"WITH {CUR} SELECT event_id, round((b.y1 - a.y1) * 100, 6) AS delta FROM ce LEFT JOIN cv a ON a.pos = ce.pos - 1 LEFT JOIN cv b ON b.pos = ce.pos + 3")
+register("curve_factors", lambda s, d: r6(curve(s, d), "level", "slope", "curvature", digits=10).select("d", "level", "slope", "curvature"), f"WITH {CUR} SELECT d, round(level, 10) AS level, round(slope, 10) AS slope, round(curvature, 10) AS curvature FROM cv")
+register("curve_event_panel", _curve_panel, f"WITH {CUR} SELECT event_id, ce.d, " + ", ".join(f"round((e{e}.{f} - cv.{f}) * 100, 8) AS delta_{f}_bp_0_{e}" for f in FACTORS for e in (1, 3, 5)) + " FROM ce JOIN cv ON cv.pos = ce.pos " + " ".join(f"LEFT JOIN cv e{e} ON e{e}.pos = ce.pos + {e}" for e in (1, 3, 5)))
+register("yield_change", lambda s, d: r6(E.yield_change_bp(S.quarter_events(curve(s, d)), curve(s, d), "y1", -1, 3, "delta"), "delta", digits=8).select("event_id", "delta"),
+    f"WITH {CUR} SELECT event_id, round((b.y1 - a.y1) * 100, 8) AS delta FROM ce LEFT JOIN cv a ON a.pos = ce.pos - 1 LEFT JOIN cv b ON b.pos = ce.pos + 3")
 register("next_trading_day", lambda s, d: E.next_calendar_day(S.action_days(s, d).withColumn("op_date", F.date_add("op_date", 1)), prices(s, d), "op_date", out="trading_day"),
     f"WITH {SER}, {OPS}, o2 AS (SELECT CAST(op_date + INTERVAL 1 DAY AS DATE) AS op_date FROM ops) SELECT op_date, min(d) AS trading_day FROM o2 JOIN ser ON d >= op_date GROUP BY 1")
 register("policy_days", lambda s, d: E.next_calendar_day(S.action_days(s, d), prices(s, d), "op_date", out="trading_day").select("trading_day").distinct(), f"WITH {SER}, {OPS} SELECT DISTINCT (SELECT min(d) FROM ser WHERE d >= op_date) AS trading_day FROM ops")
