@@ -37,7 +37,7 @@ SLOTS = 1 << 21
 BITS = 1 << 22
 Q_BLOCK = 256
 D_BLOCK = 1024
-WORD_CACHE = 200_000
+WORD_CACHE = 120_000
 
 _MULTIPLIERS = np.random.default_rng(20240607).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -24,7 +24,7 @@ RANK = 8
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 9000
 EPOCHS = 12
-WORD_CACHE = 300_000
+WORD_CACHE = 120_000
 
 # byte classes: other, lower, upper, digit, space, line end, sentence mark, other ASCII mark, non-ASCII
 _CLASS = np.zeros(256, np.uint8)

@@ -8,7 +8,7 @@ from array import array
 from functools import lru_cache
 
 #: Pieces that a worker remembers in each of two generations.
-PIECES = 600_000
+PIECES = 250_000
 
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SAFE = re.compile(r" ?\S*[^\W_İ]")
