@@ -7,8 +7,9 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Pieces that a worker remembers in each of two generations.
+#: Pieces that a worker remembers in each of two generations; with spaces and case they are more.
 PIECES = 250_000
+SPACED_PIECES = 600_000
 
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SAFE = re.compile(r" ?\S*[^\W_İ]")
@@ -34,15 +35,15 @@ class _Unsafe(Exception):
 class _Pieces(dict):
     """piece -> ids; what a full generation held stays in reach for one more."""
 
-    def __init__(self, ids_of):
+    def __init__(self, ids_of, most: int):
         super().__init__()
-        self.ids_of, self.old = ids_of, {}
+        self.ids_of, self.most, self.old = ids_of, most, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             ids = self.ids_of(piece)
-        if len(self) >= PIECES:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         if len(piece) <= 64:
@@ -69,8 +70,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = self.tokenizer.normalizer is None
-        self.pieces = _Pieces(self._ids)
-        self.marked = _Pieces(self._ids_of_marked)
+        most = SPACED_PIECES if self.spaced else PIECES
+        self.pieces = _Pieces(self._ids, most)
+        self.marked = _Pieces(self._ids_of_marked, most)
 
     def clear(self) -> None:
         for pieces in (self.pieces, self.marked):
