@@ -214,3 +214,31 @@ SELECT x.id, y.id FROM c x JOIN c y ON x.id < y.id AND 100 * least(len(x.g), len
 register("near_duplicates", lambda s, d: duplicates.near_pairs(_sentence_rows(s, d), "doc_id", "s"), f"WITH {_NEAR} SELECT a, b FROM e")
 register("duplicate_groups", lambda s, d: duplicates.duplicate_groups(_sentence_rows(s, d), "doc_id", "s").select(F.col("id").alias("doc_id"), "root", "group_label"), f"""WITH RECURSIVE {_NEAR}, n AS (SELECT doc_id AS id FROM documents WHERE ({sent_sql('text')})[1] IS NOT NULL), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 p AS (SELECT id, id AS root FROM n UNION SELECT b.b AS id, p.root FROM p JOIN b ON b.a = p.id), m AS (SELECT id, min(root) AS root FROM p GROUP BY 1) SELECT id AS doc_id, root, substr(sha1(root::VARCHAR), 1, 12) AS group_label FROM m""")
+
+
+SENTENCES_A_TEXT = 1 << 24  # a sentence's id is doc_id * SENTENCES_A_TEXT + sentence_no; too large a product is an error
+
+
+def _all_sentences(spark, d):
+    """Every sentence of the whole texts, (id, doc_id, s); ids ascend with (doc_id, sentence_no)."""
+    rows = table(spark, d, DOCS).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("no", "s"))
+    fits = F.when(F.col("no") < SENTENCES_A_TEXT, F.col("no").cast("long")).otherwise(F.raise_error(F.lit("a text of too many sentences")).cast("long"))
+    return rows.select((F.col("doc_id") * F.lit(SENTENCES_A_TEXT).cast("long") + fits).alias("id"), "doc_id", "s")
+
+
+def _place(col: str, name: str = "") -> list:
+    return [F.shiftright(col, 24).alias(f"{name}doc_id"), F.col(col).bitwiseAND(F.lit(SENTENCES_A_TEXT - 1).cast("long")).alias(f"{name}sentence_no")]
+
+
+def _near_sentences(spark, d):
+    return duplicates.near_pairs(_all_sentences(spark, d), "id", "s").select(*_place("a", "a_"), *_place("b", "b_"))
+
+
+def _report_groups(spark, d):
+    """A document is a report: its sentences share a group, and so do the documents of near-duplicate sentences."""
+    return duplicates.duplicate_groups(_all_sentences(spark, d), "id", "s", "doc_id").select(*_place("id"), *_place("root", "root_"), "group_label")
+
+
+# all sentences; their pairwise SQL is too slow, tests compare them with brute force
+register("near_duplicate_sentences", _near_sentences)
+register("duplicate_report_groups", _report_groups)
