@@ -5,6 +5,7 @@ import string
 
 import pytest
 
+from tidemark.llm import secret_scan
 from tidemark.plans import catalog
 
 
@@ -69,3 +70,14 @@ def test_all_sentences_are_compared(spark, tables):
     assert {i: r for i, (r, _) in groups.items()} == root
     assert {root[i] for i in root} == {(1, 0), (4, 0), (9, 0)}
     assert len({g for _, g in groups.values()}) == 3
+
+
+BASE36, BASE32 = "k3v9q0z7x1m5w8b2n6j4h0t7r3p9d5f1gs", "MZXW6YTBOI5GC3DPNQ2HK7TEOJUV4LQF"
+
+
+@pytest.mark.parametrize("key", [BASE36, BASE32])
+def test_a_secret_is_found_whatever_surrounds_it(spark, key):
+    around = [("", ""), ("the key ", " is in use."), ("the key ", " is in use. Now"), ("THE KEY ", " IS IN USE"), ("x" * 500 + " ", " " + "y" * 500 + " Z")]
+    df = spark.createDataFrame([(k, a + key + b) for k, (a, b) in enumerate(around)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(df).collect()}
+    assert got == {k: f"entropy_base64:{len(a)}:{len(a) + len(key)}" for k, (a, _) in enumerate(around)}

@@ -26,7 +26,7 @@ WINDOW = 24
 # class: candidate pattern, alphabet (a character's place is its count's place), least entropy in bits
 CLASSES = {
     "entropy_hex": (r"(?<![A-Za-z0-9])(?=[a-fA-F]*+[0-9])(?=[0-9]*+[a-fA-F])[0-9a-fA-F]{24,}+(?![A-Za-z0-9])", "0123456789abcdef", 3.0),
-    "entropy_base64": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[^A-Z]{0,400}[A-Z])(?=[^a-z]{0,400}[a-z])[A-Za-z0-9+/_=-]{24,}+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 4.0),
+    "entropy_base64": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{24,}+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 4.0),
 }
 # Strings that are not secrets though they look like them.
 ALLOW = [
