@@ -1,12 +1,12 @@
 """Token ids in files compressed by a Re-Pair grammar, with random access to each document.
 
 A shard holds documents in ascending order. In rounds, its frequent pairs of neighbouring symbols are
-counted and replaced by new symbols, a round's pairs all at once; within a run of overlapping
-occurrences every second one is replaced. A symbol that ends documents is never paired, so no rule
+counted and replaced by new symbols, a round's pairs all at once, until no pair is frequent; within a run
+of overlapping occurrences every second one is replaced. A symbol that ends documents is never paired, so no rule
 spans two documents. A shard file is one binary value:
 
-    magic "TMRP", version, bytes a symbol (2 or 4), ids below which a symbol is terminal,
-    rules, symbols, documents (uint32 each), then: rules' left and right symbols, rules' expansion
+    magic "TMRP", version, bytes a symbol (2 or 4), distinct ids (a symbol below is an id's place),
+    rules, symbols, documents (uint32 each), then: the distinct ids (uint32), rules' left and right symbols, rules' expansion
     lengths (uint32), symbols, each document's symbol count and token count (uint32).
 
 Expansion lengths give a token's place without expanding what precedes it.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,6 @@ from .common import claim, materialize
 from .tokens import encoder
 
 SHARD_TOKENS = 1 << 21
-ROUNDS = 2
 RULES_A_ROUND = 7500
 LEAST = 12
 
@@ -35,49 +35,50 @@ _HEAD = struct.Struct("<4sIIIIII")
 _TABLE_BITS = 18
 
 
-def compress(ids: np.ndarray, terminals: int, barrier: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST):
-    """(symbols, left, right): ids with frequent pairs replaced; symbol terminals + k stands for left[k], right[k]."""
-    # a pair is one number: of 32 bits if all symbols fit into 16
-    narrow = terminals + rounds * rules_a_round <= 1 << 16
-    kind, half = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
-    low = kind((1 << int(half)) - 1)
-    seq = ids.astype(kind)
+def compress(ids: np.ndarray, terminals: int, barrier: int, rounds: int | None = None, rules_a_round: int = RULES_A_ROUND, least: int = LEAST):
+    """(symbols, left, right): ids with frequent pairs replaced; symbol terminals + k stands for left[k], right[k].
+
+    Without `rounds` it goes on until no pair occurs `least` times."""
+    seq = ids.astype(np.uint32)
     lefts, rights, fresh = [], [], terminals
-    for _ in range(rounds):
+    for _ in range(rounds) if rounds is not None else count():
         if len(seq) < 2:
             break
-        keys = (seq[:-1] << half) | seq[1:]
+        # a pair is one number: of 32 bits while all symbols fit into 16
+        kind, half = (np.uint32, np.uint32(16)) if fresh <= 1 << 16 else (np.uint64, np.uint64(32))
+        low = kind((1 << int(half)) - 1)
+        keys = (seq[:-1].astype(kind) << half) | seq[1:].astype(kind)
         ordered = np.sort(keys)
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        count, pairs = np.diff(np.append(edge, len(ordered))), ordered[edge]
+        times, pairs = np.diff(np.append(edge, len(ordered))), ordered[edge]
         barred = (pairs >> half == barrier) | (pairs & low == barrier)
-        frequent = np.flatnonzero((count >= least) & ~barred)
+        frequent = np.flatnonzero((times >= least) & ~barred)
         if not len(frequent):
             break
         # the most frequent first; equal counts by pair, so a shard is always stored alike
-        frequent = frequent[np.lexsort((pairs[frequent], -count[frequent]))][:rules_a_round]
-        chosen = pairs[frequent]
-        table = np.full(1 << _TABLE_BITS, -1, np.int32)
-        table[_hashed(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
-        which = table[_hashed(keys)]
-        hit = which >= 0
-        hit[hit] = chosen[which[hit]] == keys[hit]
-        places = np.flatnonzero(hit)
-        if not len(places):
-            break
+        frequent = frequent[np.lexsort((pairs[frequent], -times[frequent]))][:rules_a_round]
+        chosen = np.sort(pairs[frequent])
+        # the table only rules places out; those it leaves are looked up among the chosen pairs themselves
+        table = np.zeros(1 << _TABLE_BITS, bool)
+        table[_hashed(chosen)] = True
+        places = np.flatnonzero(table[_hashed(keys)])
+        which = np.searchsorted(chosen, keys[places])
+        hit = chosen[np.minimum(which, len(chosen) - 1)] == keys[places]
+        places, which = places[hit], which[hit]
         # in a run of overlapping occurrences the first, third, fifth ... are replaced
         first = np.concatenate(([True], places[1:] != places[:-1] + 1))
         run = np.cumsum(first) - 1
-        take = places[(places - places[first][run]) % 2 == 0]
-        used = np.unique(which[take])
-        renumbered = np.zeros(len(chosen), kind)
-        renumbered[used] = np.arange(fresh, fresh + len(used), dtype=kind)
-        seq[take] = renumbered[which[take]]
+        odd = (places - places[first][run]) % 2 == 0
+        take, which = places[odd], which[odd]
+        used = np.unique(which)
+        renumbered = np.zeros(len(chosen), np.uint32)
+        renumbered[used] = np.arange(fresh, fresh + len(used), dtype=np.uint32)
+        seq[take] = renumbered[which]
         seq = np.delete(seq, take + 1)
-        lefts.append(chosen[used] >> half)
-        rights.append(chosen[used] & low)
+        lefts.append((chosen[used] >> half).astype(np.uint32))
+        rights.append((chosen[used] & low).astype(np.uint32))
         fresh += len(used)
-    return seq, np.concatenate(lefts or [np.empty(0, np.uint64)]), np.concatenate(rights or [np.empty(0, np.uint64)])
+    return seq, np.concatenate(lefts or [np.empty(0, np.uint32)]), np.concatenate(rights or [np.empty(0, np.uint32)])
 
 
 def _hashed(keys: np.ndarray) -> np.ndarray:
@@ -108,15 +109,20 @@ def _lengths(left: np.ndarray, right: np.ndarray, terminals: int) -> np.ndarray:
 def write_shard(docs: list[bytes], terminals: int, barrier: int) -> bytes:
     """docs: each document's little-endian uint32 ids, all ending in barrier."""
     ids = np.frombuffer(b"".join(docs), np.uint32)
-    seq, left, right = compress(ids, terminals, barrier)
+    # symbols count from the ids that occur, so that rules too fit into two bytes for longer
+    present = np.zeros(terminals, bool)
+    present[ids] = True
+    alphabet, place = np.flatnonzero(present).astype(np.uint32), np.cumsum(present) - 1
+    terminals = len(alphabet)
+    seq, left, right = compress(place[ids], terminals, int(place[barrier]))
     tokens = np.array([len(d) // 4 for d in docs], np.uint32)
     lengths = _lengths(left.astype(np.int64), right.astype(np.int64), terminals)
     wide = np.concatenate((np.ones(terminals, np.int64), lengths.astype(np.int64)))[seq.astype(np.int64)] if len(seq) else np.empty(0, np.int64)
     ends = np.searchsorted(np.cumsum(wide), np.cumsum(tokens.astype(np.int64)), "left") + 1
     symbols = np.diff(np.concatenate(([0], ends))).astype(np.uint32)
     kind = np.uint16 if terminals + len(left) <= 1 << 16 else np.uint32
-    head = _HEAD.pack(b"TMRP", 1, np.dtype(kind).itemsize, terminals, len(left), len(seq), len(docs))
-    return b"".join((head, left.astype(kind).tobytes(), right.astype(kind).tobytes(), lengths.tobytes(), seq.astype(kind).tobytes(), symbols.tobytes(), tokens.tobytes()))
+    head = _HEAD.pack(b"TMRP", 2, np.dtype(kind).itemsize, terminals, len(left), len(seq), len(docs))
+    return b"".join((head, alphabet.tobytes(), left.astype(kind).tobytes(), right.astype(kind).tobytes(), lengths.tobytes(), seq.astype(kind).tobytes(), symbols.tobytes(), tokens.tobytes()))
 
 
 class Shard:
@@ -124,7 +130,7 @@ class Shard:
 
     def __init__(self, data: bytes):
         magic, version, width, self.terminals, rules, n, docs = _HEAD.unpack_from(data)
-        if magic != b"TMRP" or version != 1:
+        if magic != b"TMRP" or version != 2:
             raise ValueError("not a shard file of this version")
         at, kind = _HEAD.size, np.dtype(np.uint16 if width == 2 else np.uint32)
 
@@ -134,6 +140,7 @@ class Shard:
             at += out.nbytes
             return out
 
+        alphabet = take(self.terminals, np.uint32)
         left, right, lengths = take(rules, kind), take(rules, kind), take(rules, np.uint32)
         self.symbols, self.symbol_counts, self.token_counts = take(n, kind), take(docs, np.uint32), take(docs, np.uint32)
         if at != len(data):
@@ -141,7 +148,7 @@ class Shard:
         self.size = np.concatenate((np.ones(self.terminals, np.int64), lengths.astype(np.int64)))
         self.first = np.concatenate(([0], np.cumsum(self.size)[:-1])) if len(self.size) else self.size
         self.expanded = np.empty(int(self.size.sum()), np.uint32)
-        self.expanded[: self.terminals] = np.arange(self.terminals, dtype=np.uint32)
+        self.expanded[: self.terminals] = alphabet
         for k, to in _levels(left, right, self.terminals):
             at_k = int(self.first[self.terminals + k])
             pairs = self._expand(np.column_stack((left[k:to], right[k:to])).ravel())
