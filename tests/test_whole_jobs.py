@@ -1,5 +1,6 @@
 """Queries that take whole texts and whole methods, against brute force on small fixtures."""
 
+import os
 import re
 import string
 from collections import Counter
@@ -104,3 +105,13 @@ def test_pairs_that_share_a_place_in_the_table_are_all_replaced():
     ids = np.concatenate([np.column_stack((a, a + 20000, np.zeros_like(a))).ravel()] * 12)
     seq, left, right = repair_store.compress(ids, 40001, 0, rounds=1, rules_a_round=20000)
     assert len(left) == 20000 and len(seq) == len(ids) * 2 // 3
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the tables are not here")
+def test_volatility_queries_run_their_whole_methods(spark):
+    d = "/root/testdata/sf0.001"
+    fit = catalog.queries()["egarch_fit"](spark, d).collect()
+    assert 15 < fit[0].steps < 120
+    assert catalog.queries()["egarch_permutation"](spark, d).count() == 99
+    lr = {r.model: r.lr for r in catalog.queries()["egarch_conditional"](spark, d).collect()}
+    assert lr["D0_D1"] >= max(lr["D0"], lr["D1"]) - 1e-6

@@ -40,23 +40,37 @@ register("bootstrap_ci", lambda s, d: R.bootstrap_ci(panel(s, d), "y", ["novelty
 register("bootstrap_total_ci", lambda s, d: R.bootstrap_ci(panel(s, d), "y", ["novelty_z", "late", "novelty_late"], "novelty_z", "event_id", plus="novelty_late"))
 register("permutation_p", lambda s, d: R.permutation_p(panel(s, d), "y", ["novelty_z", "pre_vol"], "novelty_z", "event_id"))
 register("permutation_interaction_p", lambda s, d: R.permutation_p(panel(s, d), "y", ["novelty_z", "late", "novelty_late"], "novelty_late", "event_id"))
-register("power_curve", lambda s, d: R.power_curve(panel(s, d), "y", ["novelty_z", "pre_vol"], "novelty_z", "event_id", (20, 40, 60, 400), 400))
+register("power_curve", lambda s, d: R.power_curve(panel(s, d), "y", ["novelty_z", "pre_vol"], "novelty_z", "event_id", (20, 40, 60, 400)))
 EXTRA = ["event_day", "z", "action_day"]
-register("egarch_fit", lambda s, d: V.fit_egarch(_daily_model(s, d), "d", "ret", EXTRA, rounds=15))
+register("egarch_fit", lambda s, d: V.fit_egarch(_daily_model(s, d), "d", "ret", EXTRA))
+
+
+def _frozen(rows) -> np.ndarray:
+    """The fitted parameters of the series, mean to nu and one a regressor."""
+    fit = {r["name"]: r["value"] for r in V.fit_egarch(rows, "d", "ret", EXTRA).collect()}
+    return np.array([fit[n] for n in [*V.NAMES, *(f"lambda_{c}" for c in EXTRA)]])
 
 
 def _conditional(spark, d):
-    """D0, D1 and both, with the other parameters frozen at typical values; D1 is the event value a day later."""
+    """D0, D1 and both, with the other parameters frozen at a fit of the series; D1 is the event value a day later."""
     rows = _daily_model(spark, d)
     r, x = V.series(rows, "d", "ret", EXTRA)
     x = np.column_stack((x, np.concatenate(([0.0], x[:-1, 1]))))
-    theta = np.array([float(r.mean()), 0.0, 0.1, 0.08, -0.02, 0.95, 8.0, 0, 0, 0, 0])
+    theta = np.append(_frozen(rows), 0.0)
+    theta[[7 + 1, 7 + 3]] = 0.0
     out = [(name, *(f := V.conditional_fit(r, x, theta, free))["values"], *[None] * (2 - len(free)), f["loglik"], f["lr"], f["p"]) for name, free in (("D0", [1]), ("D1", [3]), ("D0_D1", [1, 3]))]
     return spark.createDataFrame(out, "model string, first double, second double, loglik double, lr double, p double")
 
 
 register("egarch_conditional", _conditional)
-register("egarch_permutation", lambda s, d: V.permuted_conditional(_daily_model(s, d), "d", "ret", EXTRA, np.array([0.0, 0.0, 0.1, 0.08, -0.02, 0.95, 8.0, 0, 0, 0]), "event_day", "z", n=6))
+
+
+def _permutation(spark, d):
+    rows = _daily_model(spark, d)
+    return V.permuted_conditional(rows, "d", "ret", EXTRA, _frozen(rows), "event_day", "z")
+
+
+register("egarch_permutation", _permutation)
 register("collinearity", lambda s, d: V.d0_d1_diagnostics(table(s, d, "lineitem"), "l_discount", "l_tax").select(F.round("correlation", 6).alias("correlation"), F.round("condition", 6).alias("condition"), "warning"), "WITH c AS (SELECT corr(l_discount, l_tax) AS c FROM lineitem) SELECT round(c, 6) AS correlation, round(sqrt((1 + abs(c)) / (1 - abs(c))), 6) AS condition, sqrt((1 + abs(c)) / (1 - abs(c))) > 30 OR abs(c) > 0.9 AS warning FROM c")
 
 
@@ -64,8 +78,8 @@ def _labelled(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id"), "text", F.pmod("item_id", F.lit(8)).alias("report"), F.when(F.length("text") % 2 == 0, "even").otherwise("odd").alias("label"))
 
 
-register("grouped_cv", lambda s, d: C.cross_validate(_labelled(s, d), "text", "label", "report", k=2).groupBy("fold", "label", "pred").agg(F.count("*").alias("n")))
-register("learning_curve", lambda s, d: C.learning_curve(_labelled(s, d), "text", "label", "report", (0.5, 1.0), k=2))
+register("grouped_cv", lambda s, d: C.cross_validate(_labelled(s, d), "text", "label", "report").groupBy("fold", "label", "pred").agg(F.count("*").alias("n")))
+register("learning_curve", lambda s, d: C.learning_curve(_labelled(s, d), "text", "label", "report"))
 
 
 def _return_models(spark, d):
@@ -101,8 +115,8 @@ register("yield_models", _yield_models)
 
 
 def _effects(spark, d):
-    """Percent effects of one unit in the variance equation on variance and volatility, from a short fit."""
-    fit = V.fit_egarch(_daily_model(spark, d), "d", "ret", EXTRA, rounds=5).where(F.col("name").startswith("lambda_"))
+    """Percent effects of one unit in the variance equation on variance and volatility."""
+    fit = V.fit_egarch(_daily_model(spark, d), "d", "ret", EXTRA).where(F.col("name").startswith("lambda_"))
     return fit.select("name", "value", ((F.exp("value") - 1) * 100).alias("variance_percent"), ((F.exp(F.col("value") / 2) - 1) * 100).alias("volatility_percent"))
 
 
