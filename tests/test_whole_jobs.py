@@ -7,9 +7,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import repair_store, secret_scan
-from tidemark.plans import catalog
+from tidemark.operators import scoring
+from tidemark.plans import catalog, text_queries
 
 
 @pytest.fixture()
@@ -115,3 +117,33 @@ def test_volatility_queries_run_their_whole_methods(spark):
     assert catalog.queries()["egarch_permutation"](spark, d).count() == 99
     lr = {r.model: r.lr for r in catalog.queries()["egarch_conditional"](spark, d).collect()}
     assert lr["D0_D1"] >= max(lr["D0"], lr["D1"]) - 1e-6
+
+
+def test_text_queries_take_whole_documents(spark, tables):
+    long = "and that tion was not the rate " * 400
+    texts = {3: "abcd efg", 10: "abcd efh", 11: long, 20: ""}
+    d = tables("documents", list(texts.items()), "doc_id long, text string")
+    run = lambda name: {r[0]: r[1:] for r in catalog.queries()[name](spark, d).collect()}
+    grams = lambda t, n: [t[k : k + n] for k in range(len(t) - n + 1)] if len(t) > n else [t] * bool(t)
+    a, b = (set(grams(texts[k], 3)) for k in (3, 10))
+    got = run("ngram_jaccard_documents")
+    assert set(got) == {3, 10, 11} and got[3][0] == pytest.approx(len(a & b) / len(a | b), abs=1e-6) and got[11][0] == 0
+    f = {k: Counter(g for n in (2, 3, 4) for g in grams(re.sub(r"\s\s+", " ", t).lower(), n)) for k, t in texts.items()}
+    df = Counter(g for c in f.values() for g in c)
+    w = {k: {g: n * (np.log(5 / (1 + df[g])) + 1) for g, n in c.items()} for k, c in f.items()}
+    norm = lambda k: np.sqrt(sum(x * x for x in w[k].values()))
+    got = run("fullsample_similarity_char_documents")
+    for p, k in ((3, 10), (10, 11)):
+        assert got[k][0] == pytest.approx(sum(x * w[p].get(g, 0) for g, x in w[k].items()) / (norm(p) * norm(k)), abs=2e-6)
+    assert got[3][0] is None and got[20][0] == 0
+    assert run("tokenized_text_documents")[11][0].split() == long.split() and run("sentence_bare_documents")[11][0] == long.replace(" ", "")
+    words, lex = long.split(), text_queries.LEX
+
+    def weight(before):
+        out = np.prod([v for x, v in lex.degree.items() if x in before] or [1.0])
+        return out * (-1.0 if any(x in before for x in lex.negations) else 1.0) * (1.15 if any(x in before for x in lex.turning) else 1.0)
+
+    want = sum(weight("".join(words[max(0, i - 3) : i])) for i, x in enumerate(words) if x in lex.positive)
+    assert run("token_score_documents")[11][0] == pytest.approx(want, abs=1e-4)
+    got, same = run("phrase_score_documents"), spark.createDataFrame([(long,)], "text string").select(scoring.phrase_score(F.col("text"), lex.dovish, lex)).collect()[0][0]
+    assert got[11][0] == pytest.approx(same, abs=1e-4) and got[11][0] != 0 and got[20] == (0.0, 0.0)

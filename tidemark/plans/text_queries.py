@@ -242,3 +242,26 @@ def _report_groups(spark, d):
 # all sentences; their pairwise SQL is too slow, tests compare them with brute force
 register("near_duplicate_sentences", _near_sentences)
 register("duplicate_report_groups", _report_groups)
+
+
+def _char_documents(spark, d):
+    docs = _indexed(spark, d)
+    t = F.lower(F.regexp_replace("text", r"(?U)\s\s+", " "))
+    grams = F.concat(*[T.char_grams(t, n, distinct=False) for n in (2, 3, 4)])
+    return docs.join(similarity.adjacent_similarity(docs, grams), "idx").select("doc_id", F.round("similarity", 6).alias("similarity"))
+
+
+def _jaccard_documents(spark, d):
+    """Each document against the next one by doc_id."""
+    g = _indexed(spark, d).select("idx", "doc_id", T.char_grams(F.col("text")).alias("g"))
+    n = g.select((F.col("idx") - 1).alias("idx"), F.col("g").alias("h"))
+    return g.join(n, "idx").select("doc_id", F.round(T.jaccard(F.col("g"), F.col("h")), 6).alias("jaccard"))
+
+
+# the queries on benchmark again, on whole documents and without SQL
+register("fullsample_similarity_char_documents", _char_documents)
+register("ngram_jaccard_documents", _jaccard_documents)
+register("phrase_score_documents", lambda s, d: table(s, d, DOCS).select("doc_id", F.round(scoring.phrase_score(F.col("text"), LEX.dovish, LEX), 6).alias("dovish"), F.round(scoring.phrase_score(F.col("text"), LEX.hawkish, LEX), 6).alias("hawkish")))
+register("token_score_documents", lambda s, d: table(s, d, DOCS).select("doc_id", T.words(F.col("text")).alias("w")).select("doc_id", F.round(scoring.token_score(F.col("w"), LEX.positive, LEX), 6).alias("positive")))
+register("tokenized_text_documents", lambda s, d: table(s, d, DOCS).select("doc_id", F.array_join(T.words(F.col("text")), " ").alias("tokens")))
+register("sentence_bare_documents", lambda s, d: table(s, d, DOCS).select("doc_id", T.bare(F.col("text")).alias("bare")))
