@@ -66,19 +66,69 @@ def test_word_piece_counts(odd, empty):
     assert wordpiece.count_tokens(empty, WORD).count() == 0
 
 
-def test_lattice_against_dynamic_programme(odd, empty):
+def largest_sum(word, table, longest, byte0, unknown):
+    """The best path by plain recursion from the front: (sum, ids), ties to the longest last piece."""
+    best = [(0.0, ())]
+    for e in range(1, len(word) + 1):
+        value, ids = float("-inf"), None
+        for s in range(max(0, e - longest), e):
+            if word[s:e] in table:
+                i, score = table[word[s:e]]
+                more = (i,)
+            elif e - s == 1:
+                score, more = unknown, tuple(byte0 + b for b in word[s:e].encode())
+            else:
+                continue
+            if best[s][0] + score > value:
+                value, ids = best[s][0] + score, (s, more)
+        best.append((value, ids))
+    out, e = [], len(word)
+    while e:
+        s, more = best[e][1]
+        out[:0] = more
+        e = s
+    return out
+
+
+#: Strings of 401 to 5000 characters without a space.
+LONG_STRINGS = [("antiondis" * 700)[:n] for n in (401, 1023, 5000)] + ["".join(random.Random(n).choice("abcde日étionrs\U0001f600-") for _ in range(n)) for n in (257, 640, 2000)]
+
+
+def test_lattice_against_dynamic_programme(spark, odd, empty):
     rows, byte0, unknown = piece_lattice.piece_table(PIECE)
     table = {r[0]: (r[1], r[2]) for r in rows}
-    got = Counter((r.doc_id, bytes(r.ids), r.n_pieces) for r in piece_lattice.encode(odd, PIECE).collect())
+    texts = [*ODD, *[(100 + k, "so " + x + " on") for k, x in enumerate(LONG_STRINGS)]]
+    got = piece_lattice.encode(spark.createDataFrame(texts, "doc_id long, text string").unionByName(odd.select("doc_id", "text").limit(0)), PIECE).collect()
     want = Counter()
-    for i, t in ODD:
-        ids = [x for w in piece_lattice._WORDS.findall(piece_lattice.normalized(t)) for x in piece_lattice.viterbi(w, table, 16, byte0, unknown)]
+    for i, t in texts:
+        ids = [x for w in re.findall("▁+[^▁]*|[^▁]+", "▁" + t.replace(" ", "▁") if t else "") for x in largest_sum(w, table, 16, byte0, unknown)]
         want[i, np.array(ids, np.uint32).tobytes(), len(ids)] += 1
-    assert got == want
-    assert all(r.round_trip for r in piece_lattice.encode(odd, PIECE).collect())
+    assert Counter((r.doc_id, bytes(r.ids), r.n_pieces) for r in got) == want
+    assert all(r.round_trip and r.ids_crc32 == zlib.crc32(r.ids) for r in got)
+    assert sorted(map(str, piece_lattice.encode(odd, PIECE).collect())) == sorted(str(r) for r in got if (r.doc_id or 0) < 100)
     assert piece_lattice.encode(empty, PIECE).count() == 0
 
 
+def test_lattice_is_close_to_the_merge_order_and_decodes_as_the_library(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    own = {r.doc_id: np.frombuffer(r.ids, np.uint32).tolist() for r in piece_lattice.encode(docs, PIECE).collect()}
+    theirs = {r.doc_id: library.encode(r.text) for r in docs.collect()}
+    assert sum(map(len, own.values())) <= sum(map(len, theirs.values()))
+    for ids in list(own.values())[:40] + list(theirs.values())[:40]:
+        assert piece_lattice.decode(ids, PIECE) == library.decode(ids)
+
+
+def test_exchanges_of_the_lattice_are_reused(spark, odd):
+    out = piece_lattice.encode(odd, PIECE)
+    out.write.format("noop").mode("overwrite").save()
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") >= 2, plan
+
+
 def test_grammar_round_trip_and_random_access():
     r = np.random.default_rng(0)
     docs = [np.concatenate((r.choice([5, 6, 7, 8], r.integers(0, 400)), [0])).astype(np.uint32).tobytes() for _ in range(60)]

@@ -8,17 +8,20 @@ words there and each distinct word is encoded once:
    words' places in that list. (mapInArrow)
 2. All chunks' parts of words ("words" from here on) are made distinct. Each word's substrings of up to the longest piece's length
    are exploded and equi-joined to the piece table; a single character without a piece keeps an edge of
-   its own, as bytes. Edges are grouped by word and folded in order of their ends: best[end] is the best
-   of best[start] + score. The fold is Spark's aggregate(), as is the way back along the chosen edges.
-3. Words' ids go back to the chunks by a join on the word and are put in the documents' order.
-
-Scores are those of the model; the path is the one with the largest sum (Viterbi), ties to the edge that
-starts earliest, so to the longest last piece. For a unigram model that is the library's own encoding;
-for a BPE model it is the best path under its scores, not its merge order. Decoding is the library's.
+   its own, as bytes. Edges are grouped by word, sorted by their ends, and folded with Spark's aggregate(): the state is
+   the values of the last few ends, one per character of the longest piece, so strings of any length take the same way.
+   A second aggregate() follows the chosen edges back.
+3. Words' ids go back to the chunks' places by a join on the word and are put in the documents' order.
+
+The path is the one with the largest sum of scores (Viterbi), ties to the edge that starts earliest, so to the
+longest last piece. A unigram model's scores are its own, and the path is the library's encoding. A BPE model has
+merge ranks instead of scores; by Zipf's law piece r of the ranking gets -log(r + RANK_SHIFT), so that few pieces win, and among those
+frequent ones. That is close to the merge order, but not the same for all words. Decoding gives the text back.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from functools import lru_cache
@@ -30,13 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced
+from .common import sliced
 
 CHUNK_CHARACTERS = 16_000_000
 CHUNK_DOCUMENTS = 8_000
 #: A character without a piece costs this much more than the worst piece.
 UNKNOWN = 10.0
-LONG = 400
+#: Shift of the ranks of a BPE model before their logarithm is taken.
+RANK_SHIFT = 3000
+#: Winning edges are kept in blocks of this size, and long words' substrings are taken from segments of SEGMENT starts.
+BLOCK, SEGMENT = 256, 64
 
 _WORDS = re.compile("▁+[^▁]*|[^▁]+")
 
@@ -54,8 +60,10 @@ def piece_table(path: str) -> tuple[list[tuple[str, int, float]], int, float]:
     ordinary = [i for i in range(p.get_piece_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
     # runs of spaces come with a score for "never by merging"; here they rank after all other pieces
     floor = min(s for i in ordinary if (s := p.get_score(i)) > -1e8)
-    rows = [(p.id_to_piece(i), i, max(float(p.get_score(i)), floor - 1)) for i in ordinary]
-    return rows, p.piece_to_id("<0x00>"), floor - UNKNOWN
+    scores = [max(float(p.get_score(i)), floor - 1) for i in ordinary]
+    if all(x <= 0 and x == int(x) for x in scores):  # ranks
+        scores = [-math.log(RANK_SHIFT - x) for x in scores]
+    return [(p.id_to_piece(i), i, x) for i, x in zip(ordinary, scores)], p.piece_to_id("<0x00>"), min(scores) - UNKNOWN
 
 
 def normalized(text: str | None) -> str:
@@ -63,38 +71,79 @@ def normalized(text: str | None) -> str:
     return "▁" + text.replace(" ", "▁") if text else ""
 
 
+@lru_cache(maxsize=2)
+def _bytes_of_ids(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids' bytes in a row, with each id's first place and size; control ids have none."""
+    p = _processor(path)
+    byte0 = p.piece_to_id("<0x00>")
+    own = [b"" if p.is_control(i) or p.is_unknown(i) else bytes([i - byte0]) if p.is_byte(i) else p.id_to_piece(i).replace("▁", " ").encode() for i in range(p.get_piece_size())]
+    size = np.array([len(x) for x in own], np.int64)
+    return np.frombuffer(b"".join(own), np.uint8), np.cumsum(size) - size, size
+
+
+def _runs(first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """flat[first:first + size] of each, in a row."""
+    return flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def decode_bytes(ids: np.ndarray, path: str) -> bytes:
+    """The text's UTF-8 bytes: the pieces' bytes in a row without the space that stands before every text."""
+    if not len(ids):
+        return b""
+    flat, first, size = _bytes_of_ids(path)
+    raw = _runs(first[ids], size[ids], flat).tobytes()
+    return raw[1:] if raw[:1] == b" " else raw
+
+
 def decode(ids: list[int], path: str) -> str:
-    return _processor(path).decode(ids)
+    """The text of ids; bytes that are no UTF-8 become replacement characters."""
+    return decode_bytes(np.asarray(ids, np.int64), path).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
-def joined_pairs(path: str) -> frozenset[str]:
-    """Pairs of neighbouring characters that some piece holds. Between any other pair every path has a border."""
-    return frozenset(p[i : i + 2] for p, _, _ in piece_table(path)[0] for i in range(len(p) - 1))
+def joined_pairs(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Which neighbouring characters some piece holds: a character's row (0 for those in no pair), and a table of pairs of rows.
+    Between any other pair every path has a border. The vocabulary bounds both."""
+    pairs = {p[i : i + 2] for p, _, _ in piece_table(path)[0] for i in range(len(p) - 1)}
+    row = np.zeros(0x110000, np.uint16)
+    known = sorted({c for p in pairs for c in p})
+    row[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
+    table = np.zeros((len(known) + 1, len(known) + 1), bool)
+    for p in pairs:
+        table[row[ord(p[0])], row[ord(p[1])]] = True
+    return row, table
 
 
 class _Words(dict):
-    """word -> place among a chunk's words; units: the parts of each new word, cut where no piece spans, as places among the chunk's parts."""
-
-    def __init__(self, pairs: frozenset[str]):
-        super().__init__()
-        self.pairs, self.parts, self.units, self.sizes = pairs, {}, [], []
+    """word -> place among a chunk's words."""
 
     def __missing__(self, word: str) -> int:
-        pairs, parts, start, n = self.pairs, self.parts, 0, 1
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in pairs:
-                self.units.append(parts.setdefault(word[start:i], len(parts)))
-                start, n = i, n + 1
-        self.units.append(parts.setdefault(word[start:], len(parts)))
-        self.sizes.append(n)
         self[word] = place = len(self)
         return place
 
 
-def _squeezed(numbers: np.ndarray) -> bytes:
+def cut_words(words: list[str], path: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(parts, units, sizes): the distinct parts of all words, and each word's parts in a row as places among them."""
+    if not words:
+        return [], np.empty(0, np.uint32), np.empty(0, np.uint32)
+    row, table = joined_pairs(path)
+    whole = "".join(words)
+    rows = row[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    first = np.ones(len(rows), bool)
+    first[1:] = ~table[rows[:-1], rows[1:]]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    first[ends[:-1]] = True
+    at = np.append(np.flatnonzero(first), len(rows))
+    sizes = np.diff(np.concatenate(([0], np.searchsorted(at, ends))))
+    places = _Words()
+    edges = at.tolist()
+    units = np.fromiter((places[whole[a:b]] for a, b in zip(edges, edges[1:])), np.uint32, len(edges) - 1)
+    return list(places), units, sizes
+
+
+def _squeezed(numbers) -> bytes:
     """uint32 numbers by byte planes, zstd."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+    return zstandard.compress(np.ascontiguousarray(np.asarray(numbers).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
 
 def _expanded(data: bytes) -> np.ndarray:
@@ -102,23 +151,25 @@ def _expanded(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
 
 
-CHUNK = "chunk long, docs array<bigint>, lengths binary, codes binary, sums array<bigint>, units binary, sizes binary, parts array<string>"
+CHUNK = "chunk long, docs array<bigint>, lengths binary, codes binary, sums array<bigint>, units binary, sizes binary, parts binary, cuts binary"
+#: A chunk's number is its input partition's and its place there; a part's place follows in the lowest bits.
+PLACES, CHUNKS = 24, 16
 
 
 def _chunker(path: str):
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
-        docs, codes, sums, words, size = [], [], [], _Words(joined_pairs(path)), 0
+        docs, codes, sums, words, size = [], [], [], _Words(), 0
 
         def row():
             nonlocal docs, codes, sums, words, size, n
-            squeeze = lambda x: pa.array([_squeezed(np.asarray(x, np.uint32))], pa.binary())
+            parts, units, sizes = cut_words(list(words), path)
+            own = [x.encode("utf-8", "surrogatepass") for x in parts]
             flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | n], pa.int64()), pa.array([docs], pa.list_(pa.int64())), squeeze([len(c) for c in codes]), squeeze(flat), pa.array([sums], pa.list_(pa.int64())), squeeze(words.units), squeeze(words.sizes), pa.array([list(words.parts)], pa.list_(pa.string()))],
-                [c.split()[0] for c in CHUNK.split(", ")],
-            )
-            docs, codes, sums, words, size, n = [], [], [], _Words(words.pairs), 0, n + 1
+            squeezed = [_squeezed([len(c) for c in codes]), _squeezed(flat), sums, _squeezed(units), _squeezed(sizes), zstandard.compress(b"".join(own), 3), _squeezed([len(x) for x in own])]
+            kinds = [pa.binary(), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+            out = pa.RecordBatch.from_arrays([pa.array([part << CHUNKS | n], pa.int64()), pa.array([docs], pa.list_(pa.int64())), *[pa.array([x], k) for x, k in zip(squeezed, kinds)]], [c.split()[0] for c in CHUNK.split(", ")])
+            docs, codes, sums, words, size, n = [], [], [], _Words(), 0, n + 1
             return out
 
         for b in sliced(batches):
@@ -136,90 +187,94 @@ def _chunker(path: str):
     return run
 
 
-def viterbi(word: str, table: dict[str, tuple[int, float]], longest: int, byte0: int, unknown: float) -> list[int]:
-    """The same path in time linear in the word, for strings without spaces that are too long for array folds."""
-    n = len(word)
-    value, back = [0.0] + [float("-inf")] * n, [(0, -1)] * (n + 1)
-    for e in range(1, n + 1):
-        for s in range(max(0, e - longest), e):
-            hit = table.get(word[s:e]) or ((-1, unknown) if e - s == 1 else None)
-            if hit and value[s] + hit[1] > value[e]:
-                value[e], back[e] = value[s] + hit[1], (s, hit[0])
-    out: list[int] = []
-    while n:
-        s, i = back[n]
-        out += [i] if i >= 0 else [byte0 + b for b in reversed(word[s:n].encode("utf-8", "surrogatepass"))]
-        n = s
-    return out[::-1]
+def _parts_of_chunks(batches):
+    """(at, word): each chunk's parts, with the chunk and the part's place in one number."""
+    for b in batches:
+        for chunk, parts, cuts in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("chunk", "parts", "cuts"))):
+            offsets = np.concatenate(([0], np.cumsum(_expanded(cuts)))).astype(np.int32)
+            words = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(zstandard.decompress(parts)))
+            at = pa.array((chunk << PLACES) + np.arange(len(words), dtype=np.int64))
+            for k in range(0, len(words), 10_000):
+                yield pa.RecordBatch.from_arrays([at[k : k + 10_000], words[k : k + 10_000]], ["at", "word"])
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) for each row of words (distinct, not empty): the lattice, grouped and folded.
-
-    The fold copies its state with each edge, so strings of more than LONG characters without a space take viterbi()."""
-
-    def run(batches):
-        rows, byte0, unknown = piece_table(path)
-        table, longest = {r[0]: (r[1], r[2]) for r in rows}, max(len(r[0]) for r in rows)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([viterbi(w, table, longest, byte0, unknown) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+    """(word, ids) for rows (at, word), word distinct and not empty, partitioned by word: the lattice, grouped and folded.
 
-    short = _lattice(words.where(F.length("word") <= LONG), path)
-    return short.unionByName(words.where(F.length("word") > LONG).mapInArrow(run, "word string, ids array<int>"))
-
-
-def _lattice(words: DataFrame, path: str) -> DataFrame:
+    An edge is one long: its end, 64 less its length, and its piece's id, or 2^25 and the code point of a character without a piece.
+    So edges in order are ends in order, at each end the longest edge first, and a single character's last."""
     spark = words.sparkSession
     rows, byte0, unknown = piece_table(path)
     longest = max(len(r[0]) for r in rows)
-    pieces = spark.createDataFrame(rows, "piece string, id int, score double")  # the vocabulary's size bounds it
-    at = F.explode(F.expr(f"flatten(transform(sequence(0, length(word) - 1), i -> transform(sequence(1, least({longest}, length(word) - i)), n -> struct(i as s, i + n as e, substring(word, i + 1, n) as piece))))"))
-    parts = words.select("word", at.alias("x")).select("word", "x.s", "x.e", "x.piece")
-    edges = parts.join(F.broadcast(pieces), "piece", "left").where("id is not null or e = s + 1")
-    edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score"))
-    lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    start = "transform(sequence(0, length(word)), k -> named_struct('v', if(k = 0, 0D, -1.0D/0.0D), 's', -1, 'id', -1))".replace("-1.0D/0.0D", "double('-Infinity')")
-    fold = f"aggregate(edges, {start}, (b, x) -> if(b[x.s].v + x.score > b[x.e].v, transform(b, (o, k) -> if(k = x.e, named_struct('v', b[x.s].v + x.score, 's', x.s, 'id', x.id), o)), b))"
-    back = "aggregate(sequence(length(word), 1, -1), named_struct('at', length(word), 'path', cast(array() as array<struct<s:int,id:int>>)), (a, k) -> if(k = a.at, named_struct('at', best[k].s, 'path', concat(array(named_struct('s', best[k].s, 'id', best[k].id)), a.path)), a), a -> a.path)"
-    raw = "hex(encode(substring(word, p.s + 1, 1), 'UTF-8'))"
-    ids = f"flatten(transform(path, p -> if(p.id >= 0, array(p.id), transform(sequence(1, length({raw}), 2), k -> {byte0} + cast(conv(substring({raw}, k, 2), 16, 10) as int)))))"
-    return lattice.select("word", F.expr(fold).alias("best")).select("word", F.expr(back).alias("path")).select("word", F.expr(ids).alias("ids"))
+    pieces = spark.createDataFrame([r[:2] for r in rows], "piece string, id long")  # the vocabulary's size bounds it
+    by_id = dict((r[1], r[2]) for r in rows)
+    table = "cast(split('" + ",".join(repr(by_id.get(i, 0.0)) for i in range(max(by_id) + 1)) + "', ',') as array<double>)"
+    segments = words.select("at", "word", F.explode(F.expr(f"sequence(0, (length(word) - 1) div {SEGMENT})")).alias("k"))
+    segments = segments.select("at", "word", (F.col("k") * SEGMENT).alias("base"), F.expr(f"substring(word, int(k * {SEGMENT} + 1), {SEGMENT + longest - 1})").alias("seg"))
+    starts = segments.select("at", "word", "base", "seg", F.explode(F.expr(f"sequence(0, least({SEGMENT}, length(seg)) - 1)")).alias("i"))
+    parts = starts.select("at", "word", "base", "seg", "i", F.explode(F.expr(f"sequence(1, least({longest}, length(seg) - i))")).alias("n"))
+    parts = parts.select("at", "word", (F.col("base") + F.col("i") + F.col("n")).alias("e"), "n", F.expr("substring(seg, i + 1, n)").alias("piece"))
+    edges = parts.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
+    edge = F.expr("shiftleft(cast(e as bigint), 32) | shiftleft(cast(64 - n as bigint), 26) | coalesce(id, 33554432L + ascii(piece))")
+    lattice = edges.select("at", "word", edge.alias("edge")).groupBy("at", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+    length_of = "(64 - cast(shiftright({0}, 26) & 63 as int))"
+    score = f"if((x & 33554432L) = 0, {table}[cast(x & 33554431L as int)], {unknown!r}D)"
+    reached = f"(a.w[{length_of.format('x')} - 1] + {score})"
+    none, lowest = "cast(array() as array<bigint>)", "double('-Infinity')"
+    state = "named_struct('w', {}, 'v', {}, 'p', {}, 't', {}, 'b', {})".format
+    won = f"if({reached} > a.v, x, a.p)"
+    ended = state(f"slice(concat(array(greatest(a.v, {reached})), a.w), 1, {longest})", lowest, "0L", f"if(size(a.t) < {BLOCK}, concat(a.t, array({won})), array({won}))", f"if(size(a.t) < {BLOCK}, a.b, concat(a.b, array(a.t)))")
+    step = f"if((shiftright(x, 26) & 63) < 63, if({reached} > a.v, {state('a.w', reached, 'x', 'a.t', 'a.b')}, a), {ended})"
+    best = f"aggregate(edges, {state('array(0D)', lowest, '0L', none, f'cast(array() as array<array<bigint>>)')}, (a, x) -> {step}, a -> concat(a.b, array(a.t)))"
+    back = f"""aggregate(reverse(best), named_struct('at', cast(length(word) as bigint), 'd', cast(array() as array<array<bigint>>), 'c', {none}),
+        (a, k) -> aggregate(reverse(k), named_struct('at', a.at, 'd', concat(a.d, array(a.c)), 'c', {none}),
+            (c, x) -> if(shiftright(x, 32) = c.at, named_struct('at', c.at - {length_of.format('x')}, 'd', c.d, 'c', concat(c.c, array(x & 67108863L))), c)),
+        a -> reverse(flatten(concat(a.d, array(a.c)))))"""
+    point = "(p - 33554432L)"
+    low = lambda shift: f"{byte0} + 128 + (shiftright({point}, {shift}) & 63)"
+    utf8 = f"""case when {point} < 128 then array({byte0} + {point}) when {point} < 2048 then array({byte0} + 192 + shiftright({point}, 6), {low(0)})
+        when {point} < 65536 then array({byte0} + 224 + shiftright({point}, 12), {low(6)}, {low(0)}) else array({byte0} + 240 + shiftright({point}, 18), {low(12)}, {low(6)}, {low(0)}) end"""
+    plain = "not exists(path, p -> p >= 33554432L)"
+    ids = f"cast(if({plain}, path, flatten(transform(path, p -> if(p < 33554432L, array(p), {utf8})))) as array<int>)"
+    return lattice.select("word", F.expr(best).alias("best")).select("word", F.expr(back).alias("path")).select("word", F.expr(ids).alias("ids"))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (binary, little-endian uint32), n_pieces, ids_crc32, round_trip for each row.
 
     round_trip: decoding the ids gives the text back. Null and empty texts have no ids. Null ids of rows and
-    repeated rows stay; other columns are ignored; an empty table gives no rows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = materialize(rows.mapInArrow(_chunker(path), CHUNK), "chunks")
-    words = chunks.select(F.explode("parts").alias("word")).distinct()
-    known = materialize(encode_words(words, path), "words")
-    own = chunks.select("chunk", F.posexplode("parts").alias("place", "word")).join(known, "word").select(F.col("chunk").alias("of"), "place", "ids")
+    repeated rows stay; other columns are ignored; an empty table gives no rows.
 
-    def runs(first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
-        """flat[first:first + size] of each, in a row."""
-        return flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    Chunks and their parts are shuffled once each; both exchanges are read twice (nothing above them is pruned, so Spark reuses them)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    chunks = rows.mapInArrow(_chunker(path), CHUNK).repartition("chunk")
+    parts = chunks.mapInArrow(_parts_of_chunks, "at long, word string").repartition("word")
+    known = encode_words(parts.groupBy("word").agg(F.min("at").alias("at")).sortWithinPartitions("at"), path)
+    # two bytes an id where the vocabulary allows it
+    small = _processor(path).get_piece_size() <= 1 << 16
+    packed = F.expr("transform(ids, i -> cast(i - 32768 as smallint))") if small else F.col("ids")
+    known = known.select(F.col("word").alias("of"), packed.alias("ids")).hint("shuffle_hash")
+    own = parts.join(known, F.col("word") == F.col("of")).select(F.shiftright("at", PLACES).alias("chunk"), F.col("at").bitwiseAND((1 << PLACES) - 1).cast("int").alias("place"), "ids")
 
     def assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("place").to_numpy())
         lists = right.column("ids").combine_chunks()
         ends = lists.offsets.to_numpy().astype(np.int64)
         size, first = np.diff(ends)[order], ends[:-1][order]
-        flat = lists.values.to_numpy(zero_copy_only=False).astype(np.uint32)
-        out: list[tuple] = []
+        flat = lists.values.to_numpy(zero_copy_only=False).astype(np.int64) + 32768 * small
+        cols: list[list] = [[], [], [], [], []]
         for docs_, lengths, codes, sums, units, sizes in zip(*(left.column(c).to_pylist() for c in ("docs", "lengths", "codes", "sums", "units", "sizes"))):
             lengths, codes, units, sizes = map(_expanded, (lengths, codes, units, sizes))
             unit_first, at = np.cumsum(sizes) - sizes, 0
             for doc, n, total in zip(docs_, lengths.tolist(), sums):
                 w = codes[at : at + n]
                 at += n
-                u = runs(unit_first[w], sizes[w], units) if n else w
-                ids = runs(first[u], size[u], flat) if n else np.empty(0, np.uint32)
-                raw = ids.tobytes()
-                out.append((doc, raw, len(ids), zlib.crc32(raw), zlib.crc32(decode(ids.tolist(), path).encode("utf-8", "surrogatepass")) == total))
-        cols = list(zip(*out)) or [()] * 5
+                u = _runs(unit_first[w], sizes[w], units) if n else w
+                ids = _runs(first[u], size[u], flat) if n else np.empty(0, np.int64)
+                raw = ids.astype(np.uint32).tobytes()
+                for col, x in zip(cols, (doc, raw, len(ids), zlib.crc32(raw), zlib.crc32(decode_bytes(ids, path)) == total)):
+                    col.append(x)
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()))], ["doc_id", "ids", "n_pieces", "ids_crc32", "round_trip"])
 
-    left = chunks.drop("parts").groupBy("chunk")
-    return left.cogroup(own.groupBy("of")).applyInArrow(assemble, "doc_id long, ids binary, n_pieces long, ids_crc32 long, round_trip boolean")
+    return chunks.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(assemble, "doc_id long, ids binary, n_pieces long, ids_crc32 long, round_trip boolean")
