@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import materialize, scratch_dir
 
-__all__ = ["materialize", "scratch_dir", "documents", "sliced", "sum_arrays", "without", "marked", "claim", "short_batches", "ARROW_ROWS"]
+__all__ = ["materialize", "scratch_dir", "documents", "sliced", "sum_arrays", "without", "marked", "claim", "trim", "short_batches", "ARROW_ROWS"]
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -39,6 +39,11 @@ def claim(name: str, clear) -> None:
             if other != name:
                 empty()
         _owner = name
+    trim()
+
+
+def trim() -> None:
+    """Memory that a worker has freed goes back to the system; workers stay alive between tasks."""
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         ctypes.CDLL(None).malloc_trim(0)

@@ -33,10 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, trim
 
-CHUNK_CHARACTERS = 16_000_000
-CHUNK_DOCUMENTS = 8_000
+CHUNK_CHARACTERS = 32_000_000
+CHUNK_DOCUMENTS = 32_000
 #: A character without a piece costs this much more than the worst piece.
 UNKNOWN = 10.0
 #: Shift of the ranks of a BPE model before their logarithm is taken.
@@ -153,7 +153,7 @@ def _expanded(data: bytes) -> np.ndarray:
 
 CHUNK = "chunk long, docs array<bigint>, lengths binary, codes binary, sums array<bigint>, units binary, sizes binary, parts binary, cuts binary"
 #: A chunk's number is its input partition's and its place there; a part's place follows in the lowest bits.
-PLACES, CHUNKS = 24, 16
+PLACES, CHUNKS = 26, 16
 
 
 def _chunker(path: str):
@@ -163,13 +163,22 @@ def _chunker(path: str):
 
         def row():
             nonlocal docs, codes, sums, words, size, n
-            parts, units, sizes = cut_words(list(words), path)
-            own = [x.encode("utf-8", "surrogatepass") for x in parts]
+            names, counts = list(words), [len(c) for c in codes]
             flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
-            squeezed = [_squeezed([len(c) for c in codes]), _squeezed(flat), sums, _squeezed(units), _squeezed(sizes), zstandard.compress(b"".join(own), 3), _squeezed([len(x) for x in own])]
+            words, codes = _Words(), []
+            # the most frequent word is 0, so most numbers are small
+            times = np.bincount(flat, minlength=len(names))
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            names, flat = [names[k] for k in order.tolist()], rank[flat]
+            parts, units, sizes = cut_words(names, path)
+            names = []
+            cuts = np.fromiter((len(x.encode("utf-8", "surrogatepass")) for x in parts), np.uint32, len(parts))
+            squeezed = [_squeezed(counts), _squeezed(flat), sums, _squeezed(units), _squeezed(sizes), zstandard.compress("".join(parts).encode("utf-8", "surrogatepass"), 3), _squeezed(cuts)]
             kinds = [pa.binary(), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * 4]
             out = pa.RecordBatch.from_arrays([pa.array([part << CHUNKS | n], pa.int64()), pa.array([docs], pa.list_(pa.int64())), *[pa.array([x], k) for x, k in zip(squeezed, kinds)]], [c.split()[0] for c in CHUNK.split(", ")])
-            docs, codes, sums, words, size, n = [], [], [], _Words(), 0, n + 1
+            docs, sums, size, n = [], [], 0, n + 1
             return out
 
         for b in sliced(batches):
@@ -181,8 +190,10 @@ def _chunker(path: str):
                 size += len(text or "")
                 if size >= CHUNK_CHARACTERS or len(docs) >= CHUNK_DOCUMENTS:
                     yield row()
+                    trim()
         if docs:
             yield row()
+            trim()
 
     return run
 
@@ -223,9 +234,10 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     reached = f"(a.w[{length_of.format('x')} - 1] + {score})"
     none, lowest = "cast(array() as array<bigint>)", "double('-Infinity')"
     state = "named_struct('w', {}, 'v', {}, 'p', {}, 't', {}, 'b', {})".format
-    won = f"if({reached} > a.v, x, a.p)"
-    ended = state(f"slice(concat(array(greatest(a.v, {reached})), a.w), 1, {longest})", lowest, "0L", f"if(size(a.t) < {BLOCK}, concat(a.t, array({won})), array({won}))", f"if(size(a.t) < {BLOCK}, a.b, concat(a.b, array(a.t)))")
-    step = f"if((shiftright(x, 26) & 63) < 63, if({reached} > a.v, {state('a.w', reached, 'x', 'a.t', 'a.b')}, a), {ended})"
+    won = "if(r > s.v, x, s.p)"
+    ended = state(f"slice(concat(array(greatest(s.v, r)), s.w), 1, {longest})", lowest, "0L", f"if(size(s.t) < {BLOCK}, concat(s.t, array({won})), array({won}))", f"if(size(s.t) < {BLOCK}, s.b, concat(s.b, array(s.t)))")
+    # the inner aggregate only names the value r
+    step = f"aggregate(array({reached}), a, (s, r) -> if((shiftright(x, 26) & 63) < 63, if(r > s.v, {state('s.w', 'r', 'x', 's.t', 's.b')}, s), {ended}))"
     best = f"aggregate(edges, {state('array(0D)', lowest, '0L', none, f'cast(array() as array<array<bigint>>)')}, (a, x) -> {step}, a -> concat(a.b, array(a.t)))"
     back = f"""aggregate(reverse(best), named_struct('at', cast(length(word) as bigint), 'd', cast(array() as array<array<bigint>>), 'c', {none}),
         (a, k) -> aggregate(reverse(k), named_struct('at', a.at, 'd', concat(a.d, array(a.c)), 'c', {none}),
@@ -240,8 +252,8 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return lattice.select("word", F.expr(best).alias("best")).select("word", F.expr(back).alias("path")).select("word", F.expr(ids).alias("ids"))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (binary, little-endian uint32), n_pieces, ids_crc32, round_trip for each row.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, round_trip (and ids: binary, little-endian uint32) for each row.
 
     round_trip: decoding the ids gives the text back. Null and empty texts have no ids. Null ids of rows and
     repeated rows stay; other columns are ignored; an empty table gives no rows.
@@ -254,16 +266,23 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     # two bytes an id where the vocabulary allows it
     small = _processor(path).get_piece_size() <= 1 << 16
     packed = F.expr("transform(ids, i -> cast(i - 32768 as smallint))") if small else F.col("ids")
+    place = F.col("at").bitwiseAND((1 << PLACES) - 1)
+    # a part's place stands before its ids, in one or two numbers
+    before = F.array(F.shiftright(place, 15).cast("smallint"), place.bitwiseAND(32767).cast("smallint")) if small else F.array(place.cast("int"))
     known = known.select(F.col("word").alias("of"), packed.alias("ids")).hint("shuffle_hash")
-    own = parts.join(known, F.col("word") == F.col("of")).select(F.shiftright("at", PLACES).alias("chunk"), F.col("at").bitwiseAND((1 << PLACES) - 1).cast("int").alias("place"), "ids")
+    own = parts.join(known, F.col("word") == F.col("of")).select(F.shiftright("at", PLACES).alias("chunk"), F.concat(before, "ids").alias("ids"))
+
+    fields = [("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()), ("ids", pa.binary())][: 4 + with_ids]
 
     def assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("place").to_numpy())
         lists = right.column("ids").combine_chunks()
         ends = lists.offsets.to_numpy().astype(np.int64)
-        size, first = np.diff(ends)[order], ends[:-1][order]
-        flat = lists.values.to_numpy(zero_copy_only=False).astype(np.int64) + 32768 * small
-        cols: list[list] = [[], [], [], [], []]
+        flat = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        first, skip = ends[:-1], 1 + small
+        order = np.argsort(flat[first] << 15 | flat[first + 1] if small else flat[first])
+        size, first = np.diff(ends)[order] - skip, first[order] + skip
+        flat += 32768 * small
+        cols: list[list] = [[] for _ in fields]
         for docs_, lengths, codes, sums, units, sizes in zip(*(left.column(c).to_pylist() for c in ("docs", "lengths", "codes", "sums", "units", "sizes"))):
             lengths, codes, units, sizes = map(_expanded, (lengths, codes, units, sizes))
             unit_first, at = np.cumsum(sizes) - sizes, 0
@@ -273,8 +292,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 u = _runs(unit_first[w], sizes[w], units) if n else w
                 ids = _runs(first[u], size[u], flat) if n else np.empty(0, np.int64)
                 raw = ids.astype(np.uint32).tobytes()
-                for col, x in zip(cols, (doc, raw, len(ids), zlib.crc32(raw), zlib.crc32(decode_bytes(ids, path)) == total)):
+                for col, x in zip(cols, (doc, len(ids), zlib.crc32(raw), zlib.crc32(decode_bytes(ids, path)) == total, raw)):
                     col.append(x)
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()))], ["doc_id", "ids", "n_pieces", "ids_crc32", "round_trip"])
+        out = pa.table([pa.array(c, t) for c, (_, t) in zip(cols, fields)], [name for name, _ in fields])
+        del cols, lists, flat, order, left, right
+        trim()
+        return out
 
-    return chunks.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(assemble, "doc_id long, ids binary, n_pieces long, ids_crc32 long, round_trip boolean")
+    return chunks.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(assemble, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids binary" * with_ids)

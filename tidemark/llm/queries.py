@@ -40,7 +40,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_pieces", "ids_crc32", "round_trip")
+    return encode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
 
 
 def op5_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
