@@ -108,6 +108,34 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert [(r.query_id, r.rank) for r in few] == [(0, 1), (0, 2)]
 
 
+def test_tests_give_candidates_up_and_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((30, 64))[rng.integers(0, 30, 1500)] + 0.5 * rng.standard_normal((1500, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(7000, [1.0] * 63), (7001, []), (0, (x[0] + 1e-9).tolist())]
+    df = spark.createDataFrame([*rows, *rows, *odd], "vec_id long, embedding array<double>")
+    n = ann.search(df, lambda i: i % 20 == 0, counted=True).agg(F.sum("pairs"), F.sum("given_up"), F.sum("read")).collect()[0]
+    assert n[1] > 0.5 * n[0] and n[2] < 0.8 * 5 * n[0]  # 65 columns are five blocks
+    by = {}
+    for r in ann.search(df, lambda i: i % 20 == 0).collect():
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    want = {q: [v for v in np.lexsort((np.arange(1500), -(x @ x[q]))) if v != q][:20] for q in range(0, 1500, 20)}
+    assert by.keys() == want.keys() and all(len(set(v)) == 20 for v in by.values())
+    assert sum(len(set(by[q]) & set(want[q])) for q in want) / (20 * len(want)) >= 0.9
+
+
+def test_scan_of_a_list_loses_nothing_when_limits_are_wide():
+    rng = np.random.default_rng(3)
+    x, q = rng.standard_normal((300, 33)), rng.standard_normal((7, 33))
+    m, c = float((x * x).sum(axis=1).max()), ann.Counters()
+    a, b, s = ann.scan_list(np.arange(1000, 1007), q, np.full(7, np.inf), np.arange(300), x, m, ann._rotation(34), 20, c)
+    want = [(1000 + j, int(v)) for j in range(7) for v in np.lexsort((np.arange(300), -(x @ q[j])))[:20]]
+    assert len(set(zip(a.tolist(), b.tolist())) & set(want)) >= 0.97 * len(want)
+    assert np.allclose(s, (x[b] * q[a - 1000]).sum(axis=1), rtol=1e-12)
+    few = ann.scan_list(np.array([2]), x[2:3], np.array([np.inf]), np.arange(5), x[:5], m, ann._rotation(34), 20, ann.Counters())
+    assert sorted(few[1].tolist()) == [0, 1, 3, 4]
+
+
 def quality_rows(n=500):
     r = random.Random(1)
     word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 8)))
