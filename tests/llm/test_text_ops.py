@@ -221,6 +221,58 @@ def test_page_text():
     assert v("a </p> b <!-- c --> d <br/> <unknown>e</unknown") == "a b d\ne"
     assert v("<div>" * 3000 + "deep") == "deep"
     assert v(None) == v("") == ""
+    # spans of rows and columns, numbers of items
+    assert v("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a | b\n  | c"
+    assert v("<table><tr><td>x<td rowspan=0>y<tr><td>z<tr><td>q</table><table><tr><td colspan=2>long head<td>r<tr><td>1<td>2<td>3</table>") == "x | y\nz\nq\n\nlong head | r\n1 | 2     | 3"
+    assert v("<ol reversed><li>a<li>b<li value=9>c<li>d</ol>") == "4. a\n3. b\n9. c\n8. d"
+    assert v("<ol type=a start=26><li>x<li>y</ol><ol type=I><li>q<li value=4>r</ol>") == "z. x\naa. y\n\nI. q\nIV. r"
+    # the cascade
+    assert v("<style>@media print{.c{display:none}} @media screen and (max-width:600px){p{display:none}} @import 'x'; @media (min-width:10px){.d{display:none}}</style><p class=c>yes<p class=d>no") == "yes"
+    assert v("<style>.x{display:none}.x{display:block}#k{display:none}b.y{display:none}.y{display:inline}</style><i class=x>1</i><i id=k style='display:inline'>2</i><b class=y>no</b><u class=y>3</u>") == "1\n23"
+    assert v("<style>nav ul > li.off, [data-h='1'], a:hover, p + b {display:none!important}</style><nav><div><ul><li class=off style='display:block'>no<li>yes</ul></div></nav><a>link</a><u data-h=1>no</u>") == "- yes\n\nlink"
+    assert v("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div><div hidden style='display:block'>too</div>") == "yes\ntoo"
+    # form fields, drawings and formulas
+    assert v("<select><option>a<option selected>b<option>c</select> <select multiple><option>d<option>e</select><textarea>\nf\n g</textarea><input value=h><input type=hidden value=no><input type=checkbox value=no>") == "b\nd\ne\nf\n gh"
+    assert v("<svg><title>no</title><text>one</text><text>two</text>no</svg><math><mi>x</mi><mo>=</mo><mn>1</mn></math>") == "one\ntwo\nx=1"
+
+
+def test_pages_of_any_depth():
+    v = html_text.visible_text
+    assert v("<table><tr><td>" * 400 + "x") == "x"
+    assert v("<div>" * 210 + "<details><summary>s</summary>no<p>no</details><p>one<p>two") == "s\n\none\n\ntwo"
+    assert v("<font>" * 5000 + "a<p>b<ul><li>c</ul>") == "a\n\nb\n\n- c"
+    assert v("<b><i>" * 20000 + "x" + "</i></b>" * 20000 + "<p hidden>no") == "x"
+    long = "".join(f"<p>paragraph {k}" for k in range(20000))
+    assert v(long) == "\n\n".join(f"paragraph {k}" for k in range(20000))
+
+
+def test_visible_words_of_random_trees():
+    """Words of random trees against a plain recursive walk that only knows what is hidden."""
+    r = random.Random(7)
+
+    def tree(depth, shown, words):
+        out = ""
+        for _ in range(r.randrange(0, 4)):
+            kind = r.choice(["word", "div", "b", "p-less", "none", "vis", "script", "table"])
+            if kind == "word" or depth > 5:
+                words.append((w := f"w{len(words)}", shown))
+                out += f" {w} "
+            elif kind == "none":
+                out += f"<div style='color:red;display:none'>{tree(depth + 1, False, words) if shown is not None else ''}</div>".replace("visibility:visible", "color:blue")
+            elif kind == "vis":
+                out += f"<span style='visibility:visible'>{tree(depth + 1, shown, words)}</span>"
+            elif kind == "script":
+                out += "<script>if (a<b) { '</div>' }</script>"
+            elif kind == "table":
+                out += f"<table><tr><td>{tree(depth + 1, shown, words)}</td><td rowspan=2>{tree(depth + 1, shown, words)}</td></tr><tr><td>{tree(depth + 1, shown, words)}</td></tr></table>"
+            else:
+                out += f"<{kind[:3]}>{tree(depth + 1, shown, words)}</{kind[:3]}>" if kind != "p-less" else f"<section>{tree(depth + 1, shown, words)}</section>"
+        return out
+
+    for _ in range(300):
+        words: list = []
+        page = tree(0, True, words)
+        assert sorted(re.findall(r"w\d+", html_text.visible_text(page))) == sorted(w for w, shown in words if shown), page
 
 
 def test_pages(spark):

@@ -1,11 +1,17 @@
 """Visible text of HTML pages: a tree builder with implied tags, visibility rules, and a renderer for blocks, lists and tables.
 
 The builder closes what a start tag ends by itself (p before a block, li before li, cells, rows, options and so
-on), adds the tbody and tr that a bare cell implies, and ignores end tags that match nothing in scope. Hidden
-are: head matter, scripts, styles and templates, elements with the hidden attribute, with display:none or
-visibility:hidden in their style or by a simple selector of a style element, closed dialogs, and what follows
-the summary of closed details. Blocks are set apart by line ends, paragraphs, headings, lists and tables by a
-blank line; list items get their mark and are indented by depth; table columns are padded to a common width.
+on), adds the tbody and tr that a bare cell implies, and ignores end tags that match nothing in scope.
+
+Visibility follows the cascade: rules of style elements and inline declarations by importance, specificity and order; display
+and visibility are read. Selectors may have several parts (descendants, children, classes, ids, attributes); those with other
+combinators or pseudo-classes apply to nothing. Of at-rules, supports and those media that fit a screen VIEWPORT wide apply. display:none and
+the hidden attribute remove an element, visibility:hidden its text, but not that of visible children. Scripts, head matter,
+replaced elements' fallbacks, closed dialogs and what follows the summary of closed details are not shown.
+
+Blocks are set apart by line ends, paragraphs, headings, lists and tables by a blank line; list items get their mark and
+are indented by depth; table columns are padded to a common width, with cells that span rows and columns in their places.
+The renderer keeps its own stack, so nesting of any depth follows the same rules.
 """
 
 from __future__ import annotations
@@ -22,7 +28,14 @@ from .common import sliced
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas svg math select textarea meta link base".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas meta link base defs desc metadata symbol annotation annotation-xml".split())
+VALUES = frozenset("text search email url tel number submit reset button".split())
+AS_BLOCK = frozenset("block flex grid list-item table flow-root".split())
+AS_INLINE = frozenset("inline inline-block inline-flex inline-grid contents".split())
+#: Pixels; media queries by width are held against it.
+VIEWPORT = 1280
+#: Columns that a cell may span, as in the standard.
+SPAN = 1000
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu dir".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
@@ -45,17 +58,20 @@ IMPLIED = {
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
 _BEGUN = re.compile(r"<[/!?A-Za-z]")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_HIDES = re.compile(r"(?:^|;|\s)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_SIMPLE = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z", re.I)
+_SETS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|\Z)", re.I)
+_COMPOUND = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+|\[[^\]]*\])*)\Z", re.I)
+_PART = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]*)))?\s*\]")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    """display and visible are None where nothing sets them; display is then the tag's own, visibility the parent's."""
+
+    __slots__ = ("tag", "attrs", "children", "display", "visible")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.display, self.visible = tag, attrs, [], None, None
 
 
 def parse(html: str) -> Node:
@@ -143,37 +159,157 @@ def parse(html: str) -> Node:
     return root
 
 
-def _selectors(root: Node) -> list[tuple[str, frozenset[str]]]:
-    """Hiding rules of style elements: (tag or '', classes and ids); selectors of more than one part are left out."""
-    out, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        for c in node.children:
-            if isinstance(c, Node):
-                if c.tag == "style" and c.children:
-                    for names, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", c.children[0], flags=re.S)):
-                        if _HIDES.search(body):
-                            for name in names.split(","):
-                                m = _SIMPLE.match(name.strip())
-                                if m and name.strip():
-                                    out.append(((m[1] or "").lower().replace("*", ""), frozenset(re.findall(r"[.#][\w-]+", m[2]))))
-                todo.append(c)
+def _media_fits(query: str) -> bool:
+    """Whether one of the comma-separated queries holds for a screen of the viewport's width."""
+    for one in query.lower().split(","):
+        words = re.sub(r"\([^)]*\)", " ", one).split()
+        kinds = [w for w in words if w not in ("and", "only")]
+        fits = not kinds or kinds in (["screen"], ["all"], ["not", "print"])
+        for name, value, unit in re.findall(r"\(\s*([\w-]+)\s*(?::\s*([\d.]+)?\s*([\w%-]*)\s*)?\)", one):
+            pixels = float(value) * (16 if unit in ("em", "rem") else 1) if value.count(".") < 2 and value.strip(".") else None
+            fits = fits and pixels is not None and (name == "min-width" and VIEWPORT >= pixels or name == "max-width" and VIEWPORT <= pixels)
+        if fits and one.strip():
+            return True
+    return not query.strip()
+
+
+def _declared(body: str) -> list[tuple[str, str, bool]]:
+    return [(m[1].lower(), m[2].lower(), bool(m[3])) for m in _SETS.finditer(body)]
+
+
+def _rules(css: str) -> list[tuple[str, list[tuple[str, str, bool]]]]:
+    """(selectors, declarations of display and visibility) in order, out of at-rules that apply too."""
+    out, at, shown = [], 0, [True]
+    css = _COMMENT.sub(" ", css)
+    for m in re.finditer(r"[{};]", css):
+        head, ended = css[at : m.start()].strip(), m[0]
+        if ended == "{":
+            name, _, rest = head.partition(" ")
+            kind = name.lower().partition("(")[0]
+            if not head.startswith("@"):
+                end = css.find("}", m.end())
+                body = css[m.end() : end if end >= 0 else len(css)]
+                if shown[-1] and (found := _declared(body)):
+                    out.append((head, found))
+                shown.append(False)
+            else:
+                shown.append(shown[-1] and (kind in ("@supports", "@layer", "@container") or kind == "@media" and _media_fits(head[6:])))
+        elif ended == "}" and len(shown) > 1:
+            shown.pop()
+        at = m.end()
     return out
 
 
-def _hidden(node: Node, rules) -> bool:
-    if node.tag in UNSEEN:
-        return True
-    a = node.attrs
-    if a:
-        if "hidden" in a or ("style" in a and _HIDES.search(a["style"])) or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
-            return True
-    if node.tag == "dialog" and "open" not in a:
-        return True
-    if rules:
-        names = {f".{c}" for c in a.get("class", "").split()} | ({f"#{a['id']}"} if a.get("id") else set())
-        return any((not tag or tag == node.tag) and own <= names for tag, own in rules)
-    return False
+def _compound(text: str):
+    """(tag or '', [(kind, name, operator, value)]) or None for what is not understood."""
+    m = _COMPOUND.match(text)
+    if not m or not text:
+        return None
+    parts = [(p[1], p[2], "", "") if p[1] else ("[", p[3].lower(), p[4] or "", p[5] or p[6] or p[7] or "") for p in _PART.finditer(m[2])]
+    return (m[1] or "").lower().replace("*", ""), parts
+
+
+def _selector(text: str):
+    """([(compound, combinator to its left)] from right to left, specificity) or None."""
+    words = re.sub(r"\s*>\s*", " > ", text.strip()).split()
+    out, near, rank = [], "", [0, 0, 0]
+    for w in words:
+        if w == ">":
+            near = ">"
+            continue
+        c = _compound(w)
+        if c is None:
+            return None
+        out.append((c, near or " "))
+        near = ""
+        for kind, *_ in c[1]:
+            rank[0 if kind == "#" else 1] += 1
+        rank[2] += bool(c[0])
+    return (out[::-1], tuple(rank)) if out and not near else None
+
+
+def _fits(node: Node, compound) -> bool:
+    tag, parts = compound
+    if tag and tag != node.tag:
+        return False
+    for kind, name, op, value in parts:
+        if kind == "#":
+            ok = node.attrs.get("id") == name
+        elif kind == ".":
+            ok = name in node.attrs.get("class", "").split()
+        else:
+            own = node.attrs.get(name)
+            ok = own is not None and (not op or op == "=" and own == value or op == "~=" and value in own.split() or op == "|=" and (own == value or own.startswith(value + "-")) or bool(value) and (op == "^=" and own.startswith(value) or op == "$=" and own.endswith(value) or op == "*=" and value in own))
+        if not ok:
+            return False
+    return True
+
+
+def _matches(path: list[Node], selector) -> bool:
+    """Whether the last node of the path fits; each part takes the nearest ancestor it can, and children's parts are tried from every place."""
+    places = {len(path) - 1} if _fits(path[-1], selector[0][0]) else set()
+    for k in range(1, len(selector)):
+        compound, near = selector[k][0], selector[k - 1][1]
+        if not places:
+            return False
+        if near == ">":
+            places = {i - 1 for i in places if i and _fits(path[i - 1], compound)}
+        else:
+            places = {i for i in range(max(places)) if _fits(path[i], compound)}
+    return bool(places)
+
+
+def _styled(root: Node) -> None:
+    """Sets display and visible of all nodes, by the cascade."""
+    sheets, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "style" and node.children and _media_fits(node.attrs.get("media", "")):
+            sheets.append(node.children[0])
+        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    by_key: dict[str, list] = {}
+    n = 0
+    for css in sheets:
+        for names, sets in _rules(css):
+            for name in names.split(","):
+                n += 1
+                parsed = _selector(name)
+                if parsed:
+                    tag, parts = parsed[0][0][0]
+                    own = next((kind + x for kind, x, *_ in parts if kind in ".#"), None) or tag or "*"
+                    by_key.setdefault(own, []).append((parsed[0], parsed[1], n, sets))
+    path, todo = [], [(root, 0)]
+    while todo:
+        node, depth = todo.pop()
+        del path[depth:]
+        path.append(node)
+        a, found = node.attrs, []
+        if by_key:
+            keys = [node.tag, "*", *(f".{c}" for c in set(a.get("class", "").split())), f"#{a.get('id', '')}"]
+            for key in keys:
+                for selector, rank, place, sets in by_key.get(key, ()):
+                    if _matches(path, selector):
+                        found += [((important, *rank, place), name, value) for name, value, important in sets]
+        if "style" in a:
+            found += [((important, 1 << 30, 0, 0, k), name, value) for k, (name, value, important) in enumerate(_declared(a["style"]))]
+        if "hidden" in a:
+            node.display = "none"
+        for _, name, value in sorted(found):
+            if name == "display":
+                node.display = value
+            elif value != "inherit":
+                node.visible = value not in ("hidden", "collapse")
+        if node.display != "none":
+            todo += [(c, depth + 1) for c in reversed(node.children) if isinstance(c, Node)]
+
+
+def _hidden(node: Node) -> bool:
+    return node.tag in UNSEEN or node.display == "none" or (node.tag == "dialog" and "open" not in node.attrs)
+
+
+def _whole(text: str | None, least: int, most: int, other: int) -> int:
+    t = (text or "").strip()
+    return min(most, max(least, int(t))) if t.isascii() and t.lstrip("-").isdigit() and len(t) < 10 else other
 
 
 class _Writer:
@@ -231,113 +367,187 @@ class _Writer:
         return "\n".join([*self.lines, self.line.rstrip()]).strip("\n")
 
 
-def _cells(row: Node, rules) -> list[tuple[str, int]]:
-    out = []
+def _cells(row: Node, visible: bool, out: list[tuple[str, int, int]]):
     for c in row.children:
-        if isinstance(c, Node) and c.tag in ("td", "th") and not _hidden(c, rules):
+        if isinstance(c, Node) and c.tag in ("td", "th") and not _hidden(c):
             w = _Writer()
-            _render(c, w, rules, 0)
-            span = c.attrs.get("colspan", "1").strip()
-            out.append((_SPACE.sub(" ", w.text()), min(50, max(1, int(span))) if span.isascii() and span.isdigit() else 1))
-    return out
-
+            yield _render(c, w, visible if c.visible is None else c.visible)
+            out.append((_SPACE.sub(" ", w.text()), _whole(c.attrs.get("colspan"), 1, SPAN, 1), _whole(c.attrs.get("rowspan"), 0, 65534, 1)))
 
-def _table(node: Node, w: _Writer, rules) -> None:
-    rows: list[list[tuple[str, int]]] = []
-
-    def gather(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                if c.strip():
-                    w.add(c)
-            elif not _hidden(c, rules):
-                if c.tag == "tr":
-                    rows.append(_cells(c, rules))
-                elif c.tag in ("thead", "tbody", "tfoot"):
-                    gather(c)
-                elif c.tag not in ("col", "colgroup"):
-                    w.block(1)
-                    _render(c, w, rules, 0)
-                    w.block(1)
 
-    gather(node)
+def _table(node: Node, w: _Writer, visible: bool):
+    groups: list[list[list[tuple[str, int, int]]]] = []
+    todo, loose = [(c, None) for c in reversed(node.children)], None
+    while todo:
+        c, own = todo.pop()
+        if isinstance(c, str):
+            if c.strip() and visible:
+                w.add(c)
+        elif not _hidden(c):
+            seen = visible if c.visible is None else c.visible
+            if c.tag == "tr":
+                if own is None:
+                    loose = own = [] if loose is None else loose
+                    if not own:
+                        groups.append(own)
+                own.append([])
+                yield _cells(c, seen, own[-1])
+            elif c.tag in ("thead", "tbody", "tfoot"):
+                groups.append([])
+                todo += [(x, groups[-1]) for x in reversed(c.children)]
+            elif c.tag not in ("col", "colgroup"):
+                w.block(1)
+                yield _render(c, w, seen)
+                w.block(1)
+    # each row's cells at their columns; a cell that spans rows keeps its columns free in those of its group
+    rows: list[list[tuple[int, str, int]]] = []
+    for group in groups:
+        taken: dict[int, int] = {}
+        for k, row in enumerate(group):
+            at, placed, held = 0, [], {c: left - 1 for c, left in taken.items() if left > 1}
+            for cell, span, down in row:
+                while at in taken:
+                    at += 1
+                placed.append((at, cell, span))
+                for c in range(at, at + span):
+                    if down != 1:
+                        held[c] = (len(group) - k if down == 0 else down) - 1
+                at += span
+            taken = {c: left for c, left in held.items() if left > 0}
+            rows.append(placed)
     width: dict[int, int] = {}
+    for wide in (False, True):
+        for row in rows:
+            for at, cell, span in row:
+                if wide == (span > 1):
+                    room = sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
+                    width[at + span - 1] = width.get(at + span - 1, 0) + max(0, len(cell) - room)
     for row in rows:
-        at = 0
-        for cell, span in row:
-            if span == 1:
-                width[at] = max(width.get(at, 0), len(cell))
-            at += span
-    for row in rows:
-        at, line = 0, ""
-        for k, (cell, span) in enumerate(row):
-            room = sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
-            line += cell if k == len(row) - 1 else cell.ljust(room) + " | "
+        line, at = "", 0
+        for start, cell, span in row:
+            while at < start:
+                line += " " * width.get(at, 0) + " | "
+                at += 1
+            line += cell.ljust(sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)) + " | "
             at += span
+        line = line[:-3].rstrip(" ")
         if line.strip(" |"):
             w.block(1)
             w.raw(line)
             w.block(1)
 
 
-def _render(node: Node, w: _Writer, rules, depth: int, pre: bool = False) -> None:
-    """Nesting beyond 200 levels is taken as flat text, so no page can exhaust the stack."""
-    number = int(s) if node.tag == "ol" and (s := node.attrs.get("start", "1").strip()).isascii() and s.isdigit() else 1
+def _mark(node: Node, number: int) -> str:
+    """An item's number as its list counts: 1, a, A, i or I."""
+    kind = node.attrs.get("type", "1")
+    if kind in ("a", "A") and number > 0:
+        out = ""
+        while number:
+            number, k = divmod(number - 1, 26)
+            out = chr(97 + k) + out
+        return (out if kind == "a" else out.upper()) + ". "
+    if kind in ("i", "I") and 0 < number < 4000:
+        out = ""
+        for value, letters in zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), "m cm d cd c xc l xl x ix v iv i".split()):
+            out += letters * (number // value)
+            number %= value
+        return (out if kind == "i" else out.upper()) + ". "
+    return f"{number}. "
+
+
+def _options(select: Node) -> list[Node]:
+    """The options that a select shows: all of a list box, the selected or first one of a menu."""
+    own, todo = [], list(reversed(select.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, Node) and not _hidden(c):
+            if c.tag == "option":
+                own.append(c)
+            else:
+                todo += reversed(c.children)
+    if "multiple" in select.attrs or _whole(select.attrs.get("size"), 0, 1000, 0) > 1:
+        return own
+    return ([c for c in own if "selected" in c.attrs] or own)[-1 if any("selected" in c.attrs for c in own) else 0 :][:1]
+
+
+def _render(node: Node, w: _Writer, visible: bool, pre: bool = False):
+    """Writes the children of a node. A generator: it yields the renderers of nested elements, which _run works off with a stack of its own."""
+    items = [c for c in node.children if isinstance(c, Node) and c.tag == "li"] if node.tag == "ol" else []
+    step = -1 if "reversed" in node.attrs else 1
+    number = _whole(node.attrs.get("start"), -(10**9), 10**9, len(items) if step < 0 else 1) if node.tag == "ol" else 1
     shut = node.tag == "details" and "open" not in node.attrs
+    summary = next((c for c in node.children if isinstance(c, Node) and c.tag == "summary"), None) if shut else None
+    drawn = node.tag == "svg"
     for c in node.children:
         if isinstance(c, str):
-            if not shut:
+            if not shut and visible and not drawn:
                 w.raw(c) if pre else w.add(c)
             continue
-        if _hidden(c, rules) or (shut and c.tag != "summary"):
+        if _hidden(c) or (shut and c is not summary):
             continue
-        tag = c.tag
-        if depth > 200:
-            _flat(c, w, rules)
-        elif tag == "br":
+        tag, seen = c.tag, visible if c.visible is None else c.visible
+        if tag == "br":
             w.line_end()
         elif tag == "hr":
             w.block(1)
+        elif tag == "input":
+            if seen and c.attrs.get("type", "text").lower() in VALUES:
+                w.add(c.attrs.get("value", ""))
+        elif tag == "textarea":
+            if seen and c.children:
+                w.raw(c.children[0].removeprefix("\n"))
+        elif tag == "select":
+            shown = _options(c)
+            for o in shown:
+                if len(shown) > 1:
+                    w.block(1)
+                yield _render(o, w, seen if o.visible is None else o.visible)
+            if len(shown) > 1:
+                w.block(1)
         elif tag == "table":
             w.block(2)
-            _table(c, w, rules)
+            yield _table(c, w, seen)
             w.block(2)
         elif tag == "li":
             w.block(1)
-            indent, w.mark = w.indent, f"{number}. " if node.tag == "ol" else "- "
-            number += 1
-            _render(c, w, rules, depth + 1, pre)
+            if node.tag == "ol":
+                number = _whole(c.attrs.get("value"), -(10**9), 10**9, number)
+            indent, w.mark = w.indent, _mark(node, number) if node.tag == "ol" else "- "
+            number += step
+            yield _render(c, w, seen, pre)
             w.indent, w.mark = indent, ""
             w.block(1)
-        elif tag in BLOCK:
+        elif c.display in AS_BLOCK or (tag in BLOCK and c.display not in AS_INLINE) or (drawn and tag == "text"):
             gap = 1 if tag in ("ul", "ol", "menu", "dir") and node.tag == "li" else 2 if tag in SPACED else 1
             w.block(gap)
             indent = w.indent
             if tag in ("blockquote", "dd"):
                 w.indent += "  "
-            _render(c, w, rules, depth + 1, pre or tag in ("pre", "listing"))
+            yield _render(c, w, seen, pre or tag in ("pre", "listing", "xmp"))
             w.indent = indent
             w.block(gap)
         else:
-            _render(c, w, rules, depth + 1, pre)
+            yield _render(c, w, seen, pre)
 
 
-def _flat(node: Node, w: _Writer, rules) -> None:
-    todo = [node]
-    while todo:
-        c = todo.pop()
-        if isinstance(c, str):
-            w.add(c)
-        elif not _hidden(c, rules):
-            todo += reversed(c.children)
+def _run(renderer) -> None:
+    stack = [renderer]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
 
 
 def visible_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    _styled(root)
     w = _Writer()
-    _render(root, w, _selectors(root), 0)
+    if not _hidden(root):
+        _run(_render(root, w, root.visible is not False))
     return w.text()
 
 
