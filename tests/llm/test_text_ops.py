@@ -91,7 +91,7 @@ def largest_sum(word, table, longest, byte0, unknown):
 
 
 #: Strings of 401 to 5000 characters without a space.
-LONG_STRINGS = [("antiondis" * 700)[:n] for n in (401, 1023, 5000)] + ["".join(random.Random(n).choice("abcde日étionrs\U0001f600-") for _ in range(n)) for n in (257, 640, 2000)]
+LONG_STRINGS = [("antiondis" * 700)[:n] for n in (401, 1023, 5000)] + ["".join(random.Random(n).choices("abcde日étionrs\U0001f600-", k=n)) for n in (257, 640, 2000)]
 
 
 def test_lattice_against_dynamic_programme(spark, odd, empty):

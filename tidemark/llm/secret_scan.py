@@ -2,8 +2,8 @@
 
 A kind's matches are taken with regexp_extract_all, their places from the lengths of what split() leaves
 between them. The entropy kinds look at candidate strings: maximal runs of a character class that hold a
-digit and a letter. A window of WINDOW characters slides over the string; two counts change with each
-step, and with them the running sum of c * log2(c), so entropy = log2(WINDOW) - sum / WINDOW. The span
+digit and a letter. A window of WINDOW characters slides over the string; with each step the counts of two characters change,
+which are overwritten in a string that holds a count a place, and with them the running sum of c * log2(c), so entropy = log2(WINDOW) - sum / WINDOW. The span
 runs from the first to the last window at or above the class's threshold. Candidates on the allow-list
 (placeholders, UUIDs, counting sequences) add no span; the three base kinds are never suppressed.
 """
@@ -60,13 +60,15 @@ def _entropy_span(string: str, alphabet: str, least: float) -> str:
     codes = f"transform(split({string}, ''), c -> {code.format('c')})"
     # two counts change: the one that comes in, and from the window's length on the one that goes out
     f = lambda e: f"element_at(t.f, {e} + 1)"
+    count = lambda k: f"(ascii(substring(a.n, x.{k} + 1, 1)) - 65)"  # noqa: E731  a count is a letter, A for none
+    came = f"overlay(a.n, char(66 + {count('new')}), x.new + 1, 1)"
     step = f"""(a, x) -> named_struct(
-        'n', transform(a.n, (c, k) -> c + if(k = x.new, 1, 0) - if(k = x.old, 1, 0)),
-        's', if(x.new = x.old, a.s, a.s + {f('a.n[x.new] + 1')} - {f('a.n[x.new]')} + if(x.old < 0, 0D, {f('a.n[x.old] - 1')} - {f('a.n[x.old]')})),
+        'n', if(x.new = x.old, a.n, if(x.old < 0, {came}, overlay({came}, char(64 + {count('old')}), x.old + 1, 1))),
+        's', if(x.new = x.old, a.s, a.s + {f(count('new') + ' + 1')} - {f(count('new'))} + if(x.old < 0, 0D, {f(count('old') + ' - 1')} - {f(count('old'))})),
         'i', a.i + 1, 'lo', a.lo, 'hi', a.hi)"""
     note = f"""a -> named_struct('n', a.n, 's', a.s, 'i', a.i,
         'lo', if(a.lo < 0 and a.i >= {WINDOW} and a.s <= {limit}D + 1e-9D, a.i - {WINDOW}, a.lo), 'hi', if(a.i >= {WINDOW} and a.s <= {limit}D + 1e-9D, a.i, a.hi))"""
-    start = f"named_struct('n', array_repeat(0, {len(alphabet)}), 's', 0D, 'i', 0, 'lo', -1, 'hi', -1)"
+    start = f"named_struct('n', repeat('A', {len(alphabet)}), 's', 0D, 'i', 0, 'lo', -1, 'hi', -1)"
     inner = step.split("->", 1)[1]
     body = f"element_at(transform(array({inner}), {note}), 1)"
     pairs = f"transform(t.c, (c, k) -> named_struct('new', c, 'old', if(k >= {WINDOW}, t.c[k - {WINDOW}], -1)))"
@@ -107,6 +109,14 @@ def _joined(spans: str) -> str:
     return f"array_join(transform({spans}, s -> concat(element_at({names}, s.rank + 1), ':', s.start, ':', s.end)), ',')"
 
 
+def _free(columns: list[str]) -> str:
+    """A column name that is not taken."""
+    name, taken = "_found", {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row. Other columns are ignored."""
     rows = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), out="_found")
@@ -115,10 +125,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """docs with every span of the text replaced by mark, overlapping spans by one; texts without spans stay as they are, null too."""
-    rows = with_spans(docs, text_col, "_found")
+    """docs with every span of the text replaced by mark, overlapping spans by one; texts without spans stay as they are, null too. All other columns stay, whatever their names."""
+    found = _free(docs.columns)
+    rows = with_spans(docs, text_col, found)
     step = f"""(a, s) -> named_struct('at', greatest(a.at, s.end), 'out',
         if(s.start < a.at, a.out, concat(a.out, array(substring(`{text_col}`, a.at + 1, s.start - a.at), '{mark}'))))"""
-    fold = f"aggregate(_found, named_struct('at', 0, 'out', cast(array() as array<string>)), {step}, a -> concat(array_join(a.out, ''), substring(`{text_col}`, a.at + 1, length(`{text_col}`))))"
-    names = [F.expr(f"if(size(_found) = 0, `{c}`, {fold})").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    fold = f"aggregate({found}, named_struct('at', 0, 'out', cast(array() as array<string>)), {step}, a -> concat(array_join(a.out, ''), substring(`{text_col}`, a.at + 1, length(`{text_col}`))))"
+    names = [F.expr(f"if(size({found}) = 0, `{c}`, {fold})").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return rows.select(names)
