@@ -82,17 +82,6 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
-def _packed(shingles: np.ndarray) -> bytes:
-    """Six bytes a shingle: the upper 48 bits, sorted."""
-    return np.unique(shingles >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() if len(shingles) else b""
-
-
-def _unpacked(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-    return wide.view(np.uint64).ravel()
-
-
 def _signed(batches):
     claim("shingles", _words.clear)
     for b in sliced(batches):
@@ -168,7 +157,7 @@ def _sets(bitmap):
             b = b.filter(pa.array(seen[_doc_bit(b.column(0).to_numpy(zero_copy_only=False))]))
             for c in sliced([b]):
                 sets = [shingle_set(t) for t in c.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([_packed(s) for s in sets], pa.binary())], ["doc", "shingles"])
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "shingles"])
 
     return run
 
@@ -190,7 +179,7 @@ def _confirm(batches):
         docs, pivots, ta, tb = (b.column(k).to_pylist() for k in range(4))
         keep: list[int] = []
         for i in range(b.num_rows):
-            x, y = _unpacked(ta[i]), _unpacked(tb[i])
+            x, y = np.frombuffer(ta[i], np.uint64), np.frombuffer(tb[i], np.uint64)
             if similar(len(x) + len(y) - len(np.unique(np.concatenate((x, y)))), len(x), len(y)):
                 keep.append(i)
         yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in keep], pa.int64()), pa.array([pivots[i] for i in keep], pa.int64())], ["a", "b"])
@@ -216,14 +205,14 @@ def _block_links(table: pa.Table) -> pa.Table:
     ds, qs = [i for i, q in enumerate(query) if not q], [i for i, q in enumerate(query) if q]
     out: list[tuple[int, int]] = []
     if ds and qs:
-        member = [_unpacked(sets[i]) for i in ds]
+        member = [np.frombuffer(sets[i], np.uint64) for i in ds]
         sizes = np.array([len(m) for m in member])
         values, owner = np.concatenate(member), np.repeat(np.arange(len(ds)), sizes)
         order = np.argsort(values, kind="stable")
         values, owner = values[order], owner[order]
         comps = np.array([comp[i] for i in ds])
         for i in qs:
-            s = _unpacked(sets[i])
+            s = np.frombuffer(sets[i], np.uint64)
             lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
             n = hi - lo
             at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
