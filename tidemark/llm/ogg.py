@@ -177,8 +177,11 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def read(media: DataFrame) -> DataFrame:
-    """Adds payload, times, media_bytes, media_sha256, error to (doc_id, n_bytes, media). A file that fails a check has its error and nulls."""
+def read(media: DataFrame, with_payload: bool = True) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, error (and payload, times) of (doc_id, n_bytes, media).
+
+    A file that fails a check has its error and nulls; a null file is an empty one, which has no page."""
+    n = 11 if with_payload else 9
 
     def run(batches):
         for b in sliced(batches):
@@ -199,10 +202,10 @@ def read(media: DataFrame) -> DataFrame:
                     pa.array([len(f) if f is not None else None for f in files], pa.int64()),
                     pa.array([hashlib.sha256(f).hexdigest() if f is not None else None for f in files], pa.string()),
                     pa.array([o[2] for o in out], pa.string()), pa.array([o[3] for o in out], pa.string()),
-                    pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.list_(pa.float64())),
-                ],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error", "payload", "times"],
+                    pa.array([o[0] if with_payload else None for o in out], pa.binary()), pa.array([o[1] if with_payload else None for o in out], pa.list_(pa.float64())),
+                ][:n],
+                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error", "payload", "times"][:n],
             )
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string, payload binary, times array<double>"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string" + ", payload binary, times array<double>" * with_payload
     return media.mapInArrow(run, schema)

@@ -73,11 +73,12 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _metadata(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
-    """Named numeric columns as floats; null and non-finite count as 0."""
+    """Named numeric columns, the last of the batch, as signed logarithms; null and non-finite count as 0."""
     out = np.zeros((batch.num_rows, len(columns)), np.float32)
     for k in range(len(columns)):
         v = batch.column(batch.num_columns - len(columns) + k).to_numpy(zero_copy_only=False).astype(np.float64)
-        out[:, k] = np.where(np.isfinite(v), v, 0)
+        v = np.where(np.isfinite(v), v, 0)
+        out[:, k] = np.sign(v) * np.log1p(np.abs(v))
     return out
 
 
@@ -151,9 +152,11 @@ def held_out(id_col):
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", metadata: tuple[str, ...] = (), sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled rows that are not held out. Null labels and ids are left out; a doc_id labelled twice counts twice."""
+    """Fits on at most `sample` labelled rows that are not held out. Null labels and ids are left out; a doc_id with both labels counts with both.
+
+    Rows that repeat a doc_id are one row, the one with the smallest text, so that at most `sample` rows reach the driver."""
     spark = docs.sparkSession
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).distinct()
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
 
     def run(batches):
@@ -165,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", metada
 
     # chosen has at most `sample` rows of two numbers, so it may be broadcast at any size of docs
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(m).cast("double").alias(f"_m{k}") for k, m in enumerate(metadata)]).join(F.broadcast(chosen), "doc_id")
-    taken = joined.select("label", "text", *[f"_m{k}" for k in range(len(metadata))]).mapInArrow(run, "label int, ids binary, vals binary, stats binary").collect()
+    one = joined.groupBy("doc_id", "label").agg(F.min(F.struct("text", *[f"_m{k}" for k in range(len(metadata))])).alias("row"))
+    taken = one.select("label", "row.*").mapInArrow(run, "label int, ids binary, vals binary, stats binary").collect()
     rows = [(np.frombuffer(bytes(r["ids"]), np.int32), np.frombuffer(bytes(r["vals"]), np.float32), np.frombuffer(bytes(r["stats"]), np.float32), int(r["label"])) for r in taken]
     rows.sort(key=lambda r: (r[3], r[0].tobytes(), r[1].tobytes()))
     return fit(rows, len(metadata))
@@ -188,9 +192,11 @@ def score(docs: DataFrame, model: Model, metadata: tuple[str, ...] = ()) -> Data
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of docs, all columns, that the model does not reject. The text is scored where the row is read, without a join."""
-    model = train(docs, labels)
+def keep_good(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of docs, all columns, that the model does not reject. The text is scored where the row is read, without a join.
+
+    metadata: numeric columns of docs that are features too."""
+    model = train(docs, labels, metadata=metadata)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -198,7 +204,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         claim("quality", _buckets.clear)
         m = shared.value
         for b in sliced(batches):
-            good = [m.score(*text_features(t)) >= 0.5 for t in b.column(names.index("text")).to_pylist()]
+            more = _metadata(b.select([names.index(c) for c in metadata]), list(metadata))
+            good = [m.score(i, v, np.concatenate((s, x))) >= 0.5 for (i, v, s), x in zip(map(text_features, b.column(names.index("text")).to_pylist()), more)]
             yield b.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

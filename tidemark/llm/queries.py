@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, ogg
-from .common import documents, short_batches
+from .common import documents, materialize, short_batches
 from .html_text import extract
 from .near_dedup import near_duplicates
 from .packing import best_fit_pack, tokenized_pieces
@@ -54,7 +54,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    metadata = ("n_chars",)
+    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), metadata=metadata), metadata)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return ogg.read(ogg.store(documents(spark, sf_dir))).select(columns)
+    stored = materialize(ogg.store(documents(spark, sf_dir)), "media")
+    return ogg.read(stored, with_payload=False).select(columns)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
