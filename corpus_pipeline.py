@@ -16,7 +16,7 @@ from tidemark.llm.secret_scan import redact
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject, with all their columns."""
     short_batches(spark)
-    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), tuple(c for c in ("n_chars",) if c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
