@@ -136,6 +136,19 @@ def test_grammar_round_trip_and_random_access():
     shard = repair_store.Shard(data)
     assert shard.all().tobytes() == b"".join(docs) and len(shard.symbols) < len(shard.all()) / 2
     assert all(shard.document(k).tobytes() == d for k, d in enumerate(docs))
+    flat = shard.all()
+    for _ in range(300):
+        a, b = sorted(r.integers(0, len(flat) + 1, 2).tolist())
+        assert shard.tokens(a, b).tolist() == flat[a:b].tolist()
+    with pytest.raises(ValueError):
+        shard.tokens(0, len(flat) + 1)
+    # no pair of neighbours is left that occurs LEAST times, but for those at a document's end
+    s = shard.symbols.tolist()
+    barrier = shard.alphabet.tolist().index(0)
+    left = Counter((a, b) for a, b in zip(s, s[1:]) if a != b and barrier not in (a, b))
+    assert max(left.values()) < repair_store.LEAST and len(shard.left) > 10
+    named = repair_store.Shard(repair_store.write_shard(docs[:3], 10, 0, [7, None, -1], 4, 99))
+    assert (named.doc_ids, named.part, named.before) == ([7, None, -1], 4, 99)
     for ids in ([0], [5] * 9 + [0], [0, 0, 0]):
         seq, left, right = repair_store.compress(np.array(ids * 20, np.uint32), 10, 0, least=2)
         assert not (np.isin(left, [0]).any() or np.isin(right, [0]).any())

@@ -6,10 +6,12 @@ of overlapping occurrences every second one is replaced. A symbol that ends docu
 spans two documents. A shard file is one binary value:
 
     magic "TMRP", version, bytes a symbol (2 or 4), distinct ids (a symbol below is an id's place),
-    rules, symbols, documents (uint32 each), then: the distinct ids (uint32), rules' left and right symbols, rules' expansion
+    rules, symbols, documents, partition (uint32 each), tokens of the partition before this shard (uint64), then: the documents' ids
+    (int64) and whether each is there (a byte), the distinct ids (uint32), rules' left and right symbols, rules' expansion
     lengths (uint32), symbols, each document's symbol count and token count (uint32).
 
-Expansion lengths give a token's place without expanding what precedes it.
+Expansion lengths give a token's place without expanding what precedes it: tokens(first, last) expands the symbols that reach
+into that range and no others.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ SHARD_TOKENS = 1 << 21
 RULES_A_ROUND = 7500
 LEAST = 12
 
-_HEAD = struct.Struct("<4sIIIIII")
+_HEAD = struct.Struct("<4sIIIIIIIQ")
 _TABLE_BITS = 18
 
 
@@ -58,12 +60,17 @@ def compress(ids: np.ndarray, terminals: int, barrier: int, rounds: int | None =
         # the most frequent first; equal counts by pair, so a shard is always stored alike
         frequent = frequent[np.lexsort((pairs[frequent], -times[frequent]))][:rules_a_round]
         chosen = np.sort(pairs[frequent])
-        # the table only rules places out; those it leaves are looked up among the chosen pairs themselves
-        table = np.zeros(1 << _TABLE_BITS, bool)
-        table[_hashed(chosen)] = True
-        places = np.flatnonzero(table[_hashed(keys)])
-        which = np.searchsorted(chosen, keys[places])
-        hit = chosen[np.minimum(which, len(chosen) - 1)] == keys[places]
+        # a slot holds a chosen pair's place, counted from 1; pairs that share a slot are looked up among the chosen pairs themselves
+        table, slot = np.zeros(1 << _TABLE_BITS, np.uint16), _hashed(chosen)
+        table[slot] = np.arange(1, len(chosen) + 1, dtype=np.uint16)
+        shared = np.bincount(slot, minlength=1 << _TABLE_BITS) > 1
+        table[shared] = len(chosen) + 1
+        which = table[_hashed(keys)]
+        places = np.flatnonzero(which)
+        which, own = which[places].astype(np.int64) - 1, keys[places]
+        late = np.flatnonzero(which == len(chosen))
+        which[late] = np.minimum(np.searchsorted(chosen, own[late]), len(chosen) - 1)
+        hit = chosen[which] == own
         places, which = places[hit], which[hit]
         # in a run of overlapping occurrences the first, third, fifth ... are replaced
         first = np.concatenate(([True], places[1:] != places[:-1] + 1))
@@ -106,8 +113,9 @@ def _lengths(left: np.ndarray, right: np.ndarray, terminals: int) -> np.ndarray:
     return out[terminals:]
 
 
-def write_shard(docs: list[bytes], terminals: int, barrier: int) -> bytes:
+def write_shard(docs: list[bytes], terminals: int, barrier: int, doc_ids: list[int | None] | None = None, part: int = 0, before: int = 0) -> bytes:
     """docs: each document's little-endian uint32 ids, all ending in barrier."""
+    doc_ids = doc_ids if doc_ids is not None else [None] * len(docs)
     ids = np.frombuffer(b"".join(docs), np.uint32)
     # symbols count from the ids that occur, so that rules too fit into two bytes for longer
     present = np.zeros(terminals, bool)
@@ -121,16 +129,17 @@ def write_shard(docs: list[bytes], terminals: int, barrier: int) -> bytes:
     ends = np.searchsorted(np.cumsum(wide), np.cumsum(tokens.astype(np.int64)), "left") + 1
     symbols = np.diff(np.concatenate(([0], ends))).astype(np.uint32)
     kind = np.uint16 if terminals + len(left) <= 1 << 16 else np.uint32
-    head = _HEAD.pack(b"TMRP", 2, np.dtype(kind).itemsize, terminals, len(left), len(seq), len(docs))
-    return b"".join((head, alphabet.tobytes(), left.astype(kind).tobytes(), right.astype(kind).tobytes(), lengths.tobytes(), seq.astype(kind).tobytes(), symbols.tobytes(), tokens.tobytes()))
+    head = _HEAD.pack(b"TMRP", 3, np.dtype(kind).itemsize, terminals, len(left), len(seq), len(docs), part, before)
+    names, there = np.array([i or 0 for i in doc_ids], np.int64), np.array([i is not None for i in doc_ids], np.uint8)
+    return b"".join((head, names.tobytes(), there.tobytes(), alphabet.tobytes(), left.astype(kind).tobytes(), right.astype(kind).tobytes(), lengths.tobytes(), seq.astype(kind).tobytes(), symbols.tobytes(), tokens.tobytes()))
 
 
 class Shard:
-    """Reads a shard file; document(k) decodes one document, all() the whole shard."""
+    """Reads a shard file; tokens(first, last) decodes a range, document(k) one document, all() the whole shard by one table of all rules."""
 
     def __init__(self, data: bytes):
-        magic, version, width, self.terminals, rules, n, docs = _HEAD.unpack_from(data)
-        if magic != b"TMRP" or version != 2:
+        magic, version, width, self.terminals, rules, n, docs, self.part, self.before = _HEAD.unpack_from(data)
+        if magic != b"TMRP" or version != 3:
             raise ValueError("not a shard file of this version")
         at, kind = _HEAD.size, np.dtype(np.uint16 if width == 2 else np.uint32)
 
@@ -140,41 +149,60 @@ class Shard:
             at += out.nbytes
             return out
 
-        alphabet = take(self.terminals, np.uint32)
-        left, right, lengths = take(rules, kind), take(rules, kind), take(rules, np.uint32)
+        names, there = take(docs, np.int64).tolist(), take(docs, np.uint8)
+        self.doc_ids = [i if t else None for i, t in zip(names, there)]
+        self.alphabet = take(self.terminals, np.uint32)
+        self.left, self.right, lengths = take(rules, kind), take(rules, kind), take(rules, np.uint32)
         self.symbols, self.symbol_counts, self.token_counts = take(n, kind), take(docs, np.uint32), take(docs, np.uint32)
         if at != len(data):
             raise ValueError("a shard file of another length than its header says")
         self.size = np.concatenate((np.ones(self.terminals, np.int64), lengths.astype(np.int64)))
-        self.first = np.concatenate(([0], np.cumsum(self.size)[:-1])) if len(self.size) else self.size
-        self.expanded = np.empty(int(self.size.sum()), np.uint32)
-        self.expanded[: self.terminals] = alphabet
-        for k, to in _levels(left, right, self.terminals):
-            at_k = int(self.first[self.terminals + k])
-            pairs = self._expand(np.column_stack((left[k:to], right[k:to])).ravel())
-            self.expanded[at_k : at_k + len(pairs)] = pairs
         self.symbol_ends = np.cumsum(self.symbol_counts.astype(np.int64))
-
-    def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        symbols = symbols.astype(np.int64)
-        size = self.size[symbols]
-        total = np.cumsum(size)
-        from_ = self.first[symbols] - (total - size)
-        return self.expanded[np.repeat(from_, size) + np.arange(total[-1] if len(total) else 0)]
+        self.token_ends = np.cumsum(self.size[self.symbols.astype(np.int64)])
+
+    def tokens(self, first: int, last: int) -> np.ndarray:
+        """The ids at places first to last (exclusive) of the shard, from the symbols that reach into them alone."""
+        if not 0 <= first <= last <= (int(self.token_ends[-1]) if len(self.token_ends) else 0):
+            raise ValueError("a range outside the shard")
+        if first == last:
+            return np.empty(0, np.uint32)
+        a, b = int(np.searchsorted(self.token_ends, first, "right")), int(np.searchsorted(self.token_ends, last, "left")) + 1
+        symbols, start = self.symbols[a:b].astype(np.int64), int(self.token_ends[a - 1]) if a else 0
+        while (rule := symbols >= self.terminals).any():
+            at = np.cumsum(rule + 1) - (rule + 1)
+            wider = np.empty(len(symbols) + int(rule.sum()), np.int64)
+            wider[at[~rule]] = symbols[~rule]
+            wider[at[rule]] = self.left[symbols[rule] - self.terminals]
+            wider[at[rule] + 1] = self.right[symbols[rule] - self.terminals]
+            symbols = wider
+        return self.alphabet[symbols[first - start : last - start]]
 
     def document(self, k: int) -> np.ndarray:
-        end = int(self.symbol_ends[k])
-        return self._expand(self.symbols[end - int(self.symbol_counts[k]) : end])
+        end = int(self.token_counts[: k + 1].sum(dtype=np.int64))
+        return self.tokens(end - int(self.token_counts[k]), end)
 
     def all(self) -> np.ndarray:
-        return self._expand(self.symbols)
+        """All ids: rules are expanded once, in the order in which they were made, and then the symbols."""
+        first = np.cumsum(self.size) - self.size
+        table = np.empty(int(self.size.sum()), np.uint32)
+        table[: self.terminals] = self.alphabet
+
+        def expand(symbols: np.ndarray) -> np.ndarray:
+            symbols = symbols.astype(np.int64)
+            size = self.size[symbols]
+            total = np.cumsum(size)
+            return table[np.repeat(first[symbols] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+
+        for k, to in _levels(self.left, self.right, self.terminals):
+            pairs = expand(np.column_stack((self.left[k:to], self.right[k:to])).ravel())
+            table[first[self.terminals + k] :][: len(pairs)] = pairs
+        return expand(self.symbols)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes, appends end_id and writes shard files in ascending id order (null ids first, ties by text) to the shared folder.
 
-    The table read back: part, shard, before (the partition's tokens before this shard), n_tokens, ids
-    (the documents' ids), content (the file). Null texts are empty. Other columns are ignored; an empty
+    The table read back: part, shard, n_tokens, content (the file, which holds the documents' ids and the tokens before it). Null texts are empty. Other columns are ignored; an empty
     table gives no shards."""
 
     def run(batches):
@@ -190,8 +218,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
         def flush():
             nonlocal ids, held, tokens, before, shard
             row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([tokens], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([write_shard(held, terminals, end_id)], pa.binary())],
-                ["part", "shard", "before", "n_tokens", "ids", "content"],
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([tokens], pa.int64()), pa.array([write_shard(held, terminals, end_id, ids, part, before)], pa.binary())],
+                ["part", "shard", "n_tokens", "content"],
             )
             before, shard, ids, held, tokens = before + tokens, shard + 1, [], [], 0
             return row
@@ -211,7 +239,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(run, "part int, shard int, before long, n_tokens long, ids array<bigint>, content binary"), "shards")
+    return materialize(ordered.mapInArrow(run, "part int, shard int, n_tokens long, content binary"), "shards")
 
 
 def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -226,18 +254,18 @@ def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part, before, ids, content in zip(*(b.column(k).to_pylist() for k in range(4))):
+            for content in b.column(0).to_pylist():
                 shard = Shard(content)
-                flat = shard.all()
+                flat, ids, before = shard.all(), shard.doc_ids, shard.before
                 n = shard.token_counts.astype(np.int64)
                 ends = np.cumsum(n)
                 for k in range(0, len(ids), 2000):
                     s = slice(k, k + 2000)
-                    parts = [flat[e - m : e].tobytes() for e, m in zip(ends[s].tolist(), n[s].tolist())]
-                    cols = [pa.array(ids[s], pa.int64()), pa.array(bases.value[part] + before + ends[s] - n[s], pa.int64()), pa.array(n[s], pa.int64()), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                    parts = [flat[e - m : e] for e, m in zip(ends[s].tolist(), n[s].tolist())]
+                    cols = [pa.array(ids[s], pa.int64()), pa.array(bases.value[shard.part] + before + ends[s] - n[s], pa.int64()), pa.array(n[s], pa.int64()), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                     if with_ids:
-                        cols, names = [*cols, pa.array(parts, pa.binary())], [*names, "ids"]
+                        cols, names = [*cols, pa.array([x.tobytes() for x in parts], pa.binary())], [*names, "ids"]
                     yield pa.RecordBatch.from_arrays(cols, names)
 
-    return files.select("part", "before", "ids", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return files.select("content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

@@ -26,6 +26,7 @@ def byte_characters() -> dict[int, int]:
 
 
 _CHARACTERS = byte_characters()
+_SPACE = chr(_CHARACTERS[32])
 
 
 class _Unsafe(Exception):
@@ -83,6 +84,8 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _ids(self, piece: str) -> bytes:
+        if self.spaced and piece.isascii() and (piece.isalpha() or piece[:1] == " " and piece[1:].isalpha()):
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(piece.replace(" ", _SPACE))]).tobytes()
         if _LETTERS.fullmatch(piece):
             # one token-splitting unit of letters: only the model's merges are left to do
             units = (piece if self.spaced else piece.lower()).encode().decode("latin-1").translate(_CHARACTERS)
