@@ -169,31 +169,55 @@ def test_token_files(odd, empty):
     assert repair_store.read_token_files(repair_store.write_token_files(empty, BYTE, 0)).count() == 0
 
 
-def test_runs_are_best_fit_decreasing():
-    r = random.Random(1)
-    for _ in range(250):
-        cap = r.choice([10, 37, 100])
-        lengths = sorted((r.randrange(1, cap + 1) if r.random() < 0.5 else r.randrange(1, max(2, cap // 4)) for _ in range(r.randrange(1, 120))), reverse=True)
-        count = Counter(lengths)
-        sizes = sorted(count, reverse=True)
-        runs = packing.best_fit_runs(sizes, [count[s] for s in sizes], cap)
-        fill, bins = {}, []
-        for k, n in enumerate(lengths):
-            lo, of, fit, seq, off = next(x for x in reversed(runs) if x[0] <= k)
-            assert of == n
-            fill.setdefault(seq + (k - lo) // fit, []).append((off + (k - lo) % fit * n, n))
-            best = min((g, i) for i, g in enumerate(bins) if g >= n) if any(g >= n for g in bins) else None
-            if best:
-                bins[best[1]] -= n
-            else:
-                bins.append(cap - n)
-        assert len(fill) == len(bins)
-        for parts in fill.values():
+def best_fit_decreasing(lengths, cap):
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fits = [(g, i) for i, g in enumerate(bins) if g >= n]
+        if fits:
+            bins[min(fits)[1]] -= n
+        else:
+            bins.append(cap - n)
+    return len(bins)
+
+
+@pytest.mark.parametrize("cap, n, seed", [(4096, 700, 1), (100, 300, 2), (1, 5, 4)])
+def test_rounds_pack_about_as_best_fit_decreasing(spark, cap, n, seed):
+    """In many tasks and in one: gapless sequences, each row once, few more than best-fit decreasing over single rows needs."""
+    r = random.Random(seed)
+    lengths = [r.randrange(1, cap + 1) if r.random() < 0.5 else r.randrange(1, max(2, cap // 6)) for _ in range(n)] + [cap] * 3
+    df = spark.createDataFrame([(k, x, "s", k) for k, x in enumerate(lengths)], "doc_id long, length int, offset string, row long").repartition(5)
+    for task_rows in (23, 50_000):
+        rows = packing.best_fit_pack(df, cap, task_rows).collect()
+        assert sorted((x.doc_id, x.length, x.row) for x in rows) == sorted((k, v, k) for k, v in enumerate(lengths))
+        by = {}
+        for x in rows:
+            by.setdefault(x.sequence_id, []).append((x.offset, x.length))
+        for parts in by.values():
             at = 0
-            for off, n in sorted(parts):
+            for off, size in sorted(parts):
                 assert off == at
-                at += n
+                at += size
             assert at <= cap
+        best = best_fit_decreasing(lengths, cap)
+        assert len(by) <= best + max(1, best // 50), (len(by), best)
+
+
+def test_ranks_pair_what_partitions_leave_over():
+    """Runs of ranks against one stack over all rows."""
+    r = random.Random(9)
+    for _ in range(300):
+        counts = [(p, r.randrange(0, 4), r.randrange(0, 4)) for p in range(r.randrange(1, 9))]
+        runs, none = packing.match_ranks(counts)
+        stack, want, alone = [], set(), set()
+        for p, documents, slots in counts:
+            for k in range(documents):
+                if stack:
+                    want.add((p, k, *stack.pop()))
+                else:
+                    alone.add((p, k))
+            stack += [(p, j) for j in range(slots)]
+        assert {(p, at + i, q, top - i) for p, at, n, q, top in runs for i in range(n)} == want
+        assert {(p, at + i) for p, at, n in none for i in range(n)} == alone
 
 
 def test_packing_of_documents(odd, empty):
@@ -213,13 +237,6 @@ def test_packing_of_documents(odd, empty):
     assert packing.best_fit_pack(packing.tokenized_pieces(empty, WORD, 1)).count() == 0
 
 
-def test_runs_joined_instead_of_broadcast(odd, monkeypatch):
-    pieces = packing.tokenized_pieces(odd, WORD, 1)
-    a = packing.best_fit_pack(pieces).collect()
-    monkeypatch.setattr(packing, "BROADCAST_RUNS", 0)
-    assert sorted(map(str, packing.best_fit_pack(pieces).collect())) == sorted(map(str, a))
-
-
 def test_page_text():
     v = html_text.visible_text
     assert v("<p>a<p>b") == "a\n\nb"

@@ -1,21 +1,28 @@
 """Best-fit packing of token sequences, in bulk-synchronous rounds over range-sorted lengths and gaps.
 
-Documents are range-sorted by falling length in Spark and given a global rank. Gaps and documents of
-one length are interchangeable, so both sides are kept as runs: (length, count) and (gap, sequences).
-There are at most `capacity` different lengths and gaps whatever the corpus, which bounds what the
-rounds hold. A round takes the longest length left: its documents sweep the sorted gaps upwards from
-the successor of their length, ranks decide which document gets which sequence, the gaps used shrink
-and go back to their place in the order, and what found no gap opens new sequences. The rounds' result
-is a list of runs of ranks; each executor looks its documents' ranks up in it.
+Documents are taken in classes of falling length, (C/2, C], (C/4, C/2] and so on. A round of a class:
+
+1. Sort. The class's documents and the slots of open sequences are range-sorted together by falling size. A gap that holds
+   several documents of the class has as many slots of the class's largest length, any other gap above the class's smallest
+   length is one slot of its size. Of equal sizes slots come first, and the smallest gap last.
+2. Sweep. Each partition sweeps its rows: a document takes the slot met last, which is the smallest one that is large enough and still free.
+3. Conflicts by rank. Documents that find no slot in their partition take those that earlier partitions left free, the last first. Of
+   each partition only two counts reach the driver, which turns them into runs of ranks; documents and slots
+   are then joined on (partition, rank), a key that two rows have at most.
+4. Update. Gaps shrink by what was placed. Documents without a slot are swept again while that places any; then they open new
+   sequences, by rank, as many in each as certainly fit (for the longer and the shorter half of the class).
+
+The number of rounds depends on the capacity, not on the corpus; what moves in a round is the class's lengths and the gaps.
+At the end documents get their offsets within their sequence, which holds `capacity` documents at most.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +30,10 @@ from .common import claim, materialize
 from .tokens import encoder
 
 CAPACITY = 4096
-#: Runs that are sent to every executor; beyond that they are joined instead.
-BROADCAST_RUNS = 1 << 20
+#: Lengths up to this part of the capacity are one class.
+CLASSES = 64
+#: Rows that a task sweeps, about.
+TASK_ROWS = 50_000
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -56,100 +65,185 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def best_fit_runs(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (first rank, length, documents a sequence, first sequence, offset), by rank; lengths fall.
-
-    Equal to best-fit decreasing over single documents, ties to the lower sequence of the lowest run."""
-    runs, gaps, held = [], [], {}  # gaps: sorted sizes in use; held: size -> [(first sequence, sequences)]
-    rank = sequences = 0
-
-    def release(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in held:
-                held[gap] = []
-                insort(gaps, gap)
-            held[gap].append((first, n))
-
-    for length, left in zip(lengths, counts):
-        used: list[tuple[int, int, int]] = []
-        at = bisect_left(gaps, length)
-        while left and at < len(gaps):
-            gap = gaps[at]
-            fit, blocks = gap // length, held[gap]
-            while left and blocks:
-                first, n = blocks.pop()
-                full = min(n, left // fit)
-                if full:
-                    runs.append((rank, length, fit, first, capacity - gap))
-                    used.append((gap - fit * length, first, full))
-                    rank, left = rank + full * fit, left - full * fit
-                if full < n and 0 < left < fit:
-                    runs.append((rank, length, left, first + full, capacity - gap))
-                    used.append((gap - left * length, first + full, 1))
-                    rank, full, left = rank + left, full + 1, 0
-                if full < n:
-                    blocks.append((first + full, n - full))
-            if blocks:
-                break
-            del held[gap]
-            gaps.pop(at)
-        if left:
-            fit = capacity // length
-            full = left // fit
-            if full:
-                runs.append((rank, length, fit, sequences, 0))
-                used.append((capacity - fit * length, sequences, full))
-                rank, left, sequences = rank + full * fit, left - full * fit, sequences + full
-            if left:
-                runs.append((rank, length, left, sequences, 0))
-                used.append((capacity - left * length, sequences, 1))
-                rank, sequences = rank + left, sequences + 1
-        for gap, first, n in used:
-            release(gap, first, n)
-    return runs
-
-
-def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """pieces with sequence_id and offset: a length column of 1 to capacity is packed into few sequences of that size.
-
-    Every row goes to one sequence, repeated rows too; rows of equal length are ranked by keys. Lengths
-    outside 1..capacity or null raise an error. An empty table gives an empty one."""
-    spark = pieces.sparkSession
-    checked = pieces.withColumn("length", F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(F.raise_error(F.lit("lengths must be between 1 and the capacity"))))
-    order = [F.col("length").desc(), *[F.col(k).asc() for k in keys]]
-    # written first: the range partitioner samples its input, which would run the tokenizer twice
-    checked = materialize(checked, "pieces")
-    ranged = checked.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    ranged = materialize(ranged, "ranged")
-    parts = sorted((r[0], r[1]) for r in ranged.groupBy(F.shiftright("_at", 33).alias("p")).count().collect())
-    sizes = sorted(((r[0], r[1]) for r in ranged.groupBy("length").count().collect()), reverse=True)
-    runs = np.array(best_fit_runs([s[0] for s in sizes], [s[1] for s in sizes], capacity), np.int64).reshape(-1, 5)
-    starts = dict(zip((p for p, _ in parts), np.concatenate(([0], np.cumsum([n for _, n in parts])))[:-1].tolist() if parts else []))
-    offsets = np.zeros((parts[-1][0] + 1) if parts else 1, np.int64)
-    for p, first in starts.items():
-        offsets[p] = first
-    first_rank = spark.sparkContext.broadcast(offsets)
-    names = [c for c in ranged.columns if c != "_at"]
-
-    if len(runs) > BROADCAST_RUNS:
-        firsts = spark.createDataFrame(enumerate(offsets.tolist()), "p long, first long")
-        table = spark.createDataFrame(runs.tolist(), "lo long, length long, fit long, seq long, off long").withColumn("hi", F.lead("lo").over(Window.partitionBy("length").orderBy("lo")))
-        ranked = ranged.join(firsts, F.shiftright("_at", 33) == firsts["p"]).withColumn("rank", F.col("first") + F.col("_at").bitwiseAND((1 << 33) - 1))
-        hit = ranked.join(table, (ranked["length"] == table["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("rank") < F.col("hi"))))
-        k = F.col("rank") - F.col("lo")
-        return hit.select(*[ranked[c] for c in names], (F.col("seq") + F.floor(k / F.col("fit"))).alias("sequence_id"), (F.col("off") + k % F.col("fit") * ranked["length"]).alias("offset"))
-
-    table = spark.sparkContext.broadcast(runs)
+def classes(capacity: int) -> list[tuple[int, int]]:
+    """(above, up to) of each class of lengths, falling."""
+    bounds = [capacity]
+    while bounds[-1] > capacity // CLASSES:
+        bounds.append(bounds[-1] // 2)
+    bounds = [b for b in bounds if b]
+    return list(zip([*bounds[1:], 0], bounds))
+
+
+def sweep(numbers: list[int], sequences: list[int | None]) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """([(row number, sequence)], rows left over, sequences left over) of items by falling size; a slot has a sequence, a document none.
+
+    A document takes the slot that came last, so the smallest free one. What is left over is in order."""
+    placed, alone, free = [], [], []
+    for number, sequence in zip(numbers, sequences):
+        if sequence is not None:
+            free.append(sequence)
+        elif free:
+            placed.append((number, free.pop()))
+        else:
+            alone.append(number)
+    return placed, alone, free
+
+
+def match_ranks(counts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
+    """From (partition, documents left, slots left): runs (partition, first rank, documents, slots' partition, rank of the first one's slot, falling)
+    of documents that take an earlier partition's slots, and runs (partition, first rank, documents) of those that find none."""
+    runs, none, free = [], [], []  # free: [partition, slots]
+    for part, documents, slots in sorted(counts):
+        at = 0
+        while at < documents and free:
+            own = free[-1]
+            n = min(documents - at, own[1])
+            runs.append((part, at, n, own[0], own[1] - 1))
+            at, own[1] = at + n, own[1] - n
+            if not own[1]:
+                free.pop()
+        if at < documents:
+            none.append((part, at, documents - at))
+        if slots:
+            free.append([part, slots])
+    return runs, none
+
+
+_ITEM = "part int, kind string, rank long, row long, length int, seq long"
+
+
+def _swept(batches):
+    """Sweeps a partition: rows placed, documents left and slots left, each with its rank among its kind."""
+    part, lengths = TaskContext.get().partitionId(), {}
+    alone, free, done = [], [], []
+
+    def rows(kind, numbers, sequences, first):
+        n = len(numbers)
+        size = [lengths.get(k, 0) for k in numbers] if kind != "slot" else [0] * n
+        return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([kind] * n, pa.string()), pa.array(range(first, first + n), pa.int64()), pa.array(numbers, pa.int64()), pa.array(size, pa.int32()), pa.array(sequences, pa.int64())], [c.split()[0] for c in _ITEM.split(", ")])
+
+    for b in batches:
+        size, number, seq = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("size", "row", "seq"))
+        lengths.update((k, n) for k, n, s in zip(number, size, seq) if s is None)
+        # slots left by what came before are met first; the sweep goes on where it stood
+        placed, more, free = sweep([*[-1] * len(free), *number], [*free, *seq])
+        done += placed
+        alone += more
+        if len(done) > 50_000:
+            yield rows("placed", [k for k, _ in done], [s for _, s in done], 0)
+            for k, _ in done:
+                del lengths[k]
+            done = []
+    yield rows("placed", [k for k, _ in done], [s for _, s in done], 0)
+    for k in range(0, len(alone), 50_000):
+        yield rows("alone", alone[k : k + 50_000], [None] * len(alone[k : k + 50_000]), k)
+    for k in range(0, len(free), 50_000):
+        yield rows("slot", [-1] * len(free[k : k + 50_000]), free[k : k + 50_000], k)
+
+
+def _looked_up(runs: list[tuple], fields: int):
+    """Runs by (partition, first rank), as arrays for searchsorted; a few a partition, whatever the number of rows."""
+    table = np.array(sorted(runs), np.int64).reshape(-1, fields)
+    return table[:, 0] << 40 | table[:, 1], table
+
+
+def _joined(spark, alone: DataFrame, slots: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """(row, length, seq): documents left over, at the slots of earlier partitions that their ranks give them."""
+    table = spark.sparkContext.broadcast(_looked_up(runs, 5))
 
     def place(batches):
-        lo, _, fit, seq, off = table.value.T
+        first, t = table.value
         for b in batches:
-            at = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
-            rank = first_rank.value[at >> 33] + (at & ((1 << 33) - 1))
-            i = np.searchsorted(lo, rank, "right") - 1
-            k = rank - lo[i]
-            length = b.column(names.index("length")).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(seq[i] + k // fit[i], pa.int64()), pa.array(off[i] + k % fit[i] * length, pa.int64())], [*names, "sequence_id", "offset"])
-
-    schema = ranged.drop("_at").schema.add("sequence_id", "long").add("offset", "long")
-    return ranged.select(*names, "_at").mapInArrow(place, schema)
+            part, rank = (b.column(k).to_numpy().astype(np.int64) for k in (0, 1))
+            i = np.maximum(np.searchsorted(first, part << 40 | rank, "right") - 1, 0)
+            at = rank - t[i, 1]
+            hit = (t[i, 0] == part) & (at >= 0) & (at < t[i, 2])
+            yield pa.RecordBatch.from_arrays([pa.array(t[i, 3][hit], pa.int32()), pa.array((t[i, 4] - at)[hit], pa.int64()), *(b.column(k).filter(pa.array(hit)) for k in (2, 3))], ["part", "rank", "row", "length"])
+
+    return alone.mapInArrow(place, "part int, rank long, row long, length int").join(slots, ["part", "rank"]).select("row", "length", "seq")
+
+
+def new_sequences(none: list[tuple[int, int, int]], longer: dict[int, int], each: tuple[int, int], sequences: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """Runs (partition, first rank, documents, to a sequence, first sequence, place of the first one) for documents without a slot, and the sequences there are then.
+
+    The class's upper half and its lower half, each in the order of ranks, go each[0] and each[1] to a sequence; longer: how many of a
+    partition's documents left over are in the upper half, which come first."""
+    runs: list[tuple[int, int, int, int, int, int]] = []
+    for half in (0, 1):
+        place = 0
+        for part, first, n in sorted(none):
+            upper = min(n, max(0, longer.get(part, 0) - first))
+            at, size = (first, upper) if half == 0 else (first + upper, n - upper)
+            if size:
+                runs.append((part, at, size, each[half], sequences, place))
+                place += size
+        sequences += -(-place // each[half])
+    return runs, sequences
+
+
+def _without_slot(spark, alone: DataFrame, runs: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
+    """(row, length, seq): documents in the new sequences of their runs; no sequence where a run puts none into one."""
+    table = spark.sparkContext.broadcast(_looked_up(runs, 6))
+
+    def open_(batches):
+        first, t = table.value
+        for b in batches:
+            part, rank = (b.column(k).to_numpy().astype(np.int64) for k in (0, 1))
+            i = np.maximum(np.searchsorted(first, part << 40 | rank, "right") - 1, 0)
+            at = rank - t[i, 1]
+            hit = (t[i, 0] == part) & (at >= 0) & (at < t[i, 2])
+            seq = t[i, 4] + (t[i, 5] + at) // np.maximum(t[i, 3], 1)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).filter(pa.array(hit)) for k in (2, 3)), pa.array(seq[hit], pa.int64(), mask=(t[i, 3] == 0)[hit])], ["row", "length", "seq"])
+
+    return alone.mapInArrow(open_, "row long, length int, seq long")
+
+
+def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, task_rows: int = TASK_ROWS) -> DataFrame:
+    """pieces with sequence_id and offset: a length column of 1 to capacity is packed into few sequences of that size.
+
+    Every row goes to one sequence, repeated rows too; rows of equal length are taken as they were read. Lengths outside 1..capacity
+    or null raise an error. An empty table gives an empty one. All columns stay, but those named sequence_id or offset are replaced."""
+    spark = pieces.sparkSession
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    checked = F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(F.raise_error(F.lit("lengths must be between 1 and the capacity")))
+    # written first, with row numbers: rounds read lengths and numbers only, and a lost executor changes neither
+    rows = materialize(pieces.select(checked.cast("int").alias("length"), F.monotonically_increasing_id().alias("row"), F.struct(*names).alias("own")), "pieces")
+    lengths, bounds = rows.select("row", "length"), classes(capacity)
+    in_class = F.expr("case " + " ".join(f"when length > {lo} then {k}" for k, (lo, _) in enumerate(bounds)) + " end")
+    sizes = {r[0]: r[1] for r in lengths.groupBy(in_class.alias("k")).count().collect()}
+    gaps, rounds, sequences = spark.createDataFrame([], "seq long, gap int"), [], 0
+    for k, (lo, hi) in enumerate(bounds):
+        left, n_left, middle = lengths.where(f"length > {lo} and length <= {hi}"), sizes.get(k, 0), (lo + hi + 1) // 2
+        while n_left:
+            tasks = -(-(n_left + 2 * sequences) // task_rows)
+            slots = gaps.where(f"gap > {lo}").select(F.least("gap", F.lit(hi)).alias("size"), F.lit(0).alias("kind"), (-F.col("gap")).alias("order"), F.lit(-1).cast("long").alias("row"), "seq", F.explode(F.expr(f"sequence(1, greatest(1, cast(gap div {hi} as int)))")).alias("slot")).drop("slot")
+            items = left.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.lit(0).alias("order"), "row", F.lit(None).cast("long").alias("seq")).unionByName(slots)
+            keys = [F.col("size").desc(), F.col("kind").asc(), F.col("order").asc(), F.col("row").asc(), F.col("seq").asc()]
+            items = items.coalesce(1) if tasks == 1 else items.repartitionByRange(tasks, *keys)
+            swept = materialize(items.sortWithinPartitions(*keys).mapInArrow(_swept, _ITEM), "swept")
+            counted = swept.groupBy("part").agg(F.count_if(F.col("kind") == "alone"), F.count_if(F.col("kind") == "slot"), F.count_if(F.col("kind") == "placed"), F.count_if((F.col("kind") == "alone") & (F.col("length") > middle))).collect()
+            runs, none = match_ranks([tuple(r)[:3] for r in counted])
+            hits, rest = sum(r[3] for r in counted) + sum(r[2] for r in runs), sum(r[2] for r in none)
+            alone = swept.where("kind = 'alone'").select("part", "rank", "row", "length")
+            parts = [swept.where("kind = 'placed'").select("row", "length", "seq")]
+            if runs:
+                parts.append(_joined(spark, alone, swept.where("kind = 'slot'").select("part", "rank", "seq"), runs))
+            if rest:  # swept again if this round placed any, or put into new sequences
+                again = [(*run, 0, 0, 0) for run in none]
+                opened, after = (again, sequences) if hits else new_sequences(none, {r[0]: r[4] for r in counted}, (capacity // hi, capacity // middle), sequences)
+                parts.append(_without_slot(spark, alone, opened))
+            done = parts[0]
+            for part in parts[1:]:
+                done = done.unionByName(part)
+            done = materialize(done, "round")
+            rounds.append(done.where("seq is not null"))
+            used = (rounds[-1].coalesce(1) if tasks == 1 else rounds[-1]).groupBy("seq").agg(F.sum("length").cast("int").alias("used"))
+            updated = (gaps.coalesce(1) if tasks == 1 else gaps).join(used, "seq", "full").select("seq", (F.coalesce("gap", F.lit(capacity)) - F.coalesce("used", F.lit(0))).alias("gap"))
+            gaps = materialize(updated.where("gap > 0"), "gaps")
+            left, n_left, sequences = done.where("seq is null"), rest if hits else 0, after if rest else sequences
+    every = spark.createDataFrame([], "row long, length int, seq long")
+    for part in rounds:
+        every = every.unionByName(part)
+    before = Window.partitionBy("seq").orderBy(F.col("length").desc(), "row").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.select("row", F.col("seq").alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
+    return rows.select("row", "own").join(every, "row").select(*[F.col("own")[c].alias(c) for c in names], "sequence_id", "offset")
