@@ -22,9 +22,9 @@ def near_pairs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     classes = materialize(base.groupBy("t").agg(F.min("id").alias("id")), "classes")
     equal = base.join(classes.withColumnRenamed("id", "a"), "t").where("a < id").select("a", F.col("id").alias("b"))
 
-    # containment: the shorter text's first 20 characters stand somewhere in the longer one
+    # containment: the shorter text's 20 characters with the smallest hash stand somewhere in the longer one
     shingle = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (CONTAINED - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(CONTAINED)))
-    short = classes.where(F.length("t") >= CONTAINED).select(F.col("id").alias("s"), F.col("t").alias("st"), F.substring("t", 1, CONTAINED).alias("g"))
+    short = classes.where(F.length("t") >= CONTAINED).select(F.col("id").alias("s"), F.col("t").alias("st"), F.array_min(F.transform(shingle(F.col("t")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"].alias("g"))
     keys = short.select("g").distinct()
     places = classes.where(F.length("t") > CONTAINED).select("id", F.explode(F.array_distinct(shingle(F.col("t")))).alias("g")).join(keys, "g", "left_semi")
     met = places.join(short.select("s", "g"), "g").where("s <> id").select("id", "s").distinct()

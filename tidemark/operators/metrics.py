@@ -53,3 +53,26 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     sums = long.groupBy("variable").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"))
     return sums.select("variable", "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+
+
+def top_terms(df: DataFrame, terms: str, n: int) -> DataFrame:
+    """(term, n): the n terms that occur most often in an array column, ties by the term."""
+    return df.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(n)
+
+
+def disagreements(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows in which any pair of columns differs (null differs from a value), with a flag for each pair."""
+    flags = {f"{name}_differs": ~F.col(a).eqNullSafe(F.col(b)) for name, (a, b) in pairs.items()}
+    any_ = F.lit(False)
+    for name in flags:
+        any_ = any_ | F.col(name)
+    return df.withColumns(flags).where(any_)
+
+
+def labels_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(label): the labels that occur in any of the columns, for a grid that leaves none out."""
+    out = None
+    for c in columns:
+        one = df.select(F.col(c).cast("string").alias("label"))
+        out = one if out is None else out.unionByName(one)
+    return out.where("label is not null").distinct()

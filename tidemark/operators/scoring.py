@@ -68,33 +68,37 @@ def token_score(tokens: Column, words: tuple[str, ...], lex: Lexicon, reach: int
     return _let(tokens, body)
 
 
-def sentence_scores(df: DataFrame, sentence: str, lex: Lexicon) -> DataFrame:
-    """df (a row a sentence) with pos, neg (token hits), dovish, hawkish (phrase hits) and a count for each topic."""
-    tokens = T.words(F.col(sentence))
+def _scores_of(sentence: Column, lex: Lexicon) -> dict[str, Column]:
+    tokens = T.words(sentence)
     cols = {
         "pos": token_score(tokens, lex.positive, lex), "neg": token_score(tokens, lex.negative, lex),
-        "dovish": phrase_score(F.col(sentence), lex.dovish, lex), "hawkish": phrase_score(F.col(sentence), lex.hawkish, lex),
+        "dovish": phrase_score(sentence, lex.dovish, lex), "hawkish": phrase_score(sentence, lex.hawkish, lex),
     }
     for topic, words in lex.topics.items():
         n = F.lit(0)
         for w in words:
-            n = n + T.occurrences(F.col(sentence), w)
+            n = n + T.occurrences(sentence, w)
         cols[f"topic_{topic}"] = n
-    return df.withColumns(cols)
+    return cols
+
+
+def sentence_scores(df: DataFrame, sentence: str, lex: Lexicon) -> DataFrame:
+    """df (a row a sentence) with pos, neg (token hits), dovish, hawkish (phrase hits) and a count for each topic."""
+    return df.withColumns(_scores_of(F.col(sentence), lex))
 
 
 def text_scores(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text", terminators: str = T.TERMINATORS) -> DataFrame:
     """sentiment, stance and topic attention of each text, per 1000 characters of the raw text. Missing texts have missing scores."""
     base = docs.select(id_col, F.col(text_col).alias("_t"))
-    parts = sentence_scores(base.select(id_col, F.explode(T.sentences(F.col("_t"), terminators)).alias("_s")), "_s", lex)
-    names = ["pos", "neg", "dovish", "hawkish", *[f"topic_{t}" for t in lex.topics]]
-    sums = parts.groupBy(id_col).agg(*[F.sum(n).alias(n) for n in names])
+    # sentences are scored and summed up inside their row, so nothing is shuffled
+    scored = F.transform(T.sentences(F.col("_t"), terminators), lambda s: F.struct(*[c.cast("double").alias(n) for n, c in _scores_of(s, lex).items()]))
+    base = base.withColumn("_p", F.when(F.col("_t").isNotNull(), scored))
     per = 1000.0 / F.greatest(F.length("_t"), F.lit(1))
     there = F.col("_t").isNotNull()
-    z = lambda n: F.coalesce(n, F.lit(0.0))
+    z = lambda n: F.aggregate("_p", F.lit(0.0), lambda a, x: a + x[n])
     out = [F.when(there, (z("pos") - z("neg")) * per).alias("sentiment"), F.when(there, (z("dovish") - z("hawkish")) * per).alias("stance")]
     out += [F.when(there, z(f"topic_{t}") * per).alias(f"attention_{t}") for t in lex.topics]
-    return base.join(sums, id_col, "left").select(id_col, *out)
+    return base.select(id_col, *out)
 
 
 def gated(label: Column, sentence: Column, triggers: list[str], irrelevant: list[str], neutral: str = "neutral", other: str = "irrelevant") -> Column:

@@ -16,7 +16,7 @@ ev AS (SELECT year(d) || 'Q' || quarter(d) AS event_id, min(d) AS d, min(pos) AS
 CUR = """cu AS (SELECT CAST(l_shipdate AS DATE) AS d, avg(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END) / 10000 AS y1, avg(CASE WHEN l_returnflag = 'N' THEN l_extendedprice END) / 10000 AS y5, avg(CASE WHEN l_returnflag = 'R' THEN l_extendedprice END) / 10000 AS y10 FROM lineitem GROUP BY 1),
 cv AS (SELECT d, y1, y5, y10, row_number() OVER (ORDER BY d) - 1 AS pos, (coalesce(y1, 0) + coalesce(y5, 0) + coalesce(y10, 0)) / nullif((y1 IS NOT NULL)::INT + (y5 IS NOT NULL)::INT + (y10 IS NOT NULL)::INT, 0) AS level, y10 - y1 AS slope, 2 * y5 - y1 - y10 AS curvature FROM cu),
 ce AS (SELECT year(d) || 'Q' || quarter(d) AS event_id, min(d) AS d, min(pos) AS pos FROM cv GROUP BY 1)"""
-OPS = "ops AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS op_date FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 97 = 0)"
+OPS = "ops AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS op_date FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice >= 450000)"
 
 
 def prices(spark, d):

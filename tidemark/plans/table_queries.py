@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import classify as C
 from tidemark.operators import events as E
 from tidemark.operators import metrics as M
 from tidemark.operators import regression as R
 from tidemark.operators import sampling as P
+from tidemark.operators.search import layered_search
 from tidemark.sources import sinks
 from tidemark.sources.tables import daily_prices, table
 
@@ -122,7 +124,7 @@ def _stratified(spark, d):
 
 
 register("stratified_sample", _stratified, "WITH u AS (SELECT source, (100 // n + CASE WHEN k <= 100 % n THEN 1 ELSE 0 END) AS q FROM (SELECT source, row_number() OVER (ORDER BY source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents))), r AS (SELECT doc_id, source, q, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents JOIN u USING (source)), p AS (SELECT DISTINCT source, round_even(i * (n - 1) / greatest(q - 1, 1)::DOUBLE, 0)::BIGINT AS k FROM (SELECT DISTINCT source, n, q FROM r), range(0, 200) t(i) WHERE i < q AND n > q UNION SELECT source, k FROM r WHERE n <= q) SELECT doc_id, source FROM r JOIN p USING (source, k)")
-register("top_features", lambda s, d: table(s, d, "documents").select(F.explode(T.words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(200), r"SELECT term, count(*) AS n FROM (SELECT unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '\p{N}+'))) AS term FROM documents) GROUP BY 1 ORDER BY n DESC, term LIMIT 200")
+register("top_features", lambda s, d: M.top_terms(C.with_grams(table(s, d, "benchmark"), "text"), "grams", C.FEATURES), r"WITH t AS (SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM benchmark), g AS (SELECT CASE WHEN length(t) > n THEN substring(t, i::INT, n::INT) WHEN length(t) > 0 THEN t END AS term FROM t, range(2, 5) a(n), range(1, 2000) b(i) WHERE i = 1 OR i <= length(t) - n + 1) SELECT term, count(*) AS n FROM g WHERE term IS NOT NULL GROUP BY 1 ORDER BY n DESC, term LIMIT 8000")
 register("head_padding", lambda s, d: table(s, d, "documents").where("lang = 'es'").select("doc_id").unionByName(table(s, d, "documents").where("lang <> 'es'").select("doc_id").orderBy("doc_id").limit(10)), "SELECT doc_id FROM documents WHERE lang = 'es' UNION ALL (SELECT doc_id FROM documents WHERE lang <> 'es' ORDER BY doc_id LIMIT 10)")
 
 # sets
@@ -161,15 +163,11 @@ both("first_match_tag", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'wide' WHE
 
 
 def _search(spark, d):
-    """The first document that holds each needle: exact, then with spaces collapsed, then without spaces."""
-    needles = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 24).alias("needle"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    level = F.when(F.contains("text", F.col("needle")), 1).when(F.contains(T.collapse_space(F.col("text")), T.collapse_space(F.col("needle"))), 2).when(F.contains(F.regexp_replace("text", r"\s", ""), F.regexp_replace("needle", r"\s", "")), 3)
-    hits = docs.join(F.broadcast(needles)).withColumn("level", level).where("level is not null")
-    return hits.groupBy("item_id").agg(F.min(F.struct("level", "doc_id")).alias("m")).select("item_id", F.col("m.level").cast("long").alias("level"), F.col("m.doc_id").alias("doc_id"))
+    """The first document that holds each whole needle: exact, then with spaces collapsed, then without spaces."""
+    return layered_search(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-register("layered_search", _search, r"WITH n AS (SELECT item_id, substr(text, 1, 24) AS needle FROM benchmark), h AS (SELECT item_id, doc_id, CASE WHEN contains(text, needle) THEN 1 WHEN contains(trim(regexp_replace(text, '\s+', ' ', 'g')), trim(regexp_replace(needle, '\s+', ' ', 'g'))) THEN 2 WHEN contains(regexp_replace(text, '\s', '', 'g'), regexp_replace(needle, '\s', '', 'g')) THEN 3 END AS level FROM documents, n), m AS (SELECT item_id, min((level, doc_id)) AS m FROM h WHERE level IS NOT NULL GROUP BY 1) SELECT item_id, m[1]::BIGINT AS level, m[2] AS doc_id FROM m")
+register("layered_search", _search, r"WITH n AS (SELECT item_id, text AS needle FROM benchmark), h AS (SELECT item_id, doc_id, CASE WHEN contains(text, needle) THEN 1 WHEN contains(trim(regexp_replace(text, '\s+', ' ', 'g')), trim(regexp_replace(needle, '\s+', ' ', 'g'))) THEN 2 WHEN contains(regexp_replace(text, '\s', '', 'g'), regexp_replace(needle, '\s', '', 'g')) THEN 3 END AS level FROM documents, n), m AS (SELECT item_id, min((level, doc_id)) AS m FROM h WHERE level IS NOT NULL GROUP BY 1) SELECT item_id, m[1]::BIGINT AS level, m[2] AS doc_id FROM m")
 register("first_page_per_caption", lambda s, d: table(s, d, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)/", 1).alias("caption")).where("caption <> ''").groupBy("caption").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")), "SELECT regexp_extract(url, '^https?://([^/]+)/', 1) AS caption, min(page_id) AS first_page, count(*) AS n FROM pages WHERE regexp_extract(url, '^https?://([^/]+)/', 1) <> '' GROUP BY 1")
 both("ordered_replacement", "SELECT item_id, replace(replace(replace(text, 'tion', '<T>'), 'ti', '<t>'), 'th', '<h>') AS text FROM {benchmark}", tables="benchmark")
 register("gate_status", lambda s, d: daily_prices(s, d).agg(F.count("*").alias("n"), F.min("close").alias("lo")).select(F.filter(F.array(F.when(F.col("n") < 100, "few days"), F.when(F.col("lo") <= 0, "bad price"), F.when(F.col("n") > 2000, "many days")), lambda x: x.isNotNull()).alias("f")).select(F.array_join("f", ",").alias("failed"), F.when(F.size("f") == 0, "PASS").otherwise("FAIL").alias("status")), "WITH t AS (SELECT count(*) AS n, min(c) AS lo FROM (SELECT avg(o_totalprice) AS c FROM orders GROUP BY CAST(o_orderdate AS DATE))), f AS (SELECT list_filter([CASE WHEN n < 100 THEN 'few days' END, CASE WHEN lo <= 0 THEN 'bad price' END, CASE WHEN n > 2000 THEN 'many days' END], lambda x: x IS NOT NULL) AS f FROM t) SELECT array_to_string(f, ',') AS failed, CASE WHEN len(f) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM f")

@@ -200,20 +200,20 @@ def _jaccard(spark, d):
 register("ngram_jaccard", _jaccard, f"WITH g AS (SELECT item_id, {_g3('text')} AS g FROM benchmark) SELECT a.item_id, round(len(list_intersect(a.g, b.g))::DOUBLE / nullif(len(list_distinct(list_concat(a.g, b.g))), 0), 6) AS jaccard FROM g a JOIN g b ON b.item_id = a.item_id + 1")
 
 
-def _sentence_rows(spark, d):
-    """First sentences of the documents, as the sentences that are compared."""
-    return table(spark, d, DOCS).select("doc_id", F.get(T.sentences(F.col("text")), F.lit(0)).alias("s"), "source").where("s is not null")
+def _turns(spark, d):
+    """Every turn of the conversations as a text; the conversation is its report."""
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("report"), F.col("text").alias("s")).where("s is not null")
 
 
 _bare = r"regexp_replace(lower(s), '[\s[:punct:]]+', '', 'g')"
-_NEAR = f"""r AS (SELECT doc_id AS id, source, {_bare} AS t FROM (SELECT doc_id, source, ({sent_sql('text')})[1] AS s FROM documents) WHERE s IS NOT NULL AND length({_bare}) > 0),
+_NEAR = f"""r AS (SELECT id, report, {_bare} AS t FROM (SELECT conv_id * 1000 + turn AS id, conv_id AS report, text AS s FROM conversations) WHERE s IS NOT NULL AND length({_bare}) > 0),
 c AS (SELECT t, min(id) AS id, {_g3('t')} AS g FROM r GROUP BY t),
 e AS (SELECT c.id AS a, r.id AS b FROM r JOIN c USING (t) WHERE c.id < r.id UNION
 SELECT least(x.id, y.id), greatest(x.id, y.id) FROM c x JOIN c y ON length(x.t) < length(y.t) AND length(x.t) >= 20 AND contains(y.t, x.t) UNION
 SELECT x.id, y.id FROM c x JOIN c y ON x.id < y.id AND 100 * least(len(x.g), len(y.g)) >= 92 * greatest(len(x.g), len(y.g)) WHERE 100 * len(list_intersect(x.g, y.g)) >= 92 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))))"""
-register("near_duplicates", lambda s, d: duplicates.near_pairs(_sentence_rows(s, d), "doc_id", "s"), f"WITH {_NEAR} SELECT a, b FROM e")
-register("duplicate_groups", lambda s, d: duplicates.duplicate_groups(_sentence_rows(s, d), "doc_id", "s").select(F.col("id").alias("doc_id"), "root", "group_label"), f"""WITH RECURSIVE {_NEAR}, n AS (SELECT doc_id AS id FROM documents WHERE ({sent_sql('text')})[1] IS NOT NULL), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-p AS (SELECT id, id AS root FROM n UNION SELECT b.b AS id, p.root FROM p JOIN b ON b.a = p.id), m AS (SELECT id, min(root) AS root FROM p GROUP BY 1) SELECT id AS doc_id, root, substr(sha1(root::VARCHAR), 1, 12) AS group_label FROM m""")
+register("near_duplicates", lambda s, d: duplicates.near_pairs(_turns(s, d), "id", "s"), f"WITH {_NEAR} SELECT a, b FROM e")
+register("duplicate_groups", lambda s, d: duplicates.duplicate_groups(_turns(s, d), "id", "s", "report").select("id", "root", "group_label"), f"""WITH RECURSIVE {_NEAR}, n AS (SELECT conv_id * 1000 + turn AS id, conv_id AS report FROM conversations WHERE text IS NOT NULL), e2 AS (SELECT a, b FROM e UNION SELECT min(id) OVER (PARTITION BY report), id FROM n), b AS (SELECT a, b FROM e2 UNION SELECT b, a FROM e2),
+p AS (SELECT id, id AS root FROM n UNION SELECT b.b AS id, p.root FROM p JOIN b ON b.a = p.id), m AS (SELECT id, min(root) AS root FROM p GROUP BY 1) SELECT id, root, substr(sha1(root::VARCHAR), 1, 12) AS group_label FROM m""")
 
 
 SENTENCES_A_TEXT = 1 << 24  # a sentence's id is doc_id * SENTENCES_A_TEXT + sentence_no; too large a product is an error

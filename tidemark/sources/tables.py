@@ -66,5 +66,5 @@ def quarter_events(cal: DataFrame) -> DataFrame:
 
 
 def action_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(op_date): days with an urgent order of unusual size."""
-    return table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderkey % 97 = 0").select(F.to_date("o_orderdate").alias("op_date")).distinct()
+    """(op_date): days with an urgent order of at least 450,000."""
+    return table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice >= 450000").select(F.to_date("o_orderdate").alias("op_date")).distinct()
