@@ -49,7 +49,9 @@ def bare(text: Column) -> Column:
 
 def char_grams(text: Column, n: int = 3, distinct: bool = True) -> Column:
     """Character n-grams; the whole text if it is not longer than n, none if it is empty."""
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    # the characters are taken apart once, so a text's cost is in proportion to its length
+    of = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))
+    many = F.element_at(F.transform(F.array(F.split(text, "")), of), 1)
     grams = F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= n, F.array(text)).otherwise(many)
     return F.array_distinct(grams) if distinct else grams
 
@@ -104,3 +106,12 @@ def last_section(text: Column, start: str, end: str, least: int = 200) -> Column
     stop = F.regexp_instr(body, F.lit(end))
     cut = F.when(stop > 1, F.substring(body, F.lit(1), stop - 1)).otherwise(body)
     return F.when((n > 0) & (F.length(cut) >= least), cut)
+
+
+def segment(text: Column, terms: list[str], stopwords: list[str] = (), least: int = 2) -> Column:
+    """Words of a text, with the terms of a lexicon as words wherever they stand, the longest first; what lies between them is split into
+    runs of letters and digits. Stopwords, words under `least` characters and numbers are left out."""
+    known = "|".join("\\Q" + t + "\\E" for t in sorted({t for t in terms if t}, key=lambda t: (-len(t), t)))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?U)({known + '|' if known else ''}[\\p{{L}}\\p{{N}}_]+?(?={known or '(?!)'}|[^\\p{{L}}\\p{{N}}_]|$))"), F.lit(1))
+    keep = lambda w: (F.length(w) >= least) & ~w.rlike(r"^\p{N}+$") & (~w.isin(list(stopwords)) if stopwords else F.lit(True))
+    return F.filter(found, keep)

@@ -1,18 +1,25 @@
-"""Text classifiers by hashed character n-grams and linear SVMs, with folds that keep groups together."""
+"""Text classifiers by character n-grams (sub-linear TF-IDF of the most frequent ones) and linear SVMs, with folds that keep groups together."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
+import math
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
 from tidemark.functions import text as T
+from tidemark.sources.scratch import materialize
 
-FEATURES = 1 << 13
+FEATURES = 8000
+#: Groups that folds are made of, at most; they are dealt on the driver.
+GROUPS = 200_000
+#: Labelled rows that a classifier is fitted on, at most.
+SAMPLE = 20_000
 
 
 def with_grams(df: DataFrame, text_col: str, out: str = "grams") -> DataFrame:
@@ -21,11 +28,35 @@ def with_grams(df: DataFrame, text_col: str, out: str = "grams") -> DataFrame:
     return df.withColumn(out, F.concat(*[T.char_grams(t, n, distinct=False) for n in (2, 3, 4)]))
 
 
-def group_folds(df: DataFrame, group: str, label: str, k: int = 5) -> DataFrame:
+class SublinearTfidf:
+    """The FEATURES most frequent terms of an array column, weighted (1 + ln tf) (ln((1 + n) / (1 + df)) + 1) and scaled to length 1."""
+
+    def __init__(self, features: int = FEATURES):
+        self.features = features
+
+    def fit(self, df: DataFrame, terms: str) -> SublinearTfidf:
+        counter = CountVectorizer(inputCol=terms, outputCol="_tf", vocabSize=self.features).fit(df)
+        self.idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(df)).idf.toArray() + 1
+        self.index = {t: i for i, t in enumerate(counter.vocabulary)}
+        return self
+
+    def weights(self, terms: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, weights) of a text's terms."""
+        n = Counter(i for i in map(self.index.get, terms or []) if i is not None)
+        at = np.array(sorted(n), np.int64)
+        w = (1 + np.log([n[i] for i in at])) * self.idf[at] if len(at) else np.empty(0)
+        return at, w / np.sqrt(w @ w) if len(at) else w
+
+
+def group_folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
     """(group, fold): each group whole in one fold, labels spread evenly. Groups are dealt by size to the fold with the fewest rows.
 
-    Only one row a group and label comes to the driver; folds are the least of k, the groups and the rarest label's groups."""
-    counts = df.groupBy(group, label).agg(F.count("*").alias("n")).collect()
+    Only one row a group and label comes to the driver, and at most GROUPS groups; folds are the least of k, the groups and the rarest
+    label's groups. Groups of one size are dealt in an order that the seed sets (0: by name)."""
+    counts = df.groupBy(group, label).agg(F.count("*").alias("n"), F.xxhash64(F.col(group).cast("string"), F.lit(seed)).alias("h")).limit(GROUPS * 4).collect()
+    if len({r[group] for r in counts}) > GROUPS:
+        raise ValueError(f"more than {GROUPS} groups")
+    mixed = {r[group]: r["h"] if seed else 0 for r in counts}
     sizes: dict = {}
     for r in counts:
         sizes.setdefault(r[group], {})[r[label]] = r["n"]
@@ -38,7 +69,7 @@ def group_folds(df: DataFrame, group: str, label: str, k: int = 5) -> DataFrame:
         raise ValueError("too few groups, rows or labels for two folds")
     loads: list[dict] = [{} for _ in range(k)]
     out = []
-    for g, labels in sorted(sizes.items(), key=lambda x: (-sum(x[1].values()), str(x[0]))):
+    for g, labels in sorted(sizes.items(), key=lambda x: (-sum(x[1].values()), mixed[x[0]], str(x[0]))):
         best = min(range(k), key=lambda f: (sum((loads[f].get(lab, 0) + n) ** 2 - loads[f].get(lab, 0) ** 2 for lab, n in labels.items()), sum(loads[f].values()), f))
         for lab, n in labels.items():
             loads[best][lab] = loads[best].get(lab, 0) + n
@@ -46,47 +77,108 @@ def group_folds(df: DataFrame, group: str, label: str, k: int = 5) -> DataFrame:
     return df.sparkSession.createDataFrame(out, df.select(group).schema.add("fold", IntegerType()))
 
 
+def squared_hinge(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, cost: np.ndarray, size: int, rounds: int = 200, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
+    """(w, b) that minimise |w|^2 / 2 + b^2 / 2 + sum cost (max(0, 1 - y f))^2 over sparse rows, by limited-memory quasi-Newton steps."""
+    n = len(y)
+
+    def at(t):
+        f = np.bincount(row, value * t[col], n) + t[size]
+        m = np.maximum(0.0, 1 - y * f)
+        d = -2 * cost * y * m
+        g = t.copy()
+        g[:size] += np.bincount(col, value * d[row], size)
+        g[size] += d.sum()
+        return 0.5 * float(t @ t) + float(cost @ (m * m)), g
+
+    t = np.zeros(size + 1)
+    loss, g = at(t)
+    first, pairs = float(np.abs(g).max()), []
+    for _ in range(rounds):
+        if np.abs(g).max() <= tolerance * max(first, 1e-12):
+            break
+        q, alphas = g.copy(), []
+        for s, u, r in reversed(pairs):
+            alphas.append(r * float(s @ q))
+            q -= alphas[-1] * u
+        if pairs:
+            s, u, _ = pairs[-1]
+            q *= float(s @ u) / float(u @ u)
+        for (s, u, r), a in zip(pairs, reversed(alphas)):
+            q += (a - r * float(u @ q)) * s
+        slope, step = -float(g @ q), 1.0 if pairs else min(1.0, 1.0 / float(np.abs(g).sum()))
+        while step > 1e-12:
+            new, g2 = at(t - step * q)
+            if new <= loss + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, u = -step * q, g2 - g
+        if float(s @ u) > 1e-12:
+            pairs = [*pairs, (s, u, 1.0 / float(s @ u))][-10:]
+        t, loss, g = t + s, new, g2
+    return t[:size], float(t[size])
+
+
 class OneVsRest:
-    """A linear SVM a label, rows weighted inversely to their label's share; predict() adds scores (map) and pred."""
+    """A linear SVM a label (squared hinge), rows weighted inversely to their label's share; predict() adds scores (map) and pred.
 
-    def __init__(self, c: float = 1.0, rounds: int = 30):
-        self.c, self.rounds = c, rounds
+    Fitted on the driver on at most SAMPLE labelled rows, those with the smallest hash of their terms; predict() takes any number."""
+
+    def __init__(self, c: float = 1.0):
+        self.c = c
 
     def fit(self, df: DataFrame, label: str, grams: str = "grams") -> OneVsRest:
-        counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-        total = sum(counts.values())
-        self.labels = sorted(counts)
-        self.features = Pipeline(stages=[HashingTF(inputCol=grams, outputCol="_tf", numFeatures=FEATURES), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_x")]).fit(df)
-        x = self.features.transform(df).select("_x", label).persist()
-        binary = self.labels[1:] if len(self.labels) == 2 else self.labels
+        self.kind, self.grams = df.schema[label].dataType, grams
+        features = self.features = SublinearTfidf().fit(df, grams)
+
+        def run(batches):
+            for b in batches:
+                found = [features.weights(g) for g in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary()), b.column(1)], ["at", "w", "label"])
+
+        kind = self.kind.simpleString()
+        rows = df.select(grams, label).where(F.col(label).isNotNull()).mapInArrow(run, f"at binary, w binary, label {kind}")
+        order = ["h", "label"]
+        rows = rows.withColumn("h", F.xxhash64("at", "w")).orderBy(*order).limit(SAMPLE).collect()
+        at, w, own = [np.frombuffer(bytes(r["at"]), np.int32) for r in rows], [np.frombuffer(bytes(r["w"])) for r in rows], [r["label"] for r in rows]
+        row = np.repeat(np.arange(len(rows)), [len(x) for x in at])
+        col, value = np.concatenate(at or [np.empty(0, np.int32)]).astype(np.int64), np.concatenate(w or [np.empty(0)])
+        self.labels = sorted(set(own))
+        if len(self.labels) < 2:
+            raise ValueError("fewer than two labels")
         self.models = {}
-        for lab in binary:
-            share = counts[lab] / total
-            rows = x.withColumns({"_y": F.when(F.col(label) == lab, 1.0).otherwise(0.0), "_w": F.when(F.col(label) == lab, 0.5 / share).otherwise(0.5 / (1 - share)) if 0 < share < 1 else F.lit(1.0)})
-            self.models[lab] = LinearSVC(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / (self.c * max(total, 1)), maxIter=self.rounds, rawPredictionCol="_raw", predictionCol="_p").fit(rows)
-        x.unpersist()
+        for lab in self.labels[1:] if len(self.labels) == 2 else self.labels:
+            y = np.array([1.0 if x == lab else -1.0 for x in own])
+            share = (y > 0).mean()
+            self.models[lab] = squared_hinge(row, col, value, y, self.c * np.where(y > 0, 0.5 / share, 0.5 / (1 - share)), len(features.index))
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        out = self.features.transform(df)
-        names = []
-        for k, (lab, model) in enumerate(self.models.items()):
-            out = model.transform(out).withColumn(f"_s{k}", vector_to_array("_raw")[1]).drop("_raw", "_p")
-            names.append((lab, f"_s{k}"))
-        if len(self.labels) == 2:
-            out = out.withColumn("_n", -F.col("_s0"))
-            names = [(self.labels[0], "_n"), (self.labels[1], "_s0")]
-        best = F.greatest(*[F.col(c) for _, c in names])
-        pred = F.lit(None)
-        for lab, c in reversed(names):
-            pred = F.when(F.col(c) == best, F.lit(lab)).otherwise(pred)
-        scores = F.create_map(*[x for lab, c in names for x in (F.lit(str(lab)), F.col(c))])
-        return out.withColumns({"scores": scores, "pred": pred}).drop("_tf", "_idf", "_x", "_n", *[c for _, c in names])
-
-
-def cross_validate(df: DataFrame, text_col: str, label: str, group: str, k: int = 5, c: float = 1.0) -> DataFrame:
+        models, kind = list(self.models.values()), self.kind.simpleString()
+        shared = df.sparkSession.sparkContext.broadcast((self.features, np.stack([c for c, _ in models], axis=1), np.array([b for _, b in models]), self.labels))
+        grams = self.grams
+
+        def run(batches):
+            features, coefficients, intercepts, labels = shared.value
+            names = [str(x) for x in labels]
+            for b in batches:
+                scores, best = [], []
+                for g in b.column(b.schema.get_field_index(grams)).to_pylist():
+                    at, w = features.weights(g)
+                    s = w @ coefficients[at] + intercepts
+                    s = np.array([-s[0], s[0]]) if len(labels) == 2 else s
+                    scores.append(list(zip(names, s.tolist())))
+                    best.append(labels[int(s.argmax())])
+                more = [pa.array(scores, pa.map_(pa.string(), pa.float64())), pa.array(best, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}.get(kind))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "scores", "pred"])
+
+        return df.mapInArrow(run, StructType([*df.schema.fields, StructField("scores", MapType(StringType(), DoubleType())), StructField("pred", self.kind)]))
+
+
+def cross_validate(df: DataFrame, text_col: str, label: str, group: str, k: int = 5, c: float = 1.0, seed: int = 0) -> DataFrame:
     """df's rows with fold, pred and scores, each predicted by a model that saw none of its group."""
-    rows = with_grams(df, text_col).join(F.broadcast(group_folds(df, group, label, k)), group)
+    rows = with_grams(df, text_col).join(group_folds(df, group, label, k, seed), group)
     out = None
     for fold in sorted(r[0] for r in rows.select("fold").distinct().collect()):
         one = OneVsRest(c).fit(rows.where(F.col("fold") != fold), label).predict(rows.where(F.col("fold") == fold))
@@ -95,14 +187,19 @@ def cross_validate(df: DataFrame, text_col: str, label: str, group: str, k: int
 
 
 def learning_curve(df: DataFrame, text_col: str, label: str, group: str, ratios: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0), fold: int = 0, k: int = 5) -> DataFrame:
-    """(ratio, n_train, n_test, hits) on one fold, trained on nested subsets of the other folds' groups, taken by a hash of the group."""
-    rows = with_grams(df, text_col).join(F.broadcast(group_folds(df, group, label, k)), group)
-    train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+    """(ratio, n_train, n_test, hits) on one fold, trained on nested subsets of the other folds' groups: the first of them in the order of a
+    hash, as many as the ratio says, and more until there are two labels."""
+    folds = group_folds(df, group, label, k)
+    rows = with_grams(df, text_col).join(folds, group)
+    test = rows.where(F.col("fold") == fold)
+    counts = df.join(folds, group).where(F.col("fold") != fold).groupBy(F.xxhash64(F.col(group).cast("string")).alias("h"), F.col(group).alias("g")).agg(F.collect_set(label).alias("labels")).orderBy("h", "g").collect()
     out = None
     for ratio in ratios:
-        part = train.where(F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(1000)) < int(1000 * ratio))
-        if part.select(label).distinct().count() < 2:
-            part = train
+        n = math.ceil(ratio * len(counts))
+        while n < len(counts) and len({x for r in counts[:n] for x in r["labels"]}) < 2:
+            n += 1
+        chosen = df.sparkSession.createDataFrame([(r["g"],) for r in counts[:n]], df.select(group).schema)
+        part = rows.join(chosen, group, "left_semi")
         hits = OneVsRest().fit(part, label).predict(test).agg(F.lit(float(ratio)).alias("ratio"), F.lit(part.count()).cast("long").alias("n_train"), F.count("*").alias("n_test"), F.count_if(F.col("pred") == F.col(label)).alias("hits"))
         out = hits if out is None else out.unionByName(hits)
     return out
@@ -115,3 +212,56 @@ def report_tone(scored: DataFrame, report: str, pred: str, plus: str, minus: str
         own = F.lit(True) if not labels else F.col(pred).isin(labels)
         aggs += [(F.avg(F.when(own, F.col(plus))) - F.avg(F.when(own, F.col(minus)))).alias(f"{name}_mean"), F.count_if(own).alias(f"n_{name}")]
     return scored.groupBy(report).agg(*aggs)
+
+
+def crossfit_tone(sentences: DataFrame, labelled: DataFrame, text_col: str, label: str, report: str, sentence_id: str, plus: str, minus: str, neutral: str | None = None, k: int = 5, seed: int = 0) -> DataFrame:
+    """Every sentence of the reports that have labels, scored by a model that saw no row of its report: (report, sentence_id, fold, pred,
+    plus_score, minus_score, manual), manual being the sentence's own label or ''.
+
+    labelled: (report, sentence_id, text, label, group); reports of one group are kept in one fold."""
+    folds = group_folds(labelled, "group", label, k, seed)
+    train = with_grams(labelled, text_col).join(folds, "group")
+    of_report = train.groupBy(report).agg(F.min("fold").alias("fold"))
+    rows = with_grams(sentences, text_col).join(of_report, report)
+    out = None
+    for fold in sorted(r[0] for r in folds.select("fold").distinct().collect()):
+        model = OneVsRest().fit(train.where(F.col("fold") != fold), label)
+        scored = model.predict(rows.where(F.col("fold") == fold))
+        one = scored.select(report, sentence_id, "fold", "pred", F.col("scores")[plus].alias("plus_score"), F.col("scores")[minus].alias("minus_score"))
+        out = one if out is None else out.unionByName(one)
+    manual = labelled.groupBy(report, sentence_id).agg(F.min(F.col(label).cast("string")).alias("manual"))
+    return out.join(manual, [report, sentence_id], "left").withColumn("manual", F.coalesce("manual", F.lit("")))
+
+
+def predicted_counts(scored: DataFrame, report: str, labels: list) -> DataFrame:
+    """(report, n_<label>...): how many sentences of each report have each predicted label."""
+    return scored.groupBy(report).agg(*[F.count_if(F.col("pred") == x).alias(f"n_{x}") for x in labels])
+
+
+def evaluate_tasks(df: DataFrame, tasks: dict[str, tuple[str, str | None]], text_col: str, group: str, least: int = 10, k: int = 5) -> DataFrame:
+    """(task, n, accuracy, macro_f1, error) of cross-validated classifiers; tasks: name -> (label column, condition or none).
+
+    A task of fewer than `least` rows, or whose rows do not allow two folds, has its error and no figures."""
+    from .metrics import labels_of, overall_metrics
+
+    spark, schema, out = df.sparkSession, "task string, n long, accuracy double, macro_f1 double, error string", None
+    for name, (label, condition) in tasks.items():
+        rows = df.where(F.col(label).isNotNull())
+        rows = rows.where(condition) if condition else rows
+        n = rows.count()
+        try:
+            if n < least:
+                raise ValueError(f"fewer than {least} rows")
+            pred = materialize(cross_validate(rows, text_col, label, group, k).select(F.col(label).cast("string").alias("true"), F.col("pred").cast("string").alias("pred")), "predicted")
+            labels = sorted(r[0] for r in labels_of(pred, ["true", "pred"]).collect())
+            one = overall_metrics(pred, "true", "pred", labels).select(F.lit(name).alias("task"), F.lit(n).cast("long").alias("n"), "accuracy", "macro_f1", F.lit(None).cast("string").alias("error"))
+        except ValueError as e:
+            one = spark.createDataFrame([(name, n, None, None, str(e))], schema)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def seed_summary(values: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Over seeds: how many, mean, deviation, least, largest and the share of positive values."""
+    v = F.col(value)
+    return values.groupBy(*by).agg(F.count(v).alias("n_seeds"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("least"), F.max(v).alias("largest"), F.avg((v > 0).cast("double")).alias("share_positive"))

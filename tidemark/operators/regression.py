@@ -83,6 +83,36 @@ def percent_effect(beta: float) -> float:
     return (math.exp(beta) - 1) * 100
 
 
+def gated_fits(df: DataFrame, y: str, xs: list[str], by: str | None = None, least: int | None = None) -> DataFrame:
+    """ols_hc3 with null estimates for models of fewer than `least` rows (terms + 5 unless given), and percent effects of the coefficients."""
+    least = len(xs) + 6 if least is None else least
+    fits = ols_hc3(df, y, xs, by)
+    gone = F.col("n") < least
+    numbers = [c for c, t in fits.dtypes if t == "double"]
+    out = fits.withColumns({c: F.when(~gone, F.col(c)) for c in numbers})
+    return out.withColumn("percent", (F.exp("beta") - 1) * 100)
+
+
+def specification_fits(df: DataFrame, y: str, specs: dict[str, list[str]], least: int | None = None) -> DataFrame:
+    """A model a specification (name -> regressors) of one outcome."""
+    out = None
+    for name, xs in specs.items():
+        one = gated_fits(df, y, xs, least=least).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def totals(df: DataFrame, y: str, xs: list[str], base: str, inter: str, order: str) -> DataFrame:
+    """One row: the sum of two coefficients with its error, z test and interval; null under terms + 5 rows."""
+    x, v = _panel(df, y, xs, order)
+    schema = "beta double, se double, z double, p double, lo double, hi double, n long"
+    if len(v) < len(xs) + 6:
+        return df.sparkSession.createDataFrame([(*[None] * 6, len(v))], schema)
+    beta, cov = hc3_arrays(x, v)
+    t = total_effect(beta, cov, xs.index(base) + 1, xs.index(inter) + 1)
+    return df.sparkSession.createDataFrame([(*(t[k] for k in ("beta", "se", "z", "p", "lo", "hi")), len(v))], schema)
+
+
 def total_effect(beta: np.ndarray, cov: np.ndarray, i: int, j: int) -> dict[str, float]:
     """b_i + b_j with its error, z test and 95 % interval."""
     b, se = float(beta[i] + beta[j]), math.sqrt(max(0.0, float(cov[i, i] + cov[j, j] + 2 * cov[i, j])))

@@ -95,7 +95,8 @@ register("label_metrics", lambda s, d: M.label_metrics(_judged(s, d), "true", "p
 _o = ["accuracy", *[f"{k}_{c}" for k in ("macro", "weighted") for c in ("precision", "recall", "f1")]]
 register("overall_metrics", lambda s, d: M.overall_metrics(_judged(s, d), "true", "pred", ["0", "1"]).select(*[F.round(c, 6).alias(c) for c in _o]), f"WITH {LM} SELECT round((SELECT avg((t = p)::INT) FROM j), 6) AS accuracy, " + ", ".join(f"round(avg({c}), 6) AS macro_{c}, round(sum({c} * support) / sum(support), 6) AS weighted_{c}" for c in ("precision", "recall", "f1")) + " FROM y")
 register("class_recall", lambda s, d: _judged(s, d).agg(F.round(F.count_if((F.col("true") == "0") & (F.col("pred") == "0")) / F.greatest(F.count_if(F.col("true") == "0"), F.lit(1)), 6).alias("recall")), f"WITH {J} SELECT round(count_if(t = '0' AND p = '0') / greatest(count_if(t = '0'), 1), 6) AS recall FROM j")
-register("disagreements", lambda s, d: _judged(s, d).where(F.col("true") != F.col("pred")).groupBy("source").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")), f"WITH {J} SELECT source, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM j WHERE t <> p GROUP BY 1")
+register("disagreements", lambda s, d: M.disagreements(table(s, d, "lineitem"), {"flag": ("l_returnflag", "l_linestatus"), "rate": ("l_discount", "l_tax"), "place": ("l_linenumber", "l_quantity")}).groupBy("l_returnflag").agg(F.count("*").alias("n"), *[F.count_if(f"{c}_differs").alias(f"n_{c}") for c in ("flag", "rate", "place")]), "SELECT l_returnflag, count(*) AS n, count_if(l_returnflag <> l_linestatus)::BIGINT AS n_flag, count_if(l_discount <> l_tax)::BIGINT AS n_rate, count_if(l_linenumber <> l_quantity)::BIGINT AS n_place FROM lineitem WHERE l_returnflag <> l_linestatus OR l_discount <> l_tax OR l_linenumber <> l_quantity GROUP BY 1")
+register("label_union", lambda s, d: M.labels_of(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"]), "SELECT DISTINCT label FROM (SELECT l_returnflag AS label FROM lineitem UNION ALL SELECT l_linestatus FROM lineitem)")
 register("majority_baseline", lambda s, d: table(s, d, "labels").groupBy("quality").count().orderBy(F.desc("count"), "quality").limit(1).select(F.col("quality").cast("long").alias("label"), F.col("count").alias("n")), "SELECT quality::BIGINT AS label, count(*) AS n FROM labels GROUP BY 1 ORDER BY n DESC, label LIMIT 1")
 register("completeness", lambda s, d: M.completeness(table(s, d, "events").withColumn("props", F.when(F.col("event_id") % 3 == 0, " ").otherwise(F.col("props"))), ["event_type", "props", "value"]),
     " UNION ALL ".join(f"SELECT '{c}' AS column, count_if({x} IS NULL)::BIGINT AS nulls, count_if(trim({x}::VARCHAR) = '')::BIGINT AS empty, count_if({x} IS NOT NULL AND trim({x}::VARCHAR) <> '')::BIGINT AS valid FROM events" for c, x in (("event_type", "event_type"), ("props", "(CASE WHEN event_id % 3 = 0 THEN ' ' ELSE props END)"), ("value", "value"))))

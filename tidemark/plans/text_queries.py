@@ -265,3 +265,6 @@ register("phrase_score_documents", lambda s, d: table(s, d, DOCS).select("doc_id
 register("token_score_documents", lambda s, d: table(s, d, DOCS).select("doc_id", T.words(F.col("text")).alias("w")).select("doc_id", F.round(scoring.token_score(F.col("w"), LEX.positive, LEX), 6).alias("positive")))
 register("tokenized_text_documents", lambda s, d: table(s, d, DOCS).select("doc_id", F.array_join(T.words(F.col("text")), " ").alias("tokens")))
 register("sentence_bare_documents", lambda s, d: table(s, d, DOCS).select("doc_id", T.bare(F.col("text")).alias("bare")))
+
+PROTECTED = ["tion", "ment", "les"]
+register("segmented_tokens", lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(T.segment(F.col("text"), PROTECTED, ["the", "and"]), " ").alias("tokens")))

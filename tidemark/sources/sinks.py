@@ -72,3 +72,46 @@ def inventory(spark: SparkSession, folder: str, rules: dict[str, str], other: st
     for pattern, why in reversed(rules.items()):
         reason = F.when(F.col("path").rlike(pattern), why).otherwise(reason)
     return manifest(spark, folder).withColumn("reason", F.coalesce(reason, F.lit(other))).orderBy("path")
+
+
+def validation_bundle(judged: DataFrame, true: str, pred: str, labels: list, folder: str) -> dict[str, DataFrame]:
+    """Writes metrics by label, overall metrics, confusion counts and disagreements of one label column, and a Markdown summary; returns the tables."""
+    from tidemark.operators import metrics as M
+
+    tables = {"label_metrics": M.label_metrics(judged, true, pred, labels), "overall": M.overall_metrics(judged, true, pred, labels), "confusion": M.confusion(judged, true, pred, labels), "disagreements": M.disagreements(judged, {"label": (true, pred)})}
+    write_tables(tables, folder)
+    spark = judged.sparkSession
+    back = {name: spark.read.parquet(f"{folder}/{name[:31]}") for name in tables}
+    o, lines = back["overall"].collect()[0], ["# Validation", ""]
+    lines += [f"- {c}: {'missing' if o[c] is None else format(o[c], '.4f')}" for c in back["overall"].columns]
+    lines += ["", "| label | support | precision | recall | f1 |", "|---|---|---|---|---|"]
+    lines += [f"| {r.label} | {r.support} | {r.precision:.4f} | {r.recall:.4f} | {r.f1:.4f} |" for r in back["label_metrics"].orderBy("label").collect()]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/summary_md")
+    return back
+
+
+def write_crossfit(scored: DataFrame, tones: DataFrame, folder: str) -> None:
+    """Sentence scores, partitioned by fold, and the reports' tones."""
+    scored.write.mode("overwrite").partitionBy("fold").parquet(f"{folder}/sentence_scores")
+    tones.write.mode("overwrite").parquet(f"{folder}/report_tones")
+
+
+def write_power(power: DataFrame, folder: str) -> None:
+    write_csv(power.orderBy("size"), f"{folder}/power_curve")
+
+
+def number_audit(tables: dict[str, tuple[DataFrame, str]], missing: str = "—") -> DataFrame:
+    """(item, value, source): every numeric cell of several tables (name -> (table, key column)); an item is the key and the column."""
+    out = None
+    for name, (df, key) in tables.items():
+        one = value_map(df, key, [c for c in df.columns if c != key], missing).where("kind = 'numeric'")
+        one = one.select(F.concat_ws(" / ", F.col(key).cast("string"), "column").alias("item"), F.col("value").cast("double").alias("value"), F.lit(name).alias("source"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def citation_audit(texts: DataFrame, text_col: str, pattern: str, known: DataFrame) -> DataFrame:
+    """(key, cited, listed): keys that the pattern's first group finds in texts, and those of the list (key), full outer."""
+    found = texts.select(F.explode(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(1))).alias("key")).groupBy("key").agg(F.count("*").alias("cited"))
+    both = found.join(known.select("key").distinct().withColumn("listed", F.lit(True)), "key", "full")
+    return both.select("key", F.coalesce("cited", F.lit(0)).alias("cited"), F.coalesce("listed", F.lit(False)).alias("listed"))

@@ -68,3 +68,29 @@ def quarter_events(cal: DataFrame) -> DataFrame:
 def action_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(op_date): days with an urgent order of at least 450,000."""
     return table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice >= 450000").select(F.to_date("o_orderdate").alias("op_date")).distinct()
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def section_index(spark: SparkSession, path: str, repaired: str | None = None) -> DataFrame:
+    """The section index, from the repaired file if there is one; \\ in paths becomes /."""
+    df = csv(spark, repaired if repaired and _there(spark, repaired) else path, "report_sections")
+    return df.withColumn("local_path", F.translate("local_path", "\\", "/"))
+
+
+def event_calendar(spark: SparkSession, path: str) -> DataFrame:
+    return csv(spark, path, "event_calendar", ["publication_datetime", "event_id"])
+
+
+def lexicon_sheets(spark: SparkSession, sheets: dict[str, tuple[str, bool]]) -> DataFrame:
+    """(word, category) of a workbook's sheets, each exported as CSV: category -> (path, whether its first line is a header). The first
+    column counts; blank words are left out."""
+    out = None
+    for category, (path, header) in sheets.items():
+        one = csv(spark, path, "words", header=header).select(F.trim(F.regexp_replace("word", "^\ufeff", "")).alias("word"), F.lit(category).alias("category")).where("word <> ''")
+        out = one if out is None else out.unionByName(one)
+    return out
