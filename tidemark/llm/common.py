@@ -88,25 +88,32 @@ def sum_arrays(df: DataFrame, vectors, length: int, chunk: int = 1024, fold: str
     return total[:length]
 
 
-MARKS = 1 << 22
+#: Bits of a bitmap for each id that it marks, and the bounds of its size; at the largest it is 64 MB.
+BITS_AN_ID, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 29
 
 
-def slots_of(ids: np.ndarray, slots: int = MARKS) -> np.ndarray:
+def bits_for(count: int) -> int:
+    """A power of two of bits for so many ids."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_AN_ID * max(1, count) - 1).bit_length()))
+
+
+def slots_of(ids: np.ndarray, slots: int) -> np.ndarray:
     h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return ((h ^ (h >> np.uint64(29))) >> np.uint64(64 - (slots - 1).bit_length())).astype(np.int64)
 
 
 def marked(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size in which the slot of each id is set; ids has one long column without nulls."""
+    """A bitmap, sized by the number of ids, in which the slot of each is set; ids has one long column without nulls."""
+    slots = bits_for(ids.count())
 
     def mark(batches):
-        seen = np.zeros(MARKS, bool)
+        seen = np.zeros(slots, bool)
         for b in batches:
-            seen[slots_of(b.column(0).to_numpy(zero_copy_only=False))] = True
+            seen[slots_of(b.column(0).to_numpy(zero_copy_only=False), slots)] = True
         return np.packbits(seen, bitorder="little").view(np.uint64)
 
-    return sum_arrays(ids, mark, MARKS // 64, fold="or")
+    return sum_arrays(ids, mark, slots // 64, chunk=max(1024, slots // 64 // 1024), fold="or")
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -120,7 +127,7 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
             seen = np.unpackbits(bits.value.view(np.uint8), bitorder="little").astype(bool)
             for b in batches:
                 ids = b.column(b.schema.get_field_index(id_col))
-                hit = seen[slots_of(ids.fill_null(0).to_numpy(zero_copy_only=False))] & ids.is_valid().to_numpy(zero_copy_only=False)
+                hit = seen[slots_of(ids.fill_null(0).to_numpy(zero_copy_only=False), len(seen))] & ids.is_valid().to_numpy(zero_copy_only=False)
                 yield b.filter(pa.array(hit == wanted))
 
         return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+#: Labels that are broadcast at most, two numbers each.
+SENT = 200_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for each node that has an edge; label is the smallest node it can reach.
 
@@ -22,6 +26,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("low"), "label")
         lower = materialize(lower, "lower")
         up = lower.select(F.col("node").alias("low"), F.col("low").alias("next"))
+        used = lower.select("low").distinct()
+        # one label of a huge component is one key of this join; few labels are sent to all tasks instead, many are a key a row
+        up = F.broadcast(up.join(used, "low")) if used.limit(SENT + 1).count() <= SENT else up
         new = materialize(lower.join(up, "low").select("node", F.least("low", "next").alias("label"), (F.least("low", "next") < F.col("label")).alias("moved")), "labels")
         if not new.where("moved").limit(1).count():
             return new.select("node", "label")

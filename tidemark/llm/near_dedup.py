@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, materialize, sliced, sum_arrays
+from .common import claim, marked, materialize, sliced, slots_of, sum_arrays
 from .components import connected_components
 
 WORDS = 5
@@ -34,7 +34,6 @@ PERCENT = 75
 COORDINATES = 64
 MATCHES = 28
 SLOTS = 1 << 21
-BITS = 1 << 22
 Q_BLOCK = 256
 D_BLOCK = 1024
 WORD_CACHE = 120_000
@@ -111,10 +110,6 @@ def _slots(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - (SLOTS - 1).bit_length())).astype(np.int64)
 
 
-def _doc_bit(ids: np.ndarray) -> np.ndarray:
-    return (_mixed(ids.astype(np.uint64) * _MIX) >> np.uint64(64 - (BITS - 1).bit_length())).astype(np.int64)
-
-
 def _count_slots(batches) -> np.ndarray:
     total = np.zeros(SLOTS, np.int64)
     for b in batches:
@@ -123,13 +118,6 @@ def _count_slots(batches) -> np.ndarray:
     return total
 
 
-def _mark_docs(batches) -> np.ndarray:
-    seen = np.zeros(BITS, bool)
-    for b in batches:
-        seen[_doc_bit(b.column(0).to_numpy(zero_copy_only=False))] = True
-    return np.packbits(seen, bitorder="little").view(np.uint64)
-
-
 def _poster(counts):
     prefix = COORDINATES - MATCHES + 1
 
@@ -154,7 +142,7 @@ def _sets(bitmap):
         claim("shingles", _words.clear)
         seen = np.unpackbits(bitmap.value.view(np.uint8), bitorder="little").astype(bool)
         for b in batches:
-            b = b.filter(pa.array(seen[_doc_bit(b.column(0).to_numpy(zero_copy_only=False))]))
+            b = b.filter(pa.array(seen[slots_of(b.column(0).to_numpy(zero_copy_only=False), len(seen))]))
             for c in sliced([b]):
                 sets = [shingle_set(t) for t in c.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "shingles"])
@@ -234,7 +222,7 @@ def _with_both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
 
 def _sets_of(texts: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """(doc, shingles) of the documents in docs, and of the few others whose bit is set too."""
-    bitmap = texts.sparkSession.sparkContext.broadcast(sum_arrays(docs, _mark_docs, BITS // 64, fold="or"))
+    bitmap = texts.sparkSession.sparkContext.broadcast(marked(docs.distinct()))
     return materialize(texts.mapInArrow(_sets(bitmap), "doc long, shingles binary"), name)
 
 
