@@ -30,7 +30,7 @@ from .common import claim, materialize
 from .tokens import encoder
 
 SHARD_TOKENS = 1 << 21
-RULES_A_ROUND = 7500
+RULES_A_ROUND = 60_000
 LEAST = 12
 
 _HEAD = struct.Struct("<4sIIIIIIIQ")
@@ -58,30 +58,33 @@ def compress(ids: np.ndarray, terminals: int, barrier: int, rounds: int | None =
         if not len(frequent):
             break
         # the most frequent first; equal counts by pair, so a shard is always stored alike
-        frequent = frequent[np.lexsort((pairs[frequent], -times[frequent]))][:rules_a_round]
+        frequent = frequent[np.lexsort((pairs[frequent], -times[frequent]))][: min(rules_a_round, 65_000)]
         chosen = np.sort(pairs[frequent])
         # a slot holds a chosen pair's place, counted from 1; pairs that share a slot are looked up among the chosen pairs themselves
         table, slot = np.zeros(1 << _TABLE_BITS, np.uint16), _hashed(chosen)
         table[slot] = np.arange(1, len(chosen) + 1, dtype=np.uint16)
-        shared = np.bincount(slot, minlength=1 << _TABLE_BITS) > 1
+        shared = np.bincount(slot.astype(np.int64), minlength=1 << _TABLE_BITS) > 1
         table[shared] = len(chosen) + 1
-        which = table[_hashed(keys)]
-        places = np.flatnonzero(which)
-        which, own = which[places].astype(np.int64) - 1, keys[places]
+        which = table.take(_hashed(keys))
+        places = np.flatnonzero(which != 0)
+        which, own = which.take(places).astype(np.int32) - 1, keys.take(places)
         late = np.flatnonzero(which == len(chosen))
         which[late] = np.minimum(np.searchsorted(chosen, own[late]), len(chosen) - 1)
-        hit = chosen[which] == own
+        hit = chosen.take(which) == own
         places, which = places[hit], which[hit]
         # in a run of overlapping occurrences the first, third, fifth ... are replaced
-        first = np.concatenate(([True], places[1:] != places[:-1] + 1))
-        run = np.cumsum(first) - 1
-        odd = (places - places[first][run]) % 2 == 0
+        at = np.arange(len(places), dtype=np.int32)
+        start = at.copy()
+        start[1:][places[1:] == places[:-1] + 1] = 0
+        odd = ((at - np.maximum.accumulate(start)) & 1) == 0
         take, which = places[odd], which[odd]
-        used = np.unique(which)
+        used = np.flatnonzero(np.bincount(which, minlength=len(chosen)))
         renumbered = np.zeros(len(chosen), np.uint32)
         renumbered[used] = np.arange(fresh, fresh + len(used), dtype=np.uint32)
         seq[take] = renumbered[which]
-        seq = np.delete(seq, take + 1)
+        stays = np.ones(len(seq), bool)
+        stays[take + 1] = False
+        seq = seq[stays]
         lefts.append((chosen[used] >> half).astype(np.uint32))
         rights.append((chosen[used] & low).astype(np.uint32))
         fresh += len(used)
@@ -90,7 +93,7 @@ def compress(ids: np.ndarray, terminals: int, barrier: int, rounds: int | None =
 
 def _hashed(keys: np.ndarray) -> np.ndarray:
     if keys.dtype == np.uint32:
-        return ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - _TABLE_BITS)).astype(np.int64)
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - _TABLE_BITS)
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
 
