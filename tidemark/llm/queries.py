@@ -15,6 +15,7 @@ from .piece_lattice import encode
 from .quality import score, train
 from .repair_store import read_token_files, write_token_files
 from .secret_scan import scan
+from .sql import near_dedup_sql, secret_scan_sql
 from .wordpiece import count_tokens
 
 
@@ -88,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_secret_scan": secret_scan_sql(), "op10_minhash_near_dedup": near_dedup_sql()}
