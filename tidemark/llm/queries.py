@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, ogg
 from .common import documents, materialize, short_batches
+from .filter_audit import audit
 from .html_text import extract
 from .near_dedup import near_duplicates
 from .packing import best_fit_pack, tokenized_pieces
@@ -15,7 +16,7 @@ from .piece_lattice import encode
 from .quality import score, train
 from .repair_store import read_token_files, write_token_files
 from .secret_scan import scan
-from .sql import near_dedup_sql, secret_scan_sql
+from .sql import filter_audit_sql, near_dedup_sql, secret_scan_sql
 from .wordpiece import count_tokens
 
 
@@ -73,6 +74,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -85,8 +90,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_ogg_media": op9_ogg_media,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_secret_scan": secret_scan_sql(), "op10_minhash_near_dedup": near_dedup_sql()}
+    return {"op8_secret_scan": secret_scan_sql(), "op10_minhash_near_dedup": near_dedup_sql(), "op11_filter_audit": filter_audit_sql()}

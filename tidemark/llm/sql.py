@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .filter_audit import LEAST_DISTINCT, LEAST_WORDS, LETTERS, MOST_CAPITALS, SIGNS
 from .near_dedup import PERCENT, WORDS
 from .secret_scan import ACCESS_LEAST, ASSIGN_LEAST, CLASSES, WINDOW
 
@@ -69,3 +70,28 @@ joined as (select rid, count_if(rank = 0) as n_assign, count_if(rank = 1) as n_a
     string_agg(span, ',' order by start, rank, stop) filter (where rank < 3) as base, string_agg(span, ',' order by start, rank, stop) as spans from named group by rid)
 select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
     sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from texts left join joined using (rid)"""
+
+
+def filter_audit_sql() -> str:
+    """Each document goes through all orders by its five failures; what an order removes is counted at each of its steps."""
+    return f"""
+with texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+counted as (select doc_id, part, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from texts),
+failed as materialized (select part, len(w) < {LEAST_WORDS} as a, 100 * len(list_distinct(w)) < {LEAST_DISTINCT} * len(w) as b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {MOST_CAPITALS} * length(t) as c, regexp_matches(t, '{SIGNS}') as d,
+    coalesce(counted.doc_id > min(counted.doc_id) over (partition by t), false) as e, coalesce(good, false) as good, coalesce(toxic, false) as toxic
+    from counted left join (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id) marks on counted.doc_id = marks.doc_id),
+cells as materialized (select part, [a, b, c, d, e] as f, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from failed group by all),
+five as (select unnest(range(1, 6)) as o),
+orders as (select [p.o, q.o, r.o, s.o, u.o] as places from five p, five q, five r, five s, five u where len(list_distinct(places)) = 5),
+steps as (select part, places, k as step, sum(n) filter (not list_bool_or(list_transform(places[:k], lambda x: f[x]))) as kept,
+    sum(n) filter (f[places[k]] and not coalesce(list_bool_or(list_transform(places[:k - 1], lambda x: f[x])), false)) as removed,
+    sum(n) filter (f[places[k]] and coalesce(list_bool_or(list_transform(places[:k - 1], lambda x: f[x])), false)) as redundant,
+    sum(n) filter (f[places[k]] and len(list_filter(f, lambda x: x)) = 1) as unique_fails,
+    sum(good) filter (f[places[k]] and not coalesce(list_bool_or(list_transform(places[:k - 1], lambda x: f[x])), false)) as good_lost,
+    sum(toxic) filter (f[places[k]] and not coalesce(list_bool_or(list_transform(places[:k - 1], lambda x: f[x])), false)) as toxic_lost
+    from cells, orders, (select unnest(range(1, 6)) as k) group by all)
+select part, list_aggregate(list_transform(places, lambda x: '{LETTERS}'[x]), 'string_agg', '') as filter_order, step::integer as step, coalesce(kept, 0)::bigint as kept,
+    coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost,
+    coalesce(toxic_lost, 0)::bigint as toxic_lost, sum(coalesce(removed, 0)) over (partition by part, places[step])::bigint as shapley
+from steps"""
