@@ -14,9 +14,11 @@ from .near_dedup import near_duplicates
 from .packing import best_fit_pack, tokenized_pieces
 from .piece_lattice import encode
 from .quality import score, train
+from .ranked_search import search
 from .repair_store import read_token_files, write_token_files
 from .secret_scan import scan
-from .sql import filter_audit_sql, near_dedup_sql, secret_scan_sql
+from .sql import filter_audit_sql, near_dedup_sql, ranked_search_sql, secret_scan_sql, warc_sql
+from .warc import page_records, read_archives, write_archives
 from .wordpiece import count_tokens
 
 
@@ -78,6 +80,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
+    archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return page_records(read_archives(spark, archives, with_payload=False))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -91,8 +103,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ogg_media": op9_ogg_media,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
         "op11_filter_audit": op11_filter_audit,
+        "op12_warc": op12_warc,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_secret_scan": secret_scan_sql(), "op10_minhash_near_dedup": near_dedup_sql(), "op11_filter_audit": filter_audit_sql()}
+    return {"op8_secret_scan": secret_scan_sql(), "op10_minhash_near_dedup": near_dedup_sql(), "op11_filter_audit": filter_audit_sql(), "op12_warc": warc_sql(), "op13_ranked_search": ranked_search_sql()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .filter_audit import LEAST_DISTINCT, LEAST_WORDS, LETTERS, MOST_CAPITALS, SIGNS
 from .near_dedup import PERCENT, WORDS
+from .ranked_search import B, BASE, LENGTH, SCALE, TF, TOP
 from .secret_scan import ACCESS_LEAST, ASSIGN_LEAST, CLASSES, WINDOW
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -95,3 +96,33 @@ select part, list_aggregate(list_transform(places, lambda x: '{LETTERS}'[x]), 's
     coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost,
     coalesce(toxic_lost, 0)::bigint as toxic_lost, sum(coalesce(removed, 0)) over (partition by part, places[step])::bigint as shapley
 from steps"""
+
+
+def warc_sql() -> str:
+    """Copies by their whole text; the digest's forty hexadecimal digits become base32 five at a time."""
+    return """
+with p as (select page_id, coalesce(html, '') as html from pages),
+m as (select page_id, html, sha1(html) as hex, max(page_id) over (partition by html) as first from p)
+select page_id, strlen(html)::bigint as payload_bytes,
+    list_aggregate(list_transform(range(0, 32), lambda k: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substring(hex, (k // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (k % 4))::bigint) & 31)::bigint + 1, 1)), 'string_agg', '') as payload_digest,
+    case when first is null or page_id = first then 'response' else 'revisit' end as record_type,
+    case when first is not null and (page_id is null or page_id <> first) then first end as refers_to
+from m"""
+
+
+def ranked_search_sql() -> str:
+    """Scores by a join of the items' terms with all documents' term counts."""
+    terms = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+with words as materialized (select row_number() over () as rid, doc_id, {terms} as w from documents),
+sizes as materialized (select rid, doc_id, len(w) as n from words where len(w) > 0),
+totals as (select count(*) as docs, sum(n)::bigint as terms from sizes),
+asked as materialized (select distinct item_id, unnest({terms}) as term from benchmark),
+counts as materialized (select rid, term, count(*) as tf from (select rid, unnest(w) as term from words) where term in (select term from asked) group by all),
+weights as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from counts, totals group by term, docs),
+impacts as materialized (select rid, term, w * (({SCALE} * tf) // ({TF} * tf + {LENGTH} * ({BASE - B} + ({B} * n * docs) // terms))) as impact
+    from counts join weights using (term) join sizes using (rid), totals),
+scores as (select item_id, rid, doc_id, sum(impact)::bigint as score from asked join impacts using (term) join sizes using (rid) group by all having sum(impact) > 0)
+select item_id, rank::integer as rank, doc_id, score from
+    (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id asc nulls last) as rank from scores) where rank <= {TOP}"""
