@@ -41,6 +41,7 @@ HEADER_BYTES, CHUNK, MEMBER_BYTES = 1 << 16, 1 << 15, 1 << 30
 # Fixed values of the format.
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MANDATORY = ("warc-type", "warc-record-id", "warc-date")
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]")
 _VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
@@ -187,6 +188,8 @@ def plain_record(data, at: int = 0) -> tuple[Record, int]:
     if stop < 0:
         raise Damaged("a header without an end")
     headers = _fields(data[version.end() : stop])
+    if not all(headers.get(f) for f in MANDATORY):
+        raise Damaged("a header without a mandatory field")
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise Damaged("no length")
