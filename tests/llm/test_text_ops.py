@@ -202,6 +202,46 @@ def test_rounds_pack_about_as_best_fit_decreasing(spark, cap, n, seed):
         assert len(by) <= best + max(1, best // 50), (len(by), best)
 
 
+def shapes():
+    r = random.Random(7)
+    near = lambda n, mean, sd: [max(1, round(r.gauss(mean, sd))) for _ in range(n)]
+    return {
+        "one length, three fit": [1365] * 900,
+        "one length, seven fit": [520] * 2100,
+        "one length, six fit": [600] * 1200,
+        "about a third, and short ones": near(2000, 1300, 60) + [r.randrange(1, 200) for _ in range(500)],
+        "three lengths": [2100] * 300 + [1300] * 2000 + [300] * 300,
+        "uniform": [r.randrange(1, 4097) for _ in range(3000)],
+        "a quarter to a half": [r.randrange(1025, 2049) for _ in range(3000)],
+        "an eighth to a third": [r.randrange(500, 1500) for _ in range(3000)],
+        "short": [r.randrange(1, 300) for _ in range(3000)],
+    }
+
+
+@pytest.mark.parametrize("name", sorted(shapes()))
+def test_few_sequences_whatever_the_lengths(name):
+    """Within two hundredths of best-fit decreasing, by the rounds that one task does; fast, so many shapes."""
+    lengths = shapes()[name]
+    gaps = {}
+    placed = packing.settle([(n, k) for k, n in enumerate(lengths)], gaps, packing.classes(4096), 4096, 0)
+    assert sorted((k, n) for k, n, _ in placed) == list(enumerate(lengths))
+    used = Counter()
+    for _, n, s in placed:
+        used[s] += n
+    assert max(used.values()) <= 4096 and gaps == {s: 4096 - n for s, n in used.items()}
+    best = best_fit_decreasing(lengths, 4096)
+    assert len(used) <= best * 1.02, (len(used), best)
+
+
+@pytest.mark.parametrize("name", ["one length, three fit", "three lengths", "about a third, and short ones"])
+def test_few_sequences_in_many_tasks(spark, name):
+    lengths = shapes()[name]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lengths)], "doc_id long, length int")
+    used = packing.best_fit_pack(df, 4096, 400).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert sum(r[1] for r in used) == sum(lengths) and max(r[1] for r in used) <= 4096
+    assert len(used) <= best_fit_decreasing(lengths, 4096) * 1.02
+
+
 def test_ranks_pair_what_partitions_leave_over():
     """Runs of ranks against one stack over all rows."""
     r = random.Random(9)

@@ -1,19 +1,21 @@
 """Best-fit packing of token sequences, in bulk-synchronous rounds over range-sorted lengths and gaps.
 
-Documents are taken in classes of falling length, (C/2, C], (C/4, C/2] and so on. A round of a class:
+Documents are taken in classes of falling length. A round of a class:
 
 1. Sort. The class's documents and the slots of open sequences are range-sorted together by falling size. A gap that holds
-   several documents of the class has as many slots of the class's largest length, any other gap above the class's smallest
-   length is one slot of its size. Of equal sizes slots come first, and the smallest gap last.
+   several of the longest document left has several slots of that size, no more in all than about twice the documents; any other gap is
+   one slot of its size. Of equal sizes slots come first, and the smallest gap last.
 2. Sweep. Each partition sweeps its rows: a document takes the slot met last, which is the smallest one that is large enough and still free.
 3. Conflicts by rank. Documents that find no slot in their partition take those that earlier partitions left free, the last first. Of
    each partition only two counts reach the driver, which turns them into runs of ranks; documents and slots
    are then joined on (partition, rank), a key that two rows have at most.
-4. Update. Gaps shrink by what was placed. Documents without a slot are swept again while that places any; then they open new
-   sequences, by rank, as many in each as certainly fit (for the longer and the shorter half of the class).
+4. Update. Gaps shrink by what was placed, and documents without a slot are swept again. Where a sweep places none, the longest of
+   them open sequences, one each: as many as those left need at least, by their tokens and by how many of the shortest one fit
+   into a sequence. The others are swept again.
 
-The number of rounds depends on the capacity, not on the corpus; what moves in a round is the class's lengths and the gaps.
-At the end documents get their offsets within their sequence, which holds `capacity` documents at most.
+Where a round would be one partition of at most TASK_ROWS rows, its class's rounds go on inside that one task, by the same sweep; the classes
+that are left, too, once all their rows are so few. The number of rounds depends on the capacity, not on the corpus; what moves in
+a round is the class's lengths and the gaps. At the end documents get their offsets within their sequence, which holds `capacity` documents at most.
 """
 
 from __future__ import annotations
@@ -30,9 +32,9 @@ from .common import claim, materialize
 from .tokens import encoder
 
 CAPACITY = 4096
-#: Lengths up to this part of the capacity are one class.
-CLASSES = 64
-#: Rows that a task sweeps, about.
+#: Bounds of the classes of lengths, as parts of the capacity. Between a half and a quarter, where two or three fit into a sequence, they are narrow.
+CLASSES = [1, 2**-1, 2**-1.25, 2**-1.5, 2**-1.75, 2**-2, 2**-3]
+#: Rows that a task sweeps, about; where a class's documents and gaps are no more, one task does its rounds.
 TASK_ROWS = 50_000
 
 
@@ -67,10 +69,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity
 
 def classes(capacity: int) -> list[tuple[int, int]]:
     """(above, up to) of each class of lengths, falling."""
-    bounds = [capacity]
-    while bounds[-1] > capacity // CLASSES:
-        bounds.append(bounds[-1] // 2)
-    bounds = [b for b in bounds if b]
+    bounds = sorted({int(capacity * c) for c in CLASSES} - {0}, reverse=True)
     return list(zip([*bounds[1:], 0], bounds))
 
 
@@ -163,22 +162,55 @@ def _joined(spark, alone: DataFrame, slots: DataFrame, runs: list[tuple[int, int
     return alone.mapInArrow(place, "part int, rank long, row long, length int").join(slots, ["part", "rank"]).select("row", "length", "seq")
 
 
-def new_sequences(none: list[tuple[int, int, int]], longer: dict[int, int], each: tuple[int, int], sequences: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Runs (partition, first rank, documents, to a sequence, first sequence, place of the first one) for documents without a slot, and the sequences there are then.
+def sequences_needed(n: int, tokens: int, least: int, capacity: int) -> int:
+    """So many sequences n documents need at least, the shortest of which has `least` tokens."""
+    return min(n, max(-(-tokens // capacity), -(-n // (capacity // least))))
 
-    The class's upper half and its lower half, each in the order of ranks, go each[0] and each[1] to a sequence; longer: how many of a
-    partition's documents left over are in the upper half, which come first."""
+
+def opened(none: list[tuple[int, int, int]], first: int, need: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs (partition, first rank, documents, to a sequence, first sequence, 0): the `need` longest documents without a slot, which come
+    first, open a sequence each, from number `first` on; the others none."""
     runs: list[tuple[int, int, int, int, int, int]] = []
-    for half in (0, 1):
-        place = 0
-        for part, first, n in sorted(none):
-            upper = min(n, max(0, longer.get(part, 0) - first))
-            at, size = (first, upper) if half == 0 else (first + upper, n - upper)
-            if size:
-                runs.append((part, at, size, each[half], sequences, place))
-                place += size
-        sequences += -(-place // each[half])
-    return runs, sequences
+    for part, at, n in sorted(none):
+        own = min(n, need)
+        if own:
+            runs.append((part, at, own, 1, first, 0))
+        if n > own:
+            runs.append((part, at + own, n - own, 0, 0, 0))
+        first, need = first + own, need - own
+    return runs
+
+
+def slots_of(gap: int, most: int, some: int) -> tuple[int, int]:
+    """(how many slots, of which size) a gap has for documents of up to `most` tokens, `some` at most."""
+    n = min(some, max(1, gap // most))
+    return n, most if n > 1 else gap
+
+
+def settle(documents: list[tuple[int, int]], gaps: dict[int, int], bounds: list[tuple[int, int]], capacity: int, first: int) -> list[tuple[int, int, int]]:
+    """[(row, length, sequence)] of all documents (length, row): the rounds of their classes, as one partition. gaps is brought up to date."""
+    placed = []
+    for lo, hi in bounds:
+        left = sorted((-n, row) for n, row in documents if lo < n <= hi)
+        while left:
+            most, least, length = -left[0][0], -left[-1][0], {row: -n for n, row in left}
+            fit = [(g, s) for s, g in gaps.items() if g >= least]
+            some = -(-2 * len(left) // max(1, len(fit)))
+            items = [(n, 1, 0, row) for n, row in left]
+            for g, s in fit:
+                n, size = slots_of(g, most, some)
+                items += [(-size, 0, -g, s)] * n
+            items.sort()
+            hits, alone, _ = sweep([x[3] if x[1] else -1 for x in items], [None if x[1] else x[3] for x in items])
+            if not hits:
+                need = sequences_needed(len(left), sum(length.values()), least, capacity)
+                hits, alone = list(zip(alone[:need], range(first, first + need))), alone[need:]
+                first += need
+            for row, s in hits:
+                gaps[s] = gaps.get(s, capacity) - length[row]
+                placed.append((row, length[row], s))
+            left = [(-length[row], row) for row in alone]
+    return placed
 
 
 def _without_slot(spark, alone: DataFrame, runs: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
@@ -210,38 +242,75 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, task_rows: int =
     rows = materialize(pieces.select(checked.cast("int").alias("length"), F.monotonically_increasing_id().alias("row"), F.struct(*names).alias("own")), "pieces")
     lengths, bounds = rows.select("row", "length"), classes(capacity)
     in_class = F.expr("case " + " ".join(f"when length > {lo} then {k}" for k, (lo, _) in enumerate(bounds)) + " end")
-    sizes = {r[0]: r[1] for r in lengths.groupBy(in_class.alias("k")).count().collect()}
-    gaps, rounds, sequences = spark.createDataFrame([], "seq long, gap int"), [], 0
+    totals = [F.count("*"), F.sum("length"), F.min("length"), F.max("length")]
+    sizes = {r[0]: tuple(r)[1:] for r in lengths.groupBy(in_class.alias("k")).agg(*totals).collect()}
+    gaps, n_gaps, step = spark.createDataFrame([], "seq long, gap int"), 0, 0
+    rounds: list[DataFrame] = []
     for k, (lo, hi) in enumerate(bounds):
-        left, n_left, middle = lengths.where(f"length > {lo} and length <= {hi}"), sizes.get(k, 0), (lo + hi + 1) // 2
-        while n_left:
-            tasks = -(-(n_left + 2 * sequences) // task_rows)
-            slots = gaps.where(f"gap > {lo}").select(F.least("gap", F.lit(hi)).alias("size"), F.lit(0).alias("kind"), (-F.col("gap")).alias("order"), F.lit(-1).cast("long").alias("row"), "seq", F.explode(F.expr(f"sequence(1, greatest(1, cast(gap div {hi} as int)))")).alias("slot")).drop("slot")
+        left, (n, tokens, least, most) = lengths.where(f"length > {lo} and length <= {hi}"), sizes.get(k, (0, 0, 0, 0))
+        while n:
+            held = gaps.where(f"gap >= {least}").count() if n_gaps else 0
+            later = sum(sizes[j][0] for j in range(k + 1, len(bounds)) if j in sizes)
+            step += 1
+            first = step << 40  # sequences opened in a step have numbers of their own
+            if n + held <= task_rows:
+                last = n + later + n_gaps <= task_rows
+                own = lengths.where(f"length <= {lo}").unionByName(left) if last else left
+                settled = _settled(own, gaps if last else gaps.where(f"gap >= {least}"), bounds[k:] if last else [(lo, hi)], capacity, first)
+                rounds.append(settled.where("row is not null").select("row", "length", "seq"))
+                if last:
+                    return _with_places(rows, rounds, names)
+                gaps = materialize(gaps.where(f"gap < {least}").unionByName(settled.where("row is null and gap > 0").select("seq", "gap")), "gaps")
+                n_gaps = gaps.count()
+                break
+            some = -(-2 * n // max(1, held))
+            many = F.expr(f"least({some}, greatest(1, cast(gap div {most} as int)))")
+            slots = gaps.where(f"gap >= {least}").withColumn("many", many).select(F.when(F.col("many") > 1, most).otherwise(F.col("gap")).alias("size"), F.lit(0).alias("kind"), (-F.col("gap")).alias("order"), F.lit(-1).cast("long").alias("row"), "seq", F.explode(F.sequence(F.lit(1), F.col("many"))).alias("slot")).drop("slot")
             items = left.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.lit(0).alias("order"), "row", F.lit(None).cast("long").alias("seq")).unionByName(slots)
             keys = [F.col("size").desc(), F.col("kind").asc(), F.col("order").asc(), F.col("row").asc(), F.col("seq").asc()]
-            items = items.coalesce(1) if tasks == 1 else items.repartitionByRange(tasks, *keys)
+            items = items.repartitionByRange(-(-(n + held) // task_rows), *keys)
             swept = materialize(items.sortWithinPartitions(*keys).mapInArrow(_swept, _ITEM), "swept")
-            counted = swept.groupBy("part").agg(F.count_if(F.col("kind") == "alone"), F.count_if(F.col("kind") == "slot"), F.count_if(F.col("kind") == "placed"), F.count_if((F.col("kind") == "alone") & (F.col("length") > middle))).collect()
+            counted = swept.groupBy("part").agg(F.count_if(F.col("kind") == "alone"), F.count_if(F.col("kind") == "slot"), F.count_if(F.col("kind") == "placed")).collect()
             runs, none = match_ranks([tuple(r)[:3] for r in counted])
             hits, rest = sum(r[3] for r in counted) + sum(r[2] for r in runs), sum(r[2] for r in none)
             alone = swept.where("kind = 'alone'").select("part", "rank", "row", "length")
-            parts = [swept.where("kind = 'placed'").select("row", "length", "seq")]
+            done = swept.where("kind = 'placed'").select("row", "length", "seq")
             if runs:
-                parts.append(_joined(spark, alone, swept.where("kind = 'slot'").select("part", "rank", "seq"), runs))
-            if rest:  # swept again if this round placed any, or put into new sequences
-                again = [(*run, 0, 0, 0) for run in none]
-                opened, after = (again, sequences) if hits else new_sequences(none, {r[0]: r[4] for r in counted}, (capacity // hi, capacity // middle), sequences)
-                parts.append(_without_slot(spark, alone, opened))
-            done = parts[0]
-            for part in parts[1:]:
-                done = done.unionByName(part)
+                done = done.unionByName(_joined(spark, alone, swept.where("kind = 'slot'").select("part", "rank", "seq"), runs))
+            if rest:  # swept again if this round placed any, else the longest open sequences
+                done = done.unionByName(_without_slot(spark, alone, opened(none, first, 0 if hits else sequences_needed(n, tokens, least, capacity))))
             done = materialize(done, "round")
             rounds.append(done.where("seq is not null"))
-            used = (rounds[-1].coalesce(1) if tasks == 1 else rounds[-1]).groupBy("seq").agg(F.sum("length").cast("int").alias("used"))
-            updated = (gaps.coalesce(1) if tasks == 1 else gaps).join(used, "seq", "full").select("seq", (F.coalesce("gap", F.lit(capacity)) - F.coalesce("used", F.lit(0))).alias("gap"))
+            used = rounds[-1].groupBy("seq").agg(F.sum("length").cast("int").alias("used"))
+            updated = gaps.join(used, "seq", "full").select("seq", (F.coalesce("gap", F.lit(capacity)) - F.coalesce("used", F.lit(0))).alias("gap"))
             gaps = materialize(updated.where("gap > 0"), "gaps")
-            left, n_left, sequences = done.where("seq is null"), rest if hits else 0, after if rest else sequences
-    every = spark.createDataFrame([], "row long, length int, seq long")
+            n_gaps, left = gaps.count(), done.where("seq is null").select("row", "length")
+            n, tokens, least, most = left.agg(*totals).first() if rest else (0, 0, 0, 0)
+    return _with_places(rows, rounds, names)
+
+
+def _settled(documents: DataFrame, gaps: DataFrame, bounds: list[tuple[int, int]], capacity: int, first: int) -> DataFrame:
+    """row, length, seq of documents placed by one task, and seq, gap of all its gaps afterwards (row null)."""
+
+    def run(batches):
+        own, open_ = [], {}
+        for b in batches:
+            for row, length, s, gap in zip(*(c.to_pylist() for c in b.columns)):
+                if row is None:
+                    open_[s] = gap
+                else:
+                    own.append((length, row))
+        placed = settle(own, open_, bounds, capacity, first)
+        cols = [[*(p[0] for p in placed), *[None] * len(open_)], [*(p[1] for p in placed), *[None] * len(open_)], [*(p[2] for p in placed), *open_], [*[None] * len(placed), *open_.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["row", "length", "seq", "gap"])
+
+    none = lambda t: F.lit(None).cast(t)
+    both = documents.select("row", "length", none("long").alias("seq"), none("int").alias("gap")).unionByName(gaps.select(none("long").alias("row"), none("int").alias("length"), "seq", "gap"))
+    return materialize(both.repartition(1).mapInArrow(run, "row long, length int, seq long, gap int"), "settled")
+
+
+def _with_places(rows: DataFrame, rounds: list[DataFrame], names: list[str]) -> DataFrame:
+    every = rows.sparkSession.createDataFrame([], "row long, length int, seq long")
     for part in rounds:
         every = every.unionByName(part)
     before = Window.partitionBy("seq").orderBy(F.col("length").desc(), "row").rowsBetween(Window.unboundedPreceding, -1)
