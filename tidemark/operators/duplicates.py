@@ -1,7 +1,9 @@
-"""Near-equal sentences and the groups they form, by equi-joins on rare shared n-grams and label propagation."""
+"""Near-equal texts and the groups they form, by equi-joins on minimizers and on parts of gram sets, and by label propagation."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,58 +12,184 @@ from tidemark.sources.scratch import materialize
 
 JACCARD_PERCENT = 92
 CONTAINED = 20
+#: A minimizer is the smallest hash of ANCHOR characters in any CONTAINED characters.
+ANCHOR = 12
+#: Sizes of one level differ by less than this; it is a little more than two sizes of Jaccard 0.92 can differ by.
+LEVEL = 1.09
+#: Characters whose features a task finds at once, and labels that are broadcast at most, two numbers each.
+CHARACTERS, SENT = 2_000_000, 200_000
+
+_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(32))
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' code points (from 1) one after the other, each one's text, and each text's length."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return codes, np.repeat(np.arange(len(texts)), sizes), sizes
+
+
+def _different(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (owner, value), by owner."""
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    first = np.ones(len(owner), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
+    return owner[first], value[first]
+
+
+def minimizers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash): for any CONTAINED characters of a text the smallest hash of ANCHOR characters in them. A text that is contained in another
+    one has none that the other one has not."""
+    codes, owner, _ = _codes(texts)
+    n = len(codes) - CONTAINED + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    h = np.zeros(len(codes) - ANCHOR + 1, np.uint64)
+    for k in range(ANCHOR):
+        h = h * _MIX[0] + codes[k : k + len(h)]
+    least = np.lib.stride_tricks.sliding_window_view(_mixed(h), CONTAINED - ANCHOR + 1).min(axis=1)
+    whole = owner[:n] == owner[CONTAINED - 1 :]
+    return _different(owner[:n][whole], least[whole])
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, gram): the distinct 3-grams of each text as numbers; a text of up to 3 characters is one gram."""
+    codes, owner, sizes = _codes(texts)
+    ends = np.cumsum(sizes)
+    near = lambda k: np.where(np.arange(len(codes)) + k < ends[owner], np.concatenate((codes[k:], np.zeros(k, np.uint64)))[: len(codes)], np.uint64(0))
+    second, third = near(1), near(2)
+    place = np.arange(len(codes)) - (ends - sizes)[owner]
+    use = (third > 0) | (place == 0)
+    return _different(owner[use], (codes << np.uint64(42) | second << np.uint64(21) | third)[use])
+
+
+def set_parts(owner: np.ndarray, gram: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key): equal for two texts at least once if the Jaccard of their gram sets is JACCARD_PERCENT or more.
+
+    Sets of such a Jaccard differ in at most a 24th of their sizes' sum, d grams. Dealt by hash to d + 1 parts, they agree in a whole part.
+    d is that of the largest size of a level; a text has the parts of its own level and of the next one, where its partner may be."""
+    sizes = np.bincount(owner, minlength=n_texts)
+    level = np.floor(np.log(np.maximum(sizes, 1)) / np.log(LEVEL)).astype(np.int64)
+    mixed, texts, keys = _mixed(gram), [], []
+    for step in (0, 1):
+        largest = np.floor(LEVEL ** (level + step + 1)).astype(np.int64) + 1
+        parts = largest * 2 * (100 - JACCARD_PERCENT) // (100 + JACCARD_PERCENT) + 1
+        starts = np.cumsum(parts) - parts
+        sums = np.zeros(int(parts.sum()), np.uint64)
+        np.add.at(sums, starts[owner] + (mixed % parts[owner].astype(np.uint64)).astype(np.int64), _mixed(mixed))
+        text = np.repeat(np.arange(n_texts), parts)
+        part = np.arange(len(text)) - starts[text]
+        texts.append(text)
+        keys.append(_mixed(sums ^ _mixed(((level + step)[text].astype(np.uint64) << np.uint64(40)) | part.astype(np.uint64))))
+    return np.concatenate(texts), np.concatenate(keys)
+
+
+_FEATURES = "id long, kind int, h long, n int, m int"
+
+
+def _features(batches):
+    """Of each (id, t): kind 0, its minimizers, with the text's length n and how many it has, m; kind 1, keys of its parts."""
+    for b in batches:
+        ids, all_texts, at = b.column(0).to_numpy(), b.column(1).to_pylist(), 0
+        while at < len(all_texts):
+            stop, size = at, 0
+            while stop < len(all_texts) and (stop == at or size + len(all_texts[stop]) <= CHARACTERS):
+                size += len(all_texts[stop])
+                stop += 1
+            texts, own = all_texts[at:stop], ids[at:stop]
+            long, h = minimizers(texts)
+            text, key = set_parts(*grams(texts), len(texts))
+            many, lengths = np.bincount(long, minlength=len(texts)), np.array([len(t) for t in texts])
+            columns = [
+                (np.concatenate((own[long], own[text])), pa.int64()),
+                (np.repeat([0, 1], [len(long), len(text)]), pa.int32()),
+                (np.concatenate((h, key)).view(np.int64), pa.int64()),
+                (np.concatenate((lengths[long], lengths[text])), pa.int32()),
+                (np.concatenate((many[long], np.zeros(len(text), np.int64))), pa.int32()),
+            ]
+            for k in range(0, len(columns[0][0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000], t) for c, t in columns], [c.split()[0] for c in _FEATURES.split(", ")])
+            at = stop
+
+
+def _alike(batches):
+    """The (a, b) whose texts have a Jaccard of JACCARD_PERCENT."""
+    for b in batches:
+        pairs = []
+        for i, j, s, t in zip(*(c.to_pylist() for c in b.columns)):
+            one, two = ({x[k : k + 3] for k in range(len(x) - 2)} or {x} for x in (s, t))
+            common = len(one & two)
+            if 100 * common >= JACCARD_PERCENT * (len(one) + len(two) - common):
+                pairs.append((min(i, j), max(i, j)))
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def near_pairs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(a, b) with a < b for near-duplicate texts: equal without spaces and marks, one of 20 and more characters contained in
-    the other, or character 3-gram Jaccard of at least 0.92. Empty texts pair with nothing.
+    the other, or character 3-gram Jaccard of at least 0.92. Empty and null texts pair with nothing.
 
-    Equal texts are linked to the smallest id only; distinct texts meet at an anchor: the 20 characters with the smallest
-    hash of the shorter text against every place of longer ones, or the rarest 3-grams that a Jaccard of 0.92 must share."""
-    base = rows.select(F.col(id_col).alias("id"), T.bare(F.lower(F.col(text_col))).alias("t")).where("length(t) > 0")
+    Equal texts are linked to the smallest id only. Of distinct texts, a contained one meets the others at its rarest minimizer, and is left out if
+    any of its minimizers occurs nowhere else; alike ones meet where they agree in a part of their gram sets. Both are checked on the texts."""
+    base = rows.select(F.col(id_col).cast("long").alias("id"), T.bare(F.lower(F.col(text_col))).alias("t")).where("length(t) > 0")
     classes = materialize(base.groupBy("t").agg(F.min("id").alias("id")), "classes")
     equal = base.join(classes.withColumnRenamed("id", "a"), "t").where("a < id").select("a", F.col("id").alias("b"))
 
-    # containment: the shorter text's 20 characters with the smallest hash stand somewhere in the longer one
-    shingle = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (CONTAINED - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(CONTAINED)))
-    short = classes.where(F.length("t") >= CONTAINED).select(F.col("id").alias("s"), F.col("t").alias("st"), F.array_min(F.transform(shingle(F.col("t")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"].alias("g"))
-    keys = short.select("g").distinct()
-    places = classes.where(F.length("t") > CONTAINED).select("id", F.explode(F.array_distinct(shingle(F.col("t")))).alias("g")).join(keys, "g", "left_semi")
-    met = places.join(short.select("s", "g"), "g").where("s <> id").select("id", "s").distinct()
-    inside = met.join(short.select("s", "st"), "s").join(classes, "id").where(F.contains("t", F.col("st"))).select(F.least("id", "s").alias("a"), F.greatest("id", "s").alias("b"))
-
-    grams = classes.select("id", T.char_grams(F.col("t")).alias("gs"))
-    one = grams.select("id", F.size("gs").alias("n"), F.explode("gs").alias("g"))
-    freq = one.groupBy("g").agg(F.count("*").alias("f"))
-    ranked = one.join(freq, "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("o"))
-    lead = F.col("n") - F.floor((F.col("n") * JACCARD_PERCENT + 99) / 100) + 1
-    prefix = materialize(ranked.select("id", "n", F.explode(F.slice("o", F.lit(1), lead.cast("int"))).alias("x")).select("id", "n", F.col("x.g").alias("g")), "prefix")
-    other = prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "g")
-    cand = prefix.join(other, "g").where("id < id2").where(f"100 * least(n, n2) >= {JACCARD_PERCENT} * greatest(n, n2)").select("id", "id2").distinct()
-    both = cand.join(grams, "id").join(grams.select(F.col("id").alias("id2"), F.col("gs").alias("gs2")), "id2")
-    common = F.size(F.array_intersect("gs", "gs2"))
-    alike = both.where(100 * common >= JACCARD_PERCENT * (F.size("gs") + F.size("gs2") - common)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    found = materialize(classes.select("id", "t").mapInArrow(_features, _FEATURES), "features")
+    index = found.where("kind = 0").select("id", "h", "n", "m")
+    shared = materialize(index.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "shared")
+    anchors = index.join(shared, "h").groupBy("id", "n", "m").agg(F.count("*").alias("c"), F.min(F.struct("f", "h")).alias("rare")).where("c = m")
+    anchors = materialize(anchors.select(F.col("id").alias("s"), F.col("n").alias("own"), F.col("rare.h").alias("h")), "anchors")
+    met = anchors.join(index, "h").where("n > own").select("id", "s")  # one anchor a text, so no pair comes twice
+    short, long = classes.select(F.col("id").alias("s"), F.col("t").alias("st")), classes.select("id", "t")
+    inside = met.join(short, "s").join(long, "id").where(F.contains("t", F.col("st"))).select(F.least("id", "s").alias("a"), F.greatest("id", "s").alias("b"))
+
+    keys = found.where("kind = 1").select("id", "h")
+    cand = keys.join(keys.select(F.col("id").alias("s"), "h"), "h").where("s < id").select("id", "s").distinct()
+    alike = cand.join(short, "s").join(long, "id").select("id", "s", "t", "st").mapInArrow(_alike, "a long, b long")
     return equal.unionByName(inside).unionByName(alike).distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, root) with root the smallest id reachable over edges (a, b); nodes without edges are their own root."""
-    both = materialize(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(nodes.select(F.col(id_col).alias("id"), F.col(id_col).alias("root")).distinct(), "labels")
+    """(id, root) with root the smallest id reachable over edges (a, b); nodes without edges are their own root.
+
+    Labels go over edges and then to the label's own label, so a chain of n takes about log n rounds. Only nodes with edges take part."""
+    one = edges.select("a", "b").where("a <> b")
+    both = materialize(one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("root").alias("m"))
-        low = materialize(labels.join(near, labels["id"] == near["a"], "left").select("id", "root", F.least("root", F.coalesce("m", "root")).alias("low")), "low")
+        low = materialize(labels.join(near, labels["id"] == near["a"]).select("id", "root", F.least("root", "m").alias("low")), "low")
         up = low.select(F.col("id").alias("low"), F.col("low").alias("up"))
+        used = low.select("low").distinct()
+        # the label of a huge component is one key of this join; few labels are sent to all tasks instead, many are a key a row
+        up = F.broadcast(up.join(used, "low")) if used.limit(SENT + 1).count() <= SENT else up
         new = materialize(low.join(up, "low").select("id", F.least("low", "up").alias("root"), (F.least("low", "up") < F.col("root")).alias("moved")), "labels")
         labels = new.select("id", "root")
         if not new.where("moved").limit(1).count():
-            return labels
+            own = nodes.select(F.col(id_col).alias("id")).distinct()
+            return own.join(labels, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def duplicate_groups(rows: DataFrame, id_col: str, text_col: str, group_col: str | None = None) -> DataFrame:
-    """(id, root, group_label): rows of one group_col value and near-duplicate texts share a root."""
+    """(id, root, group_label): rows of one group_col value and near-duplicate texts share a root.
+
+    The label is a hash of the root, its group_col value (or nothing) and the first 80 characters of its text without spaces and marks."""
     edges = near_pairs(rows, id_col, text_col)
     if group_col:
         first = rows.groupBy(group_col).agg(F.min(id_col).alias("a"))
         edges = edges.unionByName(rows.join(first, group_col).where(F.col("a") < F.col(id_col)).select("a", F.col(id_col).alias("b")))
-    return components(rows, edges, id_col).withColumn("group_label", T.group_label(F.col("root").cast("string")))
+    group = F.coalesce(F.col(group_col).cast("string"), F.lit("")) if group_col else F.lit("")
+    begin = F.substring(T.bare(F.lower(F.col(text_col))), 1, 80)
+    labels = rows.select(F.col(id_col).alias("root"), F.concat(F.lit("grp_"), T.group_label(F.concat_ws(":", F.col(id_col).cast("string"), group, begin))).alias("group_label"))
+    found = materialize(components(rows, edges, id_col), "roots")
+    labels = labels.join(found.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("group_label").alias("group_label"))
+    labels = materialize(labels, "group_labels")
+    few = labels.limit(SENT + 1).count() <= SENT
+    return found.join(F.broadcast(labels) if few else labels, "root").select("id", "root", "group_label")
