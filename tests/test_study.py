@@ -148,6 +148,39 @@ def test_classifiers(spark):
     assert (s.n_seeds, s["mean"], s.least, s.largest) == (3, 1.0, -1.0, 3.0) and s.share_positive == pytest.approx(2 / 3)
 
 
+def test_fold_models_equal_fits_from_scratch(spark):
+    """Counts that are the total less the fold's, and fits that share their work, against one fit of each training set by itself."""
+    rows = [(k, r.text, r.label, k * 7 // 5 % 3) for k, r in enumerate(labelled(spark).collect())]
+    texts = spark.createDataFrame([(k, t) for k, t, *_ in rows], "_row long, _t string")
+    roles = [(name, k, lab, fold) for name in ("a", "b") for k, _, lab, fold in rows if name == "a" or k % 4]
+    models = classify.FoldModels().fit(texts, spark.createDataFrame(roles, "assignment string, _row long, label string, fold int"), [("a", 0), ("a", 2), ("b", 1), ("b", 9), ("none", 0)])
+    assert models.errors == {("none", 0): "no rows"} and set(models.models) == {("a", 0), ("a", 2), ("b", 1), ("b", 9)}
+    text = {k: t for k, t, *_ in rows}
+    for (name, held), (features, w, b, labels) in models.models.items():
+        own = [(classify.gram_counts(text[k]), lab) for n, k, lab, fold in roles if n == name and fold != held]
+        df = {}
+        for c, _ in own:
+            for g in c:
+                df[g] = df.get(g, 0) + 1
+        assert set(features.index) == set(df) and labels == ["bad", "good"]
+        assert all(features.idf[i] == pytest.approx(math.log((1 + len(own)) / (1 + df[g])) + 1) for g, i in features.index.items())
+        vectors = [features.weights_of(c) for c, _ in own]
+        y = np.array([1.0 if lab == "good" else -1.0 for _, lab in own])
+        share = (y > 0).mean()
+        row, col, value = np.repeat(np.arange(len(own)), [len(a) for a, _ in vectors]), np.concatenate([a for a, _ in vectors]), np.concatenate([v for _, v in vectors])
+        alone, c = classify.squared_hinge(row, col, value, y, np.where(y > 0, 0.5 / share, 0.5 / (1 - share)), len(df))
+        assert np.allclose(alone, w[:, 0], atol=5e-3) and c == pytest.approx(b[0], abs=5e-3)
+        again = classify.RowSpace(row, col, value, len(own), len(df)).squared_hinge(y, np.where(y > 0, 0.5 / share, 0.5 / (1 - share)))
+        assert np.allclose(alone, again[0], atol=5e-3) and c == pytest.approx(again[1], abs=5e-3)
+    assert classify.gram_counts("abc") == {"ab": 1, "bc": 1, "abc": 2} and not classify.gram_counts("") and not classify.gram_counts(None)
+
+
+def test_folds_take_many_labels_a_group(spark):
+    wide = spark.createDataFrame([(f"g{k}", f"l{j}") for k in range(8) for j in range(9)], "group string, label string")
+    folds = classify.group_folds(wide, "group", "label", 4).collect()
+    assert len(folds) == 8 and sorted(f.fold for f in folds) == [0, 0, 1, 1, 2, 2, 3, 3]
+
+
 def test_sublinear_weights(spark):
     df = spark.createDataFrame([(["a", "a", "b"],), (["a", "c"],), ([],)], "g array<string>")
     f = classify.SublinearTfidf().fit(df, "g")

@@ -1,4 +1,9 @@
-"""Text classifiers by character n-grams (sub-linear TF-IDF of the most frequent ones) and linear SVMs, with folds that keep groups together."""
+"""Text classifiers by character n-grams (sub-linear TF-IDF of the most frequent ones) and linear SVMs, with folds that keep groups together.
+
+All fits of a job, whatever its tasks, seeds and folds, share their work. Each text's n-grams are counted once. Documents and frequencies of a
+term are summed up by (assignment, fold) in one pass, and those of a training set are the total less the fold's. Each fit is a row
+that tasks share; models are small and go to all tasks, which score texts of any number.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import IDF, CountVectorizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
@@ -16,8 +21,12 @@ from tidemark.functions import text as T
 from tidemark.sources.scratch import materialize
 
 FEATURES = 8000
+#: So many rows are fitted in their own coordinates, a matrix of FEATURES numbers a row; more as sparse rows.
+DENSE_ROWS = 1000
 #: Groups that folds are made of, at most; they are dealt on the driver.
 GROUPS = 200_000
+#: Labels a group, on average, at most.
+LABELS = 100
 #: Labelled rows that a classifier is fitted on, at most.
 SAMPLE = 20_000
 
@@ -40,22 +49,45 @@ class SublinearTfidf:
         self.index = {t: i for i, t in enumerate(counter.vocabulary)}
         return self
 
+    @classmethod
+    def of(cls, terms: list[str], df: list[int], n: int) -> SublinearTfidf:
+        """From terms, their numbers of documents, and the number of all documents."""
+        out = cls(len(terms))
+        out.index, out.idf = {t: i for i, t in enumerate(terms)}, np.log((1 + n) / (1 + np.array(df, float))) + 1
+        return out
+
     def weights(self, terms: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
         """(places, weights) of a text's terms."""
-        n = Counter(i for i in map(self.index.get, terms or []) if i is not None)
-        at = np.array(sorted(n), np.int64)
-        w = (1 + np.log([n[i] for i in at])) * self.idf[at] if len(at) else np.empty(0)
+        return self.weights_of(Counter(terms or []))
+
+    def weights_of(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter((self.index.get(t, -1) for t in counts), np.int64, len(counts))
+        n = np.fromiter(counts.values(), float, len(counts))[at >= 0]
+        at = at[at >= 0]
+        order = np.argsort(at)
+        at, w = at[order], ((1 + np.log(n)) * self.idf[at])[order]
         return at, w / np.sqrt(w @ w) if len(at) else w
 
 
+def gram_counts(text: str | None) -> Counter:
+    """How often each character 2- to 4-gram occurs; a text that is not longer than n is its only n-gram."""
+    t = text or ""
+    out: Counter = Counter()
+    for n in (2, 3, 4):
+        out.update(map("".join, zip(*(t[k:] for k in range(n)))) if len(t) > n else [t] * bool(t))
+    return out
+
+
 def group_folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
     """(group, fold): each group whole in one fold, labels spread evenly. Groups are dealt by size to the fold with the fewest rows.
 
     Only one row a group and label comes to the driver, and at most GROUPS groups; folds are the least of k, the groups and the rarest
     label's groups. Groups of one size are dealt in an order that the seed sets (0: by name)."""
-    counts = df.groupBy(group, label).agg(F.count("*").alias("n"), F.xxhash64(F.col(group).cast("string"), F.lit(seed)).alias("h")).limit(GROUPS * 4).collect()
-    if len({r[group] for r in counts}) > GROUPS:
+    by_label = df.groupBy(group, label).agg(F.count("*").alias("n"), F.xxhash64(F.col(group).cast("string"), F.lit(seed)).alias("h"))
+    n_groups, n_rows = by_label.agg(F.count_distinct(F.coalesce(F.col(group).cast("string"), F.lit(""))), F.count("*")).first()
+    if max(n_groups, n_rows // LABELS) > GROUPS:
         raise ValueError(f"more than {GROUPS} groups")
+    counts = by_label.collect()
     mixed = {r[group]: r["h"] if seed else 0 for r in counts}
     sizes: dict = {}
     for r in counts:
@@ -77,20 +109,39 @@ def group_folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 0
     return df.sparkSession.createDataFrame(out, df.select(group).schema.add("fold", IntegerType()))
 
 
-def squared_hinge(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, cost: np.ndarray, size: int, rounds: int = 200, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
+def squared_hinge(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, cost: np.ndarray, size: int) -> tuple[np.ndarray, float]:
     """(w, b) that minimise |w|^2 / 2 + b^2 / 2 + sum cost (max(0, 1 - y f))^2 over sparse rows, by limited-memory quasi-Newton steps."""
     n = len(y)
+    t = _minimised(lambda t: np.bincount(row, value * t[col], n) + t[size], lambda d: np.append(np.bincount(col, value * d[row], size), d.sum()), y, cost, size + 1)
+    return t[:size], float(t[size])
+
+
+class RowSpace:
+    """The same problem for rows that are fewer than features, in coordinates of the rows: they keep all inner products, so the minimum is the same."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, size: int):
+        self.x = np.zeros((n, size + 1))
+        np.add.at(self.x, (row, col), value)
+        self.x[:, size] = 1.0
+        scale, q = np.linalg.eigh(self.x @ self.x.T)
+        keep = scale > 1e-10 * scale.max()
+        self.q, self.root = q[:, keep], np.sqrt(scale[keep])
+        self.z = self.q * self.root
+
+    def squared_hinge(self, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
+        t = _minimised(lambda t: self.z @ t, lambda d: self.z.T @ d, y, cost, len(self.root))
+        w = self.x.T @ (self.q @ (t / self.root))
+        return w[:-1], float(w[-1])
+
+
+def _minimised(scores, back, y: np.ndarray, cost: np.ndarray, size: int, rounds: int = 200, tolerance: float = 1e-4) -> np.ndarray:
+    """The t with the least |t|^2 / 2 + sum cost (max(0, 1 - y scores(t)))^2; back is the transpose of scores."""
 
     def at(t):
-        f = np.bincount(row, value * t[col], n) + t[size]
-        m = np.maximum(0.0, 1 - y * f)
-        d = -2 * cost * y * m
-        g = t.copy()
-        g[:size] += np.bincount(col, value * d[row], size)
-        g[size] += d.sum()
-        return 0.5 * float(t @ t) + float(cost @ (m * m)), g
-
-    t = np.zeros(size + 1)
+        m = np.maximum(0.0, 1 - y * scores(t))
+        return 0.5 * float(t @ t) + float(cost @ (m * m)), t + back(-2 * cost * y * m)
+
+    t = np.zeros(size)
     loss, g = at(t)
     first, pairs = float(np.abs(g).max()), []
     for _ in range(rounds):
@@ -117,92 +168,181 @@ def squared_hinge(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.nda
         if float(s @ u) > 1e-12:
             pairs = [*pairs, (s, u, 1.0 / float(s @ u))][-10:]
         t, loss, g = t + s, new, g2
-    return t[:size], float(t[size])
+    return t
+
 
+Fit = tuple[str, int]  # an assignment of folds, and the fold that its training set leaves out
 
-class OneVsRest:
-    """A linear SVM a label (squared hinge), rows weighted inversely to their label's share; predict() adds scores (map) and pred.
 
-    Fitted on the driver on at most SAMPLE labelled rows, those with the smallest hash of their terms; predict() takes any number."""
+class FoldModels:
+    """One-against-rest linear SVMs (squared hinge), rows weighted inversely to their label's share, one for each fit.
+
+    models: fit -> (features, coefficients, intercepts, labels); errors: fit -> why it has no model. What the driver holds is
+    FEATURES terms and FEATURES numbers a label for each fit, whatever the number of texts."""
 
     def __init__(self, c: float = 1.0):
         self.c = c
 
-    def fit(self, df: DataFrame, label: str, grams: str = "grams") -> OneVsRest:
-        self.kind, self.grams = df.schema[label].dataType, grams
-        features = self.features = SublinearTfidf().fit(df, grams)
-
-        def run(batches):
+    def fit(self, texts: DataFrame, roles: DataFrame, fits: list[Fit]) -> FoldModels:
+        """texts: _row long, _t string (as grams_of gives it). roles: assignment, _row, label, fold of the labelled rows, each once an assignment. A fit
+        learns from the rows of its assignment in other folds, at most SAMPLE of them, those with the smallest hash of their number."""
+        spark = texts.sparkSession
+        wanted = spark.createDataFrame(fits, "assignment string, held int")
+        counted = texts.join(roles.select("_row").distinct(), "_row").mapInArrow(_counted, "_row long, terms array<string>, n array<int>")
+        vectors = materialize(counted, "vectors")
+        each = vectors.select("_row", F.explode(F.arrays_zip("terms", "n")).alias("x")).select("_row", F.col("x.terms").alias("term"), F.col("x.n").alias("n"))
+        folds = materialize(each.join(roles.select("_row", "assignment", "fold"), "_row").groupBy("assignment", "fold", "term").agg(F.sum("n").alias("n"), F.count("*").alias("df")), "fold_terms")
+        # a training set's counts are the total less those of the fold left out
+        total = folds.groupBy("assignment", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "df")))).alias("own"))
+        own = lambda c: F.coalesce(F.col("own")[F.col("held")][c], F.lit(0))
+        left = total.join(F.broadcast(wanted), "assignment").select("assignment", "held", "term", (F.col("n") - own("n")).alias("n"), (F.col("df") - own("df")).alias("df")).where("n > 0")
+        left = materialize(left, "train_terms")
+        # the frequency of the last term that is taken is read off counts of frequencies, so that only such terms are ranked
+        cuts: dict[Fit, tuple[int, int]] = {}
+        for r in left.groupBy("assignment", "held", "n").count().orderBy("assignment", "held", F.col("n").desc()).collect():
+            above, cut = cuts.get((r[0], r[1]), (0, 0))
+            cuts[r[0], r[1]] = (above + r[3], r[2]) if above < FEATURES else (above, cut)
+        least = spark.createDataFrame([(*f, cut) for f, (_, cut) in cuts.items()], "assignment string, held int, cut long")
+        first = F.row_number().over(Window.partitionBy("assignment", "held").orderBy(F.col("n").desc(), "term"))
+        often = left.join(F.broadcast(least), ["assignment", "held"]).where("n >= cut")
+        chosen = often.withColumn("place", first).where(f"place <= {FEATURES}").select("assignment", "held", "place", "term", "df").collect()
+        train = roles.join(F.broadcast(wanted), "assignment").where("held <> fold")
+        sizes = {(r[0], r[1]): r[2] for r in train.groupBy("assignment", "held").count().collect()}
+        terms: dict[Fit, list] = {tuple(f): [] for f in fits}
+        for r in sorted(chosen):
+            terms[r["assignment"], r["held"]].append((r["term"], r["df"]))
+        features = {f: SublinearTfidf.of([t for t, _ in own], [n for _, n in own], sizes.get(f, 0)) for f, own in terms.items()}
+        shared, c = spark.sparkContext.broadcast(features), self.c
+
+        def weigh(batches):
             for b in batches:
-                found = [features.weights(g) for g in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary()), b.column(1)], ["at", "w", "label"])
-
-        kind = self.kind.simpleString()
-        rows = df.select(grams, label).where(F.col(label).isNotNull()).mapInArrow(run, f"at binary, w binary, label {kind}")
-        order = ["h", "label"]
-        rows = rows.withColumn("h", F.xxhash64("at", "w")).orderBy(*order).limit(SAMPLE).collect()
-        at, w, own = [np.frombuffer(bytes(r["at"]), np.int32) for r in rows], [np.frombuffer(bytes(r["w"])) for r in rows], [r["label"] for r in rows]
-        row = np.repeat(np.arange(len(rows)), [len(x) for x in at])
-        col, value = np.concatenate(at or [np.empty(0, np.int32)]).astype(np.int64), np.concatenate(w or [np.empty(0)])
-        self.labels = sorted(set(own))
-        if len(self.labels) < 2:
-            raise ValueError("fewer than two labels")
-        self.models = {}
-        for lab in self.labels[1:] if len(self.labels) == 2 else self.labels:
-            y = np.array([1.0 if x == lab else -1.0 for x in own])
-            share = (y > 0).mean()
-            self.models[lab] = squared_hinge(row, col, value, y, self.c * np.where(y > 0, 0.5 / share, 0.5 / (1 - share)), len(features.index))
+                found = []
+                for name, held, words, n in zip(*(b.column(k).to_pylist() for k in range(4))):
+                    at, w = shared.value[name, held].weights_of(dict(zip(words, n)))
+                    found.append((at.astype(np.int32).tobytes(), w.tobytes()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["assignment", "held", "label", "at", "w"])
+
+        sample = F.row_number().over(Window.partitionBy("assignment", "held").orderBy(F.xxhash64("_row"), "_row"))
+        rows = train.withColumn("_k", sample).where(f"_k <= {SAMPLE}").join(vectors, "_row").select("assignment", "held", "terms", "n", "label")
+        # numbers of partitions of their own, so that neither weights nor fits are put together into few tasks
+        weighed = rows.repartition(4 * len(fits)).mapInArrow(weigh, "assignment string, held int, label string, at binary, w binary")
+
+        def one(key, table):
+            name, held = (k.as_py() for k in key)
+            labels, models = _one_against_rest(table, len(shared.value[name, held].index), c)
+            w, b = np.stack([m[0] for m in models], axis=1).tobytes() if models else b"", [m[1] for m in models]
+            return pa.table({"assignment": [name], "held": pa.array([held], pa.int32()), "labels": [labels], "w": pa.array([w], pa.binary()), "b": pa.array([b], pa.list_(pa.float64()))})
+
+        fitted = weighed.repartition(4 * len(fits), "assignment", "held").groupBy("assignment", "held").applyInArrow(one, "assignment string, held int, labels array<string>, w binary, b array<double>").collect()
+        self.models, self.errors = {}, {tuple(f): "no rows" for f in fits}
+        for r in fitted:
+            f, labels = (r["assignment"], r["held"]), list(r["labels"])
+            if len(labels) < 2:
+                self.errors[f] = "fewer than two labels"
+                continue
+            del self.errors[f]
+            self.models[f] = features[f], np.frombuffer(bytes(r["w"])).reshape(-1, len(r["b"])), np.array(r["b"]), labels
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        models, kind = list(self.models.values()), self.kind.simpleString()
-        shared = df.sparkSession.sparkContext.broadcast((self.features, np.stack([c for c, _ in models], axis=1), np.array([b for _, b in models]), self.labels))
-        grams = self.grams
+        """df (assignment, fold, _t and whatever else) with scores (map, by label) and pred (string), by the model that left out the row's fold.
+
+        Rows of an assignment and fold without a model are left out; see errors."""
+        shared = df.sparkSession.sparkContext.broadcast(self.models)
 
         def run(batches):
-            features, coefficients, intercepts, labels = shared.value
-            names = [str(x) for x in labels]
             for b in batches:
+                name, fold, text = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("assignment", "fold", "_t"))
+                keep = [k for k in range(b.num_rows) if (name[k], fold[k]) in shared.value]
                 scores, best = [], []
-                for g in b.column(b.schema.get_field_index(grams)).to_pylist():
-                    at, w = features.weights(g)
+                for k in keep:
+                    features, coefficients, intercepts, labels = shared.value[name[k], fold[k]]
+                    at, w = features.weights_of(gram_counts(text[k]))
                     s = w @ coefficients[at] + intercepts
                     s = np.array([-s[0], s[0]]) if len(labels) == 2 else s
-                    scores.append(list(zip(names, s.tolist())))
+                    scores.append(list(zip(labels, s.tolist())))
                     best.append(labels[int(s.argmax())])
-                more = [pa.array(scores, pa.map_(pa.string(), pa.float64())), pa.array(best, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}.get(kind))]
-                yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "scores", "pred"])
+                own = b.take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(scores, pa.map_(pa.string(), pa.float64())), pa.array(best, pa.string())], [*b.schema.names, "scores", "pred"])
+
+        return df.mapInArrow(run, StructType([*df.schema.fields, StructField("scores", MapType(StringType(), DoubleType())), StructField("pred", StringType())]))
 
-        return df.mapInArrow(run, StructType([*df.schema.fields, StructField("scores", MapType(StringType(), DoubleType())), StructField("pred", self.kind)]))
+
+def _counted(batches):
+    for b in batches:
+        found = [gram_counts(t) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["_row", "terms", "n"])
+
+
+def _one_against_rest(rows: pa.Table, size: int, c: float) -> tuple[list[str], list[tuple[np.ndarray, float]]]:
+    """The labels, in order, and a model for each, or for the second of two; none where there are fewer."""
+    own = rows.column("label").to_pylist()
+    at, w = [np.frombuffer(x, np.int32) for x in rows.column("at").to_pylist()], [np.frombuffer(x) for x in rows.column("w").to_pylist()]
+    row = np.repeat(np.arange(len(own)), [len(x) for x in at])
+    col, value = np.concatenate(at).astype(np.int64), np.concatenate(w)
+    labels, models = sorted(set(own)), []
+    few = RowSpace(row, col, value, len(own), size) if len(own) <= min(DENSE_ROWS, size) else None
+    for lab in labels[1:] if len(labels) == 2 else labels if len(labels) > 2 else ():
+        y = np.array([1.0 if x == lab else -1.0 for x in own])
+        share = (y > 0).mean()
+        cost = c * np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
+        models.append(few.squared_hinge(y, cost) if few else squared_hinge(row, col, value, y, cost, size))
+    return labels, models
+
+
+def grams_of(text_col: str):
+    """The text that n-grams are taken from: lower-cased, runs of white space as one space."""
+    return F.lower(T.collapse_space(F.col(text_col)))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """df with _row, written once so that numbers stay."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def _roles(rows: DataFrame, name: str, label: str, fold: str = "fold") -> DataFrame:
+    return rows.where(F.col(label).isNotNull()).select(F.lit(name).alias("assignment"), "_row", F.col(label).cast("string").alias("label"), F.col(fold).alias("fold"))
+
+
+def _folds_of(folds: DataFrame) -> list[int]:
+    return sorted(r[0] for r in folds.select("fold").distinct().collect())
 
 
 def cross_validate(df: DataFrame, text_col: str, label: str, group: str, k: int = 5, c: float = 1.0, seed: int = 0) -> DataFrame:
     """df's rows with fold, pred and scores, each predicted by a model that saw none of its group."""
-    rows = with_grams(df, text_col).join(group_folds(df, group, label, k, seed), group)
-    out = None
-    for fold in sorted(r[0] for r in rows.select("fold").distinct().collect()):
-        one = OneVsRest(c).fit(rows.where(F.col("fold") != fold), label).predict(rows.where(F.col("fold") == fold))
-        out = one if out is None else out.unionByName(one)
-    return out.drop("grams")
+    folds = group_folds(df, group, label, k, seed)
+    rows = _numbered(df.join(folds, group).withColumn("_t", grams_of(text_col)))
+    models = FoldModels(c).fit(rows.select("_row", "_t"), _roles(rows, "", label), [("", f) for f in _folds_of(folds)])
+    if models.errors:
+        raise ValueError(min(models.errors.values()))
+    found = models.predict(rows.withColumn("assignment", F.lit("")))
+    return found.withColumn("pred", F.col("pred").cast(df.schema[label].dataType)).drop("_row", "_t", "assignment")
 
 
 def learning_curve(df: DataFrame, text_col: str, label: str, group: str, ratios: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0), fold: int = 0, k: int = 5) -> DataFrame:
     """(ratio, n_train, n_test, hits) on one fold, trained on nested subsets of the other folds' groups: the first of them in the order of a
-    hash, as many as the ratio says, and more until there are two labels."""
+    hash, as many as the ratio says, and more until there are two labels. As in group_folds, GROUPS groups come to the driver at most."""
     folds = group_folds(df, group, label, k)
-    rows = with_grams(df, text_col).join(folds, group)
-    test = rows.where(F.col("fold") == fold)
-    counts = df.join(folds, group).where(F.col("fold") != fold).groupBy(F.xxhash64(F.col(group).cast("string")).alias("h"), F.col(group).alias("g")).agg(F.collect_set(label).alias("labels")).orderBy("h", "g").collect()
-    out = None
+    rows = _numbered(df.join(folds, group).withColumn("_t", grams_of(text_col)))
+    test = F.col("fold") == fold
+    counts = rows.where(~test).groupBy(F.xxhash64(F.col(group).cast("string")).alias("h"), F.col(group).alias("g")).agg(F.collect_set(label).alias("labels")).orderBy("h", "g").collect()
+    roles, names = None, {}
     for ratio in ratios:
         n = math.ceil(ratio * len(counts))
         while n < len(counts) and len({x for r in counts[:n] for x in r["labels"]}) < 2:
             n += 1
+        names[str(ratio)] = float(ratio)
         chosen = df.sparkSession.createDataFrame([(r["g"],) for r in counts[:n]], df.select(group).schema)
-        part = rows.join(chosen, group, "left_semi")
-        hits = OneVsRest().fit(part, label).predict(test).agg(F.lit(float(ratio)).alias("ratio"), F.lit(part.count()).cast("long").alias("n_train"), F.count("*").alias("n_test"), F.count_if(F.col("pred") == F.col(label)).alias("hits"))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+        part = _roles(rows.where(~test).join(chosen, group, "left_semi").unionByName(rows.where(test)).withColumn("_f", F.when(test, 0).otherwise(1)), str(ratio), label, "_f")
+        roles = part if roles is None else roles.unionByName(part)
+    roles = materialize(roles, "roles")
+    models = FoldModels().fit(rows.select("_row", "_t"), roles, [(n, 0) for n in names])
+    if models.errors:
+        raise ValueError(min(models.errors.values()))
+    tested = models.predict(roles.where("fold = 0").join(rows.select("_row", "_t"), "_row"))
+    hits = tested.groupBy("assignment").agg(F.count("*").alias("n_test"), F.count_if(F.col("pred") == F.col("label")).alias("hits"))
+    trained = roles.groupBy("assignment").agg(F.count_if(F.col("fold") == 1).alias("n_train"))
+    return trained.join(hits, "assignment").select(F.col("assignment").cast("double").alias("ratio"), "n_train", "n_test", "hits").orderBy("ratio")
 
 
 def report_tone(scored: DataFrame, report: str, pred: str, plus: str, minus: str, values: dict[str, list]) -> DataFrame:
@@ -214,25 +354,33 @@ def report_tone(scored: DataFrame, report: str, pred: str, plus: str, minus: str
     return scored.groupBy(report).agg(*aggs)
 
 
-def crossfit_tone(sentences: DataFrame, labelled: DataFrame, text_col: str, label: str, report: str, sentence_id: str, plus: str, minus: str, neutral: str | None = None, k: int = 5, seed: int = 0) -> DataFrame:
-    """Every sentence of the reports that have labels, scored by a model that saw no row of its report: (report, sentence_id, fold, pred,
-    plus_score, minus_score, manual), manual being the sentence's own label or ''.
-
-    labelled: (report, sentence_id, text, label, group); reports of one group are kept in one fold."""
-    folds = group_folds(labelled, "group", label, k, seed)
-    train = with_grams(labelled, text_col).join(folds, "group")
-    of_report = train.groupBy(report).agg(F.min("fold").alias("fold"))
-    rows = with_grams(sentences, text_col).join(of_report, report)
-    out = None
-    for fold in sorted(r[0] for r in folds.select("fold").distinct().collect()):
-        model = OneVsRest().fit(train.where(F.col("fold") != fold), label)
-        scored = model.predict(rows.where(F.col("fold") == fold))
-        one = scored.select(report, sentence_id, "fold", "pred", F.col("scores")[plus].alias("plus_score"), F.col("scores")[minus].alias("minus_score"))
-        out = one if out is None else out.unionByName(one)
+def crossfit_tones(sentences: DataFrame, labelled: DataFrame, text_col: str, label: str, report: str, sentence_id: str, plus: str, minus: str, k: int = 5, seeds: tuple[int, ...] = (0,)) -> DataFrame:
+    """Every sentence of the reports that have labels, for each seed of the folds, scored by a model that saw no row of its report: (seed, report,
+    sentence_id, fold, pred, plus_score, minus_score, manual), manual being the sentence's own label or ''.
+
+    labelled: (report, sentence_id, text, label, group); reports of one group are kept in one fold. The seeds' fits share their work."""
+    train = _numbered(labelled.withColumn("_t", grams_of(text_col)))
+    roles, of_report, fits = None, None, []
+    for seed in seeds:
+        folds = group_folds(labelled, "group", label, k, seed)
+        own = train.join(folds, "group")
+        fits += [(str(seed), f) for f in _folds_of(folds)]
+        part, reports = _roles(own, str(seed), label), own.groupBy(report).agg(F.min("fold").alias("fold")).withColumn("assignment", F.lit(str(seed)))
+        roles, of_report = (part, reports) if roles is None else (roles.unionByName(part), of_report.unionByName(reports))
+    models = FoldModels().fit(train.select("_row", "_t"), materialize(roles, "roles"), fits)
+    if models.errors:
+        raise ValueError(min(models.errors.values()))
+    scored = models.predict(sentences.withColumn("_t", grams_of(text_col)).join(of_report, report).select(report, sentence_id, "assignment", "fold", "_t"))
+    out = scored.select(F.col("assignment").cast("int").alias("seed"), report, sentence_id, "fold", "pred", F.col("scores")[plus].alias("plus_score"), F.col("scores")[minus].alias("minus_score"))
     manual = labelled.groupBy(report, sentence_id).agg(F.min(F.col(label).cast("string")).alias("manual"))
     return out.join(manual, [report, sentence_id], "left").withColumn("manual", F.coalesce("manual", F.lit("")))
 
 
+def crossfit_tone(sentences: DataFrame, labelled: DataFrame, text_col: str, label: str, report: str, sentence_id: str, plus: str, minus: str, k: int = 5, seed: int = 0) -> DataFrame:
+    """crossfit_tones for one seed, without its column."""
+    return crossfit_tones(sentences, labelled, text_col, label, report, sentence_id, plus, minus, k, (seed,)).drop("seed")
+
+
 def predicted_counts(scored: DataFrame, report: str, labels: list) -> DataFrame:
     """(report, n_<label>...): how many sentences of each report have each predicted label."""
     return scored.groupBy(report).agg(*[F.count_if(F.col("pred") == x).alias(f"n_{x}") for x in labels])
@@ -241,24 +389,41 @@ def predicted_counts(scored: DataFrame, report: str, labels: list) -> DataFrame:
 def evaluate_tasks(df: DataFrame, tasks: dict[str, tuple[str, str | None]], text_col: str, group: str, least: int = 10, k: int = 5) -> DataFrame:
     """(task, n, accuracy, macro_f1, error) of cross-validated classifiers; tasks: name -> (label column, condition or none).
 
-    A task of fewer than `least` rows, or whose rows do not allow two folds, has its error and no figures."""
+    A task of fewer than `least` rows, or whose rows do not allow two folds, has its error and no figures. All tasks' fits share their work."""
     from .metrics import labels_of, overall_metrics
 
-    spark, schema, out = df.sparkSession, "task string, n long, accuracy double, macro_f1 double, error string", None
+    spark, schema = df.sparkSession, "task string, n long, accuracy double, macro_f1 double, error string"
+    rows = _numbered(df.withColumn("_t", grams_of(text_col)))
+    sizes, errors, fits, roles = {}, {}, [], None
     for name, (label, condition) in tasks.items():
-        rows = df.where(F.col(label).isNotNull())
-        rows = rows.where(condition) if condition else rows
-        n = rows.count()
+        own = rows.where(F.col(label).isNotNull())
+        own = own.where(condition) if condition else own
+        sizes[name] = own.count()
         try:
-            if n < least:
+            if sizes[name] < least:
                 raise ValueError(f"fewer than {least} rows")
-            pred = materialize(cross_validate(rows, text_col, label, group, k).select(F.col(label).cast("string").alias("true"), F.col("pred").cast("string").alias("pred")), "predicted")
-            labels = sorted(r[0] for r in labels_of(pred, ["true", "pred"]).collect())
-            one = overall_metrics(pred, "true", "pred", labels).select(F.lit(name).alias("task"), F.lit(n).cast("long").alias("n"), "accuracy", "macro_f1", F.lit(None).cast("string").alias("error"))
+            folds = group_folds(own, group, label, k)
         except ValueError as e:
-            one = spark.createDataFrame([(name, n, None, None, str(e))], schema)
-        out = one if out is None else out.unionByName(one)
-    return out
+            errors[name] = str(e)
+            continue
+        fits += [(name, f) for f in _folds_of(folds)]
+        part = _roles(own.join(folds, group), name, label)
+        roles = part if roles is None else roles.unionByName(part)
+    out = None
+    if roles is not None:
+        roles = materialize(roles, "roles")
+        models = FoldModels().fit(rows.select("_row", "_t"), roles, fits)
+        errors |= {name: e for (name, _), e in models.errors.items()}
+        found = models.predict(roles.join(rows.select("_row", "_t"), "_row")).select("assignment", F.col("label").alias("true"), "pred")
+        found = materialize(found, "predicted")
+        for name in tasks:
+            if name not in errors:
+                own = found.where(F.col("assignment") == name)
+                labels = sorted(r[0] for r in labels_of(own, ["true", "pred"]).collect())
+                one = overall_metrics(own, "true", "pred", labels).select(F.lit(name).alias("task"), F.lit(sizes[name]).cast("long").alias("n"), "accuracy", "macro_f1", F.lit(None).cast("string").alias("error"))
+                out = one if out is None else out.unionByName(one)
+    failed = spark.createDataFrame([(n, sizes[n], None, None, e) for n, e in errors.items()], schema)
+    return failed if out is None else out.unionByName(failed)
 
 
 def seed_summary(values: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -13,9 +13,9 @@ from tidemark.sources.scratch import materialize
 JACCARD_PERCENT = 92
 CONTAINED = 20
 #: A minimizer is the smallest hash of ANCHOR characters in any CONTAINED characters.
-ANCHOR = 12
-#: Sizes of one level differ by less than this; it is a little more than two sizes of Jaccard 0.92 can differ by.
-LEVEL = 1.09
+ANCHOR = 10
+#: Sizes of one level differ by less than this factor.
+LEVEL = 1.4
 #: Characters whose features a task finds at once, and labels that are broadcast at most, two numbers each.
 CHARACTERS, SENT = 2_000_000, 200_000
 
@@ -74,16 +74,17 @@ def set_parts(owner: np.ndarray, gram: np.ndarray, n_texts: int) -> tuple[np.nda
     """(text, key): equal for two texts at least once if the Jaccard of their gram sets is JACCARD_PERCENT or more.
 
     Sets of such a Jaccard differ in at most a 24th of their sizes' sum, d grams. Dealt by hash to d + 1 parts, they agree in a whole part.
-    d is that of the largest size of a level; a text has the parts of its own level and of the next one, where its partner may be."""
-    sizes = np.bincount(owner, minlength=n_texts)
-    level = np.floor(np.log(np.maximum(sizes, 1)) / np.log(LEVEL)).astype(np.int64)
+    d is that of the largest size of a level; a text has the parts of its own level, and of the next one if a larger partner may be there."""
+    sizes = np.maximum(np.bincount(owner, minlength=n_texts), 1)
+    level = np.floor(np.log(sizes) / np.log(LEVEL)).astype(np.int64)
+    beyond = np.floor(np.log(sizes * (100.01 / JACCARD_PERCENT)) / np.log(LEVEL)).astype(np.int64) > level
     mixed, texts, keys = _mixed(gram), [], []
-    for step in (0, 1):
+    for step, has in ((0, np.ones(n_texts, bool)), (1, beyond)):
         largest = np.floor(LEVEL ** (level + step + 1)).astype(np.int64) + 1
-        parts = largest * 2 * (100 - JACCARD_PERCENT) // (100 + JACCARD_PERCENT) + 1
-        starts = np.cumsum(parts) - parts
+        parts = np.where(has, largest * 2 * (100 - JACCARD_PERCENT) // (100 + JACCARD_PERCENT) + 1, 0)
+        starts, own = np.cumsum(parts) - parts, has[owner]
         sums = np.zeros(int(parts.sum()), np.uint64)
-        np.add.at(sums, starts[owner] + (mixed % parts[owner].astype(np.uint64)).astype(np.int64), _mixed(mixed))
+        np.add.at(sums, starts[owner[own]] + (mixed[own] % parts[owner[own]].astype(np.uint64)).astype(np.int64), _mixed(mixed[own]))
         text = np.repeat(np.arange(n_texts), parts)
         part = np.arange(len(text)) - starts[text]
         texts.append(text)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import classify as C
+from tidemark.operators import duplicates as D
 from tidemark.operators import events as E
 from tidemark.operators import regression as R
 from tidemark.operators import volatility as V
@@ -132,9 +133,10 @@ register("collinearity", lambda s, d: V.d0_d1_diagnostics(table(s, d, "lineitem"
 
 
 def _labelled(spark, d):
-    """Documents with labels; those of equal bare text are one group."""
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "text", "lang", "toxic", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"), F.sha1(T.bare(F.lower("text")).cast("binary")).alias("group"))
-    return materialize(rows, "labelled")
+    """Documents with labels; documents that are near-duplicates are one group."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "text", "lang", "toxic", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"))
+    rows = materialize(rows, "labelled")
+    return materialize(rows.join(D.duplicate_groups(rows, "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("group_label").alias("group")), "doc_id"), "grouped")
 
 
 register("grouped_cv", lambda s, d: C.cross_validate(_labelled(s, d), "text", "label", "group").groupBy("fold", "label", "pred").agg(F.count("*").alias("n")))
@@ -142,18 +144,18 @@ register("learning_curve", lambda s, d: C.learning_curve(_labelled(s, d), "text"
 register("text_model_evaluation", lambda s, d: C.evaluate_tasks(_labelled(s, d), {"quality": ("label", None), "toxicity": ("toxic", None), "language": ("lang", None), "toxicity_of_good": ("toxic", "label = 'good'")}, "text", "group"))
 
 
-def _crossfit(spark, d, seed=0):
-    """Documents as reports: classifiers of whole labelled documents score all sentences of those that they did not see."""
+def _crossfit(spark, d, seeds=(0,)):
+    """Documents as reports: all sentences of labelled documents, scored by classifiers of the other documents' sentences, which have their document's label."""
     rows = _labelled(spark, d)
-    parts = rows.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence_id", "text"))
-    return C.crossfit_tone(parts, rows.withColumn("sentence_id", F.lit(-1)), "text", "label", "doc_id", "sentence_id", "good", "bad", seed=seed)
+    parts = materialize(rows.select("doc_id", "label", "group", F.posexplode(T.sentences(F.col("text"))).alias("sentence_id", "text")), "sentences")
+    return C.crossfit_tones(parts.select("doc_id", "sentence_id", "text"), parts, "text", "label", "doc_id", "sentence_id", "good", "bad", seeds=seeds)
 
 
 TONES = {"all": [], "relevant": ["good", "bad"], "directional": ["good"]}
 
 
-def _tones(spark, d, seed=0):
-    return C.report_tone(_crossfit(spark, d, seed), "doc_id", "pred", "plus_score", "minus_score", TONES)
+def _tones(spark, d):
+    return C.report_tone(_crossfit(spark, d), "doc_id", "pred", "plus_score", "minus_score", TONES)
 
 
 register("crossfit_tone", _tones)
@@ -181,9 +183,10 @@ register("crossfit_bond_models", _bond_models)
 
 def _stability(spark, d, seeds=(1, 2, 3)):
     """The bond models' tone coefficient over several assignments of folds."""
-    out = None
+    scored, out = materialize(_crossfit(spark, d, seeds), "scored"), None
     for seed in seeds:
-        p = materialize(_bonds(spark, d, _tones(spark, d, seed)), "bonds")
+        tones = C.report_tone(scored.where(F.col("seed") == seed), "doc_id", "pred", "plus_score", "minus_score", TONES)
+        p = materialize(_bonds(spark, d, tones), "bonds")
         one = R.specification_fits(p, "slope", {t: [f"{t}_mean", "action_nearby"] for t in TONES}, 10).where(F.col("term").endswith("_mean")).select("model", "beta")
         out = one if out is None else out.unionByName(one)
     return C.seed_summary(out, ["model"], "beta")

@@ -213,7 +213,7 @@ SELECT least(x.id, y.id), greatest(x.id, y.id) FROM c x JOIN c y ON length(x.t)
 SELECT x.id, y.id FROM c x JOIN c y ON x.id < y.id AND 100 * least(len(x.g), len(y.g)) >= 92 * greatest(len(x.g), len(y.g)) WHERE 100 * len(list_intersect(x.g, y.g)) >= 92 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))))"""
 register("near_duplicates", lambda s, d: duplicates.near_pairs(_turns(s, d), "id", "s"), f"WITH {_NEAR} SELECT a, b FROM e")
 register("duplicate_groups", lambda s, d: duplicates.duplicate_groups(_turns(s, d), "id", "s", "report").select("id", "root", "group_label"), f"""WITH RECURSIVE {_NEAR}, n AS (SELECT conv_id * 1000 + turn AS id, conv_id AS report FROM conversations WHERE text IS NOT NULL), e2 AS (SELECT a, b FROM e UNION SELECT min(id) OVER (PARTITION BY report), id FROM n), b AS (SELECT a, b FROM e2 UNION SELECT b, a FROM e2),
-p AS (SELECT id, id AS root FROM n UNION SELECT b.b AS id, p.root FROM p JOIN b ON b.a = p.id), m AS (SELECT id, min(root) AS root FROM p GROUP BY 1), q AS (SELECT conv_id * 1000 + turn AS root, conv_id, regexp_replace(lower(text), '[\s[:punct:]]+', '', 'g') AS t FROM conversations) SELECT id, root, 'grp_' || substr(sha1(root::VARCHAR || ':' || conv_id::VARCHAR || ':' || substr(t, 1, 80)), 1, 12) AS group_label FROM m JOIN q USING (root)""")
+p AS (SELECT id, id AS root FROM n UNION SELECT b.b AS id, p.root FROM p JOIN b ON b.a = p.id), m AS (SELECT id, min(root) AS root FROM p GROUP BY 1), q AS (SELECT conv_id * 1000 + turn AS root, conv_id, regexp_replace(lower(text), '[\\s[:punct:]]+', '', 'g') AS t FROM conversations) SELECT id, root, 'grp_' || substr(sha1(root::VARCHAR || ':' || conv_id::VARCHAR || ':' || substr(t, 1, 80)), 1, 12) AS group_label FROM m JOIN q USING (root)""")
 
 
 SENTENCES_A_TEXT = 1 << 24  # a sentence's id is doc_id * SENTENCES_A_TEXT + sentence_no; too large a product is an error
