@@ -4,8 +4,9 @@ A kind's matches are taken with regexp_extract_all, their places from the length
 between them. The entropy kinds look at candidate strings: maximal runs of a character class that hold a
 digit and a letter. A window of WINDOW characters slides over the string; with each step the counts of two characters change,
 which are overwritten in a string that holds a count a place, and with them the running sum of c * log2(c), so entropy = log2(WINDOW) - sum / WINDOW. The span
-runs from the first to the last window at or above the class's threshold. Candidates on the allow-list
-(placeholders, UUIDs, counting sequences) add no span; the three base kinds are never suppressed.
+runs from the first to the last window at or above the class's threshold. Windows that overlap a match of the allow-list
+(placeholders, counting sequences, eight and more equal characters; leftmost matches, one after the other) do not count, and
+candidates that are UUIDs add no span; the three base kinds are never suppressed.
 """
 
 from __future__ import annotations
@@ -28,12 +29,11 @@ CLASSES = {
     "entropy_hex": (r"(?<![A-Za-z0-9])(?=[a-fA-F]*+[0-9])(?=[0-9]*+[a-fA-F])[0-9a-fA-F]{24,}+(?![A-Za-z0-9])", "0123456789abcdef", 3.0),
     "entropy_base64": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{24,}+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 4.0),
 }
-# Strings that are not secrets though they look like them.
-ALLOW = [
-    r"(?i)example|sample|dummy|placeholder|change_?me|redacted|lorem|xxxx|your[_-]",
-    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)0123456789|123456789|abcdefgh|(.)\1{7}",
-]
+# Strings that are not secrets though they look like them, as parts of a candidate and as a whole one.
+ALLOW = r"(?i)example|sample|dummy|placeholder|change_?me|redacted|lorem|xxxx|your[_-]|0123456789|123456789|abcdefgh|(.)\1{7,}"
+ALLOW_WHOLE = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Stands for the characters of a match of ALLOW; no candidate has it.
+MASK = "!"
 
 _NONE = "cast(array() as array<struct<start:int,rank:int,end:int>>)"
 
@@ -52,8 +52,8 @@ def _placed(text: str, pattern: str, rank: int, passes: str, value_group: int =
     return f"if({text} rlike {q}, aggregate({named}, named_struct('at', 0, 'out', {_NONE}), {step}, a -> a.out), {_NONE})"
 
 
-def _entropy_span(string: str, alphabet: str, least: float) -> str:
-    """struct<lo, hi>: from the first to the last window of `string` with the least entropy; lo is -1 if none has."""
+def _entropy_span(string: str, masked: str, alphabet: str, least: float) -> str:
+    """struct<lo, hi>: from the first to the last window of `string` with the least entropy and no MASK in `masked`; lo is -1 if none has."""
     code = f"instr({_quoted(alphabet)}, {{0}}) - 1"
     table = "array(" + ",".join(["0D"] + [f"{k * math.log2(k)}D" for k in range(1, WINDOW + 1)]) + ")"
     limit = WINDOW * (math.log2(WINDOW) - least)
@@ -65,14 +65,15 @@ def _entropy_span(string: str, alphabet: str, least: float) -> str:
     step = f"""(a, x) -> named_struct(
         'n', if(x.new = x.old, a.n, if(x.old < 0, {came}, overlay({came}, char(64 + {count('old')}), x.old + 1, 1))),
         's', if(x.new = x.old, a.s, a.s + {f(count('new') + ' + 1')} - {f(count('new'))} + if(x.old < 0, 0D, {f(count('old') + ' - 1')} - {f(count('old'))})),
-        'i', a.i + 1, 'lo', a.lo, 'hi', a.hi)"""
-    note = f"""a -> named_struct('n', a.n, 's', a.s, 'i', a.i,
-        'lo', if(a.lo < 0 and a.i >= {WINDOW} and a.s <= {limit}D + 1e-9D, a.i - {WINDOW}, a.lo), 'hi', if(a.i >= {WINDOW} and a.s <= {limit}D + 1e-9D, a.i, a.hi))"""
-    start = f"named_struct('n', repeat('A', {len(alphabet)}), 's', 0D, 'i', 0, 'lo', -1, 'hi', -1)"
+        'i', a.i + 1, 'b', if(x.masked, a.i + 1, a.b), 'lo', a.lo, 'hi', a.hi)"""
+    counts = f"a.i - a.b >= {WINDOW} and a.s <= {limit}D + 1e-9D"  # b: where the last masked character ends
+    note = f"""a -> named_struct('n', a.n, 's', a.s, 'i', a.i, 'b', a.b,
+        'lo', if(a.lo < 0 and {counts}, a.i - {WINDOW}, a.lo), 'hi', if({counts}, a.i, a.hi))"""
+    start = f"named_struct('n', repeat('A', {len(alphabet)}), 's', 0D, 'i', 0, 'b', 0, 'lo', -1, 'hi', -1)"
     inner = step.split("->", 1)[1]
     body = f"element_at(transform(array({inner}), {note}), 1)"
-    pairs = f"transform(t.c, (c, k) -> named_struct('new', c, 'old', if(k >= {WINDOW}, t.c[k - {WINDOW}], -1)))"
-    return f"element_at(transform(array(named_struct('c', {codes}, 'f', {table})), t -> aggregate({pairs}, {start}, (a, x) -> {body}, a -> named_struct('lo', a.lo, 'hi', a.hi))), 1)"
+    pairs = f"transform(t.c, (c, k) -> named_struct('new', c, 'old', if(k >= {WINDOW}, t.c[k - {WINDOW}], -1), 'masked', t.m[k] = '{MASK}'))"
+    return f"element_at(transform(array(named_struct('c', {codes}, 'm', split({masked}, ''), 'f', {table})), t -> aggregate({pairs}, {start}, (a, x) -> {body}, a -> named_struct('lo', a.lo, 'hi', a.hi))), 1)"
 
 
 def _entropies(text: str, kind: str) -> str:
@@ -80,10 +81,12 @@ def _entropies(text: str, kind: str) -> str:
     q = _quoted(pattern)
     rank = KINDS.index(kind)
     string = "lower(z.`1`)" if kind == "entropy_hex" else "z.`1`"
-    allowed = " or ".join(f"z.`1` rlike {_quoted(a)}" for a in ALLOW)
+    allowed, a = f"z.`1` rlike {_quoted(ALLOW_WHOLE)}", _quoted(ALLOW)
+    between = f"arrays_zip(split(z.`1`, {a}, -1), regexp_extract_all(z.`1`, {a}, 0))"
+    masked = f"if(z.`1` rlike {a}, array_join(transform({between}, y -> concat(y.`0`, repeat('{MASK}', length(coalesce(y.`1`, ''))))), ''), z.`1`)"
     zipped = f"arrays_zip(split({text}, {q}, -1), regexp_extract_all({text}, {q}, 0))"
     none = "named_struct('lo', -1, 'hi', -1)"
-    named = f"transform({zipped}, z -> named_struct('p', length(z.`0`), 'm', length(z.`1`), 'w', if(z.`1` is null or {allowed}, {none}, {_entropy_span(string, alphabet, least)})))"
+    named = f"transform({zipped}, z -> named_struct('p', length(z.`0`), 'm', length(z.`1`), 'w', if(z.`1` is null or {allowed}, {none}, {_entropy_span(string, masked, alphabet, least)})))"
     step = f"""(a, x) -> named_struct('at', a.at + x.p + coalesce(x.m, 0), 'out',
         if(x.w.lo >= 0, concat(a.out, array(named_struct('start', a.at + x.p + x.w.lo, 'rank', {rank}, 'end', a.at + x.p + x.w.hi))), a.out))"""
     return f"if({text} rlike {q}, aggregate({named}, named_struct('at', 0, 'out', {_NONE}), {step}, a -> a.out), {_NONE})"

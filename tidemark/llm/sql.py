@@ -5,7 +5,7 @@ from __future__ import annotations
 from .filter_audit import LEAST_DISTINCT, LEAST_WORDS, LETTERS, MOST_CAPITALS, SIGNS
 from .near_dedup import PERCENT, WORDS
 from .ranked_search import B, BASE, LENGTH, SCALE, TF, TOP
-from .secret_scan import ACCESS_LEAST, ASSIGN_LEAST, CLASSES, WINDOW
+from .secret_scan import ACCESS_LEAST, ASSIGN_LEAST, CLASSES, MASK, WINDOW
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,9 +45,9 @@ def secret_scan_sql() -> str:
         "entropy_base64": (f"[A-Za-z0-9+/_=-]{{{WINDOW},}}", 0, "regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')"),
     }
     # SQL patterns have no references back, so each character's repeats are spelled out
-    same = "|".join(f"{'[+]' if c == '+' else c}{{8}}" for c in f"{_LOWER}0123456789+/_=-")
-    allowed = f"""regexp_matches(lower(m), 'example|sample|dummy|placeholder|change_?me|redacted|lorem|xxxx|your[_-]')
-        or regexp_full_match(lower(m), '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}') or regexp_matches(lower(m), '123456789|abcdefgh|{same}')"""
+    same = "|".join(f"{'[+]' if c == '+' else c}{{8,}}" for c in f"{_LOWER}0123456789+/_=-")
+    allow = f"example|sample|dummy|placeholder|change_?me|redacted|lorem|xxxx|your[_-]|0123456789|123456789|abcdefgh|{same}"
+    uuid = "regexp_full_match(lower(m), '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}')"
     parts, spans = [], []
     for rank, (kind, (pattern, group, passes)) in enumerate(found.items()):
         parts.append(f"""
@@ -59,9 +59,10 @@ def secret_scan_sql() -> str:
         else:
             string, least = ("lower(m)", CLASSES[kind][2]) if kind == "entropy_hex" else ("m", CLASSES[kind][2])
             parts.append(f"""
-{kind}_windows as (select rid, start, {string} as m, unnest(range(0, length(m) - {WINDOW - 1})) as o from {kind}_at where {passes} and not ({allowed})),""")
+{kind}_masked as (select rid, start, {string} as m, string_split_regex(lower(m), '{allow}') as p, regexp_extract_all(lower(m), '{allow}') as q from {kind}_at where {passes} and not {uuid}),
+{kind}_windows as (select rid, start, m, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || repeat('{MASK}', coalesce(length(q[i]), 0))), '') as shown, unnest(range(0, length(m) - {WINDOW - 1})) as o from {kind}_masked),""")
             spans.append(f"""select rid, {rank}, '{kind}', start + min(o), start + max(o) + {WINDOW} from {kind}_windows
-    where list_entropy(string_split(substring(m, o + 1, {WINDOW}), '')) >= {least} - 1e-9 group by rid, start""")
+    where list_entropy(string_split(substring(m, o + 1, {WINDOW}), '')) >= {least} - 1e-9 and not contains(substring(shown, o + 1, {WINDOW}), '{MASK}') group by rid, start""")
     union = "\nunion all ".join(spans)
     return f"""
 with texts as materialized (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),{"".join(parts)}
