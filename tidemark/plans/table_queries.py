@@ -11,6 +11,7 @@ from tidemark.operators import events as E
 from tidemark.operators import metrics as M
 from tidemark.operators import regression as R
 from tidemark.operators import sampling as P
+from tidemark.operators.sessions import sessions
 from tidemark.operators.search import layered_search
 from tidemark.sources import sinks
 from tidemark.sources.tables import daily_prices, table
@@ -125,6 +126,15 @@ def _stratified(spark, d):
 
 
 register("stratified_sample", _stratified, "WITH u AS (SELECT source, (100 // n + CASE WHEN k <= 100 % n THEN 1 ELSE 0 END) AS q FROM (SELECT source, row_number() OVER (ORDER BY source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents))), r AS (SELECT doc_id, source, q, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents JOIN u USING (source)), p AS (SELECT DISTINCT source, round_even(i * (n - 1) / greatest(q - 1, 1)::DOUBLE, 0)::BIGINT AS k FROM (SELECT DISTINCT source, n, q FROM r), range(0, 200) t(i) WHERE i < q AND n > q UNION SELECT source, k FROM r WHERE n <= q) SELECT doc_id, source FROM r JOIN p USING (source, k)")
+
+
+def _repaired(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", F.when(F.col("lang") == "en", "en").otherwise("other").alias("section"))
+    return P.repaired_sample(docs, "section", "source", ["doc_id"], 170).select("doc_id", "section", "source")
+
+
+# a unit is dealt to each stratum in turn while it has rows, so quotas are counts among a section's first units by (place, stratum)
+register("repaired_sample", _repaired, "WITH r AS (SELECT doc_id, source, CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS section FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY section, source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY section, source) AS n FROM r), d AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY k, source) AS turn FROM n), q AS (SELECT section, source, n, count(*) FILTER (turn <= 170) AS q FROM d GROUP BY ALL), p AS (SELECT DISTINCT section, source, round_even(i * (n - 1) / greatest(q - 1, 1)::DOUBLE, 0)::BIGINT AS k FROM q, range(0, 200) t(i) WHERE i < q) SELECT doc_id, section, source FROM n JOIN p USING (section, source, k)")
 register("top_features", lambda s, d: M.top_terms(C.with_grams(table(s, d, "benchmark"), "text"), "grams", C.FEATURES), r"WITH t AS (SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM benchmark), g AS (SELECT CASE WHEN length(t) > n THEN substring(t, i::INT, n::INT) WHEN length(t) > 0 THEN t END AS term FROM t, range(2, 5) a(n), range(1, 2000) b(i) WHERE i = 1 OR i <= length(t) - n + 1) SELECT term, count(*) AS n FROM g WHERE term IS NOT NULL GROUP BY 1 ORDER BY n DESC, term LIMIT 8000")
 register("head_padding", lambda s, d: table(s, d, "documents").where("lang = 'es'").select("doc_id").unionByName(table(s, d, "documents").where("lang <> 'es'").select("doc_id").orderBy("doc_id").limit(10)), "SELECT doc_id FROM documents WHERE lang = 'es' UNION ALL (SELECT doc_id FROM documents WHERE lang <> 'es' ORDER BY doc_id LIMIT 10)")
 
@@ -152,10 +162,8 @@ register("value_map", lambda s, d: sinks.value_map(table(s, d, "supplier").selec
 
 def _sessions(spark, d):
     """Clusters of a user's events: a gap of an hour or more begins a new one; clusters of three and more are kept, with their spread."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.coalesce(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) >= 3600 * 1000000, F.lit(False))
-    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_g", gap.cast("int"))
-    rows = rows.withColumn("session", F.sum("_g").over(w))
+    rows = table(spark, d, "events").withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = sessions(rows, "user_id", "_at", ["event_id"], 3600 * 1000000)
     return rows.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.round(F.max("value") - F.min("value"), 6).alias("spread")).where("n >= 3")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import duplicates, events, order, scoring, similarity
+from tidemark.operators import duplicates, events, order, scoring, segmentation, similarity
 from tidemark.sources.tables import table
 
 from .catalog import register
@@ -268,3 +268,15 @@ register("sentence_bare_documents", lambda s, d: table(s, d, DOCS).select("doc_i
 
 PROTECTED = ["tion", "ment", "les"]
 register("segmented_tokens", lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(T.segment(F.col("text"), PROTECTED, ["the", "and"]), " ").alias("tokens")))
+
+
+def _segmented_documents(spark, d):
+    """Whole documents by the 5,000 most frequent words of all of them; compounds and unknown words come apart."""
+    docs = table(spark, d, DOCS).select("doc_id", "text")
+    counts = docs.select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    lexicon = counts.orderBy(F.col("n").desc(), "word").limit(5000)
+    found = segmentation.segment_words(docs, "text", lexicon, PROTECTED, ["the", "and"])
+    return found.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.crc32(F.array_join("tokens", " ").cast("binary")).alias("tokens_crc32"))
+
+
+register("segmented_documents", _segmented_documents)
