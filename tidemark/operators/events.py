@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 TRADING_DAYS = 252.0
 
 
@@ -109,36 +111,42 @@ def right_closed_bin(value: Column, q1: Column, q2: Column) -> Column:
     return F.when(value <= q1, 0).when(value <= q2, 1).when(value.isNotNull(), 2)
 
 
-def expanding_forecast(df: DataFrame, value: str, order: str, least: int = 6, by: list[str] | None = None) -> DataFrame:
+def expanding_forecast(df: DataFrame, value: str, order: str, least: int = 6, by: list[str] | None = None, block: int = scans.BLOCK) -> DataFrame:
     """df with forecast, unexpected and method: one step ahead by a first-order autoregression fitted on earlier rows only.
 
     Under `least` earlier values: the last one (last_available), or nothing (insufficient_history). A constant history gives
-    its mean. A missing value keeps its row with method missing_actual; rows are ranked over values that are there."""
-    part = by or []
-    there = df.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*part).orderBy(order)
-    lagged = there.withColumn("_lag", F.lag(value).over(w))
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    n, slope, icept = F.count(value).over(past), F.regr_slope(value, "_lag").over(past), F.regr_intercept(value, "_lag").over(past)
-    flat = F.max("_lag").over(past) == F.min("_lag").over(past)
-    fitted = F.when(n == 0, F.lit(None)).when(n < least, F.col("_lag")).when(flat, F.avg(value).over(past)).otherwise(icept + slope * F.col("_lag"))
+    its mean. A missing value keeps its row with method missing_actual; rows are ranked over values that are there. The fit is in
+    running sums of the values less their group's mean, carried over blocks, so a series of any length is many tasks."""
+    there = df.where(F.col(value).isNotNull()).withColumn("_y", F.col(value).cast("double"))
+    rows = scans.running(scans.blocked(there, by or [], [order], block), {"_n": ("sum", F.lit(1))}, True, {"_all": F.lit(1), "_total": F.col("_y")})
+    rows = scans.lag(rows.withColumn("_y", F.col("_y") - F.col("_total") / F.col("_all")), "_y", "_x")
+    x, y = F.col("_x"), F.when(F.col("_x").isNotNull(), F.col("_y"))
+    sums = {"_m": ("sum", F.when(x.isNotNull(), 1).otherwise(0)), "_sx": ("sum", x), "_sy": ("sum", y), "_sxx": ("sum", x * x), "_sxy": ("sum", x * y), "_s": ("sum", F.col("_y")), "_hi": ("max", x), "_lo": ("min", x)}
+    rows = scans.running(rows, sums, True)
+    n, m, mean = F.col("_n"), F.col("_m"), F.col("_total") / F.col("_all")
+    slope = F.try_divide(F.col("_sxy") - F.try_divide(F.col("_sx") * F.col("_sy"), m), F.col("_sxx") - F.try_divide(F.col("_sx") * F.col("_sx"), m))
+    line = F.try_divide(F.col("_sy"), m) + slope * (x - F.try_divide(F.col("_sx"), m))
+    flat = F.col("_hi") == F.col("_lo")
+    fitted = F.when(n == 0, F.lit(None)).when(n < least, x).when(flat, F.try_divide(F.col("_s"), n)).otherwise(line)
     method = F.when(n == 0, "insufficient_history").when(n < least, "last_available").when(flat, "historical_mean_constant").otherwise("expanding_ar1")
-    done = lagged.withColumns({"forecast": fitted.cast("double"), "method": method}).withColumn("unexpected", F.col(value) - F.col("forecast")).drop("_lag")
+    done = rows.withColumns({"forecast": fitted + mean, "method": method}).withColumn("unexpected", F.col(value) - F.col("forecast"))
+    done = done.select(*df.columns, "forecast", "method", "unexpected")
     missing = df.where(F.col(value).isNull()).withColumns({"forecast": F.lit(None).cast("double"), "method": F.lit("missing_actual"), "unexpected": F.lit(None).cast("double")})
     return done.unionByName(missing)
 
 
-def first_difference(df: DataFrame, value: str, order: str, out: str, by: list[str] | None = None) -> DataFrame:
-    return df.withColumn(out, F.col(value) - F.lag(value).over(Window.partitionBy(*(by or [])).orderBy(order)))
+def first_difference(df: DataFrame, value: str, order: str, out: str, by: list[str] | None = None, block: int = scans.BLOCK) -> DataFrame:
+    """df with the value less that of the group's row before; what lies between blocks of rows is carried."""
+    rows = scans.lag(scans.blocked(df, by or [], [order], block), value, "_prior")
+    return scans.unblocked(rows.withColumn(out, F.col(value) - F.col("_prior"))).drop("_prior")
 
 
-def holm(df: DataFrame, p: str = "p", key: str = "model", out: str = "p_holm", by: list[str] | None = None) -> DataFrame:
-    """Step-down adjusted p-values; a missing p counts as 1."""
-    filled = df.withColumn("_p", F.coalesce(p, F.lit(1.0)))
-    part = Window.partitionBy(*(by or []))
-    w = part.orderBy("_p", key)
-    ranked = filled.withColumn("_x", (F.count(F.lit(1)).over(part) - F.row_number().over(w) + 1) * F.col("_p"))
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.max("_x").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_p", "_x")
+def holm(df: DataFrame, p: str = "p", key: str = "model", out: str = "p_holm", by: list[str] | None = None, block: int = scans.BLOCK) -> DataFrame:
+    """Step-down adjusted p-values; a missing p counts as 1. Ranks and the running maximum are carried over blocks of rows."""
+    rows = scans.blocked(df.withColumn("_p", F.coalesce(p, F.lit(1.0))), by or [], ["_p", key], block)
+    rows = scans.running(rows, {"_k": ("sum", F.lit(1))}, whole={"_n": F.lit(1)}).withColumn("_x", (F.col("_n") - F.col("_k") + 1) * F.col("_p"))
+    rows = scans.running(rows, {"_top": ("max", F.col("_x"))})
+    return scans.unblocked(rows.withColumn(out, F.least(F.lit(1.0), "_top"))).drop("_p", "_x", "_k", "_n", "_top")
 
 
 def formal_zscore(df: DataFrame, value: str, formal: Column, by: list[str], out: str, ddof: int = 0) -> DataFrame:

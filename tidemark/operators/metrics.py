@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def _grid(df: DataFrame, labels: list, cols: list[str]) -> DataFrame:
     kind = df.schema[cols[0]].dataType
@@ -50,9 +52,9 @@ def illegal_labels(df: DataFrame, column: str, allowed: list) -> DataFrame:
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """(variable, count, mean, std, min, p25, p50, p75, max) with exact, interpolated quantiles; missing values are left out."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null and not isnan(v)")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    sums = long.groupBy("variable").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"))
-    return sums.select("variable", "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    sums = long.groupBy("variable").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    q = quantiles(long, ["variable"], "v", [0.25, 0.5, 0.75])
+    return sums.join(q, "variable").select("variable", "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def top_terms(df: DataFrame, terms: str, n: int) -> DataFrame:

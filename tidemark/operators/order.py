@@ -11,16 +11,16 @@ from tidemark.sources.scratch import materialize
 def with_index(df: DataFrame, keys: list[str], out: str = "idx") -> DataFrame:
     """df with out: 0, 1, 2, ... in the order of keys. Rows are range-sorted and written once, so ranks do not change when
     an executor is lost; only one count a partition reaches the driver."""
-    ranged = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranged")
-    counts = sorted((r[0], r[1]) for r in ranged.groupBy(F.shiftright("_at", 33).cast("int").alias("p")).count().collect())
+    ranged = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_index_at", F.monotonically_increasing_id()), "ranged")
+    counts = sorted((r[0], r[1]) for r in ranged.groupBy(F.shiftright("_index_at", 33).cast("int").alias("p")).count().collect())
     firsts, total = [], 0
     for p, n in counts:
         firsts.append((p, total))
         total += n
     if not firsts:
-        return ranged.withColumn(out, F.lit(0).cast("long")).drop("_at")
-    table = df.sparkSession.createDataFrame(firsts, "_p int, _first long")
-    return ranged.join(F.broadcast(table), F.shiftright("_at", 33).cast("int") == F.col("_p")).withColumn(out, F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_p", "_first")
+        return ranged.withColumn(out, F.lit(0).cast("long")).drop("_index_at")
+    table = df.sparkSession.createDataFrame(firsts, "_index_p int, _index_first long")
+    return ranged.join(F.broadcast(table), F.shiftright("_index_at", 33).cast("int") == F.col("_index_p")).withColumn(out, F.col("_index_first") + F.col("_index_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_index_at", "_index_p", "_index_first")
 
 
 def running_count(df: DataFrame, group: str, position: str, block: int = 4096) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import with_index
+
 
 def even_positions(length: Column, target: Column) -> Column:
     """Distinct places rint(i * (length - 1) / (target - 1)) for i below target, half to even; all places if target is not below length."""
@@ -14,11 +16,15 @@ def even_positions(length: Column, target: Column) -> Column:
     return F.when((target <= 0) | (length <= 0), none).when(target >= length, every).otherwise(F.array_distinct(some))
 
 
-def even_sample(df: DataFrame, by: list[str], order: list[str], target: Column) -> DataFrame:
-    """Rows of each group at even places of its order; target may use the group's size `n_rows`."""
-    part = Window.partitionBy(*by)
-    ranked = df.withColumns({"n_rows": F.count("*").over(part).cast("int"), "_at": F.row_number().over(part.orderBy(*order)) - 1})
-    return ranked.where(F.array_contains(even_positions(F.col("n_rows"), target), F.col("_at"))).drop("_at", "n_rows")
+def even_sample(df: DataFrame, by: list[str], order: list[str], target: Column, settings: list[str] | None = None) -> DataFrame:
+    """Rows of each group at even places of its order; target may use the group's size `n_rows` and the columns in settings, which are the same in all of a group.
+
+    Rows are ranked over the whole table, and a group's places are ranks behind its first one: no window over a group, and one row
+    for each row of the sample is joined. Ties in the order keep the order in which they were written."""
+    ranked = with_index(df, [*by, *order], "_rank")
+    groups = ranked.groupBy(*by).agg(F.min("_rank").alias("_first"), F.count("*").cast("int").alias("n_rows"), *[F.first(c).alias(c) for c in settings or []])
+    wanted = groups.select(F.explode(F.transform(even_positions(F.col("n_rows"), target), lambda k: F.col("_first") + k)).alias("_rank"))
+    return ranked.join(wanted, "_rank").drop("_rank")
 
 
 def quotas(units: DataFrame, order: list[str], total: int, out: str = "quota") -> DataFrame:
@@ -51,4 +57,4 @@ def repaired_sample(df: DataFrame, section: str, stratum: str, order: list[str],
     quotas_ = settled_quotas(df.groupBy(section, stratum).agg(F.count("*").cast("int").alias("n")), section, stratum, total)
     q = quotas_.select(F.col(section).alias("_s1"), F.col(stratum).alias("_s2"), "quota")
     joined = df.join(q, df[section].eqNullSafe(q["_s1"]) & df[stratum].eqNullSafe(q["_s2"])).drop("_s1", "_s2")
-    return even_sample(joined, [section, stratum], order, F.col("quota")).drop("quota")
+    return even_sample(joined, [section, stratum], order, F.col("quota"), ["quota"]).drop("quota")

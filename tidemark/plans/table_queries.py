@@ -11,6 +11,7 @@ from tidemark.operators import events as E
 from tidemark.operators import metrics as M
 from tidemark.operators import regression as R
 from tidemark.operators import sampling as P
+from tidemark.operators.quantiles import quantiles
 from tidemark.operators.sessions import sessions
 from tidemark.operators.search import layered_search
 from tidemark.sources import sinks
@@ -75,7 +76,7 @@ both("mean_by_group", "SELECT l_returnflag, l_linestatus, round(avg(l_quantity),
 both("value_counts", "SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type", tables="events")
 both("multi_aggregate", "SELECT lang, source, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, min(n_chars) AS least, count(*) AS n FROM {documents} GROUP BY lang, source", tables="documents")
 both("distinct_dates", "SELECT count(DISTINCT CAST(o_orderdate AS DATE)) AS n_days, count(DISTINCT o_custkey) AS n_customers FROM {orders}", tables="orders")
-register("median_by_group", lambda s, d: table(s, d, "documents").groupBy("lang").agg(F.round(F.percentile("n_chars", F.lit(0.5)), 6).alias("median")), "SELECT lang, round(quantile_cont(n_chars::DOUBLE, 0.5), 6) AS median FROM documents GROUP BY 1")
+register("median_by_group", lambda s, d: quantiles(table(s, d, "documents"), ["lang"], "n_chars", [0.5]).select("lang", F.round(F.col("q")[0], 6).alias("median")), "SELECT lang, round(quantile_cont(n_chars::DOUBLE, 0.5), 6) AS median FROM documents GROUP BY 1")
 register("pivot_counts", lambda s, d: table(s, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().fillna(0), "SELECT o_orderpriority, count_if(o_orderstatus = 'F')::BIGINT AS \"F\", count_if(o_orderstatus = 'O')::BIGINT AS \"O\", count_if(o_orderstatus = 'P')::BIGINT AS \"P\" FROM orders GROUP BY 1")
 register("describe_panel", lambda s, d: M.describe(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).select("variable", "count", *[F.round(c, 5).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")]),
     " UNION ALL ".join(f"SELECT '{c}' AS variable, count({c}) AS count, round(avg({c}), 5) AS mean, round(stddev_samp({c}), 5) AS std, round(min({c}), 5) AS min, round(quantile_cont({c}, 0.25), 5) AS p25, round(quantile_cont({c}, 0.5), 5) AS p50, round(quantile_cont({c}, 0.75), 5) AS p75, round(max({c}), 5) AS max FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")))
@@ -122,7 +123,7 @@ register("quota_sample", lambda s, d: P.quotas(table(s, d, "documents").select("
 def _stratified(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "source")
     q = P.quotas(docs.select("source").distinct(), ["source"], 100)
-    return P.even_sample(docs.join(F.broadcast(q), "source"), ["source"], ["doc_id"], F.col("quota")).select("doc_id", "source")
+    return P.even_sample(docs.join(F.broadcast(q), "source"), ["source"], ["doc_id"], F.col("quota"), ["quota"]).select("doc_id", "source")
 
 
 register("stratified_sample", _stratified, "WITH u AS (SELECT source, (100 // n + CASE WHEN k <= 100 % n THEN 1 ELSE 0 END) AS q FROM (SELECT source, row_number() OVER (ORDER BY source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents))), r AS (SELECT doc_id, source, q, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents JOIN u USING (source)), p AS (SELECT DISTINCT source, round_even(i * (n - 1) / greatest(q - 1, 1)::DOUBLE, 0)::BIGINT AS k FROM (SELECT DISTINCT source, n, q FROM r), range(0, 200) t(i) WHERE i < q AND n > q UNION SELECT source, k FROM r WHERE n <= q) SELECT doc_id, source FROM r JOIN p USING (source, k)")
