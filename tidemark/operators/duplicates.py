@@ -44,18 +44,18 @@ def _different(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.nda
     return owner[first], value[first]
 
 
-def minimizers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash): for any CONTAINED characters of a text the smallest hash of ANCHOR characters in them. A text that is contained in another
+def minimizers(texts: list[str], anchor: int = ANCHOR, window: int = CONTAINED) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash): for any `window` characters of a text the smallest hash of `anchor` characters in them. A text that is contained in another
     one has none that the other one has not."""
     codes, owner, _ = _codes(texts)
-    n = len(codes) - CONTAINED + 1
+    n = len(codes) - window + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.zeros(len(codes) - ANCHOR + 1, np.uint64)
-    for k in range(ANCHOR):
+    h = np.zeros(len(codes) - anchor + 1, np.uint64)
+    for k in range(anchor):
         h = h * _MIX[0] + codes[k : k + len(h)]
-    least = np.lib.stride_tricks.sliding_window_view(_mixed(h), CONTAINED - ANCHOR + 1).min(axis=1)
-    whole = owner[:n] == owner[CONTAINED - 1 :]
+    least = np.lib.stride_tricks.sliding_window_view(_mixed(h), window - anchor + 1).min(axis=1)
+    whole = owner[:n] == owner[window - 1 :]
     return _different(owner[:n][whole], least[whole])
 
 
