@@ -13,7 +13,7 @@ from .duplicates import CHARACTERS, minimizers
 
 #: (anchor, window) by falling length: a passage has the first class whose window it fills. Classes that no passage has cost nothing.
 CLASSES = ((10, 20), (8, 8), (4, 4), (2, 2), (1, 1))
-#: Up to so many different anchors of passages are broadcast, 8 bytes each; more are joined by a shuffle.
+#: Up to so many different anchors of passages, or documents that may hold one, are broadcast, 8 bytes each; more are joined by a shuffle.
 ANCHORS = 500_000
 #: Passages that are looked for in one row's text, about.
 TOGETHER = 64
@@ -86,6 +86,10 @@ def layered_search(docs: DataFrame, needles: DataFrame, doc_id: str = "doc_id",
         level = lambda x: F.when(F.contains(t["t"], x["needle"]), 1).when(F.contains(t["one"], x["one"]), 2).when(F.contains(t["bare"], x["bare"]), 3)
         return F.transform("needles", lambda x: F.struct(x["n"].alias("n"), level(x).alias("level")))
 
+    # few documents may hold anything: the others' texts stay where they are
+    few = may.select("doc").distinct()
+    if few.count() <= ANCHORS:
+        rows = rows.join(F.broadcast(few), "doc", "left_semi")
     # the text's three forms are bound once for all needles of the row
     forms = F.array(F.struct("t", _one_space(F.col("t")).alias("one"), _bare(F.col("t")).alias("bare")))
     judged = rows.join(lists, "doc").select("doc", F.explode(F.flatten(F.transform(forms, levels))).alias("x")).where("x.level is not null")
