@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators.lexicon import category_sums, per_thousand
 
 
 @dataclass(frozen=True)
@@ -87,18 +88,20 @@ def sentence_scores(df: DataFrame, sentence: str, lex: Lexicon) -> DataFrame:
     return df.withColumns(_scores_of(F.col(sentence), lex))
 
 
+def lexicon_of(lex: Lexicon) -> list[tuple[str, str, float | None]]:
+    """The lexicon as (word, category, factor)."""
+    lists = {"positive": lex.positive, "negative": lex.negative, "dovish": lex.dovish, "hawkish": lex.hawkish, "negation": lex.negations, "turning": lex.turning, **lex.topics}
+    return [(w, c, None) for c, words in lists.items() for w in words] + [(w, "degree", float(f)) for w, f in lex.degree.items()]
+
+
 def text_scores(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text", terminators: str = T.TERMINATORS) -> DataFrame:
-    """sentiment, stance and topic attention of each text, per 1000 characters of the raw text. Missing texts have missing scores."""
-    base = docs.select(id_col, F.col(text_col).alias("_t"))
-    # sentences are scored and summed up inside their row, so nothing is shuffled
-    scored = F.transform(T.sentences(F.col("_t"), terminators), lambda s: F.struct(*[c.cast("double").alias(n) for n, c in _scores_of(s, lex).items()]))
-    base = base.withColumn("_p", F.when(F.col("_t").isNotNull(), scored))
-    per = 1000.0 / F.greatest(F.length("_t"), F.lit(1))
-    there = F.col("_t").isNotNull()
-    z = lambda n: F.aggregate("_p", F.lit(0.0), lambda a, x: a + x[n])
-    out = [F.when(there, (z("pos") - z("neg")) * per).alias("sentiment"), F.when(there, (z("dovish") - z("hawkish")) * per).alias("stance")]
-    out += [F.when(there, z(f"topic_{t}") * per).alias(f"attention_{t}") for t in lex.topics]
-    return base.select(id_col, *out)
+    """sentiment, stance and topic attention of each text, per 1000 characters of the raw text. Missing texts have missing scores.
+
+    All words are found in one pass over the text (operators/lexicon.py); a word that a list names twice counts once."""
+    scores = per_thousand(*category_sums(docs, lexicon_of(lex), id_col, text_col, terminators=terminators), id_col)
+    empty = [F.col("sentiment") * 0 for t in lex.topics]
+    have = [F.col(f"attention_{t}") if f"attention_{t}" in scores.columns else e.alias(f"attention_{t}") for t, e in zip(lex.topics, empty)]
+    return scores.select(id_col, "sentiment", "stance", *have)
 
 
 def gated(label: Column, sentence: Column, triggers: list[str], irrelevant: list[str], neutral: str = "neutral", other: str = "irrelevant") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import duplicates, events, order, scoring, segmentation, similarity
+from tidemark.operators import duplicates, events, lexicon, order, scoring, segmentation, similarity
 from tidemark.sources.tables import table
 
 from .catalog import register
@@ -266,6 +266,22 @@ register("token_score_documents", lambda s, d: table(s, d, DOCS).select("doc_id"
 register("tokenized_text_documents", lambda s, d: table(s, d, DOCS).select("doc_id", F.array_join(T.words(F.col("text")), " ").alias("tokens")))
 register("sentence_bare_documents", lambda s, d: table(s, d, DOCS).select("doc_id", T.bare(F.col("text")).alias("bare")))
 
+
+
+def _large_lexicon(spark, d):
+    """Whole documents by a lexicon of their 3,000 most frequent words of four or more characters, dealt to six lists by their hash; LEX's modifiers."""
+    docs = table(spark, d, DOCS).select("doc_id", "text")
+    counts = docs.select(F.explode(T.words(F.col("text"), 4)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.col("n").desc(), "word").limit(3000)
+    kinds = F.array(*map(F.lit, ["positive", "negative", "dovish", "hawkish", "growth", "risk"]))
+    dealt = top.select("word", F.get(kinds, F.pmod(F.xxhash64("word"), F.lit(6)).cast("int")).alias("category"), F.lit(None).cast("double").alias("factor"))
+    mods = spark.createDataFrame([r for r in scoring.lexicon_of(LEX) if r[1] in lexicon.MODIFIERS], "word string, category string, factor double")
+    found = lexicon.lexicon_scores(docs, dealt.unionByName(mods))
+    return found.select("doc_id", *[F.round(c, 5).alias(c) for c in ("sentiment", "stance", "attention_growth", "attention_risk")])
+
+
+register("large_lexicon_scores", _large_lexicon)
+
 PROTECTED = ["tion", "ment", "les"]
 register("segmented_tokens", lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(T.segment(F.col("text"), PROTECTED, ["the", "and"]), " ").alias("tokens")))
 
