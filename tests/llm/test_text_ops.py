@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -316,6 +317,83 @@ def test_pages_of_any_depth():
     assert v(long) == "\n\n".join(f"paragraph {k}" for k in range(20000))
 
 
+def test_cells_keep_their_blocks():
+    v = html_text.visible_text
+    assert v("<table><tr><td><p>a</p><p>b</p><ul><li>x<li>y</ul></td><td>r</td></table>") == "a   | r\n    |\nb   |\n    |\n- x |\n- y |"
+    assert v("<table><tr><td>1<td><table><tr><td>2<td>3<tr><td>44<td>5</table><td>z<tr><td>end</table>") == "1   | 2  | 3 | z\n    | 44 | 5 |\nend"
+    assert v("<table><tr><td>k<td>one<br>two<tr><td>long<td>q</table>") == "k    | one\n     | two\nlong | q"
+    assert v("<table><tr><td><ol><li>a<li>b</ol></table>") == "1. a\n2. b"
+    assert v("<ul><li><table><tr><td>a<td>b<br>c</table></ul>") == "- a | b\n    | c"
+    # a long line runs over its column; a wide table is no grid
+    long = "w" * 81
+    assert v(f"<table><tr><td>{long}<td>r<tr><td>a<td>b</table>") == f"{long} | r\na | b"
+    wide = "<td>c" * 200
+    assert v(f"<table><tr>{wide}<tr><td>x<td>y<tr><td>p<br>q<td>z</table>") == " | ".join("c" * 200) + "\nx | y\np\nq\nz"
+    deep = "<table><tr><td>a<td>" * 12
+    assert re.findall("[a-z]", v(deep + "b<br>c")) == [*"a" * 12, "b", "c"]
+
+
+def test_work_and_output_follow_the_page():
+    """Pages whose output or time grew with the square of their size; each in seconds, output within a fixed multiple."""
+    pages = [
+        "<table><tr><td>" + "ten words " * 5000 + "</td></tr>" + "<tr><td>a</td><td>b</td></tr>" * 2000 + "</table>",
+        "<style>div div div{color:red;display:block} p > b i{display:none}</style>" + "<div>" * 100_000 + "x",
+        "<table><tr>" + "<td>a" * 20_000 + "<tr><td>" + "x<br>" * 20_000 + "</table>",
+        "<table><tr>" + "<td colspan=1000 rowspan=0>a" * 300 + "<tr><td>b" * 3000 + "</table>",
+        "<ul><li>x" * 30_000,
+        "<blockquote>x" * 30_000,
+        "<table><tr><td>x<td>" * 5000 + "y<br>" * 5000,
+        "<b>word </b>" * 100_000,
+        "<p><b>" * 30_000 + "x",
+    ]
+    for page in pages:
+        start = time.process_time()
+        text = html_text.visible_text(page)
+        assert time.process_time() - start < 20 and len(text) < 40 * len(page), (page[:60], time.process_time() - start, len(text) / len(page))
+        assert text
+
+
+def test_selectors_of_random_trees():
+    """Display by compounds, descendants and children against a plain search over all ancestors."""
+    r = random.Random(11)
+    kinds = ["div", "span", "b", ".x", ".y", "#i", "div.x", "*", "[q]"]
+
+    def fits(node, c):
+        tag, attrs = node
+        return {"*": True, ".x": "x" in attrs["class"], ".y": "y" in attrs["class"], "#i": attrs["id"] == "i", "[q]": attrs["q"], "div.x": tag == "div" and "x" in attrs["class"]}.get(c, tag == c)
+
+    def ends(path, parts):
+        if not fits(path[-1], parts[-1]):
+            return False
+        if len(parts) == 1:
+            return True
+        above = range(len(path) - 1, 0, -1) if parts[-2] == " " else [len(path) - 1] if len(path) > 1 else []
+        return any(ends(path[:k], parts[:-2]) for k in above)
+
+    for _ in range(250):
+        rules = []
+        for _ in range(r.randrange(1, 5)):
+            parts = [r.choice(kinds)]
+            for _ in range(r.randrange(0, 4)):
+                parts += [r.choice([" ", ">"]), r.choice(kinds)]
+            rules.append(parts)
+        words = []
+
+        def tree(path, shown):
+            out = ""
+            for _ in range(r.randrange(0, 4) if len(path) < 7 else 0):
+                node = (r.choice(["div", "span", "b"]), {"class": r.choice(["", "x", "y", "x y"]), "id": r.choice(["", "i"]), "q": r.random() < 0.3})
+                now = shown and not any(ends([*path, node], p) for p in rules)
+                words.append((w := f"w{len(words)}", now))
+                out += f"<{node[0]} class='{node[1]['class']}' id='{node[1]['id']}'{' q' if node[1]['q'] else ''}> {w} {tree([*path, node], now)}</{node[0]}>"
+            return out
+
+        root = ("html", {"class": "", "id": "", "q": False})
+        rules = [p for p in rules if not ends([root], p)]
+        page = "<style>" + "".join(" ".join(p).replace("   ", " ") + "{display:none}" for p in rules) + "</style>" + tree([root], True)
+        assert sorted(re.findall(r"w\d+", html_text.visible_text(page).replace("<style>", ""))) == sorted(w for w, now in words if now), page
+
+
 def test_visible_words_of_random_trees():
     """Words of random trees against a plain recursive walk that only knows what is hidden."""
     r = random.Random(7)

@@ -10,13 +10,19 @@ the hidden attribute remove an element, visibility:hidden its text, but not that
 replaced elements' fallbacks, closed dialogs and what follows the summary of closed details are not shown.
 
 Blocks are set apart by line ends, paragraphs, headings, lists and tables by a blank line; list items get their mark and
-are indented by depth; table columns are padded to a common width, with cells that span rows and columns in their places.
+are indented by depth. A cell keeps its blocks, lists and tables as lines of its own, and a row is as high as its highest cell; columns
+are padded to a common width, with cells that span rows and columns in their places.
+
+Work and output grow in proportion to the page. Lines of more than PAD characters do not widen their column, they run over it. A table whose
+columns take more than ROOM characters, or DEEP tables inside one another, is no grid: cells of one line are then joined by a bar, a row
+with higher ones is a block a cell (so is each row below DEEP). Indents end at INDENT characters; columns beyond SPAN are not held free.
 The renderer keeps its own stack, so nesting of any depth follows the same rules.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 
 import pyarrow as pa
@@ -34,8 +40,10 @@ AS_BLOCK = frozenset("block flex grid list-item table flow-root".split())
 AS_INLINE = frozenset("inline inline-block inline-flex inline-grid contents".split())
 #: Pixels; media queries by width are held against it.
 VIEWPORT = 1280
-#: Columns that a cell may span, as in the standard.
+#: Columns that a cell may span, as in the standard; a table's columns that rows keep free.
 SPAN = 1000
+#: Characters to which a column is padded, that a grid is wide, that lines are indented, each at most; grids inside one another.
+PAD, ROOM, INDENT, DEEP = 80, 400, 80, 8
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu dir".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
@@ -78,31 +86,37 @@ def parse(html: str) -> Node:
     """The tree of a page; text nodes are strings with entities resolved."""
     root = Node("html", {})
     stack, at, n, last = [root], 0, len(html), html.rfind(">")
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
 
     def text(part: str) -> None:
         if part:
             stack[-1].children.append(unescape(part) if "&" in part else part)
 
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            places[node.tag].pop()
+        del stack[k:]
+
+    def last_of(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(tags, stops) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in stops:
-                return
+        k = last_of(tags)
+        if k and k >= last_of(stops):
+            cut(k)
 
     def close_all(tags, stops) -> None:
-        k = len(stack)
-        while k > 1 and stack[k - 1].tag not in stops:
-            k -= 1
-        for j in range(k, len(stack)):
-            if stack[j].tag in tags:
-                del stack[j:]
-                return
+        low, first = last_of(stops) + 1, len(stack)
+        for t in tags:
+            own = places.get(t, ())
+            if (k := bisect_left(own, low)) < len(own):
+                first = min(first, own[k])
+        cut(first)
 
     def opened(tag: str, attrs: dict[str, str]) -> Node:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
+        places.setdefault(tag, []).append(len(stack))
         stack.append(node)
         return node
 
@@ -137,9 +151,9 @@ def parse(html: str) -> Node:
         if tag in IMPLIED:
             close_all(*IMPLIED[tag])
         if tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
+            cut(len(stack) - 1)
         if stack[-1].tag == "head" and tag not in ("title", "meta", "link", "base", "script", "style", "template", "noscript"):
-            stack.pop()
+            cut(len(stack) - 1)
         if tag == "tr" and stack[-1].tag == "table":
             opened("tbody", {})
         if tag in ("td", "th"):
@@ -149,13 +163,13 @@ def parse(html: str) -> Node:
                 opened("tr", {})
         node = opened(tag, attrs)
         if tag in VOID:
-            stack.pop()
+            cut(len(stack) - 1)
         elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             body = html[at : end.start() if end else n]
             node.children.append(unescape(body) if tag in ("title", "textarea") else body)
             at = end.end() if end else n
-            stack.pop()
+            cut(len(stack) - 1)
     return root
 
 
@@ -210,7 +224,7 @@ def _compound(text: str):
 
 
 def _selector(text: str):
-    """([(compound, combinator to its left)] from right to left, specificity) or None."""
+    """([(compound, combinator to its left)] from left to right, specificity) or None."""
     words = re.sub(r"\s*>\s*", " > ", text.strip()).split()
     out, near, rank = [], "", [0, 0, 0]
     for w in words:
@@ -225,7 +239,7 @@ def _selector(text: str):
         for kind, *_ in c[1]:
             rank[0 if kind == "#" else 1] += 1
         rank[2] += bool(c[0])
-    return (out[::-1], tuple(rank)) if out and not near else None
+    return (out, tuple(rank)) if out and not near else None
 
 
 def _fits(node: Node, compound) -> bool:
@@ -245,22 +259,11 @@ def _fits(node: Node, compound) -> bool:
     return True
 
 
-def _matches(path: list[Node], selector) -> bool:
-    """Whether the last node of the path fits; each part takes the nearest ancestor it can, and children's parts are tried from every place."""
-    places = {len(path) - 1} if _fits(path[-1], selector[0][0]) else set()
-    for k in range(1, len(selector)):
-        compound, near = selector[k][0], selector[k - 1][1]
-        if not places:
-            return False
-        if near == ">":
-            places = {i - 1 for i in places if i and _fits(path[i - 1], compound)}
-        else:
-            places = {i for i in range(max(places)) if _fits(path[i], compound)}
-    return bool(places)
-
-
 def _styled(root: Node) -> None:
-    """Sets display and visible of all nodes, by the cascade."""
+    """Sets display and visible of all nodes, by the cascade.
+
+    Each part of a selector but the last has a bit: set in `here` where the selector up to it ends at the node, in `above` where it ends at the node
+    or an ancestor. A node looks at its parent's bits only, whatever its depth."""
     sheets, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -268,28 +271,34 @@ def _styled(root: Node) -> None:
             sheets.append(node.children[0])
         todo += [c for c in reversed(node.children) if isinstance(c, Node)]
     by_key: dict[str, list] = {}
-    n = 0
+    n = bits = 0
     for css in sheets:
         for names, sets in _rules(css):
             for name in names.split(","):
                 n += 1
                 parsed = _selector(name)
-                if parsed:
-                    tag, parts = parsed[0][0][0]
-                    own = next((kind + x for kind, x, *_ in parts if kind in ".#"), None) or tag or "*"
-                    by_key.setdefault(own, []).append((parsed[0], parsed[1], n, sets))
-    path, todo = [], [(root, 0)]
+                if not parsed:
+                    continue
+                parts, rank = parsed
+                for k, (compound, near) in enumerate(parts):
+                    tag, tests = compound
+                    own = next((kind + x for kind, x, *_ in tests if kind in ".#"), None) or tag or "*"
+                    final = k == len(parts) - 1
+                    by_key.setdefault(own, []).append((compound, 1 << (bits - 1) if k else 0, near == ">", 0 if final else 1 << bits, (rank, n, sets) if final else None))
+                    bits += not final
+    todo = [(root, 0, 0)]
     while todo:
-        node, depth = todo.pop()
-        del path[depth:]
-        path.append(node)
-        a, found = node.attrs, []
+        node, parent, above = todo.pop()
+        a, found, here = node.attrs, [], 0
         if by_key:
             keys = [node.tag, "*", *(f".{c}" for c in set(a.get("class", "").split())), f"#{a.get('id', '')}"]
             for key in keys:
-                for selector, rank, place, sets in by_key.get(key, ()):
-                    if _matches(path, selector):
-                        found += [((important, *rank, place), name, value) for name, value, important in sets]
+                for compound, needs, child, bit, rule in by_key.get(key, ()):
+                    if (not needs or needs & (parent if child else above)) and _fits(node, compound):
+                        here |= bit
+                        if rule:
+                            rank, place, sets = rule
+                            found += [((important, *rank, place), name, value) for name, value, important in sets]
         if "style" in a:
             found += [((important, 1 << 30, 0, 0, k), name, value) for k, (name, value, important) in enumerate(_declared(a["style"]))]
         if "hidden" in a:
@@ -300,7 +309,7 @@ def _styled(root: Node) -> None:
             elif value != "inherit":
                 node.visible = value not in ("hidden", "collapse")
         if node.display != "none":
-            todo += [(c, depth + 1) for c in reversed(node.children) if isinstance(c, Node)]
+            todo += [(c, here, above | here) for c in reversed(node.children) if isinstance(c, Node)]
 
 
 def _hidden(node: Node) -> bool:
@@ -313,11 +322,12 @@ def _whole(text: str | None, least: int, most: int, other: int) -> int:
 
 
 class _Writer:
-    """Collects lines; gap is the number of line ends due before the next text."""
+    """Collects lines; gap is the number of line ends due before the next text, depth that of grids around it."""
 
-    def __init__(self):
+    def __init__(self, depth: int = 0):
         self.lines: list[str] = []
-        self.line, self.gap, self.space, self.indent, self.mark = "", 0, False, "", ""
+        self.parts: list[str] = []  # of the line that is being written, none empty
+        self.gap, self.space, self.inked, self.indent, self.mark, self.depth = 0, False, False, "", "", depth
 
     def add(self, text: str) -> None:
         parts = _SPACE.sub(" ", text)
@@ -328,7 +338,9 @@ class _Writer:
             self.space = True
         if body:
             self._begin()
-            self.line += (" " if self.space and self.line.strip() and not self.line.endswith(" ") else "") + body
+            if self.space and self.inked and not self.parts[-1].endswith(" "):
+                self.parts.append(" ")
+            self._put(body)
             self.space = parts[-1] == " "
 
     def raw(self, text: str) -> None:
@@ -337,46 +349,107 @@ class _Writer:
                 self.line_end()
             if part:
                 self._begin()
-                self.line += part
+                self._put(part)
+
+    def _put(self, part: str) -> None:
+        if part:
+            self.parts.append(part)
+            self.inked = self.inked or bool(part.strip())
 
     def _begin(self) -> None:
         if self.gap:
-            if self.line or self.lines:
-                self.lines.append(self.line.rstrip())
+            if self.parts or self.lines:
+                self.lines.append("".join(self.parts).rstrip())
                 self.lines += [""] * (self.gap - 1)
-            self.line, self.gap, self.space = "", 0, False
-        if not self.line:
-            self.line = self.indent + self.mark
+            self.parts, self.gap, self.space, self.inked = [], 0, False, False
+        if not self.parts:
+            self._put(self.indent + self.mark)
             if self.mark:
-                self.indent += " " * len(self.mark)
+                self.deeper(len(self.mark))
                 self.mark = ""
 
+    def deeper(self, by: int) -> None:
+        self.indent = (self.indent + " " * by)[:INDENT]
+
     def block(self, gap: int) -> None:
         self.space = False
-        if self.line or self.lines:
+        if self.parts or self.lines:
             self.gap = max(self.gap, gap)
 
     def line_end(self) -> None:
-        if self.gap or not self.line:
-            self.gap += 1 if self.line or self.lines else 0
+        if self.gap or not self.parts:
+            self.gap += 1 if self.parts or self.lines else 0
         else:
             self.gap = 1
         self.space = False
 
     def text(self) -> str:
-        return "\n".join([*self.lines, self.line.rstrip()]).strip("\n")
+        return "\n".join([*self.lines, "".join(self.parts).rstrip()]).strip("\n")
 
 
-def _cells(row: Node, visible: bool, out: list[tuple[str, int, int]]):
+def _cells(row: Node, visible: bool, out: list[tuple[list[str], int, int]], w: _Writer):
+    """Each cell's lines and spans; below DEEP grids the cells go to w as blocks."""
     for c in row.children:
         if isinstance(c, Node) and c.tag in ("td", "th") and not _hidden(c):
-            w = _Writer()
-            yield _render(c, w, visible if c.visible is None else c.visible)
-            out.append((_SPACE.sub(" ", w.text()), _whole(c.attrs.get("colspan"), 1, SPAN, 1), _whole(c.attrs.get("rowspan"), 0, 65534, 1)))
+            own = w if w.depth >= DEEP else _Writer(w.depth + 1)
+            if own is w:
+                w.block(1)
+            yield _render(c, own, visible if c.visible is None else c.visible)
+            if own is w:
+                w.block(1)
+            else:
+                out.append((own.text().split("\n"), _whole(c.attrs.get("colspan"), 1, SPAN, 1), _whole(c.attrs.get("rowspan"), 0, 65534, 1)))
+
+
+def _placed(groups: list[list[list[tuple[list[str], int, int]]]]) -> list[list[tuple[int, list[str], int]]]:
+    """Each row's cells at their columns; a cell that spans rows keeps its columns, up to SPAN of a table, free in those of its group."""
+    rows = []
+    for group in groups:
+        taken: dict[int, int] = {}
+        for k, row in enumerate(group):
+            at, placed, held = 0, [], {c: left - 1 for c, left in taken.items() if left > 1}
+            for cell, span, down in row:
+                while at in taken:
+                    at += 1
+                placed.append((at, cell, span))
+                if down != 1:
+                    for c in range(at, min(at + span, SPAN)):
+                        held[c] = (len(group) - k if down == 0 else down) - 1
+                at += span
+            taken = {c: left for c, left in held.items() if left > 0}
+            rows.append(placed)
+    return rows
+
+
+def _widths(rows: list[list[tuple[int, list[str], int]]]) -> dict[int, int] | None:
+    """Widths of the columns, by lines of at most PAD characters, those of single columns first; None if they are no grid of ROOM characters."""
+    columns = max((at + span for row in rows for at, _, span in row), default=0)
+    if columns * 3 > ROOM:
+        return None
+    width = dict.fromkeys(range(columns), 0)
+    for wide in (False, True):
+        for row in rows:
+            for at, cell, span in row:
+                if wide == (span > 1):
+                    room = sum(width[c] for c in range(at, at + span)) + 3 * (span - 1)
+                    width[at + span - 1] += max(0, max((len(x) for x in cell if len(x) <= PAD), default=0) - room)
+    return width if sum(width.values()) + 3 * (columns - 1) <= ROOM else None
+
+
+def _grid_row(row: list[tuple[int, list[str], int]], width: dict[int, int]) -> list[str]:
+    lines = []
+    for k in range(max((len(cell) for _, cell, _ in row), default=0)):
+        parts, at = [], 0
+        for start, cell, span in row:
+            parts += [" " * width[c] for c in range(at, start)]
+            at = start + span
+            parts.append((cell[k] if k < len(cell) else "").ljust(sum(width[c] for c in range(start, at)) + 3 * (span - 1)))
+        lines.append(" | ".join(parts).rstrip(" "))
+    return lines if any(x.strip(" |") for x in lines) else []
 
 
 def _table(node: Node, w: _Writer, visible: bool):
-    groups: list[list[list[tuple[str, int, int]]]] = []
+    groups: list[list[list[tuple[list[str], int, int]]]] = []
     todo, loose = [(c, None) for c in reversed(node.children)], None
     while todo:
         c, own = todo.pop()
@@ -391,7 +464,7 @@ def _table(node: Node, w: _Writer, visible: bool):
                     if not own:
                         groups.append(own)
                 own.append([])
-                yield _cells(c, seen, own[-1])
+                yield _cells(c, seen, own[-1], w)
             elif c.tag in ("thead", "tbody", "tfoot"):
                 groups.append([])
                 todo += [(x, groups[-1]) for x in reversed(c.children)]
@@ -399,42 +472,20 @@ def _table(node: Node, w: _Writer, visible: bool):
                 w.block(1)
                 yield _render(c, w, seen)
                 w.block(1)
-    # each row's cells at their columns; a cell that spans rows keeps its columns free in those of its group
-    rows: list[list[tuple[int, str, int]]] = []
-    for group in groups:
-        taken: dict[int, int] = {}
-        for k, row in enumerate(group):
-            at, placed, held = 0, [], {c: left - 1 for c, left in taken.items() if left > 1}
-            for cell, span, down in row:
-                while at in taken:
-                    at += 1
-                placed.append((at, cell, span))
-                for c in range(at, at + span):
-                    if down != 1:
-                        held[c] = (len(group) - k if down == 0 else down) - 1
-                at += span
-            taken = {c: left for c, left in held.items() if left > 0}
-            rows.append(placed)
-    width: dict[int, int] = {}
-    for wide in (False, True):
-        for row in rows:
-            for at, cell, span in row:
-                if wide == (span > 1):
-                    room = sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
-                    width[at + span - 1] = width.get(at + span - 1, 0) + max(0, len(cell) - room)
+    rows = _placed(groups)
+    width = _widths(rows)
     for row in rows:
-        line, at = "", 0
-        for start, cell, span in row:
-            while at < start:
-                line += " " * width.get(at, 0) + " | "
-                at += 1
-            line += cell.ljust(sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)) + " | "
-            at += span
-        line = line[:-3].rstrip(" ")
-        if line.strip(" |"):
-            w.block(1)
-            w.raw(line)
-            w.block(1)
+        if width is not None:
+            blocks = [_grid_row(row, width)]
+        elif all(len(cell) == 1 for _, cell, _ in row):
+            blocks = [[line] if (line := " | ".join(cell[0] for _, cell, _ in row).strip(" ")).strip(" |") else []]
+        else:
+            blocks = [cell for _, cell, _ in row if any(cell)]
+        for lines in blocks:
+            if lines:
+                w.block(1)
+                w.raw("\n".join(lines))
+                w.block(1)
 
 
 def _mark(node: Node, number: int) -> str:
@@ -522,7 +573,7 @@ def _render(node: Node, w: _Writer, visible: bool, pre: bool = False):
             w.block(gap)
             indent = w.indent
             if tag in ("blockquote", "dd"):
-                w.indent += "  "
+                w.deeper(2)
             yield _render(c, w, seen, pre or tag in ("pre", "listing", "xmp"))
             w.indent = indent
             w.block(gap)
