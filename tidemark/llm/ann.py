@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by largest inner product: inverted lists, scanned dimension block by dimension block.
 
-Inner products become distances by one more dimension, sqrt(m - |x|^2) with m the largest squared norm (0 for
-a query). Vectors are dealt to the nearest of about sqrt(N) centroids. Within a list, vectors are rotated by a random
-orthogonal matrix and their squared distance is summed over blocks of columns. The null hypothesis is that a candidate is
-nearer than the query's K-th best so far, the limit. After a random rotation the share of the distance that lies in d of D
+For dealing, inner products become distances by one more dimension, sqrt(m - |x|^2) with m the largest squared norm (0 for
+a query). Vectors are dealt to the nearest of about sqrt(N) centroids, LISTS at most. Within a list, vectors of unit length are rotated by a random
+orthogonal matrix and their squared distance is summed over blocks of columns. The null hypothesis is that a candidate's product is
+at least the query's K-th best so far, the limit t; its unit vector is then at most 2 - 2 t / (|q| |x|) away, a bound of each pair's own,
+so that vectors too short to reach t go at once. After a random rotation the share of the distance that lies in d of D
 dimensions has mean d / D and variance 2 d (D - d) / (D^2 (D + 2)), so a candidate is given up when its partial distance
-exceeds the limit times that mean plus Z deviations. What is left is ranked by the exact product of the original vectors.
+exceeds the bound times that mean plus Z deviations. What is left is ranked by the exact product of the original vectors.
 
 1. Each query scans its nearest list: a few candidates whole, which gives a first limit, then the others by the tests.
 2. Its K-th best there is the limit with which it scans the other lists it probes, so that the tests act from the
@@ -14,8 +15,8 @@ exceeds the limit times that mean plus Z deviations. What is left is ranked by t
 How many lists are probed is read off the sample that the centroids are fitted on: as many as its own vectors need to find
 TARGET of their neighbours, and in any case so many that they hold K candidates.
 
-Short lists are scanned in groups, long ones in blocks, queries in chunks; all by bounded sizes and hashes of ids, so a
-list that holds a third of all vectors is many tasks. Centroids are fitted on at most SAMPLE vectors; every row is indexed.
+Short lists are scanned in groups, long ones in blocks, the queries that ask a group in chunks of that group; all by bounded sizes and hashes
+of ids, so a list that holds a third of all vectors is many tasks, and vectors are sent once for each chunk that asks them. Centroids are fitted on at most SAMPLE vectors; every row is indexed.
 """
 
 from __future__ import annotations
@@ -129,41 +130,52 @@ class Counters:
         self.pairs = self.given_up = self.read = 0
 
 
-def adaptive_scan(q: np.ndarray, limits: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], counters: Counters) -> tuple[np.ndarray, np.ndarray]:
-    """(query places, candidate places) of the pairs that no test gives up. q: rotated queries; blocks: the candidates' rotated
-    columns, a block at a time, with their squared norms; limits: each query's squared distance to beat."""
+def adaptive_scan(q: np.ndarray, bounds: np.ndarray, blocks: list[np.ndarray], counters: Counters) -> tuple[np.ndarray, np.ndarray]:
+    """(query places, candidate places) of the pairs that no test gives up. q: rotated unit queries; blocks: the candidates' rotated
+    columns, a block at a time; bounds: each pair's squared distance to beat, infinite where there is none."""
     total, d, partial, alive, qi, ci, early = q.shape[1], 0, None, None, None, None, 0
-    n = len(q) * len(blocks[0][0])
+    n = bounds.size
     counters.pairs += n
-    for c, norms in blocks:
+    slack = 1e-9 * (1 + np.where(np.isfinite(bounds), np.abs(bounds), 0))
+    for c in blocks:
         part = q[:, d : d + c.shape[1]]
         d += c.shape[1]
         share = min(1.0, d / total + Z * math.sqrt(2 * d * (total - d) / (total + 2)) / total)
-        bar = limits * share + 1e-9 * (1 + np.where(np.isfinite(limits), limits, 0))
         if qi is None:  # dense while most pairs are alive
-            step = norms[None, :] + (part * part).sum(axis=1)[:, None] - 2 * part @ c.T
+            step = (c * c).sum(axis=1)[None, :] + (part * part).sum(axis=1)[:, None] - 2 * part @ c.T
             partial = step if partial is None else partial + step
             counters.read += n
-            alive = (partial <= bar[:, None]) if alive is None else alive & (partial <= bar[:, None])
+            near = partial <= bounds * share + slack
+            alive = near if alive is None else alive & near
             if np.count_nonzero(alive) * 4 < n:
                 qi, ci = np.nonzero(alive)
-                partial = partial[qi, ci]
+                partial, bounds, slack = partial[qi, ci], bounds[qi, ci], slack[qi, ci]
         else:
             counters.read += len(qi)
             diff = c[ci] - part[qi]
             partial = partial + np.einsum("ij,ij->i", diff, diff)
-            stay = partial <= bar[qi]
-            qi, ci, partial = qi[stay], ci[stay], partial[stay]
+            stay = partial <= bounds * share + slack
+            qi, ci, partial, bounds, slack = qi[stay], ci[stay], partial[stay], bounds[stay], slack[stay]
         if d < total:
             early = n - (np.count_nonzero(alive) if qi is None else len(qi))
     counters.given_up += early
     return np.nonzero(alive) if qi is None else (qi, ci)
 
 
-def scan_list(qid: np.ndarray, q: np.ndarray, limits: np.ndarray, ids: np.ndarray, x: np.ndarray, largest: float, turn: np.ndarray, k: int, counters: Counters):
-    """(query ids, candidate ids, products): each query's k best in one list, by the tests. An infinite limit is first set from a few whole candidates."""
-    turned = _lifted(x, largest) @ turn
-    blocks = [(b, (b * b).sum(axis=1)) for b in (np.ascontiguousarray(turned[:, j : j + COLUMNS]) for j in range(0, turned.shape[1], COLUMNS))]
+def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of unit length and the norms, without overflow or underflow on the way."""
+    size = np.abs(x).max(axis=1)
+    scaled = x / size[:, None]
+    norm = np.sqrt((scaled * scaled).sum(axis=1))
+    return scaled / norm[:, None], norm * size
+
+
+def scan_list(qid: np.ndarray, q: np.ndarray, limits: np.ndarray, ids: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int, counters: Counters):
+    """(query ids, candidate ids, products): each query's k best in one list, by the tests. limits: products to reach; one of minus infinity is first set from a
+    few whole candidates."""
+    units, norms = _units(x)
+    turned = units @ turn
+    blocks = [np.ascontiguousarray(turned[:, j : j + COLUMNS]) for j in range(0, turned.shape[1], COLUMNS)]
     out = []
     size = max(1, PAIRS // len(ids))
     for j in range(0, len(q), size):
@@ -173,9 +185,9 @@ def scan_list(qid: np.ndarray, q: np.ndarray, limits: np.ndarray, ids: np.ndarra
         if len(free) and few > k:
             s = own[free] @ x[:few].T
             s[mine[free][:, None] == ids[None, :few]] = -np.inf
-            limit[free] = (own[free] * own[free]).sum(axis=1) + largest - 2 * np.partition(s, few - k, axis=1)[:, few - k]
-            limit[free[~np.isfinite(limit[free])]] = np.inf
-        qi, ci = adaptive_scan(_asking(own) @ turn, limit, blocks, counters)
+            limit[free] = np.partition(s, few - k, axis=1)[:, few - k]
+        asked, lengths = _units(own)
+        qi, ci = adaptive_scan(asked @ turn, 2 - 2 * (limit / lengths)[:, None] / norms[None, :], blocks, counters)
         other = ids[ci] != mine[qi]
         qi, ci = qi[other], ci[other]
         s = np.concatenate([np.einsum("ij,ij->i", x[ci[a : a + 65536]], own[qi[a : a + 65536]]) for a in range(0, len(qi), 65536)] or [np.empty(0)])
@@ -209,7 +221,7 @@ def search(vectors: DataFrame, is_query, k: int = K, lists: int | None = None, p
     n_lists = lists or (1 if total <= ONE_LIST else min(LISTS, round(math.sqrt(total)), max(1, len(x) // 16)))
     centroids = _centroids(_lifted(x, m), n_lists)
     probes = min(len(centroids), probed or probes_needed(x, m, centroids, k))
-    model = spark.sparkContext.broadcast((centroids, _rotation(dim + 1)))
+    model = spark.sparkContext.broadcast((centroids, _rotation(dim)))
 
     def deal(batches):
         for b in batches:
@@ -234,8 +246,6 @@ def search(vectors: DataFrame, is_query, k: int = K, lists: int | None = None, p
     for _, g, nb in places:
         blocks_of[g] = max(blocks_of[g], nb)
     table = F.broadcast(spark.createDataFrame(places, "list int, grp int, nb int"))
-    n_queries = rows.where(is_query(F.col("id"))).count()
-    chunks = max(1, -(-n_queries // min(CHUNK, cap)))
     dealt = spark.sparkContext.broadcast((counts, group, blocks_of))
 
     def ask(first: bool):
@@ -276,34 +286,36 @@ def search(vectors: DataFrame, is_query, k: int = K, lists: int | None = None, p
         for i in np.unique(of):
             c, q = cand[of == i], who[w == i]
             if len(q):
-                parts.append(scan_list(ids[q], flat[q], lim[q], ids[c], flat[c], m, model.value[1], k, counters))
+                parts.append(scan_list(ids[q], flat[q], lim[q], ids[c], flat[c], model.value[1], k, counters))
         if counting:
             return pa.table({"pairs": [counters.pairs], "given_up": [counters.given_up], "read": [counters.read]})
         a, b, s = (np.concatenate(c) for c in zip(*parts)) if parts else ((), (), ())
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
 
     place = F.xxhash64("id")
-    searched = base.join(table, "list").select("grp", F.pmod(place, F.col("nb")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "id", "v", F.lit(float("inf")).alias("lim"), "list", F.lit(None).cast("binary").alias("lists"), F.lit(False).alias("asks"))
-
-    def scanned(queries: DataFrame, first: bool, schema: str, counting: bool = False) -> DataFrame:
-        asked = queries.mapInArrow(ask(first), "id long, v binary, lim double, grp int, nb int, lists binary")
-        asked = asked.select("grp", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), F.pmod(place, F.lit(chunks)).cast("int").alias("chunk"), "id", "v", "lim", F.lit(None).cast("int").alias("list"), "lists", F.lit(True).alias("asks"))
+    listed = base.join(table, "list").select("grp", F.pmod(place, F.col("nb")).cast("int").alias("block"), "id", "v", F.lit(None).cast("double").alias("lim"), "list", F.lit(None).cast("binary").alias("lists"), F.lit(False).alias("asks"))
+    columns = ["grp", "block", "chunk", "id", "v", "lim", "list", "lists", "asks"]
+
+    def scanned(queries: DataFrame, name: str, schema: str, counting: bool = False) -> DataFrame:
+        asked = materialize(queries.mapInArrow(ask(name == "near"), "id long, v binary, lim double, grp int, nb int, lists binary"), f"asks_{name}")
+        # a group's chunks follow the queries that ask it; nothing is sent for a group that none asks
+        size = F.ceil(F.count("*") / F.lit(min(CHUNK, cap))).cast("int").alias("chunks")
+        chunks = spark.createDataFrame([tuple(r) for r in asked.groupBy("grp").agg(size).collect()], "grp int, chunks int")  # a row a group
+        asked = asked.join(F.broadcast(chunks), "grp").withColumns({"chunk": F.pmod(place, F.col("chunks")).cast("int"), "list": F.lit(None).cast("int"), "asks": F.lit(True)})
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(columns)
+        searched = listed.join(F.broadcast(chunks), "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(columns)
         return searched.unionByName(asked).groupBy("grp", "block", "chunk").applyInArrow(lambda t: scan(t, counting), schema)
 
     found = "query_id long, vec_id long, score double"
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    queries = rows.where(is_query(F.col("id"))).withColumn("lim", F.lit(float("inf")))
+    queries = rows.where(is_query(F.col("id"))).withColumn("lim", F.lit(float("-inf")))
     top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    seeds = materialize(top(scanned(queries, True, found)), "seeds")
+    seeds = materialize(top(scanned(queries, "near", found)), "seeds")
     far = seeds.where(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("score").alias("kth"))
 
-    def limited(batches):
-        for b in batches:
-            lim = [float(np.dot(v, v)) + m - 2 * s if s is not None else math.inf for v, s in zip(map(np.frombuffer, b.column(1).to_pylist()), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lim, pa.float64())], ["id", "v", "lim"])
-
-    asking = queries.join(far, queries["id"] == far["of"], "left").select("id", "v", "kth").mapInArrow(limited, "id long, v binary, lim double")
+    lim = F.coalesce("kth", F.lit(float("-inf"))).alias("lim")
+    asking = queries.drop("lim").join(far, queries["id"] == far["of"], "left").select("id", "v", lim)
     if counted:
-        return scanned(asking, False, "pairs long, given_up long, read long", True)
-    both = seeds.select("query_id", "vec_id", "score").unionByName(scanned(asking, False, found))
+        return scanned(asking, "far", "pairs long, given_up long, read long", True)
+    both = seeds.select("query_id", "vec_id", "score").unionByName(scanned(asking, "far", found))
     return top(both).select("query_id", "rank", "vec_id", "score")
