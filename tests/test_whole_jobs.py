@@ -1,5 +1,6 @@
 """Queries that take whole texts and whole methods, against brute force on small fixtures."""
 
+import datetime
 import os
 import re
 import string
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import scoring
-from tidemark.plans import catalog, text_queries
+from tidemark.plans import catalog, event_queries, model_queries, text_queries
 
 
 @pytest.fixture()
@@ -114,3 +115,15 @@ def test_text_queries_take_whole_documents(spark, tables):
     assert run("token_score_documents")[11][0] == pytest.approx(want, abs=1e-4)
     got, same = run("phrase_score_documents"), spark.createDataFrame([(long,)], "text string").select(scoring.phrase_score(F.col("text"), lex.dovish, lex)).collect()[0][0]
     assert got[11][0] == pytest.approx(same, abs=1e-4) and got[11][0] != 0 and got[20] == (0.0, 0.0)
+
+
+def test_actions_on_days_without_a_curve(spark, tables):
+    """The first orders are not shipped on their day, so the curve's calendar begins later; an action there counts at its first day."""
+    day = lambda k: datetime.datetime(1995, 1, 1) + datetime.timedelta(days=k)
+    tables("lineitem", [(day(k), flag, 1000.0 + 37 * (k % 11) + 5 * n) for k in range(1, 900) if k != 40 for n, flag in enumerate("ANR")], "l_shipdate timestamp, l_returnflag string, l_extendedprice double")
+    d = tables("orders", [(day(k), "1-URGENT", 460000.0) for k in (0, 40, 500)], "o_orderdate timestamp, o_orderpriority string, o_totalprice double")
+    rows = model_queries._yield_panel(spark, d).select("event_id", "action_nearby").collect()
+    assert {r.event_id: r.action_nearby for r in rows} == {f"{y}Q{q}": int((y, q) == (1995, 1)) for y in (1995, 1996) for q in (1, 2, 3, 4)} | {"1997Q1": 0, "1997Q2": 0}
+    assert catalog.queries()["yield_models_grouped"](spark, d).count() == 12
+    cal = event_queries.curve(spark, d)
+    assert sorted(r.pos for r in event_queries.actions(spark, d, cal).collect()) == [0, 39, 498]
