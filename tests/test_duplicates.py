@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import duplicates as D
@@ -90,3 +91,23 @@ def test_features_lose_no_partner():
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "id long, s string, g int")
     assert D.near_pairs(empty, "id", "s").count() == 0 and D.duplicate_groups(empty, "id", "s", "g").count() == 0
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_texts_of_common_parts_are_not_compared_in_pairs(monkeypatch, block):
+    """Texts of one set of syllables agree in parts of their gram sets by chance; their sketches part them, before any text is sent."""
+    monkeypatch.setattr(D, "BLOCK", block)
+    r = random.Random(9)
+    syllables = ["the", "tion", "ing", "er", "on", "at", "re", "nd", "ha", "es", "or", "an", "ou", "ea", "st", "en", "ti", "is", "in", "he", "al", "le", "wh", "ly", "ed"]
+    made = ["".join(r.choices(syllables, k=400)) for _ in range(250)]
+    made += [t[:500] + "qq" + t[500:] for t in made[:20]]
+    table = lambda f: pa.Table.from_batches(f([pa.record_batch({"id": list(range(len(made))), "t": made})]))
+    keys, found, met = table(D._keys), set(), 0
+    sketches = {(x["id"], x["level"]): x for x in table(D._sketches).to_pylist()}
+    for bucket in keys.column("bucket").unique().to_pylist():
+        rivals = D._rivals(keys.filter(pa.array([x == bucket for x in keys.column("bucket").to_pylist()])))
+        met += rivals.num_rows
+        own = [sketches[x["id"], x["level"]] for x in rivals.to_pylist()]
+        found |= {(x["s"], x["id"]) for x in D._compared(rivals.append_column("size", pa.array([x["size"] for x in own], pa.int32())).append_column("sketch", pa.array([x["sketch"] for x in own], pa.binary()))).to_pylist()}
+    want = {(i, j) for j in range(len(made)) for i in range(j) if near(made[i], made[j])}
+    assert met > 10 * len(want) and want <= found and len(found) <= len(want) + 5 and {(k, 250 + k) for k in range(20)} <= want
