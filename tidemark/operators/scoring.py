@@ -36,15 +36,17 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
-def _before(parts: Column, word: str, reach: int, lex: Lexicon):
-    return lambda j: hit_weight(F.right(F.array_join(F.slice(parts, 1, j), word), F.lit(reach)), lex)
+def _before(tails: Column, word: str, reach: int, lex: Lexicon):
+    """The weight of the j-th occurrence: `reach` characters lie within the reach + 1 parts before it, whose last characters suffice."""
+    near = lambda j: F.slice(tails, F.greatest(j - reach, F.lit(1)), F.least(j, F.lit(reach + 1)))
+    return lambda j: _let(F.right(F.array_join(near(j), word), F.lit(reach)), lambda before: hit_weight(before, lex))
 
 
 def phrase_score(sentence: Column, words: tuple[str, ...], lex: Lexicon, reach: int = 8) -> Column:
     """Sum over all occurrences of all words of the weight that the `reach` characters before give. Overlapping list words all count."""
     total = F.lit(0.0)
     for word in words:
-        total = total + _let(F.split(sentence, "\\Q" + word + "\\E", -1), _summed(word, reach, lex))
+        total = total + _let(F.transform(F.split(sentence, "\\Q" + word + "\\E", -1), lambda p: F.right(p, F.lit(reach))), _summed(word, reach, lex))
     return total
 
 
