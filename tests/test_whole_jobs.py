@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import scoring
+from tidemark.functions import text as T
+from tidemark.operators import scoring, similarity
 from tidemark.plans import catalog, event_queries, model_queries, text_queries
 
 
@@ -138,3 +139,31 @@ def test_phrase_score_of_a_long_text_is_linear(spark):
     before = [text[max(0, m.start() - 8) : m.start()] for m in re.finditer("tion", text)]
     want = sum(np.prod([v for x, v in lex.degree.items() if x in b] or [1.0]) * (-1.0 if any(x in b for x in lex.negations) else 1.0) * (1.15 if any(x in b for x in lex.turning) else 1.0) for b in before)
     assert got == pytest.approx(want) and time.monotonic() - began < 30
+
+
+def test_neighbours_cross_blocks_and_many_terms(spark, monkeypatch):
+    """Blocks of three positions, frequencies joined by block and sent to all, against one block; no row a document and term is shuffled."""
+    r = np.random.default_rng(4)
+    texts = [" ".join(r.choice(["ab", "bcd", "cd", "ef", "géh"], r.integers(0, 9))) for _ in range(20)] + [None, "", "ab", "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "idx long, text string").repartition(3)
+    run = lambda df: {x[0]: x[1] and round(x[1], 9) for x in df.collect()}
+    words = T.words(F.col("text"))
+    counts = [Counter(w for w in (t or "").split()) for t in texts]
+
+    def cosine(k, df, n):
+        w = [{x: c * (np.log((1 + n) / (1 + df[x])) + 1) for x, c in counts[i].items()} for i in (k - 1, k)]
+        size = np.sqrt(sum(x * x for x in w[0].values()) * sum(x * x for x in w[1].values()))
+        return round(sum(x * w[0].get(t, 0) for t, x in w[1].items()) / size, 9) if size else None
+
+    full = Counter(x for c in counts for x in c)
+    want = {0: None} | {k: cosine(k, full, len(texts)) or 0.0 for k in range(1, len(texts))}
+    assert run(similarity.adjacent_similarity(docs, words, block=3)) == want
+    plan = similarity.adjacent_similarity(docs, words, block=3)._jdf.queryExecution().toString()
+    assert "xxhash64" in plan and "explode(terms" not in plan
+    monkeypatch.setattr(similarity, "TERMS", 2)
+    assert run(similarity.adjacent_similarity(docs, words, block=3)) == want
+    so_far = {k: Counter(x for c in counts[: k + 1] for x in c) for k in range(len(texts))}
+    assert run(similarity.expanding_similarity(docs, words, block=3)) == {0: None} | {k: cosine(k, so_far[k], k + 1) for k in range(1, len(texts))}
+    grams = lambda t: {t[k : k + 3] for k in range(len(t) - 2)} or ({t} if t else set())
+    pairs = [(grams(a), grams(b)) if a is not None and b is not None else None for a, b in zip(texts, texts[1:])]
+    assert run(similarity.adjacent_jaccard(docs, F.col("text"), block=3)) == {k: round(len(p[0] & p[1]) / len(p[0] | p[1]), 9) if p and p[0] | p[1] else None for k, p in enumerate(pairs)}

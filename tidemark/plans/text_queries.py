@@ -247,15 +247,13 @@ register("duplicate_report_groups", _report_groups)
 def _char_documents(spark, d):
     docs = _indexed(spark, d)
     t = F.lower(F.regexp_replace("text", r"(?U)\s\s+", " "))
-    grams = F.concat(*[T.char_grams(t, n, distinct=False) for n in (2, 3, 4)])
-    return docs.join(similarity.adjacent_similarity(docs, grams), "idx").select("doc_id", F.round("similarity", 6).alias("similarity"))
+    return docs.join(similarity.adjacent_similarity(docs, t, (2, 3, 4)), "idx").select("doc_id", F.round("similarity", 6).alias("similarity"))
 
 
 def _jaccard_documents(spark, d):
     """Each document against the next one by doc_id."""
-    g = _indexed(spark, d).select("idx", "doc_id", T.char_grams(F.col("text")).alias("g"))
-    n = g.select((F.col("idx") - 1).alias("idx"), F.col("g").alias("h"))
-    return g.join(n, "idx").select("doc_id", F.round(T.jaccard(F.col("g"), F.col("h")), 6).alias("jaccard"))
+    docs = _indexed(spark, d)
+    return docs.join(similarity.adjacent_jaccard(docs, F.col("text")), "idx").select("doc_id", F.round("jaccard", 6).alias("jaccard"))
 
 
 # the queries on benchmark again, on whole documents and without SQL
