@@ -232,3 +232,26 @@ def test_fits_of_several_specifications(spark):
     by = {f.term: f.beta for f in specs if f.model == "two"}
     assert t.beta == pytest.approx(by["a"] + by["b"]) and t.lo < t.beta < t.hi
     assert regression.totals(df.limit(5), "y", ["a", "b"], "a", "b", "k").collect()[0].beta is None
+
+
+def test_a_weigher_looks_terms_up_once_for_all_fits():
+    from tidemark.operators import classify
+
+    features = {("a", 0): classify.SublinearTfidf.of(["xy", "b", "zz"], [3, 1, 2], 5), ("a", 1): classify.SublinearTfidf.of(["b", "q"], [2, 2], 4), ("c", 0): classify.SublinearTfidf.of([], [], 0)}
+    counts = {"q": 2, "unknown": 4, "zz": 1, "b": 3}
+    own = classify.Weigher(features).weights(list(counts), list(counts.values()), list(features))
+    for (at, w), f in zip(own, features.values()):
+        want_at, want = f.weights_of(counts)
+        assert at.tolist() == want_at.tolist() and w == pytest.approx(want)
+
+
+def test_sparse_and_dense_fits_are_the_same(monkeypatch):
+    from tidemark.operators import classify
+
+    r = np.random.default_rng(2)
+    row, col = np.repeat(np.arange(50), 4), np.concatenate([r.choice(12, 4, False) for _ in range(50)])
+    args = row, col, r.random(200), np.where(r.random(50) < 0.4, 1.0, -1.0), np.ones(50), 14
+    one = classify.squared_hinge(*args)
+    monkeypatch.setattr(classify, "DENSE_CELLS", 0)
+    two = classify.squared_hinge(*args)
+    assert one[0] == pytest.approx(two[0], abs=1e-6) and one[1] == pytest.approx(two[1], abs=1e-6)
