@@ -17,6 +17,8 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: Words of a lexicon at most, which all tasks get; runs whose words a worker remembers.
 WORDS, REMEMBERED = 500_000, 200_000
+#: Texts whose tokens a task holds at once.
+TEXTS = 256
 _RUN = re.compile(r"\w+")
 
 
@@ -86,7 +88,8 @@ def segment_words(df: DataFrame, text_col: str, lexicon: DataFrame, protected: l
                 tokens += own
             return tokens
 
-        for b in batches:
+        # few texts at once, so that a task holds the tokens of these only
+        for b in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
             lists = []
             for text in b.column(b.schema.get_field_index(text_col)).to_pylist():
                 tokens, at, low = [], 0, (text or "").lower()
