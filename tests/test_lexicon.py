@@ -1,6 +1,7 @@
 """Large lexicons: the one-pass scorer against sums of column expressions and a plain count."""
 
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +84,59 @@ def test_odd_lexicons(spark):
     for bad in ([("a", "degree", None)], [("a", "degree", 1.0), ("a", "degree", 2.0)]):
         with pytest.raises(ValueError):
             lexicon.lexicon_scores(docs, spark.createDataFrame(bad, "word string, category string, factor double"))
+
+
+ODD = ["a", "b", "É", " ", "A", ".", "!", ";", "\U0001f600", "\n", "　", "\x1c", "\x85", "İ", "Σ", "ς", "1", "٣", "一", "_", "́", "\xa0", "\t"]
+
+
+def odd_texts(n, seed):
+    r = random.Random(seed)
+    return ["".join(r.choices(ODD, k=r.randrange(0, 70))) for _ in range(n)] + [None, "", "...", " \n", "ab cd. " * 40]
+
+
+def test_counting_and_scoring_take_no_array_function_a_word(spark):
+    """Counting and scoring were regular expressions and lambdas on the words of each sentence, and a few Python calls a hit."""
+    docs = spark.createDataFrame([(1, "one text")], "doc_id long, text string")
+    for df in (lexicon.word_counts(docs), lexicon.category_sums(docs, [("one", "positive", None)], "doc_id", "text")[0]):
+        assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+    def calls(n):
+        scorer, seen = lexicon.Scorer([("aa", "dovish", None), ("bb", "positive", None), ("no", "negation", None)]), []
+        lexicon._kinds()
+        sys.setprofile(lambda _, event, __: seen.append(event) if event == "call" else None)
+        try:
+            scorer.sums(["no aa bb " * n])
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+
+    assert calls(5000) < 3 * calls(50)
+
+
+def test_word_counts_are_those_of_words(spark):
+    df = spark.createDataFrame([(t,) for t in odd_texts(300, 3)], "text string")
+    for least in (2, 4):
+        want = df.select(F.explode(T.words(F.col("text"), least)).alias("word")).groupBy("word").count()
+        assert sorted(map(tuple, lexicon.word_counts(df, "text", least).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_lines_are_sentences(spark):
+    texts = [t or "" for t in odd_texts(400, 4)]
+    for terminators in (".!?;", ". ;", "-]^a"):
+        want = spark.createDataFrame([(t,) for t in texts], "t string").select(F.array_join(T.sentences(F.col("t"), terminators), "\n").alias("s"))
+        assert [lexicon.sentence_lines(t, terminators) for t in texts] == [r.s for r in want.collect()]
+
+
+@pytest.mark.parametrize("chunk, pairs", [(30, 3), (1 << 20, 1 << 21)])
+def test_texts_together_and_in_parts(spark, monkeypatch, chunk, pairs):
+    monkeypatch.setattr(lexicon, "CHUNK", chunk)
+    monkeypatch.setattr(lexicon, "PAIRS", pairs)
+    rows = list(enumerate([*texts(120, 9), *odd_texts(120, 6), "", None, "a" * 300, "ab a. " * 200]))
+    want = by_columns(spark, rows, LEX)
+    scorer = lexicon.Scorer(scoring.lexicon_of(LEX))
+    for (k, text), have in zip(rows, scorer.sums([t for _, t in rows]), strict=True):
+        if text is None:
+            assert have is None
+            continue
+        z, per = dict(zip(scorer.names, have)), 1000 / max(1, len(text))
+        assert [(z["positive"] - z["negative"]) * per, (z["dovish"] - z["hawkish"]) * per, z["one"] * per, z["two"] * per] == pytest.approx(want[k], rel=1e-9, abs=1e-9), text[:90]

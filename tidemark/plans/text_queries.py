@@ -269,8 +269,7 @@ register("sentence_bare_documents", lambda s, d: table(s, d, DOCS).select("doc_i
 def _large_lexicon(spark, d):
     """Whole documents by a lexicon of their 3,000 most frequent words of four or more characters, dealt to six lists by their hash; LEX's modifiers."""
     docs = table(spark, d, DOCS).select("doc_id", "text")
-    counts = docs.select(F.explode(T.words(F.col("text"), 4)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "word").limit(3000)
+    top = lexicon.word_counts(docs, "text", 4).orderBy(F.col("n").desc(), "word").limit(3000)
     kinds = F.array(*map(F.lit, ["positive", "negative", "dovish", "hawkish", "growth", "risk"]))
     dealt = top.select("word", F.get(kinds, F.pmod(F.xxhash64("word"), F.lit(6)).cast("int")).alias("category"), F.lit(None).cast("double").alias("factor"))
     mods = spark.createDataFrame([r for r in scoring.lexicon_of(LEX) if r[1] in lexicon.MODIFIERS], "word string, category string, factor double")
@@ -287,9 +286,8 @@ register("segmented_tokens", lambda s, d: table(s, d, "benchmark").select("item_
 def _segmented_documents(spark, d):
     """Whole documents by the 5,000 most frequent words of all of them; compounds and unknown words come apart."""
     docs = table(spark, d, DOCS).select("doc_id", "text")
-    counts = docs.select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    lexicon = counts.orderBy(F.col("n").desc(), "word").limit(5000)
-    found = segmentation.segment_words(docs, "text", lexicon, PROTECTED, ["the", "and"])
+    known = lexicon.word_counts(docs).orderBy(F.col("n").desc(), "word").limit(5000)
+    found = segmentation.segment_words(docs, "text", known, PROTECTED, ["the", "and"])
     return found.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.crc32(F.array_join("tokens", " ").cast("binary")).alias("tokens_crc32"))
 
 
